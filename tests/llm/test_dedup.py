@@ -61,3 +61,25 @@ def test_line_streams_in_any_batches(size):
         if len({d for d, _ in mine}) >= 3:
             want |= {(d, x) for d, x in mine if d != max(mine)[0]}
     assert got == want
+
+
+def test_near_duplicates_equal_brute_force(spark, sf_dir, docs):
+    assert rows_of(q.op5_minhash_near_dedup(spark, sf_dir)) == brute.near_dups(docs)
+
+
+def test_near_duplicates_in_parts(spark, monkeypatch):
+    import random
+
+    from tideglass.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BAND_BLOCK", 16)
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for d in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 6, 8, 10])):
+            words[rng.randrange(200)] = f"x{rng.random()}"
+        rows.append((d, " ".join(words)))
+    got = rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute.near_dups(rows)

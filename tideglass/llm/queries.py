@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -34,5 +36,22 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_line_dedup)}
+def op4_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives go to a folder of their own in the shared folder."""
+    from . import tables, warc
+
+    folder = f"{tables.shared_dir(spark)}/tideglass/warc-{uuid.uuid4().hex}"
+    tables.make_folder(spark, folder)
+    archives = warc.write_warc(read(spark, sf_dir, "pages"), folder)
+    records = warc.read_warc(archives, folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_line_dedup, op4_warc_zstd, op5_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -42,6 +42,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def buckets(spark: SparkSession) -> int:
     """Ranges of hash values to deal work into; follows spark.sql.shuffle.partitions, which is set by the size of the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
