@@ -53,5 +53,59 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_line_dedup, op4_warc_zstd, op5_minhash_near_dedup)}
+def document_path():
+    """Documents carry no paths: the source stands for a repository, and the digits of the id for directories in it."""
+    digits = F.lpad(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string"), 12, "0")
+    return F.concat_ws("/", F.coalesce("source", F.lit("none")), F.substring(digits, 1, 8), F.substring(digits, 9, 2), F.concat(digits, F.lit(".txt")))
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import licence_scan
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", document_path().alias("path"))
+    return licence_scan(docs)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    model = langid.fit(docs.where(~F.coalesce(held_out, F.lit(False))))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import benchmark_hits
+
+    out = benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    hit = _total("starts", "ends")
+    return out.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import as_text, edited_neighbours, likeness
+
+    out = edited_neighbours(read(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_text(F.col("anchors")).alias("fingerprint"), as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"), likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+    )
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    from .pieces import piece_ids
+
+    out = piece_ids(read(spark, sf_dir, "documents"), model or piece_model())
+    return out.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_line_dedup, op4_warc_zstd, op5_minhash_near_dedup, op6_licence_scan, op7_language_id, op8_decontamination, op9_syncmer_fingerprints, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
