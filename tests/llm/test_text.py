@@ -45,8 +45,8 @@ def test_decontamination_of_odd_texts(spark):
     got = {}
     found = decontaminate.benchmark_hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     for r in found.collect():
-        got[r.id] = (r.n_words, sum(r.ends) - sum(r.starts), len(r["items"]), brute.sha(",".join(r["items"])), bool(r.starts))
-        raw = (rows[r.id][1] or "").encode()
+        got[r.doc_id] = (r.n_words, sum(r.ends) - sum(r.starts), len(r["items"]), brute.sha(",".join(r["items"])), bool(r.starts))
+        raw = (rows[r.doc_id][1] or "").encode()
         for a, b, i, j in zip(r.starts, r.ends, r.byte_starts, r.byte_ends):
             assert decontaminate.words_of(raw[i:j]) == decontaminate.words_of(raw)[a:b]
     assert got == brute.decontaminate(rows, items)

@@ -90,7 +90,7 @@ def _scanner(shared):
         machine = automaton(windows) if windows else None
         for batch in batches:
             n, starts, ends, froms, tos, found = [], [], [], [], [], []
-            for text in batch.column("text"):
+            for text in batch.column("_scanned"):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 ranges, items, count = scan(machine, raw) if machine else ([], set(), len(words_of(raw)))
                 places = original_offsets(raw, ranges)
@@ -101,15 +101,16 @@ def _scanner(shared):
                 tos.append([b for _, b in places])
                 found.append(sorted({names[i] for i in items}))
             ints = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), *(pa.array(x, ints) for x in (starts, ends, froms, tos)), pa.array(found, pa.list_(pa.string()))], ["id", "n_words", "starts", "ends", "byte_starts", "byte_ends", "items"])
+            own = [c for c in batch.schema.names if c != "_scanned"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(n, pa.int64()), *(pa.array(x, ints) for x in (starts, ends, froms, tos)), pa.array(found, pa.list_(pa.string()))], [*own, "n_words", "starts", "ends", "byte_starts", "byte_ends", "items"])
 
     return run
 
 
-FOUND = "id long, n_words long, starts array<long>, ends array<long>, byte_starts array<long>, byte_ends array<long>, items array<string>"
+FOUND = "n_words long, starts array<long>, ends array<long>, byte_starts array<long>, byte_ends array<long>, items array<string>"
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Where windows of benchmark items occur in documents.
 
     Words are runs of digits, letters (A-Z lower-cased) and everything beyond ASCII. A window is width
@@ -117,7 +118,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, i
     no words. A null item id is written as the empty string. Other columns are ignored.
 
     The benchmark has to be small enough for one automaton (MAX_BENCHMARK_BYTES of text, checked before anything
-    is gathered); documents are read once and not shuffled. Returns id, n_words, starts and ends (word ranges
+    is gathered); documents are read once and not shuffled. Returns id_col, the columns to carry, n_words, starts and ends (word ranges
     hit, joined where they touch), byte_starts and byte_ends (the same in the text's UTF-8 bytes), items (ids, sorted).
     """
     spark = docs.sparkSession
@@ -127,5 +128,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, i
         raise ValueError(f"the benchmark has {size} bytes of text; split it and join the hits of its parts")
     held = sorted((r["id"], r["text"].encode()) for r in items.collect())
     shared = spark.sparkContext.broadcast(([i for i, _ in held], item_windows(held, width)))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scanner(shared), FOUND)
+    own = docs.select(id_col, *carry)
+    rows = docs.select(*own.columns, F.col(text_col).cast("string").alias("_scanned"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    return rows.mapInArrow(_scanner(shared), f"{fields}, {FOUND}")

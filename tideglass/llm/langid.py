@@ -126,7 +126,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_s
     language or more go into the filter - at most 1 / least_share for each language, so what reaches the driver
     is bounded however large the input. More than 64 languages are an error.
     """
-    rows = docs.select(F.lit(0).cast("long").alias("doc"), F.lit(0).alias("tag"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = t.staged(rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(totals) > MAX_LANGUAGES:
@@ -141,17 +141,16 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_s
     return LanguageFilter.build(languages, code, often.column("gram").to_numpy(), covered)
 
 
-def _predict(model):
+def _predict(model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for block, batch in blocks(batches):
+        for block, batch in blocks(batches, text="_text"):
             g, owner = _grams(block)
             best, score = m.scores(g, owner, len(block))
-            letters = batch.column("has_letter").to_numpy(zero_copy_only=False)
-            known = letters & bool(m.languages)
+            known = batch.column("_has_letter").to_numpy(zero_copy_only=False) & bool(m.languages)
             lang = [m.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
-            names = [c for c in batch.schema.names if c not in ("doc", "tag", "has_letter")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0))], [*names, "lang_pred", "score"])
+            names = [c for c in batch.schema.names if c not in ("_text", "_has_letter")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), batch.column("_text"), pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0))], [*names, text_col, "lang_pred", "score"])
 
     return run
 
@@ -160,15 +159,14 @@ def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> D
     """docs with lang_pred and score (0 to 1) put on its right.
 
     Only the text is looked at, all of it. und, with score 0, if it is null, empty or without a letter, or if
-    the model knows no language. Ties go to the language first by name. Columns named doc, tag, has_letter,
-    lang_pred or score are replaced or dropped.
+    the model knows no language. Ties go to the language first by name. Columns of docs named lang_pred or score
+    are replaced.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by the model's parameters
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
     text = F.col(text_col).cast("string")
-    kept = [c for c in docs.columns if c not in ("doc", "tag", "has_letter", "lang_pred", "score")]
-    rows = docs.select(*kept, F.lit(0).cast("long").alias("doc"), F.lit(0).alias("tag"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    if text_col != "text":
-        raise ValueError("the column with the text has to be named text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
-    return rows.mapInArrow(_predict(shared), f"{fields}, lang_pred string, score double")
+    kept = docs.drop("lang_pred", "score")
+    rows = kept.select("*", text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_has_letter"))
+    if text_col in kept.columns:
+        rows = rows.drop(text_col)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text", "_has_letter").schema.fields)
+    return rows.mapInArrow(_predict(shared, text_col), f"{fields}, `{text_col}` string, lang_pred string, score double")

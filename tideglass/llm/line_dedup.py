@@ -150,23 +150,26 @@ def line_bitmaps(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int =
     return gone.groupBy("bucket").applyInArrow(_bitmaps, "doc long, tag int, keep binary")
 
 
-KEPT = "doc_id long, n_lines long, n_dropped long, kept string"
-
-
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, keep in zip(batch.column("text"), batch.column("keep").to_pylist()):
+        for text, keep in zip(batch.column("_text"), batch.column("_keep").to_pylist()):
             lines = (text.as_py() or "").split("\n")
             stay = kept_lines(keep, len(lines))
             out.append((len(lines), int((~stay).sum()), "\n".join([x for x, k in zip(lines, stay) if k])))
         n, dropped, kept = zip(*out) if out else ((),) * 3
-        rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "keep")]
-        names = [c for c in batch.schema.names if c not in ("text", "keep")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], [*names, "n_lines", "n_dropped", "kept"])
-
-
-def line_dedup(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """line_bitmaps applied to the texts: doc_id, n_lines (before), n_dropped, kept (the other lines, joined by \\n)."""
-    joined = t.keyed(docs, id_col, text_col).join(line_bitmaps(docs, min_points, min_docs, id_col, text_col), ["doc", "tag"], "left")
-    return joined.select(t.id_back().alias("doc_id"), "text", "keep").mapInArrow(_apply, KEPT)
+        names = [c for c in batch.schema.names if c not in ("_text", "_keep")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], [*names, "n_lines", "n_dropped", "kept"])
+
+
+def line_dedup(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """line_bitmaps applied to the texts: id_col and the columns to carry, n_lines (before), n_dropped, kept (the other lines, joined by \\n)."""
+    own = [id_col, *carry]
+    maps = line_bitmaps(docs, min_points, min_docs, id_col, text_col)
+    text = F.col(text_col).cast("string")
+    tag = F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("int")
+    rows = docs.select(*own, text.alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(t.NO_ID)).alias("_doc"), tag.alias("_tag"))
+    maps = maps.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("keep").alias("_keep"))
+    joined = rows.join(maps, ["_doc", "_tag"], "left").select(*own, "_text", "_keep")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema.fields)
+    return joined.mapInArrow(_apply, f"{fields}, n_lines long, n_dropped long, kept string")

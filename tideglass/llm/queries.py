@@ -81,7 +81,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     hit = _total("starts", "ends")
-    return out.select(F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def op9_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,11 +49,10 @@ def spans_of_rows(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES, text: str = "text") -> Iterator[tuple[Block, pa.RecordBatch]]:
-    """Blocks of the columns doc, tag and text, each with the rows it was made of."""
+    """Blocks of the columns doc, tag (zeros where they are missing) and text, each with the rows it was made of."""
     for batch in batches:
         off, data = text_buffer(batch.column(text))
-        doc = batch.column("doc").to_numpy(zero_copy_only=False)
-        tag = batch.column("tag").to_numpy(zero_copy_only=False)
+        doc, tag = (batch.column(c).to_numpy(zero_copy_only=False) if c in batch.schema.names else np.zeros(len(batch), np.int64) for c in ("doc", "tag"))
         for i, j in spans_of_rows(off, limit):
             yield Block(doc[i:j], tag[i:j], off[i : j + 1] - off[i], data[off[i] : off[j]]), batch.slice(i, j - i)
 
