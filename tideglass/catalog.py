@@ -1,10 +1,682 @@
-"""All registered queries of the time-series engine, with SQL for comparison."""
+"""All registered queries of the time-series engine, with SQL for comparison.
+
+A query's name begins with its place in the operator inventory. Floating results are rounded to six places on
+both sides, and -inf shows as null.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .functions import columns as c
+from .functions.sql import register
+from .operators import alarms, metrics, preprocess as pp, report, scores as sc, search, sweep, windows as wd
+from .plans import learned
+from .sources import tables as t
+from .streaming import alarms as stream
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+FEATURES = list(t.FEATURES)
+KEYS = c.KEYS
+
+EV = """ev AS (SELECT 'events' AS run_key, user_id AS sequence_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t,
+  value AS score, CAST(event_type = 'error' AS BIGINT) AS label, event_type AS kind, ts FROM events)"""
+LI = """li AS (SELECT 'lineitem' AS run_key, l_suppkey AS sequence_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber,
+  l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag) - 1 AS t, l_quantity AS quantity, l_extendedprice AS extendedprice,
+  l_discount AS discount, l_tax AS tax, CAST(l_returnflag = 'R' AS BIGINT) AS label FROM lineitem)"""
+RES = """res AS (SELECT event_type AS model, 'd' || CAST(user_id % 4 AS VARCHAR) AS dataset, user_id % 5 AS seed, m.metric, avg(CASE m.metric WHEN 'alarm_score' THEN value ELSE value / 7 END) AS value
+  FROM events, (VALUES ('alarm_score'), ('aaf')) m(metric) GROUP BY 1, 2, 3, 4)"""
+W = "PARTITION BY run_key, sequence_id ORDER BY t"
+NEWLY = f"CAST(pred <> coalesce(lag(pred) OVER ({W}), 0) AS INT)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def r6(*names: str):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def sql6(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+def ev(spark, d):
+    return t.events_series(spark, d)
+
+
+def li(spark, d):
+    return t.lineitem_series(spark, d)
+
+
+def results(spark, d):
+    """RESULTS from the events table: kinds stand for models, users for data sets and seeds."""
+    e = t.read(spark, d, "events").select(F.col("event_type").alias("model"), F.concat(F.lit("d"), (F.col("user_id") % 4).cast("string")).alias("dataset"), (F.col("user_id") % 5).alias("seed"), "value")
+    e = e.withColumn("metric", F.explode(F.array(F.lit("alarm_score"), F.lit("aaf"))))
+    return e.groupBy("model", "dataset", "seed", "metric").agg(F.avg(F.when(F.col("metric") == "alarm_score", F.col("value")).otherwise(F.col("value") / 7)).alias("value"))
+
+
+def shared_folder(spark) -> str:
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-tideglass-")
+    return f"{base}/tideglass/{uuid.uuid4().hex}"
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The exact sweep over the events, and all metrics at the threshold found."""
+    rows = ev(spark, d)
+    best = sweep.best_threshold(rows)
+    pred = alarms.predict(rows.join(F.broadcast(best), "run_key"), F.col("threshold"), strict=False)
+    return best.join(metrics.evaluate(pred), "run_key")
+
+
+# A: sources and sinks
+
+
+@query("a1_csv_sequences", f"WITH {EV} SELECT CAST(sequence_id % 8 AS BIGINT) AS part, count(*) AS n, round(sum(score), 4) AS total, sum(label) AS labels FROM ev GROUP BY 1")
+def _(spark, d):
+    """The events as CSV files, read back with a given schema."""
+    folder = shared_folder(spark)
+    rows = ev(spark, d).select(F.col("t").alias("Time"), "score", F.col("sequence_id").alias("user"), F.col("label").alias("Anomaly"))
+    rows.repartition(8, F.col("user") % 8).write.csv(folder, header=True)
+    return t.read_csv_sequences(spark, folder, ["score", "user"]).groupBy((F.col("user").cast("long") % 8).alias("part")).agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"), F.sum("label").alias("labels"))
+
+
+@query("a5_header_variants", "SELECT 'Time,score' AS header, 1 AS one FROM events LIMIT 1")
+def _(spark, d):
+    folder = shared_folder(spark)
+    ev(spark, d).select(F.col("t").alias("Time"), "score").repartition(3).write.csv(folder, header=True)
+    return t.header_variants(spark, folder).select("header", F.lit(1).alias("one"))
+
+
+@query("a6_series", f"WITH {LI} SELECT sequence_id, t, quantity, extendedprice, discount, tax, label FROM li")
+def _(spark, d):
+    return li(spark, d).drop("run_key")
+
+
+MODES = "CASE WHEN sequence_id % 3 = 0 THEN 'test' ELSE 'train' END AS mode"
+
+
+@query("a8_bundle", f"WITH {LI}, b AS (SELECT *, {MODES} FROM li) SELECT mode, count(*) AS rows, count(DISTINCT sequence_id) AS series, round(sum(extendedprice), 2) AS total FROM b GROUP BY mode")
+def _(spark, d):
+    folder = shared_folder(spark)
+    t.write_bundle(li(spark, d).withColumn("mode", F.expr(MODES.removesuffix(" AS mode"))), folder)
+    return spark.read.parquet(folder).groupBy("mode").agg(F.count("*").alias("rows"), F.countDistinct("sequence_id").alias("series"), F.round(F.sum("extendedprice"), 2).alias("total"))
+
+
+@query("a10_manifest", f"WITH {LI}, s AS (SELECT {MODES}, sequence_id, count(*) AS n FROM li GROUP BY 1, 2) SELECT mode, count(*) AS item_count, CAST(sum(n) AS BIGINT) AS rows, '[' || string_agg(CAST(n AS VARCHAR), ',' ORDER BY sequence_id) || ']' AS lengths FROM s GROUP BY mode")
+def _(spark, d):
+    return t.manifest(li(spark, d).withColumn("mode", F.expr(MODES.removesuffix(" AS mode"))))
+
+
+@query("a11_bundle_check", f"WITH {LI}, b AS (SELECT *, {MODES} FROM li WHERE NOT (sequence_id % 7 = 0 AND t = 3)), k AS (SELECT {MODES}, sequence_id, count(*) AS n FROM li GROUP BY 1, 2), r AS (SELECT mode, sequence_id, count(*) AS rows, max(t) AS last_t FROM b GROUP BY 1, 2) SELECT mode, sequence_id, rows, last_t, n FROM r FULL JOIN k USING (mode, sequence_id) WHERE n IS NULL OR rows IS NULL OR n <> rows OR last_t + 1 <> rows")
+def _(spark, d):
+    rows = li(spark, d).withColumn("mode", F.expr(MODES.removesuffix(" AS mode")))
+    broken = rows.where(~((F.col("sequence_id") % 7 == 0) & (F.col("t") == 3)))
+    return t.faulty_sequences(broken, rows.groupBy("mode", "sequence_id").agg(F.count("*").alias("n")))
+
+
+@query("a13_provenance")
+def _(spark, d):
+    return t.provenance(spark, f"{d}/events.parquet").select("path", "length")
+
+
+@query("a14_digest", f"WITH {EV}, r AS (SELECT run_key, sequence_id, t, md5(concat_ws('|', CAST(t AS VARCHAR), kind, CAST(label AS VARCHAR))) AS h FROM ev), s AS (SELECT run_key, sequence_id, md5(string_agg(h, '' ORDER BY t)) AS h FROM r GROUP BY 1, 2) SELECT run_key, md5(string_agg(h, '' ORDER BY sequence_id)) AS digest FROM s GROUP BY 1")
+def _(spark, d):
+    return t.digest(ev(spark, d), ["t", "kind", "label"])
+
+
+@query("a16_profile", f"WITH {LI}, m AS (SELECT *, CAST(label <> 0 AND coalesce(lag(label) OVER ({W}), 0) = 0 AS BIGINT) AS starts FROM li) SELECT run_key, count(DISTINCT sequence_id) AS series, count(*) AS steps, CAST(sum(starts) AS BIGINT) AS anomalies, round(avg(CAST(label <> 0 AS DOUBLE)) * 100, 6) AS anomaly_pct FROM m GROUP BY 1")
+def _(spark, d):
+    return t.profile(li(spark, d))
+
+
+@query("a17_latest_results", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def _(spark, d):
+    return t.latest(t.read(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+# B: projections and predicates
+
+
+@query("b3_numeric_coercion", "SELECT event_type, count(*) AS n, count(try_cast(CASE WHEN event_id % 5 = 0 THEN event_type ELSE CAST(value AS VARCHAR) END AS DOUBLE)) AS numbers FROM events GROUP BY 1")
+def _(spark, d):
+    e = t.read(spark, d, "events").withColumn("x", F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise(F.col("value").cast("string")))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count(c.numeric("x")).alias("numbers"))
+
+
+HOLES = "CASE WHEN t % 11 = 5 THEN NULL ELSE quantity END"
+
+
+@query("b5_drop_faulty_windows", f"WITH {LI}, w AS (SELECT sequence_id, t, sum(CASE WHEN ({HOLES}) IS NULL THEN 1 ELSE 0 END) OVER f AS bad, count(*) OVER f AS n FROM li WINDOW f AS ({W} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) SELECT sequence_id, t FROM w WHERE n = 8 AND bad = 0")
+def _(spark, d):
+    return wd.drop_faulty_windows(li(spark, d).withColumn("quantity", F.expr(HOLES)), ["quantity"], 8).select("sequence_id", "t")
+
+
+@query("b6_label_mask", "SELECT event_type, CAST(sum(CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'view' THEN 0 WHEN event_type = 'click' THEN CAST(event_id % 2 AS INT) ELSE 0 END) AS BIGINT) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    text = F.when(F.col("event_type") == "error", "Sensor FAULT").when(F.col("event_type") == "click", (F.col("event_id") % 2).cast("string")).when(F.col("event_type") == "view", "False").otherwise("normal")
+    return t.read(spark, d, "events").select("event_type", c.label_mask(text).cast("long").alias("m")).groupBy("event_type").agg(F.sum("m").alias("n"))
+
+
+@query("b7_numeric_channels", "SELECT channel, round(avg(CAST(v IS NOT NULL AS DOUBLE)), 6) AS present, count(DISTINCT v) AS distinct_values, avg(CAST(v IS NOT NULL AS DOUBLE)) > 0.8 AND count(DISTINCT v) > 5 AS is_numeric, count(DISTINCT v) <= 8 AND min(CASE WHEN v IN (0, 1) THEN 1 WHEN v IS NULL THEN NULL ELSE 0 END) = 1 AS is_binary FROM (SELECT 'l_quantity' AS channel, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_linenumber', l_linenumber FROM lineitem UNION ALL SELECT 'is_r', CAST(l_returnflag = 'R' AS INT) FROM lineitem) GROUP BY 1")
+def _(spark, d):
+    rows = t.read(spark, d, "lineitem").withColumn("is_r", (F.col("l_returnflag") == "R").cast("int"))
+    return pp.numeric_channels(rows, ["l_quantity", "l_linenumber", "is_r"])
+
+
+@query("b9_canonical_names", "SELECT CASE WHEN event_type IN ('view', 'click') THEN 'Browse' WHEN event_type = 'purchase' THEN 'Buy' ELSE upper(event_type) || ' - ' END AS kind, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    aliases = spark.createDataFrame([("view", "Browse"), ("click", "Browse"), ("purchase", "Buy")], "alias string, name string")
+    e = t.read(spark, d, "events").select(F.concat(F.upper("event_type"), F.lit(" - ")).alias("kind"))
+    return report.canonical(e, "kind", aliases).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("b10_variants", "SELECT DISTINCT event_type || '_ext' AS dataset, event_type AS base, 'ext' AS variant FROM events")
+def _(spark, d):
+    e = t.read(spark, d, "events").select(F.concat("event_type", F.lit("_ext")).alias("dataset")).distinct()
+    return e.select("dataset", F.regexp_replace("dataset", "_(ext|red)$", "").alias("base"), F.when(F.col("dataset").endswith("_ext"), "ext").when(F.col("dataset").endswith("_red"), "red").otherwise("base").alias("variant"))
+
+
+@query("b11_compress_and_clip", "SELECT event_id, round(asinh(value / 50.0), 6) AS squeezed, greatest(least(value, 100.0), -100.0) AS clipped, round(exp2, 6) AS exp2 FROM (SELECT *, pow(2.0, -(event_id % 9)) AS exp2 FROM events)")
+def _(spark, d):
+    e = t.read(spark, d, "events")
+    return e.select("event_id", F.round(c.asinh_scaled("value", 50.0), 6).alias("squeezed"), c.clip("value", 100.0).alias("clipped"), F.round(F.pow(F.lit(2.0), -(F.col("event_id") % 9)), 6).alias("exp2"))
+
+
+@query("b13_reduce_scores", f"WITH {LI} SELECT sequence_id, round(max(greatest(quantity, discount * 400, tax * 500)), 6) AS score FROM li GROUP BY 1")
+def _(spark, d):
+    return li(spark, d).groupBy("sequence_id").agg(F.round(F.max(F.greatest("quantity", F.col("discount") * 400, F.col("tax") * 500)), 6).alias("score"))
+
+
+# C: splits and joins
+
+
+@query("c1_time_split", f"WITH {LI} SELECT sequence_id, CASE WHEN t < floor(n * 0.7) THEN 'train' ELSE 'val' END AS part, count(*) AS n_rows, max(t) AS last FROM (SELECT *, count(*) OVER (PARTITION BY run_key, sequence_id) AS n FROM li) GROUP BY 1, 2")
+def _(spark, d):
+    return pp.time_split(li(spark, d)).groupBy("sequence_id", "part").agg(F.count("*").alias("n_rows"), F.max("t").alias("last"))
+
+
+@query("c2_sequence_split", f"WITH {LI}, s AS (SELECT sequence_id, row_number() OVER (ORDER BY sequence_id) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT sequence_id FROM li)) SELECT CASE WHEN i <= floor(n * 0.7) THEN 'train' ELSE 'val' END AS part, count(*) AS n_rows, count(DISTINCT sequence_id) AS series FROM li JOIN s USING (sequence_id) GROUP BY 1")
+def _(spark, d):
+    return pp.sequence_split(li(spark, d)).groupBy("part").agg(F.count("*").alias("n_rows"), F.countDistinct("sequence_id").alias("series"))
+
+
+@query("c3_overlapping_split", f"WITH {LI}, n AS (SELECT *, floor(count(*) OVER (PARTITION BY run_key, sequence_id) * 0.8) AS b FROM li) SELECT sequence_id, 'train' AS part, count(*) AS n_rows FROM n WHERE t < b GROUP BY 1 UNION ALL SELECT sequence_id, 'val', count(*) FROM n WHERE t >= b - 10 GROUP BY 1")
+def _(spark, d):
+    return pp.overlapping_split(li(spark, d), 0.8, 10).groupBy("sequence_id", "part").agg(F.count("*").alias("n_rows"))
+
+
+@query("c4_budget_cut", f"WITH {EV}, s AS (SELECT sequence_id, count(*) AS n FROM ev GROUP BY 1), b AS (SELECT *, coalesce(sum(n) OVER (ORDER BY sequence_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT sequence_id, n, CAST(before AS BIGINT) AS before FROM b WHERE before < 3000")
+def _(spark, d):
+    return pp.budget_cut(ev(spark, d), 3000).drop("run_key")
+
+
+@query("c5_union_sources", f"WITH {EV}, u AS (SELECT 'real' AS source, score FROM ev UNION ALL SELECT 'synthetic', score * 2 FROM ev WHERE label = 0) SELECT source, count(*) AS n, round(sum(score), 4) AS total FROM u GROUP BY 1")
+def _(spark, d):
+    e = ev(spark, d)
+    both = e.select(F.lit("real").alias("source"), "score").unionByName(e.where("label = 0").select(F.lit("synthetic").alias("source"), (F.col("score") * 2).alias("score")))
+    return both.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
+
+
+@query("c8_window_cap", f"WITH {EV} SELECT sequence_id, count(*) AS n FROM ev WHERE t >= 7 AND t - 7 < 20 GROUP BY 1")
+def _(spark, d):
+    w = Window.partitionBy(*KEYS).orderBy("t_end")
+    out = wd.sliding_windows(ev(spark, d), ["score"], 8).withColumn("i", F.row_number().over(w)).where("i <= 20")
+    return out.groupBy("sequence_id").agg(F.count("*").alias("n"))
+
+
+@query("c10_complete_grid", f"WITH {RES}, r AS (SELECT model, dataset, avg(value) AS mean FROM res WHERE metric = 'alarm_score' AND NOT (model = 'view' AND dataset = 'd1') GROUP BY 1, 2) SELECT m.model, x.dataset, round(mean, 6) AS mean, CASE WHEN mean IS NULL THEN 'missing' ELSE 'ok' END AS status FROM (SELECT DISTINCT model FROM r) m CROSS JOIN (SELECT DISTINCT dataset FROM r) x LEFT JOIN r USING (model, dataset)")
+def _(spark, d):
+    r = results(spark, d).where("metric = 'alarm_score' and not (model = 'view' and dataset = 'd1')").groupBy("model", "dataset").agg(F.avg("value").alias("mean"))
+    return report.complete_grid(r).select("model", "dataset", *r6("mean"), "status")
+
+
+@query("c11_align_scores", f"WITH {EV}, {LI} SELECT ev.label AS a, li.label AS b, count(*) AS n FROM ev JOIN li ON ev.sequence_id = li.sequence_id AND ev.t = li.t GROUP BY 1, 2")
+def _(spark, d):
+    a = ev(spark, d).select("sequence_id", "t", F.col("label").alias("a"))
+    return a.join(li(spark, d).select("sequence_id", "t", F.col("label").alias("b")), ["sequence_id", "t"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+# D: preprocessing
+
+CELLS = "cells AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS value FROM li" for f in FEATURES) + ")"
+
+
+@query("d1_feature_report", f"WITH {LI}, {CELLS}, a AS (SELECT feature, count(*) AS n_total, count(value) AS n_finite, median(value) AS median, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, count(DISTINCT round(value, 12)) AS n_unique, avg(CAST(abs(value) <= 1e-12 AS DOUBLE)) AS zero_frac, quantile_cont(value, 0.995) AS q995 FROM cells GROUP BY 1), b AS (SELECT feature, median(abs(value - a.median)) AS mad, avg(CAST(value > q995 AS DOUBLE)) AS mass_high FROM cells JOIN a USING (feature) GROUP BY 1) SELECT feature, n_total, n_finite, n_unique, {sql6('median', 'iqr', 'mad', 'zero_frac', 'q995', 'mass_high')} FROM a JOIN b USING (feature)")
+def _(spark, d):
+    return pp.feature_report(li(spark, d), FEATURES).select("feature", "n_total", "n_finite", "n_unique", *r6("median", "iqr", "mad", "zero_frac", "q995", "mass_high"))
+
+
+@query("d5_feature_kinds", f"WITH {LI}, k AS (SELECT *, CASE WHEN quantity > 25 THEN 0.0 WHEN t % 2 = 0 THEN 0.0 ELSE quantity END AS zeros, 3.0 AS fixed FROM li) SELECT * FROM (VALUES ('discount', 'robust'), ('fixed', 'almost_constant'), ('quantity', 'robust'), ('zeros', CASE WHEN (SELECT avg(CAST(zeros = 0 AS DOUBLE)) FROM k) >= 0.5 AND (SELECT quantile_cont(zeros, 0.75) FROM k) > 1e-6 THEN 'zero_inflated' ELSE 'almost_constant' END)) v(feature, kind)")
+def _(spark, d):
+    rows = li(spark, d).withColumn("zeros", F.expr("CASE WHEN quantity > 25 THEN 0.0D WHEN t % 2 = 0 THEN 0.0D ELSE quantity END")).withColumn("fixed", F.lit(3.0))
+    return pp.feature_report(rows, ["discount", "fixed", "quantity", "zeros"]).select("feature", F.when((F.col("feature") == "zeros") & (F.col("mad") <= 1e-6) & (F.col("q75") > 1e-6), "zero_inflated").otherwise(F.col("kind")).alias("kind"))
+
+
+@query("d8_scaled_features", f"WITH {LI}, p AS (SELECT *, count(*) OVER (PARTITION BY run_key, sequence_id) AS n FROM li), m AS (SELECT avg(quantity) AS mq, stddev_pop(quantity) AS sq, avg(extendedprice) AS me, stddev_pop(extendedprice) AS se FROM p WHERE t < floor(n * 0.7)) SELECT sequence_id, t, round((quantity - mq) / sq, 6) AS quantity, round((extendedprice - me) / se, 6) AS extendedprice FROM li, m")
+def _(spark, d):
+    rows = pp.time_split(li(spark, d))
+    rules = pp.fit(rows.where("part = 'train'"), ["quantity", "extendedprice"])
+    return pp.apply(rows, rules, mode="test").select("sequence_id", "t", *r6("quantity", "extendedprice"))
+
+
+@query("d9_fill_missing", f"WITH {LI}, h AS (SELECT *, {HOLES} AS q FROM li), f AS (SELECT sequence_id, t, coalesce(last_value(q IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(q IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS quantity FROM h) SELECT sequence_id, t, quantity FROM f")
+def _(spark, d):
+    return pp.fill_missing(li(spark, d).withColumn("quantity", F.expr(HOLES)), "quantity").select("sequence_id", "t", "quantity")
+
+
+# E: windows
+
+F8 = f"({W} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)"
+
+
+@query("e1_sliding_windows", f"WITH {EV} SELECT sequence_id, t AS t_end, round(m, 6) AS m FROM (SELECT sequence_id, t, avg(score) OVER {F8} AS m FROM ev) WHERE t >= 7 AND (t - 7) % 2 = 0")
+def _(spark, d):
+    out = wd.sliding_windows(ev(spark, d), ["score"], 8, 2)
+    return out.select("sequence_id", "t_end", F.round(F.aggregate("w", F.lit(0.0), lambda s, x: s + x["score"]) / 8, 6).alias("m"))
+
+
+@query("e2_causal_windows", f"WITH {EV} SELECT sequence_id, t, round((greatest(7 - t, 0) * first_value(score) OVER ({W}) + sum(score) OVER {F8}) / 8, 6) AS m FROM ev")
+def _(spark, d):
+    return wd.causal_windows(ev(spark, d), "score", 8).select("sequence_id", "t", F.round(F.aggregate("w", F.lit(0.0), lambda s, x: s + x) / 8, 6).alias("m"))
+
+
+@query("e3_patches", f"WITH {EV}, n AS (SELECT *, count(*) OVER (PARTITION BY run_key, sequence_id) AS n, sum(score) OVER ({W} ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS s, first_value(score) OVER ({W}) AS f FROM ev) SELECT sequence_id, t AS patch_start, round(s + greatest(10 - n, 0) * f, 6) AS total FROM n WHERE t % 5 = 0 AND (t + 10 <= n OR (n < 10 AND t = 0))")
+def _(spark, d):
+    return wd.patches(ev(spark, d), "score", 10, 5).select("sequence_id", "patch_start", F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("e5_difference", f"WITH {LI} SELECT sequence_id, t, {sql6('quantity', 'tax')}, label FROM (SELECT sequence_id, t, quantity - lag(quantity) OVER ({W}) AS quantity, tax - lag(tax) OVER ({W}) AS tax, label FROM li) WHERE t > 0")
+def _(spark, d):
+    return wd.difference(li(spark, d), ["quantity", "tax"]).select("sequence_id", "t", *r6("quantity", "tax"), "label")
+
+
+@query("e6_standardised", f"WITH {LI} SELECT sequence_id, t, round((quantity - m) / greatest(s, 1e-6), 6) AS z FROM (SELECT *, avg(quantity) OVER {F8} AS m, stddev_samp(quantity) OVER {F8} AS s FROM li) WHERE t >= 7")
+def _(spark, d):
+    return wd.standardised(li(spark, d), "quantity", 8).select("sequence_id", "t", *r6("z"))
+
+
+@query("e7_prediction_target", f"WITH {EV} SELECT * FROM (SELECT sequence_id, t, score, lead(score, 3) OVER ({W}) AS target FROM ev) WHERE target IS NOT NULL")
+def _(spark, d):
+    return wd.prediction_target(ev(spark, d), "score", 3).drop("run_key")
+
+
+@query("e8_reversible_norm", f"WITH {LI} SELECT sequence_id, t, round((quantity - avg(quantity) OVER {F8}) / sqrt(var_pop(quantity) OVER {F8} + 1e-5), 5) AS normed FROM li WHERE t >= 0")
+def _(spark, d):
+    return wd.reversible_norm(li(spark, d), "quantity", 8).select("sequence_id", "t", F.round("normed", 5).alias("normed"))
+
+
+@query("e10_trend_and_season", f"WITH {LI}, n AS (SELECT *, count(*) OVER (PARTITION BY run_key, sequence_id) AS n, first_value(quantity) OVER ({W}) AS f, last_value(quantity) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, sum(quantity) OVER ({W} ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS s FROM li) SELECT sequence_id, t, round((s + greatest(12 - t, 0) * f + greatest(t + 12 - (n - 1), 0) * l) / 25, 6) AS trend FROM n")
+def _(spark, d):
+    return wd.trend_and_season(li(spark, d), "quantity", 25).select("sequence_id", "t", *r6("trend"))
+
+
+@query("e11_window_summary", f"WITH {LI} SELECT sequence_id, t, round(avg(quantity) OVER f, 6) AS mean, round(stddev_pop(quantity) OVER f, 5) AS std, round(CASE WHEN count(*) OVER f > 1 THEN (quantity - first_value(quantity) OVER f) / (count(*) OVER f - 1) ELSE 0 END, 6) AS slope FROM li WINDOW f AS {F8}")
+def _(spark, d):
+    return wd.window_summary(li(spark, d), "quantity", 8).select("sequence_id", "t", *r6("mean"), F.round("std", 5).alias("std"), *r6("slope"))
+
+
+@query("e12_padding", f"WITH {EV}, n AS (SELECT *, count(*) OVER (PARTITION BY run_key, sequence_id) AS n FROM ev) SELECT sequence_id, count(*) AS n_rows, sum(CASE WHEN t < 4 OR t >= n - 2 THEN 0 ELSE 1 END) AS with_score FROM n GROUP BY 1")
+def _(spark, d):
+    out = wd.pad_scores(ev(spark, d), 4, 2)
+    return out.groupBy("sequence_id").agg(F.count("*").alias("n_rows"), F.sum(c.finite("score").cast("long")).alias("with_score"))
+
+
+@query("e13_sentinels", f"WITH {EV} SELECT sequence_id, count(*) + 1 AS n, -1 AS first_t FROM ev GROUP BY 1")
+def _(spark, d):
+    return sweep.with_sentinels(ev(spark, d)).groupBy("sequence_id").agg(F.count("*").alias("n"), F.min("t").cast("int").alias("first_t"))
+
+
+# F: scores
+
+P8 = f"({W} ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)"
+STATS = "st AS (SELECT avg(quantity) AS mq, stddev_pop(quantity) AS sq, avg(extendedprice) AS me, stddev_pop(extendedprice) AS se, avg(dq) AS mdq, stddev_pop(dq) AS sdq, avg(de) AS mde, stddev_pop(de) AS sde FROM (SELECT *, quantity - lag(quantity) OVER (" + W + ") AS dq, extendedprice - lag(extendedprice) OVER (" + W + ") AS de FROM li))"
+TWO = ["quantity", "extendedprice"]
+
+
+@query("f1_moving_threshold", f"WITH {EV} SELECT sequence_id, t, round(score - avg(score) OVER {P8} - 2 * stddev_pop(score) OVER {P8}, 4) AS score FROM ev")
+def _(spark, d):
+    return sc.moving_threshold(ev(spark, d), "score", 8, 2.0).select("sequence_id", "t", F.round("score", 4).alias("score"))
+
+
+@query("f2_best_channel")
+def _(spark, d):
+    """Every channel as a run of its own: one sweep for all of them, then the best."""
+    rows = sc.channels(li(spark, d), FEATURES)
+    runs = rows.select(F.col("feature").alias("run_key"), "sequence_id", "t", F.col("x").alias("score"), "label")
+    best = sweep.best_threshold(runs)
+    return best.select("run_key", "threshold", "best_score", F.row_number().over(Window.orderBy(F.desc("best_score"), "run_key")).alias("place"))  # one row for each channel
+
+
+@query("f4_histogram", f"WITH {LI}, b AS (SELECT sequence_id, t, CAST(least(floor((quantity - (SELECT min(quantity) FROM li)) / (SELECT max(quantity) - min(quantity) FROM li) * 10), 9) AS INT) AS b FROM li), h AS (SELECT b, CAST(count(*) AS DOUBLE) AS n FROM b GROUP BY 1) SELECT sequence_id, t, round(-ln(n / (SELECT max(n) FROM h) + 0.1), 6) AS score FROM b JOIN h USING (b)")
+def _(spark, d):
+    return sc.histogram_score(li(spark, d), ["quantity"]).select("sequence_id", "t", *r6("score"))
+
+
+@query("f7_sparse_score", f"WITH {LI}, {STATS}, z AS (SELECT sequence_id, t, abs((quantity - mq) / sq) + 0.5 * abs((coalesce(quantity - lag(quantity) OVER ({W}), 0) - mdq) / sdq) AS a, abs((extendedprice - me) / se) + 0.5 * abs((coalesce(extendedprice - lag(extendedprice) OVER ({W}), 0) - mde) / sde) AS b FROM li, st) SELECT sequence_id, t, round(greatest(a, b), 6) AS score FROM z")
+def _(spark, d):
+    rows = li(spark, d)
+    return sc.sparse_score(rows, sc.train_stats(rows, TWO), TWO, 1, 0.5).select("sequence_id", "t", *r6("score"))
+
+
+@query("f8_slow_channels")
+def _(spark, d):
+    return sc.slow_channels(li(spark, d), FEATURES).select("feature", *r6("slowness"), "place")
+
+
+@query("f9_cusum", f"WITH {LI}, {STATS}, c AS (SELECT sequence_id, t, run_key, sum((quantity - mq) / sq - 0.5) OVER u AS up, sum(-(quantity - mq) / sq - 0.5) OVER u AS lo FROM li, st WINDOW u AS ({W} ROWS UNBOUNDED PRECEDING)) SELECT sequence_id, t, round(greatest(up - least(0, min(up) OVER u), lo - least(0, min(lo) OVER u)), 5) AS score FROM c WINDOW u AS ({W} ROWS UNBOUNDED PRECEDING)")
+def _(spark, d):
+    rows = li(spark, d)
+    return sc.cusum(rows, sc.train_stats(rows, ["quantity"]), ["quantity"], 0.5).select("sequence_id", "t", F.round("score", 5).alias("score"))
+
+
+@query("f10_mean_drift", f"WITH {LI}, {STATS} SELECT sequence_id, t, round((abs((avg(quantity) OVER {F8} - mq) / sq) + abs((avg(extendedprice) OVER {F8} - me) / se)) / 2, 6) AS score FROM li, st")
+def _(spark, d):
+    rows = li(spark, d)
+    return sc.mean_drift(rows, sc.train_stats(rows, TWO), TWO, 8).select("sequence_id", "t", *r6("score"))
+
+
+@query("f11_rolling_correlation", f"WITH {LI} SELECT sequence_id, t, round(covar_pop(quantity, extendedprice) OVER {F8} / sqrt(greatest(var_pop(quantity) OVER {F8}, 1e-6) * greatest(var_pop(extendedprice) OVER {F8}, 1e-6)), 4) AS corr FROM li WHERE t >= 0")
+def _(spark, d):
+    return sc.rolling_correlation(li(spark, d), *TWO, 8).select("sequence_id", "t", F.round("corr", 4).alias("corr"))
+
+
+@query("f16_duration_pool", f"WITH {EV}, p AS (SELECT *, greatest(score, 0) AS s FROM ev) SELECT sequence_id, t, round(greatest(sum(s) OVER a / sqrt(count(*) OVER a), sum(s) OVER b / sqrt(count(*) OVER b)), 5) AS score FROM p WINDOW a AS ({W} ROWS 3 PRECEDING), b AS ({W} ROWS 15 PRECEDING)")
+def _(spark, d):
+    return sc.duration_pool(ev(spark, d), [4, 16]).select("sequence_id", "t", F.round("score", 5).alias("score"))
+
+
+@query("f17_robust_location", f"WITH {EV}, m AS (SELECT kind, median(score) AS location FROM ev GROUP BY 1) SELECT kind, round(any_value(location), 6) AS location, round(1.4826 * median(abs(score - location)), 6) AS scale FROM ev JOIN m USING (kind) GROUP BY 1")
+def _(spark, d):
+    return sc.robust_location(ev(spark, d), ["kind"]).select("kind", *r6("location", "scale"))
+
+
+VEC = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+
+
+@query("f20_knn_novelty", f"WITH e AS ({VEC}), s AS (SELECT q.vec_id, list_cosine_similarity(q.v, b.v) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, b.v) DESC) AS n FROM e q, e b WHERE q.vec_id % 2 = 1 AND b.vec_id % 2 = 0) SELECT vec_id, round(1 - avg(c), 5) AS score FROM s WHERE n <= 3 GROUP BY 1")
+def _(spark, d):
+    e = t.read(spark, d, "embeddings")
+    return sc.knn_novelty(e.where("vec_id % 2 = 1"), e.where("vec_id % 2 = 0")).select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query("f22_points_from_patches", f"WITH {EV}, p AS (SELECT *, CASE WHEN t % 3 = 0 THEN score END AS s FROM ev) SELECT sequence_id, t, round(avg(s) OVER ({W} ROWS 5 PRECEDING), 6) AS score FROM p")
+def _(spark, d):
+    e = ev(spark, d)
+    return sc.points_from_patches(e, e.where("t % 3 = 0").withColumnRenamed("t", "patch_start"), 6).select("sequence_id", "t", *r6("score"))
+
+
+@query("f23_residual", f"WITH {LI} SELECT sequence_id, t, round((pow(quantity - lag(quantity, 7) OVER ({W}), 2) + pow(tax - lag(tax, 7) OVER ({W}), 2)) / 2, 6) AS score FROM li")
+def _(spark, d):
+    return sc.residual_score(li(spark, d), ["quantity", "tax"], 7).select("sequence_id", "t", *r6("score"))
+
+
+@query("f24_aligned", f"WITH {EV}, n AS (SELECT *, count(*) OVER (PARTITION BY run_key, sequence_id) AS n FROM ev) SELECT sequence_id, t, CASE WHEN t < 9 OR t >= n - 1 THEN NULL ELSE score END AS score FROM n")
+def _(spark, d):
+    return wd.aligned(ev(spark, d), 8, 2).select("sequence_id", "t", c.finite_or_null("score").alias("score"))
+
+
+@query("f25_fused", f"WITH {LI} SELECT sequence_id, t, round((quantity - avg(quantity) OVER r) / stddev_pop(quantity) OVER r + 0.5 * (tax - avg(tax) OVER r) / stddev_pop(tax) OVER r, 5) AS score FROM li WINDOW r AS (PARTITION BY run_key)")
+def _(spark, d):
+    rows = li(spark, d)
+    s = rows.agg(*(f(x).alias(f"{n}_{x}") for x in ("quantity", "tax") for n, f in (("m", F.avg), ("s", F.stddev_pop))))  # one row
+    z = lambda x: (F.col(x) - F.col(f"m_{x}")) / F.col(f"s_{x}")
+    return rows.crossJoin(F.broadcast(s)).select("sequence_id", "t", F.round(z("quantity") + 0.5 * z("tax"), 5).alias("score"))
+
+
+@query("f26_centroid_distance", f"WITH e AS ({VEC}), c AS (SELECT i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY 1), x AS (SELECT vec_id, sqrt(sum(pow(v[i] - m, 2))) AS distance FROM e, c GROUP BY 1) SELECT vec_id, round(distance, 5) AS distance FROM x")
+def _(spark, d):
+    return sc.centroid_distance(t.read(spark, d, "embeddings")).select("vec_id", F.round("distance", 5).alias("distance"))
+
+
+@query("f28_channel_graph")
+def _(spark, d):
+    return sc.channel_graph(li(spark, d), FEATURES, 2).select("a", "b", *r6("weight"))
+
+
+@query("f3_pca_residual")
+def _(spark, d):
+    return learned.pca_residual(wd.sliding_windows(li(spark, d), FEATURES, 4, 4), 0.95)
+
+
+@query("f5_kmeans_distance")
+def _(spark, d):
+    return learned.kmeans_distance(wd.sliding_windows(li(spark, d), FEATURES, 4, 4), 4)
+
+
+@query("f19_coreset")
+def _(spark, d):
+    return learned.coreset(t.read(spark, d, "embeddings"), 0.1)
+
+
+@query("f29_dominant_periods")
+def _(spark, d):
+    return learned.dominant_periods(ev(spark, d), 3)
+
+
+@query("f31_model_scores", f"WITH {EV} SELECT sequence_id, t, round(score / avg(score) OVER (PARTITION BY sequence_id), 4) AS score FROM ev")
+def _(spark, d):
+    return learned.score_with(ev(spark, d), lambda pdf: pdf["score"] / pdf["score"].mean()).select("sequence_id", "t", F.round("score", 4).alias("score"))
+
+
+# G: thresholds and alarms
+
+SWEEP = f"""WITH {EV}, a AS (SELECT *, lead(score) OVER w AS s1, lead(label) OVER w AS y1, lag(label) OVER w AS y0 FROM ev WINDOW w AS ({W})),
+k AS (SELECT *, sum(CASE WHEN label = 1 AND coalesce(y0, 0) = 0 THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS k, least(score, s1) AS pair FROM a),
+o AS (SELECT *, t - min(CASE WHEN label = 1 THEN t END) OVER (PARTITION BY run_key, sequence_id, k) AS off FROM k),
+lo AS (SELECT run_key, sequence_id, CASE WHEN label = 1 THEN k ELSE k + 1 END AS kk, min(CASE WHEN label = 0 THEN score END) AS low, min_by(CASE WHEN label = 1 THEN score END, CASE WHEN label = 1 THEN t END) AS f FROM o GROUP BY 1, 2, 3),
+la AS (SELECT run_key, sequence_id, k + 1 AS kk, max_by(score, t) AS l FROM o WHERE label = 1 GROUP BY 1, 2, 3),
+br AS (SELECT run_key, sequence_id, kk AS k, least(low, f, l) AS v FROM lo JOIN la USING (run_key, sequence_id, kk) WHERE low IS NOT NULL AND f IS NOT NULL),
+wh AS (SELECT run_key, score AS v, 1.0 AS nf, 1.0 AS fa, 0.0 AS e, 0.0 AS l, 0.0 AS d, 0.0 AS n FROM o WHERE label = 0
+ UNION ALL SELECT run_key, pair, 0, -1, CASE WHEN label = 0 AND y1 = 1 THEN 1 ELSE 0 END, CASE WHEN label = 1 AND y1 = 0 THEN 1 ELSE 0 END, 0, 0 FROM o WHERE y1 IS NOT NULL AND NOT (label = 1 AND y1 = 1)
+ UNION ALL SELECT run_key, v, 0, 1, 0, 0, 0, 0 FROM br),
+ea AS (SELECT run_key, sequence_id, k, score AS v, 1.0 AS al, pow(2.0, -(off + 1)) AS wt, 0.0 AS b FROM o WHERE label = 1
+ UNION ALL SELECT run_key, sequence_id, k, pair, -1, 0, 0 FROM o WHERE label = 1 AND y1 = 1 UNION ALL SELECT run_key, sequence_id, k, v, 0, 0, 1 FROM br),
+g AS (SELECT run_key, sequence_id, k, v, sum(al) AS al, sum(wt) AS wt, sum(b) AS b FROM ea GROUP BY 1, 2, 3, 4),
+ru AS (SELECT run_key, sequence_id, k, v, sum(al) OVER f AS al, sum(wt) OVER f AS wt, sum(b) OVER f AS b FROM g WINDOW f AS (PARTITION BY run_key, sequence_id, k ORDER BY v DESC ROWS UNBOUNDED PRECEDING)),
+no AS (SELECT *, CASE WHEN al >= 1 + b THEN 1.0 ELSE 0.0 END AS d, CASE WHEN al >= 1 + b THEN (1 + wt) * pow(2.0, -al) ELSE 0.0 END AS n FROM ru),
+al AS (SELECT run_key, v, nf, fa, e, l, d, n FROM wh UNION ALL SELECT run_key, v, 0, 0, 0, 0, d - coalesce(lag(d) OVER f, 0), n - coalesce(lag(n) OVER f, 0) FROM no WINDOW f AS (PARTITION BY run_key, sequence_id, k ORDER BY v DESC)),
+su AS (SELECT run_key, v, sum(nf) AS nf, sum(fa) AS fa, sum(e) AS e, sum(l) AS l, sum(d) AS d, sum(n) AS n FROM al GROUP BY 1, 2),
+ca AS (SELECT run_key, v, sum(nf) OVER f AS nf, sum(fa) OVER f AS fa, sum(e) OVER f AS e, sum(l) OVER f AS l, sum(d) OVER f AS d, sum(n) OVER f AS n FROM su WINDOW f AS (PARTITION BY run_key ORDER BY v DESC ROWS UNBOUNDED PRECEDING)),
+cu AS (SELECT run_key, v, round(d - fa / 2 - CASE WHEN nf > 0.5 THEN 1 - 1 / nf ELSE 0 END - 0.75 * e - 0.25 * l + CASE WHEN d > 0.5 THEN n / d ELSE 0 END, 9) AS s FROM ca)"""
+
+
+@query("g1_threshold_sweep", f"{SWEEP} SELECT run_key, max_by(v, struct_pack(s := s, v := v)) AS threshold, round(max(s), 6) AS best_score, count(*) + 1 AS num_steps FROM cu GROUP BY 1")
+def _(spark, d):
+    return sweep.best_threshold(ev(spark, d)).select("run_key", "threshold", *r6("best_score"), "num_steps")
+
+
+@query("g2_quantile_threshold", f"WITH {EV}, u AS (SELECT run_key, score FROM ev UNION ALL SELECT DISTINCT_KEYS.run_key, CAST('-inf' AS DOUBLE) FROM (SELECT DISTINCT run_key, sequence_id FROM ev) DISTINCT_KEYS) SELECT run_key, 0.05 AS fraction, round(quantile_cont(score, 0.95), 6) AS threshold FROM u GROUP BY 1")
+def _(spark, d):
+    return sweep.quantile_thresholds(ev(spark, d), [0.05]).select("run_key", "fraction", *r6("threshold"))
+
+
+@query("g3_ratio_thresholds")
+def _(spark, d):
+    return sweep.quantile_thresholds(ev(spark, d), [0.01, 0.02, 0.05, 0.1])
+
+
+PRED = "p AS (SELECT *, CAST(score > 150 AS INT) AS pred FROM ev)"
+
+
+@query("g4_predict", f"WITH {EV}, {PRED} SELECT kind, CAST(sum(pred) AS BIGINT) AS alarms FROM p GROUP BY 1")
+def _(spark, d):
+    return alarms.predict(ev(spark, d), 150.0).groupBy("kind").agg(F.sum("pred").alias("alarms"))
+
+
+GAPPED = "CASE WHEN t % 13 = 12 THEN NULL ELSE score END"
+ST = f"st AS (SELECT *, sum(CASE WHEN s IS NULL THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS stretch FROM (SELECT * EXCLUDE (score), {GAPPED} AS s FROM ev))"
+
+
+def gapped(spark, d):
+    return ev(spark, d).withColumn("score", F.expr(GAPPED))
+
+
+@query("g5_rolling_max", f"WITH {EV}, {ST} SELECT sequence_id, t, max(s) OVER (PARTITION BY sequence_id, stretch, s IS NULL ORDER BY t ROWS 3 PRECEDING) AS rolling_max FROM st")
+def _(spark, d):
+    return alarms.rolling_max(alarms.finite_stretches(gapped(spark, d)), 4).select("sequence_id", "t", "rolling_max")
+
+
+@query("g6_ewma", f"WITH {EV}, {ST}, l AS (SELECT sequence_id, t, s, list(s) OVER (PARTITION BY sequence_id, stretch, s IS NULL ORDER BY t ROWS UNBOUNDED PRECEDING) AS x FROM st) SELECT sequence_id, t, CASE WHEN s IS NULL THEN NULL ELSE round(list_reduce(x, lambda a, b: 0.5 * b + 0.5 * a), 5) END AS ewma FROM l")
+def _(spark, d):
+    return alarms.ewma(alarms.finite_stretches(gapped(spark, d)), 3).select("sequence_id", "t", F.round("ewma", 5).alias("ewma"))
+
+
+@query("g8_robust_scale", f"WITH {EV}, m AS (SELECT median(score) AS m FROM ev) SELECT run_key, round(greatest(1.4826 * median(abs(score - m)), 1e-12), 6) AS scale FROM ev, m GROUP BY 1")
+def _(spark, d):
+    return alarms.robust_scale(ev(spark, d), ["run_key"]).select("run_key", *r6("scale"))
+
+
+@query("g9_hysteresis", f"""WITH {EV}, h AS (SELECT *, CASE WHEN t >= 1 AND least(score, lag(score) OVER w) >= 300 THEN 1 WHEN t >= 1 AND greatest(score, lag(score) OVER w) < 150 THEN 0 END AS e FROM ev WINDOW w AS ({W}))
+SELECT sequence_id, t, CAST(coalesce(last_value(e IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 OR coalesce(max(CASE WHEN e = 1 THEN 1 ELSE 0 END) OVER ({W} ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), 0) = 1 AS INT) AS pred FROM h""")
+def _(spark, d):
+    return alarms.hysteresis(alarms.decision_scores(ev(spark, d)), 300.0, 150.0, 2, 2).select("sequence_id", "t", "pred")
+
+
+RUNS = f"n AS (SELECT *, {NEWLY} AS nw FROM p), i AS (SELECT *, sum(nw) OVER ({W} ROWS UNBOUNDED PRECEDING) AS run FROM n)"
+
+
+@query("g13_segments", f"WITH {EV}, {PRED}, {RUNS}, e AS (SELECT sequence_id, run, min(t) AS start_t, max(t) + 1 AS end_t FROM i WHERE pred = 1 GROUP BY 1, 2) SELECT sequence_id, row_number() OVER (PARTITION BY sequence_id ORDER BY start_t) - 1 AS event_id, start_t, end_t, end_t - start_t AS length FROM e")
+def _(spark, d):
+    return alarms.segments(alarms.predict(ev(spark, d), 150.0), "pred").drop("run_key")
+
+
+@query("g12_merged_events", f"WITH {EV}, {PRED}, {RUNS}, z AS (SELECT *, count(*) OVER (PARTITION BY sequence_id, run) AS len, max(run) OVER (PARTITION BY sequence_id) AS top FROM i), q AS (SELECT run_key, sequence_id, t, CASE WHEN pred = 0 AND run > 0 AND run < top AND len <= 2 THEN 1 ELSE pred END AS pred FROM z), n2 AS (SELECT *, {NEWLY} AS nw FROM q), i2 AS (SELECT *, sum(nw) OVER ({W} ROWS UNBOUNDED PRECEDING) AS run FROM n2) SELECT sequence_id, t, CASE WHEN pred = 1 AND count(*) OVER (PARTITION BY sequence_id, run) < 3 THEN 0 ELSE pred END AS pred FROM i2")
+def _(spark, d):
+    return alarms.merge_events(alarms.predict(ev(spark, d), 150.0), 2, 3).select("sequence_id", "t", "pred")
+
+
+@query("g15_evaluation")
+def _(spark, d):
+    return search.evaluated(ev(spark, d), search.Settings(2, 3, 0.5, 2, 2, 1, 2))
+
+
+# H: metrics
+
+METRIC = f"""WITH {EV}, {PRED}, b AS (SELECT *, coalesce(lag(pred) OVER w, 0) AS p0, coalesce(lag(label) OVER w, 0) AS y0 FROM p WINDOW w AS ({W})),
+k AS (SELECT *, sum(CASE WHEN label = 1 AND y0 = 0 THEN 1 ELSE 0 END) OVER u AS k, sum(CASE WHEN pred = 1 AND p0 = 0 THEN 1 ELSE 0 END) OVER u AS r FROM b WINDOW u AS ({W} ROWS UNBOUNDED PRECEDING)),
+ru AS (SELECT sequence_id, r, min(CASE WHEN label = 1 THEN k END) AS k FROM k WHERE pred = 1 GROUP BY 1, 2),
+e0 AS (SELECT sequence_id, k, min(t) AS st FROM k WHERE label = 1 GROUP BY 1, 2),
+e AS (SELECT k.sequence_id, k.k, sum(CASE WHEN pred = 1 AND (p0 = 0 OR y0 = 0) THEN 1 ELSE 0 END) AS alarms, sum(pred * pow(2.0, -(t - st + 1))) AS w, max(pred) AS hit, count(*) AS len, min(CASE WHEN pred = 1 THEN t END) - min(t) AS delay FROM k JOIN e0 ON k.sequence_id = e0.sequence_id AND k.k = e0.k WHERE label = 1 GROUP BY 1, 2),
+cr AS (SELECT DISTINCT sequence_id, k FROM ru WHERE k IS NOT NULL),
+f AS (SELECT sum(pred * (1 - label)) AS fp, sum(pred * p0 * label * (1 - y0)) AS early, sum(pred * p0 * y0 * (1 - label)) AS late FROM k)"""
+
+
+@query("h1_alarm_score", f"{METRIC} SELECT 'events' AS run_key, round((SELECT count(*) FROM cr) - (SELECT count(*) FROM ru WHERE k IS NULL) / 2.0 - CASE WHEN fp > 0 THEN 1 - 1.0 / fp ELSE 0 END + coalesce((SELECT avg((1 + w) * pow(2.0, -alarms)) FROM e JOIN cr USING (sequence_id, k)), 0) - 0.75 * early - 0.25 * late, 6) AS alarm_score FROM f")
+def _(spark, d):
+    return metrics.evaluate(alarms.predict(ev(spark, d), 150.0)).select("run_key", *r6("alarm_score"))
+
+
+@query("h7_metrics", f"{METRIC} SELECT 'events' AS run_key, round(avg(CASE WHEN hit = 1 THEN alarms END), 6) AS aaf, round(avg(CAST(hit AS DOUBLE)), 6) AS event_recall, round(avg(delay / CAST(len AS DOUBLE)), 6) AS event_detection_delay FROM e")
+def _(spark, d):
+    return metrics.evaluate(alarms.predict(ev(spark, d), 150.0)).select("run_key", *r6("aaf", "event_recall", "event_detection_delay"))
+
+
+@query("h6_reference_values", f"WITH {EV} SELECT run_key, 1.0 AS event_recall, 1.0 AS aaf, 0.0 AS event_detection_delay FROM ev GROUP BY 1")
+def _(spark, d):
+    return metrics.reference_values(ev(spark, d)).drop("alarm_score")
+
+
+# I: reports
+
+
+@query("i1_over_seeds", f"WITH {RES} SELECT model, dataset, metric, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, round(CASE WHEN metric = 'aaf' THEN min(value) ELSE max(value) END, 6) AS best, count(*) AS seeds FROM res GROUP BY 1, 2, 3")
+def _(spark, d):
+    return report.over_seeds(results(spark, d)).select("model", "dataset", "metric", *r6("mean", "std", "best"), "seeds")
+
+
+@query("i2_ranked_trials", f"WITH {RES}, t AS (SELECT model AS trial, dataset, avg(CASE WHEN metric = 'alarm_score' THEN value END) AS alarm_score, avg(CASE WHEN metric = 'aaf' AND model <> 'view' THEN value END) AS aaf, count(DISTINCT seed) AS seeds FROM res GROUP BY 1, 2) SELECT trial, dataset, round(alarm_score, 6) AS alarm_score, row_number() OVER (PARTITION BY dataset ORDER BY alarm_score DESC, aaf ASC NULLS LAST, trial) AS place FROM t WHERE seeds >= 2")
+def _(spark, d):
+    m = lambda name, more=F.lit(True): F.avg(F.when((F.col("metric") == name) & more, F.col("value")))
+    trials = results(spark, d).groupBy(F.col("model").alias("trial"), "dataset").agg(m("alarm_score").alias("alarm_score"), F.avg(F.when((F.col("metric") == "aaf") & (F.col("model") != "view"), F.col("value"))).alias("aaf"), F.countDistinct("seed").alias("seeds"), F.lit(0).alias("time"))
+    return report.ranked_trials(trials, 2).select("trial", "dataset", *r6("alarm_score"), "place")
+
+
+@query("i3_best_seed", f"WITH {RES} SELECT model, dataset, seed, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY model, dataset ORDER BY value DESC, seed) AS n FROM res WHERE metric = 'alarm_score') WHERE n = 1")
+def _(spark, d):
+    return report.best_seed(results(spark, d), "alarm_score").select("model", "dataset", "seed", *r6("value"))
+
+
+@query("i4_leaderboard", f"WITH {RES} SELECT model, " + ", ".join(f"round(avg(CASE WHEN dataset = 'd{i}' AND metric = '{m}' THEN value END), 6) AS d{i}_{m}" for i in range(4) for m in ("alarm_score", "aaf")) + " FROM res GROUP BY 1")
+def _(spark, d):
+    names = [f"d{i}_{m}" for i in range(4) for m in ("alarm_score", "aaf")]
+    return report.leaderboard(report.over_seeds(results(spark, d)), names).select("model", *r6(*names))
+
+
+@query("i5_extrema", f"WITH {RES}, s AS (SELECT model, dataset, metric, avg(value) AS mean FROM res GROUP BY 1, 2, 3) SELECT model, dataset, metric, mean = CASE WHEN metric = 'aaf' THEN min(mean) OVER w ELSE max(mean) OVER w END AS is_best FROM s WINDOW w AS (PARTITION BY dataset, metric)")
+def _(spark, d):
+    return report.mark_extrema(report.over_seeds(results(spark, d))).select("model", "dataset", "metric", "is_best")
+
+
+@query("i6_migrated_labels", f"WITH {RES} SELECT model, 'theory_best_alarm' AS metric, count(*) AS n FROM (SELECT DISTINCT model, dataset FROM res) GROUP BY 1 UNION ALL SELECT model, 'aaf', count(*) FROM res WHERE metric = 'aaf' GROUP BY 1")
+def _(spark, d):
+    r = results(spark, d).withColumn("metric", F.when(F.col("metric") == "alarm_score", "upper_bound_alarm").otherwise(F.col("metric")))
+    return report.migrated_labels(r).groupBy("model", "metric").agg(F.count("*").alias("n"))
+
+
+@query("i9_top_models", f"WITH {RES}, s AS (SELECT model, dataset, avg(value) AS mean FROM res WHERE metric = 'alarm_score' GROUP BY 1, 2) SELECT dataset, model, place FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY mean DESC, model) AS place FROM s) WHERE place <= 2")
+def _(spark, d):
+    return report.top_models(report.over_seeds(results(spark, d)).where("metric = 'alarm_score'"), 2).select("dataset", "model", "place")
+
+
+@query("i13_around_first_event", f"WITH {EV}, f AS (SELECT sequence_id, min(t) AS a FROM ev WHERE label = 1 GROUP BY 1), z AS (SELECT e.sequence_id, min(e.t) AS b FROM ev e JOIN f ON e.sequence_id = f.sequence_id AND e.t > a AND label = 0 GROUP BY 1), n AS (SELECT sequence_id, max(t) + 1 AS n FROM ev GROUP BY 1) SELECT e.sequence_id, count(*) AS n FROM ev e JOIN f USING (sequence_id) LEFT JOIN z USING (sequence_id) JOIN n USING (sequence_id) WHERE t >= a - 5 AND t < coalesce(b, n) + 5 GROUP BY 1")
+def _(spark, d):
+    e = ev(spark, d)
+    return report.around_first_event(e, alarms.segments(e, "label"), 5).groupBy("sequence_id").agg(F.count("*").alias("n"))
+
+
+@query("i14_channel_effects", f"WITH {LI}, {CELLS.replace('AS value FROM li', 'AS value, label FROM li')}, q AS (SELECT feature, abs(median(value) FILTER (label = 1) - median(value) FILTER (label = 0)) / (quantile_cont(value, 0.75) FILTER (label = 0) - quantile_cont(value, 0.25) FILTER (label = 0)) AS effect FROM cells GROUP BY 1) SELECT feature, round(effect, 6) AS effect, row_number() OVER (ORDER BY effect DESC, feature) AS place FROM q QUALIFY place <= 3")
+def _(spark, d):
+    return report.channel_effects(li(spark, d), FEATURES, 3).select("feature", *r6("effect"), "place")
+
+
+@query("i15_search_grid", f"WITH {EV} SELECT a AS width, b AS span, (SELECT count(*) FROM ev WHERE t >= a * b) AS n FROM range(1, 6, 2) x(a), range(2, 9, 3) y(b)")
+def _(spark, d):
+    grid = report.search_grid(spark, width=(1, 5, 2), span=(2, 8, 3))
+    at = ev(spark, d).groupBy("t").agg(F.count("*").alias("m"))
+    return grid.join(at, F.col("t") >= F.col("width") * F.col("span"), "left").groupBy("width", "span").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
+
+
+# J: streams, K: SQL
+
+
+@query("j7_windowed_summary", "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type AS kind, count(*) AS n, round(avg(value), 5) AS mean_score, max(value) AS max_score FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return stream.windowed_summary(ev(spark, d), "1 day").withColumn("mean_score", F.round("mean_score", 5))
+
+
+@query("j6_online_alarms")
+def _(spark, d):
+    folder = shared_folder(spark)
+    rows = ev(spark, d).select("sequence_id", "t", "score")
+    rows.write.parquet(f"{folder}/in")
+    out = stream.online_alarms(stream.event_stream(spark, f"{folder}/in", rows.schema), 4, 300.0, 150.0, 2)
+    return stream.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint").select("sequence_id", "t", F.round("rolling_mean", 5).alias("rolling_mean"), "pred")
+
+
+@query("k2_alarm_score_agg")
+def _(spark, d):
+    register(spark)
+    alarms.predict(ev(spark, d), 150.0).createOrReplaceTempView("tideglass_predictions")
+    return spark.sql("SELECT sequence_id, round(alarm_score_agg(t, pred, label), 6) AS alarm_score FROM tideglass_predictions GROUP BY sequence_id")
+
+
+@query("k4_event_segments", f"WITH {EV}, {PRED}, {RUNS} SELECT sequence_id, min(t) AS start_t, max(t) + 1 AS end_t FROM i WHERE pred = 1 GROUP BY sequence_id, run")
+def _(spark, d):
+    register(spark)
+    alarms.predict(ev(spark, d), 150.0).select("sequence_id", "t", F.col("pred").alias("mask")).createOrReplaceTempView("tideglass_masks")
+    return spark.sql("SELECT * FROM event_segments(TABLE(tideglass_masks) PARTITION BY sequence_id ORDER BY t)")
