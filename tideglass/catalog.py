@@ -390,9 +390,9 @@ def _(spark, d):
     return sc.mean_drift(rows, sc.train_stats(rows, TWO), TWO, 8).select("sequence_id", "t", *r6("score"))
 
 
-@query("f11_rolling_correlation", f"WITH {LI} SELECT sequence_id, t, round(covar_pop(quantity, extendedprice) OVER {F8} / sqrt(greatest(var_pop(quantity) OVER {F8}, 1e-6) * greatest(var_pop(extendedprice) OVER {F8}, 1e-6)), 4) AS corr FROM li WHERE t >= 0")
+@query("f11_rolling_correlation", f"WITH {LI} SELECT sequence_id, t, round(covar_pop(quantity, extendedprice) OVER {F8} / sqrt(greatest(var_pop(quantity) OVER {F8}, 1e-6) * greatest(var_pop(extendedprice) OVER {F8}, 1e-6)), 4) + 0.0 AS corr FROM li WHERE t >= 0")
 def _(spark, d):
-    return sc.rolling_correlation(li(spark, d), *TWO, 8).select("sequence_id", "t", F.round("corr", 4).alias("corr"))
+    return sc.rolling_correlation(li(spark, d), *TWO, 8).select("sequence_id", "t", (F.round("corr", 4) + F.lit(0.0)).alias("corr"))  # no -0
 
 
 @query("f16_duration_pool", f"WITH {EV}, p AS (SELECT *, greatest(score, 0) AS s FROM ev) SELECT sequence_id, t, round(greatest(sum(s) OVER a / sqrt(count(*) OVER a), sum(s) OVER b / sqrt(count(*) OVER b)), 5) AS score FROM p WINDOW a AS ({W} ROWS 3 PRECEDING), b AS ({W} ROWS 15 PRECEDING)")
@@ -495,7 +495,7 @@ ca AS (SELECT run_key, v, sum(nf) OVER f AS nf, sum(fa) OVER f AS fa, sum(e) OVE
 cu AS (SELECT run_key, v, round(d - fa / 2 - CASE WHEN nf > 0.5 THEN 1 - 1 / nf ELSE 0 END - 0.75 * e - 0.25 * l + CASE WHEN d > 0.5 THEN n / d ELSE 0 END, 9) AS s FROM ca)"""
 
 
-@query("g1_threshold_sweep", f"{SWEEP} SELECT run_key, max_by(v, struct_pack(s := s, v := v)) AS threshold, round(max(s), 6) AS best_score, count(*) + 1 AS num_steps FROM cu GROUP BY 1")
+@query("g1_threshold_sweep", f"{SWEEP} SELECT run_key, CASE WHEN max(s) > 0 THEN max_by(v, struct_pack(s := s, v := v)) ELSE CAST('inf' AS DOUBLE) END AS threshold, round(greatest(max(s), 0), 6) AS best_score, count(*) + 1 AS num_steps FROM cu GROUP BY 1")
 def _(spark, d):
     return sweep.best_threshold(ev(spark, d)).select("run_key", "threshold", *r6("best_score"), "num_steps")
 
