@@ -160,11 +160,11 @@ def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> D
 
     Only the text is looked at, all of it. und, with score 0, if it is null, empty or without a letter, or if
     the model knows no language. Ties go to the language first by name. Columns of docs named lang_pred or score
-    are replaced.
+    are replaced; those named _text or _has_letter are dropped.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
     text = F.col(text_col).cast("string")
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop("lang_pred", "score", *(x for x in ("_text", "_has_letter") if x != text_col))
     rows = kept.select("*", text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_has_letter"))
     if text_col in kept.columns:
         rows = rows.drop(text_col)
