@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import columns as c
 from .functions.sql import register
-from .operators import alarms, metrics, preprocess as pp, report, scores as sc, search, sweep, windows as wd
+from .operators import alarms, metrics, preprocess as pp, regimes as rg, report, scores as sc, search, sweep, windows as wd
 from .plans import learned
 from .sources import tables as t
 from .streaming import alarms as stream
@@ -251,6 +251,42 @@ def _(spark, d):
     return a.join(li(spark, d).select("sequence_id", "t", F.col("label").alias("b")), ["sequence_id", "t"]).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+SOURCES = """src AS (SELECT *, CASE WHEN sequence_id % 3 = 0 THEN 'synthetic' ELSE 'real' END AS source, ['train', 'val', 'test', 'train_ext', 'train'][sequence_id % 5 + 1] AS mode FROM ev)"""
+
+
+def sourced(spark, d):
+    """The events with a source and a mode by user."""
+    mode = F.get(F.array(*map(F.lit, ("train", "val", "test", "train_ext", "train"))), (F.col("sequence_id") % 5).cast("int"))
+    return ev(spark, d).withColumns({"source": F.when(F.col("sequence_id") % 3 == 0, "synthetic").otherwise("real"), "mode": mode})
+
+
+@query(
+    "c6_stage_rows",
+    f"""WITH {EV}, {SOURCES}, g AS (SELECT 'real' AS of_stage, mode AS stage, * FROM src WHERE source = 'real'
+UNION ALL SELECT 'synthetic', CASE WHEN mode = 'train' AND source = 'real' THEN 'scaler' ELSE mode END, * FROM src WHERE (mode IN ('train', 'val', 'test') AND source = 'synthetic') OR (mode = 'train' AND source = 'real'))
+SELECT of_stage, stage, count(*) AS n, sum(CASE WHEN mode IN ('train', 'train_ext') AND source = 'real' THEN 1 ELSE 0 END) AS n_fit, round(sum(score), 3) AS total FROM g GROUP BY 1, 2""",
+)
+def _(spark, d):
+    rows = sourced(spark, d)
+    both = pp.stages(rows, "real").withColumn("of_stage", F.lit("real")).union(pp.stages(rows, "synthetic", test_on_real=False).withColumn("of_stage", F.lit("synthetic")))
+    return both.groupBy("of_stage", "stage").agg(F.count("*").alias("n"), F.sum(F.col("fits_scaler").cast("long")).alias("n_fit"), F.round(F.sum("score"), 3).alias("total"))
+
+
+@query("c9_model_pairs", f"WITH {RES} SELECT model, dataset FROM (SELECT DISTINCT model FROM res WHERE model < 'e') m, (SELECT DISTINCT dataset FROM res WHERE dataset < 'd2') x UNION SELECT model, dataset FROM res WHERE model = 'view'")
+def _(spark, d):
+    r = results(spark, d)
+    return report.model_pairs(r.where("model < 'e'").select("model").distinct(), r.where("dataset < 'd2'").select("dataset").distinct(), r.where("model = 'view'"))
+
+
+@query("c13_alarms_with_diagnostics", f"WITH {RES}, a AS (SELECT model, dataset, avg(value) AS mean FROM res WHERE metric = 'alarm_score' AND model <> 'view' GROUP BY 1, 2), b AS (SELECT model, dataset, metric, avg(value) AS metric_mean FROM res WHERE metric = 'aaf' AND dataset <> 'd1' GROUP BY 1, 2, 3) SELECT model, dataset, metric, {sql6('mean', 'metric_mean')} FROM a JOIN b USING (model, dataset)")
+def _(spark, d):
+    r = report.over_seeds(results(spark, d))
+    status = lambda gap: F.when(gap, "missing").otherwise("complete")
+    a = r.where("metric = 'alarm_score'").withColumn("status", status(F.col("model") == "view"))
+    b = r.where("metric = 'aaf'").withColumn("status", status(F.col("dataset") == "d1"))
+    return report.with_diagnostics(a, b).select("model", "dataset", "metric", *r6("mean", "metric_mean"))
+
+
 # D: preprocessing
 
 CELLS = "cells AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS value FROM li" for f in FEATURES) + ")"
@@ -473,6 +509,109 @@ def _(spark, d):
     return learned.score_with(ev(spark, d), lambda pdf: pdf["score"] / pdf["score"].mean()).select("sequence_id", "t", F.round("score", 4).alias("score"))
 
 
+DRIFT_BLOCKS, DRIFT_WIDTHS = [["quantity", "extendedprice"], ["discount", "tax"]], [4, 16]
+DRIFT_PAIRS = [p for a, b in DRIFT_BLOCKS for p in ((a, a), (b, b), (a, b))]
+
+
+def drift_sql() -> str:
+    """x: trailing means and correlations of all rows with their regime; r: references of each regime."""
+    var = lambda f, w: f"greatest(var_pop({f}) OVER w{w}, 1e-6)"
+    means = [f"avg({f}) OVER w{w} AS x_{w}_{f}" for w in DRIFT_WIDTHS for f in FEATURES]
+    corrs = [f"covar_pop({a}, {b}) OVER w{w} / sqrt({var(a, w)} * {var(b, w)}) AS k_{w}_{a}_{b}" for w in DRIFT_WIDTHS for a, b in DRIFT_PAIRS]
+    windows = ", ".join(f"w{w} AS ({W} ROWS {w - 1} PRECEDING)" for w in DRIFT_WIDTHS)
+    refs = [f"avg(x_{w}_{f}) AS m_{w}_{f}, CASE WHEN stddev_pop(x_{w}_{f}) < 1e-6 THEN 1 ELSE stddev_pop(x_{w}_{f}) END AS s_{w}_{f}" for w in DRIFT_WIDTHS for f in FEATURES]
+    refs += [f"avg(k_{w}_{a}_{b}) AS q_{w}_{a}_{b}" for w in DRIFT_WIDTHS for a, b in DRIFT_PAIRS]
+    return f"{LI}, x AS (SELECT *, CAST(quantity > 25 AS INT) AS regime, {', '.join(means + corrs)} FROM li WINDOW {windows}), r AS (SELECT regime, {', '.join(refs)} FROM x WHERE label = 0 GROUP BY GROUPING SETS ((regime), ()))"
+
+
+DRIFT_COLUMNS = [f"{k}_{w}_{f}" for w in DRIFT_WIDTHS for f in FEATURES for k in "ms"] + [f"q_{w}_{a}_{b}" for w in DRIFT_WIDTHS for a, b in DRIFT_PAIRS]
+
+
+def drift_rows(spark, d):
+    return li(spark, d).withColumn("regime", (F.col("quantity") > 25).cast("int"))
+
+
+def drift_refs(rows):
+    """References from the rows' own frames; only rows without an anomaly count."""
+    return rg.drift_references(rows, DRIFT_BLOCKS, DRIFT_WIDTHS, F.col("label") == 0)
+
+
+@query("f12_drift_references", f"WITH {drift_sql()} SELECT coalesce(regime, -9) AS regime, {', '.join(f'round({n}, 4) AS {n}' for n in DRIFT_COLUMNS)} FROM r")
+def _(spark, d):
+    return drift_refs(drift_rows(spark, d)).select(F.coalesce("regime", F.lit(-9)).alias("regime"), *(F.round(n, 4).alias(n) for n in DRIFT_COLUMNS))
+
+
+def drift_score_sql() -> str:
+    parts = []
+    for w in DRIFT_WIDTHS:
+        for a, b in DRIFT_BLOCKS:
+            shift = " + ".join(f"abs((x_{w}_{f} - m_{w}_{f}) / s_{w}_{f})" for f in (a, b))
+            turn = " + ".join(f"{n} * abs(k_{w}_{p}_{q} - q_{w}_{p}_{q})" for p, q, n in ((a, a, 1), (b, b, 1), (a, b, 2)))
+            parts.append(f"({shift}) / 2 + ({turn}) / 4")
+    return f"greatest({', '.join(parts)})"
+
+
+@query("f13_slow_drift", f"WITH {drift_sql()} SELECT sequence_id, t, round({drift_score_sql()}, 4) AS score FROM x JOIN r USING (regime)")
+def _(spark, d):
+    rows = drift_rows(spark, d)
+    return rg.slow_drift(rows, drift_refs(rows), DRIFT_BLOCKS, DRIFT_WIDTHS).select("sequence_id", "t", F.round("score", 4).alias("score"))
+
+
+def blocks_sql() -> str:
+    frame = f"({W} ROWS 15 PRECEDING)"
+    sums = ", ".join(f"avg({f}) OVER w AS mean_{f}, stddev_pop({f}) OVER w AS std_{f}, CASE WHEN count(*) OVER w > 1 THEN ({f} - first_value({f}) OVER w) / (count(*) OVER w - 1) ELSE 0 END AS slope_{f}" for f in FEATURES)
+    alike = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs({' + '.join(f'corr({k}_{a}, {k}_{b})' for k in rg.KINDS)}) / 3 AS alike FROM s" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :])
+    return f"""WITH RECURSIVE {LI}, s AS (SELECT {sums} FROM li WINDOW w AS {frame}), p AS ({alike}), e AS (SELECT a, b FROM p WHERE alike >= 0.6 UNION ALL SELECT b, a FROM p WHERE alike >= 0.6),
+n AS (SELECT unnest({FEATURES}) AS feature), c(feature, other) AS (SELECT feature, feature FROM n UNION SELECT c.feature, e.b FROM c JOIN e ON c.other = e.a),
+i AS (SELECT feature, list_position({FEATURES}, feature) AS at FROM n) SELECT c.feature, arg_min(c.other, i.at) AS block FROM c JOIN i ON c.other = i.feature GROUP BY 1"""
+
+
+@query("f14_channel_blocks", blocks_sql())
+def _(spark, d):
+    found = rg.channel_blocks(li(spark, d), FEATURES, 16)
+    return spark.createDataFrame([(f, b[0]) for b in found for f in b], "feature string, block string")  # one row for each channel
+
+
+@query("f15_regimes")
+def _(spark, d):
+    rows = li(spark, d)
+    return rg.fit_regimes(rows.where("label = 0"), FEATURES, 8, 3, 2).assign(rows).select("sequence_id", "t", "regime")
+
+
+STRUCTURE = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i:]]
+
+
+def structure_sql() -> str:
+    cells = ", ".join(f"covar_pop({a}, {b}) OVER w / sqrt((var_pop({a}) OVER w + 1e-6) * (var_pop({b}) OVER w + 1e-6)) AS k_{a}_{b}" for a, b in STRUCTURE)
+    means = ", ".join(f"avg(k_{a}_{b}) AS m_{a}_{b}" for a, b in STRUCTURE)
+    total = " + ".join(f"{1 if a == b else 2} * pow(k_{a}_{b} - m_{a}_{b}, 2)" for a, b in STRUCTURE)
+    return f"WITH {LI}, k AS (SELECT sequence_id, t, count(*) OVER w AS n, {cells} FROM li WINDOW w AS ({W} ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)), p AS (SELECT * FROM k WHERE n = 16 AND t % 4 = 0), r AS (SELECT {means} FROM p WHERE sequence_id % 2 = 0) SELECT sequence_id, t AS patch_start, round(sqrt({total}), 4) AS score FROM p, r"
+
+
+@query("f18_structural_score", structure_sql())
+def _(spark, d):
+    patches = rg.patch_structure(li(spark, d), FEATURES, 16, 4)
+    return rg.structural_score(patches, patches.where("sequence_id % 2 = 0"), FEATURES).select("sequence_id", "patch_start", F.round("score", 4).alias("score"))
+
+
+@query(
+    "f21_regime_banks",
+    f"""WITH e AS (SELECT vec_id, label, list_transform(v, lambda x: x / n) AS u FROM (SELECT e.vec_id, m.label, v, sqrt(list_dot_product(v, v)) AS n FROM ({VEC}) e JOIN embeddings m USING (vec_id))),
+b AS (SELECT vec_id, label % 3 AS regime, u FROM e WHERE vec_id % 2 = 0), m AS (SELECT regime, i, avg(u[i]) AS m FROM b, range(1, 65) r(i) GROUP BY 1, 2), c AS (SELECT regime, list(m ORDER BY i) AS c FROM m GROUP BY 1),
+q AS (SELECT vec_id, any_value(u) AS u, arg_min(regime, list_distance(u, c)) AS regime FROM e, c WHERE vec_id % 2 = 1 GROUP BY 1),
+s AS (SELECT q.vec_id, q.regime, list_dot_product(q.u, b.u) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.u, b.u) DESC) AS n FROM q JOIN b USING (regime))
+SELECT vec_id, regime, round(1 - avg(c), 5) AS score FROM s WHERE n <= 3 GROUP BY 1, 2""",
+)
+def _(spark, d):
+    e = t.read(spark, d, "embeddings").withColumn("regime", F.col("label") % 3)
+    return rg.knn_novelty_by_regime(e.where("vec_id % 2 = 1"), e.where("vec_id % 2 = 0")).select("vec_id", "regime", F.round("score", 5).alias("score"))
+
+
+@query("f27_step_inconsistency", f"WITH {LI} SELECT sequence_id, t, round(coalesce(({' + '.join(f'pow({f} - lag({f}) OVER w, 2)' for f in FEATURES)}) / 4, 0), 4) AS score FROM li WINDOW w AS ({W})")
+def _(spark, d):
+    return rg.step_inconsistency(li(spark, d), F.array(*FEATURES), ["t"], KEYS).select("sequence_id", "t", F.round("score", 4).alias("score"))
+
+
 # G: thresholds and alarms
 
 SWEEP = f"""WITH {EV}, a AS (SELECT *, lead(score) OVER w AS s1, lead(label) OVER w AS y1, lag(label) OVER w AS y0 FROM ev WINDOW w AS ({W})),
@@ -644,6 +783,34 @@ def _(spark, d):
     return report.channel_effects(li(spark, d), FEATURES, 3).select("feature", *r6("effect"), "place")
 
 
+def stated(spark, d):
+    """Result files as text, in the layout with percentages; one model has no number and one is unknown."""
+    r = results(spark, d).where("metric = 'alarm_score'").groupBy("model", "dataset").agg(F.round(F.avg("value"), 3).alias("v"))
+    mean = F.when(F.col("model") == "view", "n/a").otherwise(F.col("v").cast("string"))
+    return r.select("model", "dataset", mean.alias("normalized_alarm_score_pct_mean"), F.lit("0.5").alias("normalized_alarm_score_pct_std"))
+
+
+@query(
+    "i7_checked_results",
+    f"WITH {RES} SELECT model, dataset, CASE WHEN model <> 'view' THEN round(avg(value), 3) END AS mean, CASE WHEN model <> 'view' THEN 0.5 END AS std, CASE WHEN model <> 'view' THEN 'complete' ELSE 'missing' END AS status FROM res WHERE metric = 'alarm_score' AND model <> 'click' GROUP BY 1, 2",
+)
+def _(spark, d):
+    r = results(spark, d)
+    return report.checked_results(report.one_layout(stated(spark, d)), r.where("model <> 'click'").select("model"), r.select("dataset"))
+
+
+@query("i8_one_layout", f"WITH {RES} SELECT model, count(*) AS n, count(*) FILTER (model = 'view') AS not_numbers FROM (SELECT DISTINCT model, dataset FROM res) GROUP BY 1")
+def _(spark, d):
+    rows = report.one_layout(stated(spark, d))
+    return rows.groupBy("model").agg(F.count("*").alias("n"), F.count(F.when(F.col("mean").try_cast("double").isNull(), 1)).alias("not_numbers"))
+
+
+@query("i10_pair_summaries", f"WITH {RES} SELECT model, dataset, round(avg(value) FILTER (metric = 'aaf'), 6) AS aaf, round(avg(value) FILTER (metric = 'alarm_score'), 6) AS alarm_score, count(*) FILTER (metric = 'aaf') AS seeds, round(arg_min(value, seed) FILTER (metric = 'aaf'), 5) AS first_seed FROM res GROUP BY 1, 2")
+def _(spark, d):
+    s = report.pair_summaries(results(spark, d)).withColumn("v", F.from_json("seeds", "map<string, array<double>>"))
+    return s.select("model", "dataset", *(F.round(F.col("means")[m], 6).alias(m) for m in ("aaf", "alarm_score")), F.size(F.col("v")["aaf"]).cast("long").alias("seeds"), F.round(F.col("v")["aaf"][0], 5).alias("first_seed"))
+
+
 @query("i15_search_grid", f"WITH {EV} SELECT a AS width, b AS span, (SELECT count(*) FROM ev WHERE t >= a * b) AS n FROM range(1, 6, 2) x(a), range(2, 9, 3) y(b)")
 def _(spark, d):
     grid = report.search_grid(spark, width=(1, 5, 2), span=(2, 8, 3))
@@ -668,6 +835,40 @@ def _(spark, d):
     return stream.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint").select("sequence_id", "t", F.round("rolling_mean", 5).alias("rolling_mean"), "pred")
 
 
+@query("j1_scored_windows", f"WITH {LI} SELECT sequence_id, t AS t_end, round(avg(quantity) OVER {F8} - avg(tax) OVER {F8}, 5) AS score FROM li QUALIFY count(*) OVER {F8} = 8")
+def _(spark, d):
+    windows = wd.sliding_windows(li(spark, d), ["quantity", "tax"], 8)
+    return stream.scored_windows(windows, lambda w: (w[:, :, 0] - w[:, :, 1]).mean(axis=1), ["sequence_id", "t_end"], 1000).select("sequence_id", "t_end", F.round("score", 5).alias("score"))
+
+
+def arriving(spark, d):
+    """The events as a stream that comes in three parts by t; last marks the end of a sequence."""
+    folder = shared_folder(spark)
+    n = F.count("*").over(Window.partitionBy(*KEYS))
+    rows = ev(spark, d).select("sequence_id", "t", "score", (F.col("t") == n - 1).alias("last"))
+    for part in (F.col("t") < 11, F.col("t").between(11, 40), F.col("t") > 40):
+        rows.where(part).repartition(4, "sequence_id").write.mode("append").parquet(f"{folder}/in")
+    return stream.event_stream(spark, f"{folder}/in", rows.schema), folder
+
+
+@query("j2_causal_scores", f"WITH {EV} SELECT sequence_id, t, round(score - (sum(score) OVER f + (5 - count(*) OVER f) * first_value(score) OVER ({W})) / 5, 5) + 0.0 AS score FROM ev WINDOW f AS ({W} ROWS 4 PRECEDING)")
+def _(spark, d):
+    rows, folder = arriving(spark, d)
+    out = stream.causal_scores(rows, ["score"], 5, lambda w: w[:, -1, 0] - w[:, :, 0].mean(axis=1))
+    return stream.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint").select("sequence_id", "t", (F.round("score", 5) + F.lit(0.0)).alias("score"))  # no -0
+
+
+@query(
+    "j3_patch_scores",
+    f"""WITH {EV}, p AS (SELECT *, CASE WHEN t % 2 = 0 AND count(*) OVER f = 6 THEN avg(score) OVER f END AS s, count(*) OVER (PARTITION BY run_key, sequence_id) AS n FROM ev WINDOW f AS ({W} ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING))
+SELECT sequence_id, t, round(CASE WHEN n < 6 THEN (sum(score) OVER a + (6 - n) * first_value(score) OVER ({W})) / 6 ELSE avg(s) OVER ({W} ROWS 5 PRECEDING) END, 4) AS score FROM p WINDOW a AS (PARTITION BY run_key, sequence_id)""",
+)
+def _(spark, d):
+    rows, folder = arriving(spark, d)
+    out = stream.patch_scores(rows, ["score"], 6, 2, lambda p: p[:, :, 0].mean(axis=1))
+    return stream.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint").select("sequence_id", "t", F.round("score", 4).alias("score"))
+
+
 @query("k2_alarm_score_agg")
 def _(spark, d):
     register(spark)

@@ -143,3 +143,21 @@ def budget_cut(df: DataFrame, rows: int) -> DataFrame:
     sizes = df.groupBy(*KEYS).agg(F.count("*").alias("n"))
     w = Window.partitionBy("run_key").orderBy("sequence_id").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < rows)
+
+
+def stages(series: DataFrame, source: str = "real", test_on_real: bool = True) -> DataFrame:
+    """The rows of one stage from series with mode and source (real or synthetic), with stage and fits_scaler.
+
+    Training and validation rows are of the stage's source, train_ext of real stages only; a synthetic stage is tested on
+    real rows unless told otherwise. Scalers are fitted on real training rows always: where these aren't trained on, their
+    stage is scaler.
+    """
+    if source not in ("real", "synthetic"):
+        raise ValueError(f"no such source of a stage: {source}")
+    real, mode = F.col("source") == "real", F.col("mode")
+    own = F.col("source") == source
+    tested = real if source == "real" or test_on_real else ~real
+    extra = (mode == "train_ext") & real if source == "real" else F.lit(False)
+    stage = F.when(mode.isin("train", "val") & own, mode).when((mode == "test") & tested, mode).when(extra, mode).when((mode == "train") & real, "scaler")
+    fits = ((mode == "train") & real) | extra
+    return series.withColumns({"stage": stage, "fits_scaler": fits}).where("stage is not null")

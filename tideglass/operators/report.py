@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.columns import numeric
 from .metrics import METRICS
 
 LOWER = [m.name for m in METRICS.values() if m.lower_is_better]
@@ -90,3 +91,57 @@ def search_grid(spark, **ranges: tuple[int, int, int]) -> DataFrame:
     for name, (lo, hi, step) in ranges.items():
         out = out.crossJoin(spark.range(1).select(F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))).alias(name)))
     return out
+
+
+def model_pairs(models: DataFrame, datasets: DataFrame, more: DataFrame) -> DataFrame:
+    """Every (model, dataset) of two short lists, and those given besides; each once."""
+    return models.select("model").crossJoin(datasets.select("dataset")).union(more.select("model", "dataset")).distinct()
+
+
+def with_diagnostics(alarms: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """Complete rows of both tables for the same (model, dataset)."""
+    other = diagnostics.where("status = 'complete'").select("model", "dataset", "metric", F.col("mean").alias("metric_mean"))
+    return alarms.where("status = 'complete'").select("model", "dataset", "mean").join(other, ["model", "dataset"])
+
+
+def one_layout(results: DataFrame) -> DataFrame:
+    """model, dataset, mean, std, status from either layout of result files, all as text.
+
+    The one has mean, std and status; the other normalized_alarm_score_pct_mean and, if it likes, _std.
+    """
+    if {"model", "dataset", "mean", "std", "status"} <= set(results.columns):
+        return results.select("model", "dataset", *(F.col(c).cast("string").alias(c) for c in ("mean", "std", "status")))
+    wide = "normalized_alarm_score_pct"
+    if not {"model", "dataset", f"{wide}_mean"} <= set(results.columns):
+        raise ValueError(f"no known layout of results: {results.columns}")
+    std = F.col(f"{wide}_std") if f"{wide}_std" in results.columns else F.lit(None)
+    return results.select("model", "dataset", F.col(f"{wide}_mean").cast("string").alias("mean"), std.cast("string").alias("std"), F.lit(None).cast("string").alias("status"))
+
+
+def checked_results(results: DataFrame, models: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Rows of known models and datasets with mean and std as numbers, and status complete or missing.
+
+    What isn't a finite number is null. A row is missing if it says so or has no mean; its mean and std are null then.
+    """
+    known = results.join(F.broadcast(models.select("model").distinct()), "model", "left_semi").join(F.broadcast(datasets.select("dataset").distinct()), "dataset", "left_semi")  # names of models and datasets: short lists
+    missing = (F.trim(F.lower(F.coalesce("status", F.lit("")))) == "missing") | numeric("mean").isNull()
+    return known.select("model", "dataset", *(F.when(~missing, numeric(c)).alias(c) for c in ("mean", "std")), F.when(missing, "missing").otherwise("complete").alias("status"))
+
+
+def result_faults(results: DataFrame) -> DataFrame:
+    """Rows of a result table that can't be: missing with a mean, complete without one, another status, or a negative deviation."""
+    fault = (
+        F.when((F.col("status") == "missing") & F.col("mean").isNotNull(), "missing with a mean")
+        .when((F.col("status") == "complete") & F.col("mean").isNull(), "complete without a mean")
+        .when(~F.coalesce(F.col("status").isin("missing", "complete"), F.lit(False)), "unknown status")
+        .when(F.col("std") < 0, "negative deviation")
+    )
+    return results.withColumn("fault", fault).where("fault is not null")
+
+
+def pair_summaries(results: DataFrame) -> DataFrame:
+    """One row for each (model, dataset): means of its metrics as a map, and the values of all seeds as JSON."""
+    by = results.groupBy("model", "dataset", "metric").agg(F.avg("value").alias("mean"), F.transform(F.array_sort(F.collect_list(F.struct("seed", "value"))), lambda s: s["value"]).alias("values"))
+    cells = F.array_sort(F.collect_list(F.struct("metric", "mean", "values")))
+    pairs = lambda name: F.map_from_entries(F.transform("cells", lambda c: F.struct(c["metric"], c[name])))
+    return by.groupBy("model", "dataset").agg(cells.alias("cells")).select("model", "dataset", pairs("mean").alias("means"), F.to_json(pairs("values")).alias("seeds"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -47,6 +48,80 @@ def online_alarms(stream: DataFrame, width: int, on: float, off: float, leave: i
     return stream.groupBy("sequence_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def scored_windows(windows: DataFrame, score: Callable[[np.ndarray], np.ndarray], keys: list[str], chunk: int = 16_384) -> DataFrame:
+    """A score for each window (column w: rows of features), by a function of (windows, rows, features), chunk windows a call or the rest of a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            while n >= chunk:
+                rows = pd.concat(held, ignore_index=True)
+                yield scored(rows[:chunk])
+                held, n = [rows[chunk:]], n - chunk
+        if n:
+            yield scored(pd.concat(held, ignore_index=True))
+
+    def scored(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[keys].assign(score=score(np.array([[list(r) for r in w] for w in rows["w"]], float)))
+
+    fields = ", ".join(f"`{k}` {windows.schema[k].dataType.simpleString()}" for k in keys)
+    values = F.transform("w", lambda r: F.array(*(r[f].cast("double") for f in windows.schema["w"].dataType.elementType.names)))
+    return windows.select(*keys, values.alias("w")).mapInPandas(run, f"{fields}, score double")
+
+
+def causal_scores(stream: DataFrame, features: list[str], width: int, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Append mode: a score for each row, by a function of (windows, rows, features) over the last width rows.
+
+    Before the start the first row is repeated. State is the last width - 1 rows of each sequence. Batches have to come in order.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("t")
+        x = rows[features].to_numpy(float)
+        before = np.array(state.get[0], float).reshape(-1, len(features)) if state.exists else np.repeat(x[:1], width - 1, axis=0)
+        x = np.concatenate((before, x))
+        windows = np.lib.stride_tricks.sliding_window_view(x, width, axis=0).transpose(0, 2, 1)
+        state.update((x[len(x) - width + 1 :].ravel().tolist(),))
+        yield pd.DataFrame({"sequence_id": key[0], "t": rows["t"], "score": score(windows)})
+
+    return stream.groupBy("sequence_id").applyInPandasWithState(step, "sequence_id long, t long, score double", "tail array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def patch_scores(stream: DataFrame, features: list[str], length: int, stride: int, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Append mode: for each row the mean score of the patches that cover it, once the length - 1 rows after it are known.
+
+    Patches start at every stride-th row and are scored by a function of (patches, rows, features). The column last
+    marks the end of a sequence, where what is held back comes out; a sequence shorter than a patch is filled up in front
+    with its first row. Rows that no patch covers have no score (null). State is at most 2 * length + stride rows of each
+    sequence. t counts from 0 without gaps, and batches have to come in order.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("t")
+        held, start, out = state.get if state.exists else ([], 0, 0)
+        x = np.concatenate((np.array(held, float).reshape(-1, len(features)), rows[features].to_numpy(float)))
+        end, last = start + len(x), bool(rows["last"].any())
+        until = end if last else max(out, end - length + 1)
+        if last and end < length:
+            x = np.concatenate((np.repeat(x[:1], length - end, axis=0), x))
+            values = np.repeat(score(x[None]), end)[out:]
+        else:
+            total, n = np.zeros(len(x)), np.zeros(len(x))
+            at = np.arange(0, len(x) - length + 1, stride)  # start is a multiple of the stride
+            if len(at):
+                for i, s in zip(at, score(np.stack([x[i : i + length] for i in at]))):
+                    total[i : i + length] += s
+                    n[i : i + length] += 1
+            values = np.where(n > 0, total / np.maximum(n, 1), np.nan)[out - start : until - start]
+        keep = max(0, until - length + 1) // stride * stride
+        state.update((x[max(0, keep - start) :].ravel().tolist() if not last else [], keep, until))
+        yield pd.DataFrame({"sequence_id": key[0], "t": np.arange(out, until), "score": pd.array(values, "Float64") if len(values) else pd.array([], "Float64")})
+
+    return stream.groupBy("sequence_id").applyInPandasWithState(step, "sequence_id long, t long, score double", "held array<double>, start long, out long", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """All that is there now, in append mode, into Parquet; the file sink and the checkpoint make a rerun exact."""
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
