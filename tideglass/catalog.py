@@ -607,9 +607,12 @@ def _(spark, d):
     return rg.knn_novelty_by_regime(e.where("vec_id % 2 = 1"), e.where("vec_id % 2 = 0")).select("vec_id", "regime", F.round("score", 5).alias("score"))
 
 
-@query("f27_step_inconsistency", f"WITH {LI} SELECT sequence_id, t, round(coalesce(({' + '.join(f'pow({f} - lag({f}) OVER w, 2)' for f in FEATURES)}) / 4, 0), 4) AS score FROM li WINDOW w AS ({W})")
+UNITS = {"quantity": 50.0, "extendedprice": 100_000.0, "discount": 0.1, "tax": 0.1}  # of each feature, so that none outweighs the others
+
+
+@query("f27_step_inconsistency", f"WITH {LI} SELECT sequence_id, t, round(coalesce(({' + '.join(f'pow(({f} - lag({f}) OVER w) / {u}, 2)' for f, u in UNITS.items())}) / 4, 0), 6) AS score FROM li WINDOW w AS ({W})")
 def _(spark, d):
-    return rg.step_inconsistency(li(spark, d), F.array(*FEATURES), ["t"], KEYS).select("sequence_id", "t", F.round("score", 4).alias("score"))
+    return rg.step_inconsistency(li(spark, d), F.array(*(F.col(f) / u for f, u in UNITS.items())), ["t"], KEYS).select("sequence_id", "t", *r6("score"))
 
 
 # G: thresholds and alarms
