@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideglass.functions.sql import alarm_score_of
+from tideglass.functions.staging import running_totals
 from tideglass.operators import alarms, metrics, sweep
 
 INF = float("inf")
@@ -107,3 +108,17 @@ def test_quantile_counts_sentinels(spark):
     df = series(spark, [1, 2, 3, 4], label=[0, 0, 0, 0])
     got = sweep.quantile_thresholds(df, [0.25, 0.5]).orderBy(F.desc("fraction")).collect()
     assert [r.threshold for r in got] == [2.0, 3.0]
+
+
+def test_running_totals_of_one_large_and_many_small_keys(spark):
+    rng = random.Random(5)
+    rows = [("hot", float(v), float(rng.randrange(9)), 1.0) for v in range(3000)] + [(f"k{i}", float(v), float(rng.randrange(9)), 1.0) for i in range(40) for v in range(i % 4 + 1)]
+    rows += [("hot", -INF, 1.0, 1.0), ("hot", INF, 2.0, 1.0), (None, 1.0, 3.0, 1.0), (None, 0.0, 4.0, 1.0)]
+    df = spark.createDataFrame(rows, "run_key string, value double, a double, b double").repartition(7)
+    got = {(r.run_key, r.value): (r.a, r.b) for r in running_totals(df, "run_key", "value", ["a", "b"]).collect()}
+    want, so_far = {}, {}
+    for k, v, a, b in sorted(rows, key=lambda r: -r[1]):
+        so_far[k] = tuple(x + y for x, y in zip(so_far.get(k, (0.0, 0.0)), (a, b)))
+        want[k, v] = so_far[k]
+    assert got == want
+    assert running_totals(df.limit(0), "run_key", "value", ["a", "b"]).count() == 0

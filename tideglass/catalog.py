@@ -6,13 +6,13 @@ both sides, and -inf shows as null.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import columns as c
 from .functions.sql import register
+from .functions.staging import shared_folder
 from .operators import alarms, metrics, preprocess as pp, regimes as rg, report, scores as sc, search, sweep, windows as wd
 from .plans import learned
 from .sources import tables as t
@@ -68,13 +68,6 @@ def results(spark, d):
     return e.groupBy("model", "dataset", "seed", "metric").agg(F.avg(F.when(F.col("metric") == "alarm_score", F.col("value")).otherwise(F.col("value") / 7)).alias("value"))
 
 
-def shared_folder(spark) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-tideglass-")
-    return f"{base}/tideglass/{uuid.uuid4().hex}"
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The exact sweep over the events, and all metrics at the threshold found."""
     rows = ev(spark, d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import INF, KEYS, along, safe_score
+from ..functions.staging import running_totals
 
 
 def _labelled(scores: DataFrame) -> DataFrame:
@@ -51,7 +52,8 @@ def sweep_curve(scores: DataFrame) -> DataFrame:
     """The alarm score of score >= value for every finite value of each run.
 
     Each term of the alarm score is a step function of the threshold, so one table of changes and running sums
-    in falling order gives it everywhere; sequences only meet in the sums by run.
+    in falling order gives it everywhere; sequences only meet in the sums by run, which ranges of values share
+    out. The table of changes is written to the shared folder when this is called.
     """
     whole, each = _deltas(_labelled(scores))
     by_value = each.groupBy(*KEYS, "k", "value").agg(F.sum("al").alias("al"), F.sum("wt").alias("wt"), F.sum("br").alias("br"))
@@ -66,8 +68,7 @@ def sweep_curve(scores: DataFrame) -> DataFrame:
     both = whole.select("*", zero.alias("d"), zero.alias("nom")).union(found)
     terms = ["nf", "fa", "early", "late", "d", "nom"]
     sums = both.groupBy("run_key", "value").agg(*(F.sum(c).alias(c) for c in terms))
-    down = Window.partitionBy("run_key").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
-    at = sums.select("run_key", "value", *(F.sum(c).over(down).alias(c) for c in terms))
+    at = running_totals(sums, "run_key", "value", terms)
     return at.select("run_key", "value", _score(*(F.col(c) for c in terms)).alias("alarm_score"))
 
 
