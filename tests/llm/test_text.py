@@ -1,7 +1,7 @@
 import pytest
 import sentencepiece
 
-from tideglass.llm import decontaminate, queries as q
+from tideglass.llm import decontaminate, pieces, queries as q
 
 from . import brute
 
@@ -73,3 +73,17 @@ def test_language_of_odd_texts(spark):
     assert got[n][0] == "en" and got[n + 1][0] == "fr" and got[n + 2] == ("und", 0.0) and got[0] == ("und", 0.0) and got[1] == ("und", 0.0)
     empty = langid.fit(train.where("false"))
     assert {r.lang_pred for r in langid.predict(df, empty).collect()} == {"und"}
+
+
+def test_shared_words_are_segmented_once_and_fit_their_room(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{j}" for j in range(2000) if j % (i + 1) == 0) + f" own{i} " + "x" * 400) for i in range(8)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).select("text")
+    table = pieces.word_table(texts, q.piece_model())
+    n = {bytes(r.word).decode(): r.n for r in table.collect()}
+    assert n[" w0"] > n[" w6"] > 1 and " own3" not in n and max(map(len, n)) < 300 and len(n) == table.count()
+    assert pieces.most_shared(table).count() == len(n)
+    monkeypatch.setattr(pieces, "SHARED_TABLE_BYTES", 60_000)
+    some = pieces.most_shared(table).collect()
+    assert 0 < len(some) < len(n) and min(r.n for r in some) >= 4
+    assert {r.id: r.ids for r in pieces.piece_ids(spark.createDataFrame(rows, "doc_id long, text string"), q.piece_model()).collect()} == {i: pieces.processor(q.piece_model()).encode(t) for i, t in rows}
+    assert pieces.piece_ids(spark.createDataFrame([], "doc_id long, text string"), q.piece_model()).collect() == []
