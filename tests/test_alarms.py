@@ -3,6 +3,7 @@ import random
 
 import pandas as pd
 import pytest
+import pytest
 from pyspark.sql import functions as F
 
 from tideglass.functions.sql import alarm_score_of
@@ -108,6 +109,7 @@ def test_quantile_counts_sentinels(spark):
     df = series(spark, [1, 2, 3, 4], label=[0, 0, 0, 0])
     got = sweep.quantile_thresholds(df, [0.25, 0.5]).orderBy(F.desc("fraction")).collect()
     assert [r.threshold for r in got] == [2.0, 3.0]
+    assert [r.threshold for r in sweep.quantile_thresholds(df, [0.1, 1.0]).orderBy("fraction").collect()] == [pytest.approx(3.6), -INF]
 
 
 def test_running_totals_of_one_large_and_many_small_keys(spark):

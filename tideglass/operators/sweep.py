@@ -112,7 +112,18 @@ def with_sentinels(scores: DataFrame) -> DataFrame:
 
 
 def quantile_thresholds(scores: DataFrame, fractions: list[float]) -> DataFrame:
-    """run_key, fraction, threshold: the score that the given fraction of rows (and sentinels) is above."""
-    q = F.percentile("score", F.array(*(F.lit(1 - f) for f in fractions)))
-    found = with_sentinels(scores).groupBy("run_key").agg(F.arrays_zip(F.array(*map(F.lit, fractions)).alias("fraction"), q.alias("threshold")).alias("z"))
-    return found.select("run_key", F.explode("z").alias("z")).select("run_key", F.col("z.fraction").alias("fraction"), F.col("z.threshold").alias("threshold"))
+    """run_key, fraction, threshold: the score that the given fraction of rows (and sentinels) is above.
+
+    Between two scores as far as the place falls between their rows. Rows are counted by distinct score, and running totals over
+    ranges of scores give each its place, so that no task holds all scores of a run. Written and counted when this is called.
+    """
+    counts = with_sentinels(scores).groupBy("run_key", "score").agg(F.count("*").cast("double").alias("n"))
+    above = running_totals(counts, "run_key", "score", ["n"])
+    total = above.groupBy("run_key").agg(F.max("n").alias("total")).withColumnRenamed("run_key", "_run")
+    placed = above.join(total, F.col("run_key").eqNullSafe(F.col("_run"))).withColumn("place", F.col("total") - F.col("n"))  # of its first row, from below
+    placed = placed.withColumn("fraction", F.explode(F.array(*(F.lit(float(f)) for f in fractions))))
+    at = (1 - F.col("fraction")) * (F.col("total") - 1)
+    low, high = (F.max(F.when(F.col("place") <= side(at), F.col("score"))).alias(name) for side, name in ((F.floor, "low"), (F.ceil, "high")))
+    found = placed.groupBy("run_key", "fraction").agg(low, high, F.max(at - F.floor(at)).alias("part"))
+    between = (1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high")
+    return found.select("run_key", "fraction", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("threshold"))
