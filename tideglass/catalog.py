@@ -382,15 +382,6 @@ def _(spark, d):
     return sc.moving_threshold(ev(spark, d), "score", 8, 2.0).select("sequence_id", "t", F.round("score", 4).alias("score"))
 
 
-@query("f2_best_channel")
-def _(spark, d):
-    """Every channel as a run of its own: one sweep for all of them, then the best."""
-    rows = sc.channels(li(spark, d), FEATURES)
-    runs = rows.select(F.col("feature").alias("run_key"), "sequence_id", "t", F.col("x").alias("score"), "label")
-    best = sweep.best_threshold(runs)
-    return best.select("run_key", "threshold", "best_score", F.row_number().over(Window.orderBy(F.desc("best_score"), "run_key")).alias("place"))  # one row for each channel
-
-
 @query("f4_histogram", f"WITH {LI}, b AS (SELECT sequence_id, t, CAST(least(floor((quantity - (SELECT min(quantity) FROM li)) / (SELECT max(quantity) - min(quantity) FROM li) * 10), 9) AS INT) AS b FROM li), h AS (SELECT b, CAST(count(*) AS DOUBLE) AS n FROM b GROUP BY 1) SELECT sequence_id, t, round(-ln(n / (SELECT max(n) FROM h) + 0.1), 6) AS score FROM b JOIN h USING (b)")
 def _(spark, d):
     return sc.histogram_score(li(spark, d), ["quantity"]).select("sequence_id", "t", *r6("score"))
@@ -402,7 +393,10 @@ def _(spark, d):
     return sc.sparse_score(rows, sc.train_stats(rows, TWO), TWO, 1, 0.5).select("sequence_id", "t", *r6("score"))
 
 
-@query("f8_slow_channels")
+CHANNELS = "ch AS (SELECT run_key, sequence_id, t, label, unnest(['quantity', 'extendedprice', 'discount', 'tax']) AS feature, unnest([quantity, extendedprice, discount, tax]) AS x FROM li)"
+
+
+@query("f8_slow_channels", f"WITH {LI}, {CHANNELS}, b AS (SELECT *, lag(x) OVER (PARTITION BY sequence_id, feature ORDER BY t) AS x0 FROM ch), s AS (SELECT feature, corr(x, x0) - stddev_pop(x - x0) / greatest(stddev_pop(x), 1e-6) AS slowness FROM b GROUP BY 1) SELECT feature, round(slowness, 6) AS slowness, row_number() OVER (ORDER BY slowness DESC, feature) AS place FROM s")
 def _(spark, d):
     return sc.slow_channels(li(spark, d), FEATURES).select("feature", *r6("slowness"), "place")
 
@@ -472,7 +466,7 @@ def _(spark, d):
     return sc.centroid_distance(t.read(spark, d, "embeddings")).select("vec_id", F.round("distance", 5).alias("distance"))
 
 
-@query("f28_channel_graph")
+@query("f28_channel_graph", f"WITH {LI}, {CHANNELS}, p AS (SELECT a.feature AS a, b.feature AS b, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS c FROM ch a JOIN ch b ON a.sequence_id = b.sequence_id AND a.t = b.t AND a.feature <> b.feature GROUP BY 1, 2), n AS (SELECT a, b, 1 / (1 + exp(-c)) AS w, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM p), k AS (SELECT a, b, w FROM n WHERE n <= 2 UNION ALL SELECT b, a, w FROM n WHERE n <= 2) SELECT a, b, round(max(w), 6) AS weight FROM k GROUP BY 1, 2")
 def _(spark, d):
     return sc.channel_graph(li(spark, d), FEATURES, 2).select("a", "b", *r6("weight"))
 
@@ -635,14 +629,26 @@ def _(spark, d):
     return sweep.best_threshold(ev(spark, d)).select("run_key", "threshold", *r6("best_score"), "num_steps")
 
 
+CHANNEL_RUNS = f"{LI}, {CHANNELS}, ev AS (SELECT feature AS run_key, sequence_id, t, x AS score, label FROM ch)"
+
+
+@query("f2_best_channel", f"{SWEEP.replace(EV, CHANNEL_RUNS)}, be AS (SELECT run_key, CASE WHEN max(s) > 0 THEN max_by(v, struct_pack(s := s, v := v)) ELSE CAST('inf' AS DOUBLE) END AS threshold, greatest(max(s), 0) AS best FROM cu GROUP BY 1) SELECT run_key, threshold, round(best, 6) AS best_score, row_number() OVER (ORDER BY best DESC, run_key) AS place FROM be")
+def _(spark, d):
+    """Every channel as a run of its own: one sweep for all of them, then the best."""
+    rows = sc.channels(li(spark, d), FEATURES)
+    runs = rows.select(F.col("feature").alias("run_key"), "sequence_id", "t", F.col("x").alias("score"), "label")
+    best = sweep.best_threshold(runs)
+    return best.select("run_key", "threshold", *r6("best_score"), F.row_number().over(Window.orderBy(F.desc("best_score"), "run_key")).alias("place"))  # one row for each channel
+
+
 @query("g2_quantile_threshold", f"WITH {EV}, u AS (SELECT run_key, score FROM ev UNION ALL SELECT DISTINCT_KEYS.run_key, CAST('-inf' AS DOUBLE) FROM (SELECT DISTINCT run_key, sequence_id FROM ev) DISTINCT_KEYS) SELECT run_key, 0.05 AS fraction, round(quantile_cont(score, 0.95), 6) AS threshold FROM u GROUP BY 1")
 def _(spark, d):
     return sweep.quantile_thresholds(ev(spark, d), [0.05]).select("run_key", "fraction", *r6("threshold"))
 
 
-@query("g3_ratio_thresholds")
+@query("g3_ratio_thresholds", f"WITH {EV}, u AS (SELECT run_key, score FROM ev UNION ALL SELECT run_key, CAST('-inf' AS DOUBLE) FROM ev WHERE t = 0), f AS (SELECT unnest([0.01, 0.02, 0.05, 0.1])::DOUBLE AS fraction), r AS (SELECT run_key, score, row_number() OVER (PARTITION BY run_key ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY run_key) AS n FROM u), x AS (SELECT *, (1 - fraction) * (n - 1) AS place FROM r, f) SELECT run_key, fraction, round(min(score) + (max(place) - floor(max(place))) * (max(score) - min(score)), 6) AS threshold FROM x WHERE i IN (floor(place), ceil(place)) GROUP BY 1, 2")
 def _(spark, d):
-    return sweep.quantile_thresholds(ev(spark, d), [0.01, 0.02, 0.05, 0.1])
+    return sweep.quantile_thresholds(ev(spark, d), [0.01, 0.02, 0.05, 0.1]).select("run_key", "fraction", *r6("threshold"))
 
 
 PRED = "p AS (SELECT *, CAST(score > 150 AS INT) AS pred FROM ev)"
