@@ -871,7 +871,11 @@ def _(spark, d):
     return stream.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint").select("sequence_id", "t", F.round("score", 4).alias("score"))
 
 
-@query("k2_alarm_score_agg")
+BY_SEQUENCE = """q AS (SELECT sequence_id, sum(pred * (1 - label)) AS fp, sum(pred * p0 * label * (1 - y0)) AS early, sum(pred * p0 * y0 * (1 - label)) AS late FROM k GROUP BY 1),
+c AS (SELECT sequence_id, count(*) AS n, avg((1 + w) * pow(2.0, -alarms)) AS nominal FROM e JOIN cr USING (sequence_id, k) GROUP BY 1), z AS (SELECT sequence_id, count(*) AS n FROM ru WHERE k IS NULL GROUP BY 1)"""
+
+
+@query("k2_alarm_score_agg", f"{METRIC}, {BY_SEQUENCE} SELECT sequence_id, round(coalesce(c.n, 0) - coalesce(z.n, 0) / 2.0 - CASE WHEN fp > 0 THEN 1 - 1.0 / fp ELSE 0 END + coalesce(nominal, 0) - 0.75 * early - 0.25 * late, 6) AS alarm_score FROM q LEFT JOIN c USING (sequence_id) LEFT JOIN z USING (sequence_id)")
 def _(spark, d):
     register(spark)
     alarms.predict(ev(spark, d), 150.0).createOrReplaceTempView("tideglass_predictions")
