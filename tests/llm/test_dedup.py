@@ -83,3 +83,22 @@ def test_near_duplicates_in_parts(spark, monkeypatch):
         rows.append((d, " ".join(words)))
     got = rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got == brute.near_dups(rows)
+
+
+def test_pairs_in_different_parts_of_a_hot_band_meet(spark, monkeypatch):
+    """Pairs unlike the least set of their band and unlike each other: nothing but their own two sketches joins them."""
+    import numpy as np
+
+    from tideglass.llm import minhash
+
+    monkeypatch.setattr(minhash, "BAND_BLOCK", 8)
+    rng = np.random.default_rng(3)
+    sketches = [rng.integers(0, 256, minhash.SKETCH_BITS // 8, np.uint8).tobytes() for _ in range(60)]
+    rows = [(0, [7, 9], rng.integers(0, 256, minhash.SKETCH_BITS // 8, np.uint8).tobytes())]
+    rows += [(1 + 2 * k + i, [7, 100 + 2 * k + i], sketches[k]) for k in range(60) for i in (0, 1)]
+    rows += [(1000 + i, [7], sketches[0]) for i in range(30)]
+    reps = spark.createDataFrame(rows, "node long, bands array<long>, sketch binary")
+    links = minhash._band_links(reps, minhash.most_odd_bits(minhash.PLAUSIBLE))
+    got = {r.node: r.component for r in minhash.t.components(links).collect()}
+    want = {2 + 2 * k: 1 + 2 * k for k in range(60)} | {1000 + i: 1 for i in range(30)}  # without the least of each
+    assert got == want

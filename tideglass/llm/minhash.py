@@ -159,10 +159,62 @@ def _confirmed(limit: int, percent: int, seeking: bool):
     return run
 
 
+def _links_between(limit: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Links between two parts of a band: of every two near sketches of different labels, at least one is outside the band's main label."""
+        node, label = group.column("node").to_numpy(), group.column("label").to_numpy().copy()
+        seeks, low = group.column("seeks").to_numpy(zero_copy_only=False), group.column("part").to_numpy() == group.column("low").to_numpy()
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        u, v = [], []
+        for mine, others in ((low & seeks, ~low), (~low & seeks, low & ~seeks)):
+            others = np.flatnonzero(others)
+            for x in np.flatnonzero(mine):
+                at = others[label[others] != label[x]]
+                at = at[np.bitwise_count(sketch[at] ^ sketch[x]).sum(axis=1) <= limit]
+                if len(at):
+                    found, first = np.unique(label[at], return_index=True)
+                    u += [node[x]] * len(first)
+                    v += node[at[first]].tolist()
+                    label[np.isin(label, found)] = label[x]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 LINKS = "u long, v long"
 SETS = "component long, part int, parts int, node long, sketch binary, shingles binary"
 
 
+def _band_links(reps: DataFrame, limit: int) -> DataFrame:
+    """Links that join all sets (node, bands, sketch) that share a band and have near sketches.
+
+    Bands of more than BAND_BLOCK sets are dealt into parts that share the least set. What is joined by that carries
+    one label; every set outside the most frequent label of its band then meets the sets of each other part, two parts a task.
+    """
+    banded = reps.select(F.explode("bands").alias("band"), "node")
+    shared = banded.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1")
+    shared = t.staged(shared.select("band", "hub", F.ceil(F.col("c") / BAND_BLOCK).cast("int").alias("parts")), "bands")
+    part = F.pmod(F.xxhash64("node", "band"), F.col("parts")).cast("int")
+    parts = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
+    in_bands = banded.join(shared, "band").select("band", F.explode(parts).alias("part"), "node")
+    links = in_bands.join(reps.select("node", "sketch"), "node").groupBy("band", "part").applyInArrow(_sketch_links(limit), LINKS).distinct()
+    large = shared.where("parts > 1")
+    if large.isEmpty():
+        return links
+    links = t.staged(links, "links")
+    labels = t.components(links).withColumnRenamed("component", "label")
+    now = banded.join(large, "band").select("band", "node", "parts", part.alias("part")).join(labels, "node", "left")
+    now = t.staged(now.withColumn("label", F.coalesce("label", "node")), "large")
+    main = now.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+    now = now.join(main, "band").withColumn("seeks", F.col("label") != F.col("main")).drop("main")
+    seeking = now.where("seeks").groupBy("band").agg(F.collect_set("part").alias("seeking"))  # part numbers
+    other = F.filter(F.when(F.col("seeks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.col("seeking")), lambda p: p != F.col("part"))
+    sent = now.join(seeking, "band").withColumn("other", F.explode(other))
+    sent = sent.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).join(reps.select("node", "sketch"), "node")
+    more = sent.select("band", "low", "high", "part", "node", "label", "seeks", "sketch").groupBy("band", "low", "high").applyInArrow(_links_between(limit), LINKS)
+    return links.union(more.distinct())
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose sets of width-word shingles are linked.
 
@@ -174,6 +226,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILA
 
     Equal sets count once from the start, whatever their number. Bands of MinHash samples propose, odd sketches
     of the samples rule out, and clusters of what is left are confirmed on full sets: about BLOCK sets a task.
+    In larger bands, sets outside the largest component so far are held against those of all other parts as well.
     In larger clusters, sets outside the largest component so far are sought in all other parts as well.
     """
     rows = t.keyed(docs, id_col, text_col)
@@ -182,12 +235,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILA
     reps = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(one)
     reps = t.staged(reps.select("set_a", "set_b", F.col("one.doc").alias("node"), "one.tag", "one.bands", "one.sketch"), "sets")
     limit = most_odd_bits(PLAUSIBLE)
-    banded = reps.select(F.explode("bands").alias("band"), "node")
-    shared = banded.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1")
-    shared = t.staged(shared.select("band", "hub", F.ceil(F.col("c") / BAND_BLOCK).cast("int").alias("parts")), "bands")
-    parts = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "band"), F.col("parts")).cast("int")))
-    in_bands = banded.join(shared, "band").select("band", F.explode(parts).alias("part"), "node")
-    links = in_bands.join(reps.select("node", "sketch"), "node").groupBy("band", "part").applyInArrow(_sketch_links(limit), LINKS).distinct()
+    links = _band_links(reps, limit)
     clusters = t.staged(t.components(links), "clusters")
     clusters = clusters.union(clusters.select(F.col("component").alias("node"), "component").distinct())
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
