@@ -95,3 +95,19 @@ def test_licences(spark, sf_dir):
     ]
     got = {r.doc_id: (r.licence, r.source) for r in licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {1: ("MIT", "header"), 2: ("GPL-3.0", "inherited"), 3: ("GPL-3.0", "header"), 4: ("MIT", "inherited"), 5: (None, None), 6: ("Apache-2.0", "header"), 7: (None, None), 8: (None, None)}
+
+
+def test_whole_licences_and_wrapped_notices(spark):
+    from tideglass.llm import licences
+
+    texts = dict(licences.TEXTS)
+    rows = [(i, f"{name}/LICENSE", f"Copyright (c) 2020 Somebody Else\n\n{text}") for i, (name, text) in enumerate(texts.items())]
+    rows += [(100 + i, f"{name}/src/a.c", "int main") for i, name in enumerate(texts)]
+    notice = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    rows += [(200, "w/a.py", f"# a file of ours\n#\n{notice}\n\nimport os"), (201, "w/b.py", "This work is licensed under the GNU General\nPublic License, version 3.\n\nother words")]
+    rows += [(1000 + i, "p/x.txt", f"plain prose number {i} of the people and the sea, which is under no notice") for i in range(300)]
+    got = {r.doc_id: r for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for i, name in enumerate(texts):
+        assert got[i].licence_file and (got[100 + i].licence, got[100 + i].source) == (name, "inherited"), (name, got[i], got[100 + i])
+    assert got[200].headers == got[201].headers == ["GPL-3.0"]
+    assert all(got[1000 + i].licence is None for i in range(300))

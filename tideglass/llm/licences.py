@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -44,7 +45,17 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-VOCABULARY = {w for _, text in TEMPLATES for w in words_of(text)}
+def _texts() -> tuple[tuple[str, str], ...]:
+    """Whole licences, from the files named by their SPDX ids; AGPL-3.0 is made from GPL-3.0, which differs in its name and in section 13."""
+    files = sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in resources.files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt"))
+    agpl = re.sub(r"(?i)GNU General Public", "GNU Affero General Public", dict(files)["GPL-3.0"])
+    return (*files, ("AGPL-3.0", agpl))
+
+
+TEXTS = _texts()
+NOTICE_WORDS = {w for _, text in TEMPLATES for w in words_of(text)}
+LONGEST = max(len(words_of(text)) for _, text in TEMPLATES)  # words
+VOCABULARY = NOTICE_WORDS.union(*(words_of(text) for _, text in TEXTS))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,43 +75,68 @@ class Templates:
     def __init__(self, frequency: dict[str, int], n_docs: int):
         self.other = math.log(1 + n_docs)
         self.weight = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) + 1e-3 for w in VOCABULARY}
-        self.unit = []
-        for name, text in TEMPLATES:
-            v = {w: c * self.weight[w] for w, c in Counter(words_of(text)).items()}
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            self.unit.append((name, {w: x / norm for w, x in v.items()}))
-
-    def best(self, words: list[str]) -> tuple[float, str]:
-        """Largest cosine and its licence; ties go to the name that comes first."""
-        count = Counter(words)
-        v = {w: c * self.weight.get(w, self.other) for w, c in count.items()}
+        self.notices = [self._unit(*x) for x in TEMPLATES]
+        self.whole = [*self.notices, *(self._unit(*x) for x in TEXTS)]
+
+    def _unit(self, name: str, text: str) -> tuple[str, dict[str, float]]:
+        v = {w: c * self.weight[w] for w, c in Counter(words_of(text)).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
-        if not norm:
+        return name, {w: x / norm for w, x in v.items()}
+
+    def best(self, count: dict[str, int], units: list, vocabulary: set[str], least: float) -> tuple[float, str]:
+        """Largest cosine and its licence, or 0 if none can reach least; ties go to the name that comes first."""
+        v = {w: c * self.weight.get(w, self.other) for w, c in count.items()}
+        square = sum(x * x for x in v.values())
+        known = {w: x for w, x in v.items() if w in vocabulary}
+        if not square or sum(x * x for x in known.values()) < (least - 1e-6) ** 2 * square:  # no cosine is above the share of these words in the norm
             return 0.0, ""
-        scores = [(round(sum(x * v[w] for w, x in unit.items() if w in v) / norm, 6), name) for name, unit in self.unit]
+        norm = math.sqrt(square)
+        scores = [(round(sum(x * unit[w] for w, x in known.items() if w in unit) / norm, 6), name) for name, unit in units]
         return min(scores, key=lambda s: (-s[0], s[1]))
 
-
-def _scan(shared, header: float):
+    def headers(self, lines: list[list[str]], least: float) -> dict[str, float]:
+        """Licences of notices and their cosines. A notice is a line, or a run of neighbouring lines up to twice as long as the longest template; each line is part of the best run it is in."""
+        runs = []
+        knows = [not NOTICE_WORDS.isdisjoint(words) for words in lines]
+        for i in range(len(lines)):
+            if not knows[i]:
+                continue
+            count: dict[str, int] = {}
+            n, known, square = 0, 0.0, 0.0
+            for j in range(i, len(lines)):
+                n += len(lines[j])
+                if not lines[j] or (j > i and n > 2 * LONGEST):
+                    break
+                for w in lines[j]:
+                    c = count.get(w, 0)
+                    count[w] = c + 1
+                    x = (2 * c + 1) * self.weight.get(w, self.other) ** 2
+                    square += x
+                    if w in NOTICE_WORDS:
+                        known += x
+                if knows[j] and known >= (least - 1e-6) ** 2 * square:
+                    score, name = self.best(count, self.notices, NOTICE_WORDS, least)
+                    if score >= least:
+                        runs.append((-score, j - i, i, j, name))
+        found: dict[str, float] = {}
+        taken: set[int] = set()
+        for minus, _, i, j, name in sorted(runs):
+            if taken.isdisjoint(range(i, j + 1)):
+                taken.update(range(i, j + 1))
+                found[name] = max(-minus, found.get(name, 0))
+        return found
+
+
+def _scan(shared, header: float, file: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = shared.value
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                found: dict[str, float] = {}
-                total: list[str] = []
-                hopeful = 0
-                for line in (text or "").split("\n"):
-                    words = words_of(line)
-                    total += words
-                    known = VOCABULARY.intersection(words)
-                    if len(known) >= 3 and 2 * len(known) >= len(set(words)):
-                        score, name = templates.best(words)
-                        hopeful += len(words)
-                        if score >= header:
-                            found[name] = max(score, found.get(name, 0))
+                lines = [words_of(line) for line in (text or "").split("\n")]
+                found = templates.headers(lines, header)
                 top = min(found, key=lambda x: (-found[x], x)) if found else None
-                whole = templates.best(total) if 4 * hopeful >= len(total) > 0 else (0.0, "")
+                whole = templates.best(Counter(w for words in lines for w in words), templates.whole, VOCABULARY, file)
                 rows.append((top, found.get(top, 0.0), sorted(found), whole[1] or None, whole[0]))
             names = [c for c in batch.schema.names if c != "text"]
             kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.string(), pa.float64())
@@ -120,9 +156,10 @@ def ancestors(directory: Column) -> Column:
 def licence_scan(docs: DataFrame, header: float = HEADER, file: float = FILE, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """The licence of each document and where it comes from.
 
-    Every line of every whole text is held against the templates, by the cosine of TF-IDF vectors whose document
-    frequencies are counted over all documents. The best line of at least header is the document's own licence (source
-    header). A text that as a whole reaches file is a licence file, and applies to its directory; of several in
+    Every line and every run of neighbouring lines is held against notices, and every whole text against notices and
+    whole licences, by the cosine of TF-IDF vectors whose document frequencies are counted over all documents. Runs are
+    of up to twice as many words as the longest notice has, and end at lines without words. The best line or run of at
+    least header is the document's own licence (source header). A text that as a whole reaches file is a licence file, and applies to its directory; of several in
     one directory the one with the best score, then the least path and name, does. Documents without a header take the
     licence of the nearest directory on their path that has one (source inherited), else none (nulls).
     Null texts and paths count as empty; rows may repeat. Other columns are ignored.
@@ -134,7 +171,7 @@ def licence_scan(docs: DataFrame, header: float = HEADER, file: float = FILE, id
     counted = rows.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # words of templates only
     frequency = {r["word"]: r["n"] for r in counted}
     shared = spark.sparkContext.broadcast(Templates(frequency, frequency.get("", 0)))
-    scanned = rows.mapInArrow(_scan(shared, header), "doc_id long, path string, header string, header_score double, headers array<string>, file string, file_score double")
+    scanned = rows.mapInArrow(_scan(shared, header, file), "doc_id long, path string, header string, header_score double, headers array<string>, file string, file_score double")
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
     scanned = t.staged(scanned.withColumn("dir", directory), "scanned")
     best = F.min(F.struct((-F.col("file_score")).alias("minus"), "path", "file")).alias("best")
