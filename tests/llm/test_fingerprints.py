@@ -2,6 +2,7 @@ import hashlib
 import re
 import struct
 
+import pytest
 import xxhash
 
 from tideglass.llm import queries as q
@@ -111,3 +112,14 @@ def test_whole_licences_and_wrapped_notices(spark):
         assert got[i].licence_file and (got[100 + i].licence, got[100 + i].source) == (name, "inherited"), (name, got[i], got[100 + i])
     assert got[200].headers == got[201].headers == ["GPL-3.0"]
     assert all(got[1000 + i].licence is None for i in range(300))
+
+
+@pytest.mark.parametrize("text", ["Это обычный рассказ о море и людях у берега", "هذه قصة عن البحر والناس على الشاطئ البعيد", "这是一个关于大海和海边人们的故事", "これは海と人々の物語です"])
+def test_a_notice_in_a_text_beyond_ascii_makes_no_licence_file(spark, text):
+    from tideglass.llm import licences
+
+    lines = "\n".join(f"{text} {text[i % 7:]}" for i in range(60))
+    rows = [(1, "r/story.txt", f"{lines}\nLicensed under CC BY 4.0.\n{lines}"), (2, "r/other.txt", lines)]
+    got = {r.doc_id: r for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert (got[1].licence, got[1].source, got[1].licence_file) == ("CC-BY-4.0", "header", False)
+    assert got[2].licence is None

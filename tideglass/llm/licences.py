@@ -37,7 +37,8 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-WORD = re.compile(r"[0-9a-z]+(?:[.-][0-9a-z]+)*")
+ONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"  # scripts without blanks between words: each letter counts
+WORD = re.compile(rf"[{ONE}]|[^\W_{ONE}]+(?:[.-][^\W_{ONE}]+)*")
 HEADER, FILE = 0.8, 0.6  # least cosine of a line, and of a whole text that is a licence file
 
 
