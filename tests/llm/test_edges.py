@@ -55,3 +55,14 @@ def test_a_line_in_most_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {r.doc_id: (r.n_lines, r.n_dropped, brute.sha(r.kept)) for r in ld.line_dedup(df).collect()}
     assert got == brute.line_dedup(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_a_repeated_row_with_a_text_of_its_own(spark, parts):
+    own, twice = " ".join(f"own{i}" for i in range(300)), " ".join(f"again{i % 100}" for i in range(300))
+    rows = [(1, own), (2, twice), (3, " ".join(f"other{i}" for i in range(300))), (4, twice + " and more")]
+    df = spark.createDataFrame([*rows, *rows[:3], *rows[:3]], "doc_id long, text string").repartition(parts)
+    out = sd.substring_dedup(df).collect()
+    assert len(out) == 10 and {r.doc_id: (r.n_words, sum(r.ends) - sum(r.starts), brute.sha(bytes(r.kept))) for r in out} == brute.substring_dedup(rows)
+    out = xd.suffix_array_dedup(df).collect()
+    assert len(out) == 10 and {r.doc_id: (r.n_bytes, sum(r.ends) - sum(r.starts), len(r.starts), brute.sha(bytes(r.kept))) for r in out} == brute.suffix_dedup(rows)

@@ -28,6 +28,12 @@ def _windows(block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes[at], owner[at], at - first[owner[at]]
 
 
+def _later(h: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which of the windows, sorted by hash, document and start, are not at their hash's first place; rows alike in id and text have the same places."""
+    head = np.maximum.accumulate(np.where(np.concatenate(([True], h[1:] != h[:-1])), np.arange(len(h)), 0))
+    return (doc != doc[head]) | (tag != tag[head]) | (start != start[head])
+
+
 def _ship(n_buckets: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _ in blocks(batches):
@@ -40,8 +46,9 @@ def _ship(n_buckets: int, width: int):
             hashes, owner, start = hashes[order], owner[order], start[order]
             head = np.concatenate(([True], hashes[1:] != hashes[:-1]))
             out = list(_dealt(hashes[head], block, owner[head], start[head], n_buckets))
-            if not head.all():  # repeats inside the block are known to go; of each hash only the first has to meet other blocks
-                out += [(-1 - b, p) for b, p in by_document(block.doc[owner[~head]], block.tag[owner[~head]], start[~head], n_buckets)]
+            goes = _later(hashes, block.doc[owner], block.tag[owner], start)
+            if goes.any():  # repeats inside the block are known to go; of each hash only the first has to meet other blocks
+                out += [(-1 - b, p) for b, p in by_document(block.doc[owner[goes]], block.tag[owner[goes]], start[goes], n_buckets)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary()))], ["bucket", "payload"])
 
     return run
@@ -86,7 +93,7 @@ def _count(n_buckets: int):
             many[:-1] |= same
             pick = order[many]
             pick = pick[np.lexsort((start[pick], tag[pick], doc[pick], h[pick]))]
-            later = pick[1:][h[pick][1:] == h[pick][:-1]]
+            later = pick[_later(h[pick], doc[pick], tag[pick], start[pick])] if len(pick) else pick
             out += by_document(doc[later], tag[later], start[later], n_buckets) if len(later) else []
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "payload": pa.array([p for _, p in out], pa.binary())})
 

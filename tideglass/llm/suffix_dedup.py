@@ -174,14 +174,15 @@ def suffix_array_dedup(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR
     runs = t.staged(rows.where(F.octet_length("text") >= width).mapInArrow(_runs(width, anchor), RUNS), "runs")
     often = t.staged(runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "often")  # a table of its own: Spark then splits a frequent anchor's side of the join
     runs = t.staged(runs.join(often, "anchor"), "runs")
-    distinct = runs.groupBy("anchor", "run").agg(F.count("*").alias("c"), F.min(F.struct("doc", "tag", "first", "n", "gap")).alias("at"))
-    distinct = t.staged(distinct.select("anchor", "run", "c", "at.*"), "passages")
+    place = F.struct("doc", "tag", "first")  # rows alike in id and text have the same places
+    distinct = runs.groupBy("anchor", "run").agg((F.min(place) != F.max(place)).alias("again"), F.min(F.struct("doc", "tag", "first", "n", "gap")).alias("at"))
+    distinct = t.staged(distinct.select("anchor", "run", "again", "at.*"), "passages")
     mixed = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor", (F.col("kinds") > HOT_ANCHOR).alias("hot"))
     mixed = t.staged(mixed, "mixed")
     wanted = distinct.join(mixed, "anchor").groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "n", "gap", "anchor", "run", "hot")).alias("wanted"))
     pieces = rows.join(wanted, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("text", "wanted").mapInArrow(_passages(width), PIECES)
     found = pieces.repartition(t.buckets(docs.sparkSession), "grp").sortWithinPartitions("grp").mapInArrow(_repeats(width), "run long, spans binary")
-    whole = distinct.where("c > 1").select("run", F.lit(None).cast("binary").alias("spans"))
+    whole = distinct.where("again").select("run", F.lit(None).cast("binary").alias("spans"))
     found = whole.union(found.join(whole.select("run"), "run", "left_anti"))
     hits = runs.join(found, "run").groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "n", "spans")).alias("hits"))
     joined = rows.join(hits, ["doc", "tag"], "left").select(t.id_back().alias("doc_id"), "text", "hits")
