@@ -87,3 +87,13 @@ def test_shared_words_are_segmented_once_and_fit_their_room(spark, monkeypatch):
     assert 0 < len(some) < len(n) and min(r.n for r in some) >= 4
     assert {r.id: r.ids for r in pieces.piece_ids(spark.createDataFrame(rows, "doc_id long, text string"), q.piece_model()).collect()} == {i: pieces.processor(q.piece_model()).encode(t) for i, t in rows}
     assert pieces.piece_ids(spark.createDataFrame([], "doc_id long, text string"), q.piece_model()).collect() == []
+
+
+def test_language_of_texts_shorter_than_an_n_gram(spark):
+    from tideglass.llm import langid
+
+    train = spark.createDataFrame([("Re. A. the cat and a dog of the house. A. Re. " * 20, "en"), ("le chat de la maison de les chiens. De. " * 20, "fr")], "text string, lang string")
+    df = spark.createDataFrame([(0, "Re."), (1, "A."), (2, "De."), (3, "a"), (4, "."), (5, "")], "id long, text string")
+    got = {r.id: (r.lang_pred, r.score) for r in langid.predict(df, langid.fit(train)).collect()}
+    assert [got[i][0] for i in range(6)] == ["en", "en", "fr", "en", "und", "und"]
+    assert all(got[i][1] >= 0.1 for i in range(4)) and got[4][1] == got[5][1] == 0

@@ -32,18 +32,22 @@ FOLD = _fold()
 
 
 def _grams(block) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams as numbers, with their document, for all places where a letter stands and no document ends."""
+    """n-grams as numbers, with their document, for all places but two blanks; a text has a blank before it and GRAM - 1 behind it, so that one letter is enough."""
     data = FOLD[block.data]
     # upper-case letters of the two-byte Latin, Greek and Cyrillic blocks that differ from the lower case by 32 in the second byte
     upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1 if len(data) > 1 else np.zeros(0, np.int64)
     data[upper] += 32
+    sizes = np.diff(block.off)
+    padded = np.full(len(data) + GRAM * len(block), 32, np.uint8)
+    padded[np.arange(len(data)) + np.repeat(np.arange(len(block)) * GRAM + 1, sizes)] = data
+    data = padded
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     g = np.zeros(n, np.uint64)
     for j in range(GRAM):
         g = (g << np.uint64(8)) | data[j : n + j]
-    owner = np.repeat(np.arange(len(block)), np.diff(block.off))
+    owner = np.repeat(np.arange(len(block)), sizes + GRAM)
     inside = owner[:n] == owner[GRAM - 1 :]
     blank = (data[:n] == 32) & (data[1 : n + 1] == 32)
     inside &= ~blank
