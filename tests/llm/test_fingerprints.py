@@ -21,32 +21,43 @@ def _chain(values):
     return h
 
 
-def anchors(text, k=5, s=2, most=64):
+def anchors(text, k=5, s=2):
+    """(hash, place) of the distinct syncmers at their first places."""
     if not text:
-        return []
+        return {}
     w = [_x(x) for x in re.split("[ \t-\r]+", text)]
+    found = []
     if len(w) < k:
-        return [_chain(w)]
+        found = [(_chain(w), 0)]
     inner = [_chain(w[i : i + s]) for i in range(len(w) - s + 1)]
-    out = []
     for i in range(len(w) - k + 1):
         h = inner[i : i + k - s + 1]
         if min(h) in (h[0], h[-1]):
-            out.append(_chain(w[i : i + k]))
-    out = list(dict.fromkeys(out))
-    keep = set(sorted(out)[:most])
-    return [h for h in out if h in keep]
+            found.append((_chain(w[i : i + k]), i))
+    out = {}
+    for h, i in found:
+        out.setdefault((h & (2**64 - 1)) >> 24, i)
+    return out
 
 
-def like(a, b, most=64):
-    if not a or not b:
-        return float(not a and not b)
-    u = sorted(set(a) | set(b))[:most]
-    return len(set(a) & set(b) & set(u)) / len(u)
+def like(a, b):
+    if not a and not b:
+        return 1.0
+    pairs = sorted((a[h], b[h]) for h in a if h in b)
+    runs = []
+    for i, j in pairs:
+        if runs and runs[-1][-1][0] - runs[-1][-1][1] == i - j:
+            runs[-1].append((i, j))
+        else:
+            runs.append([(i, j)])
+    best = []
+    for r in runs:
+        best.append((r[-1][1], len(r) + max((n for last, n in best if last < r[0][1]), default=0)))
+    return 2 * max((n for _, n in best), default=0) / (len(a) + len(b))
 
 
 def _hex(found):
-    return "".join(f"{(h & (2**64 - 1)) >> 32:08x}" for h in found)
+    return "".join(f"{h:010x}{i:06x}" for i, h in sorted((i, h) for h, i in found.items()))
 
 
 def _want(rows):
@@ -61,15 +72,12 @@ def _want(rows):
     return out
 
 
-def test_fingerprints_equal_brute_force(spark, sf_dir, monkeypatch):
-    from tideglass.llm import syncmers
-
-    monkeypatch.setattr(syncmers, "ROWS_TOGETHER", 64)
+def test_fingerprints_equal_brute_force(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     rows = q.op9_syncmer_fingerprints(spark, sf_dir).collect()
     got = {r[0]: tuple(r)[1:] for r in rows}
     assert got == _want(docs)
-    assert sum(r.near_edited for r in rows) / len(rows) > 0.2 > 0.1 > sum(r.near_next for r in rows) / len(rows)
+    assert sum(r.near_edited for r in rows) / len(rows) > 0.3 > 0.1 > sum(r.near_next for r in rows) / len(rows)
 
 
 def test_few_and_odd_documents(spark, tmp_path):
@@ -78,6 +86,41 @@ def test_few_and_odd_documents(spark, tmp_path):
         assert {r[0]: tuple(r)[1:] for r in q.op9_syncmer_fingerprints(spark, f"{tmp_path}/{i}").collect()} == _want(rows)
 
 
+def _alike(spark, a, b):
+    from tideglass.llm import syncmers
+
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    got = df.select(syncmers.likeness(syncmers.anchors(df.a), syncmers.anchors(df.b))).first()[0]
+    assert got == like(anchors(a), anchors(b))
+    return got
+
+
+def test_places_decide_and_no_anchor_is_left_out(spark):
+    parts = [" ".join(f"w{p}x{i}" for i in range(2000)) for p in range(4)]
+    whole = " ".join(parts)
+    assert _alike(spark, whole, whole) == 1.0
+    assert _alike(spark, whole, "new words in front of it " + whole) > 0.99
+    assert 0.2 < _alike(spark, whole, " ".join(reversed(parts))) < 0.3  # one part of four stays in order
+    assert 0.7 < _alike(spark, whole, " ".join([parts[1], parts[0], *parts[2:]])) < 0.8
+    other = " ".join(f"v{i}" for i in range(8000))
+    assert 0.005 < _alike(spark, whole, other + " " + " ".join(parts[2].split()[100:180])) < 0.015  # 80 shared words of 8000
+
+
+def test_one_outlying_id_spoils_no_range(spark):
+    from tideglass.llm import syncmers
+
+    rows = spark.range(20_000).union(spark.createDataFrame([(10**15,)], "id long"))
+    rows = rows.selectExpr("id as doc", "0 as tag", "concat('text of ', id) as text")
+    bounds = [r[0] for r in syncmers.with_next(rows).select("doc").collect()]
+    assert len(bounds) == 20_001
+    n = syncmers.RANGES_EACH * 8
+    cut = rows.selectExpr(f"percentile_approx(doc, array({', '.join(str(i / n) for i in range(1, n))}), {10 * n + 10_000}) as b").first().b
+    df = rows.select(syncmers._range_of(rows.doc, syncmers.F.array(*map(syncmers.F.lit, sorted(set(cut))))).alias("r"))
+    assert df.groupBy("r").count().agg({"count": "max"}).first()[0] < 3 * 20_000 / n
+    got = {r.doc: r.next_text for r in syncmers.with_next(rows).collect()}
+    assert got[10**15] == "text of 19999" and got[5] == "text of 4" and got[0] == f"text of {10**15}"
+
+
 def test_licences(spark, sf_dir):
     from tideglass.llm.licences import licence_scan
 

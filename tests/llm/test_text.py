@@ -97,3 +97,38 @@ def test_language_of_texts_shorter_than_an_n_gram(spark):
     got = {r.id: (r.lang_pred, r.score) for r in langid.predict(df, langid.fit(train)).collect()}
     assert [got[i][0] for i in range(6)] == ["en", "en", "fr", "en", "und", "und"]
     assert all(got[i][1] >= 0.1 for i in range(4)) and got[4][1] == got[5][1] == 0
+
+
+def _summary(found):
+    return {r.doc_id: (r.n_words, sum(r.ends) - sum(r.starts), len(r["items"]), brute.sha(",".join(r["items"])), bool(r.starts)) for r in found.collect()}
+
+
+def test_a_benchmark_in_several_automata(spark, sf_dir, docs):
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    table, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    one = {r.doc_id: r for r in decontaminate.benchmark_hits(table, bench, carry=("lang",)).collect()}
+    several = {r.doc_id: r for r in decontaminate.benchmark_hits(table, bench, carry=("lang",), max_words=20_000).collect()}
+    assert one == several and _summary(decontaminate.benchmark_hits(table, bench, max_words=20_000)) == brute.decontaminate(docs, items)
+
+
+def test_a_benchmark_of_4_mb(spark):
+    """Each automaton holds its share of the windows only."""
+    words = [f"w{i * 7919 % 50_021}x" for i in range(3_000)]
+    bench = spark.range(200).selectExpr("id as item_id", "array_join(transform(sequence(0, 2999), i -> concat('w', pmod(i * 7919 + id * 104729, 1000003), 'x')), ' ') as text")
+    rows = [(1, " ".join(words[:40])), (2, " ".join(f"w{(i * 7919 + 150 * 104729) % 1000003}x" for i in range(100, 130))), (3, None), (4, "")]
+    found = {r.doc_id: r for r in decontaminate.benchmark_hits(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert found[2].n_words == 30 and "150" in found[2]["items"] and (found[2].starts, found[2].ends) == ([0], [30])
+    assert found[3].n_words == found[4].n_words == 0 and found[1].n_words == 40
+
+
+@pytest.mark.parametrize("columns", ["starts", "_key", "h"])
+def test_decontamination_of_empty_tables_and_odd_columns(spark, columns):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, None), (2, "")], "doc_id long, text string")
+    item = spark.createDataFrame([("a", "two three"), ("b", "one two")], "item_id string, text string")
+    for n in (1_000, 2):
+        got = decontaminate.benchmark_hits(rows.withColumn(columns, F.lit("x")), item, max_words=n).orderBy("doc_id").collect()
+        assert [(r.doc_id, r.n_words, r.starts, r.ends, r["items"]) for r in got] == [(None, 0, [], [], []), (1, 3, [0], [3], ["a", "b"]), (1, 3, [0], [3], ["a", "b"]), (2, 0, [], [], [])]
+        assert decontaminate.benchmark_hits(rows.where("false"), item, max_words=n).count() == 0
+        assert {tuple(r.starts) for r in decontaminate.benchmark_hits(rows, item.where("false"), max_words=n).collect()} == {()}

@@ -39,6 +39,7 @@ TEMPLATES = (
 )
 ONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"  # scripts without blanks between words: each letter counts
 WORD = re.compile(rf"[{ONE}]|[^\W_{ONE}]+(?:[.-][^\W_{ONE}]+)*")
+RARE, MOST_WORDS = 1e-3, 300_000
 HEADER, FILE = 0.8, 0.6  # least cosine of a line, and of a whole text that is a licence file
 
 
@@ -60,27 +61,51 @@ VOCABULARY = NOTICE_WORDS.union(*(words_of(text) for _, text in TEXTS))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents each word is, summed over a good part of the task before it leaves; the empty word counts documents."""
+
+    def flush() -> pa.RecordBatch:
+        words, counts = list(seen), list(seen.values())
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
+
     seen: Counter = Counter()
-    n = 0
     for batch in batches:
-        n += len(batch)
+        seen[""] += len(batch)
         for text in batch.column("text").to_pylist():
-            seen.update(VOCABULARY.intersection(words_of(text or "")))
-    words = [*seen, ""]
-    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([*seen.values(), n], pa.int64())], ["word", "n"])
+            seen.update(set(words_of(text or "")))
+            if len(seen) > 1 << 19:
+                yield flush()
+    yield flush()
+
+
+def weights_of(rows: DataFrame) -> tuple[dict[str, float], float]:
+    """Inverse document frequencies of words, and that of all words rarer than these.
+
+    Counted over all documents and all words. Words in fewer than RARE of the documents weigh as if in just so many, so
+    the others are at most the mean number of distinct words in a document over RARE. Should they be more than MOST_WORDS all
+    the same (books), the share doubles until they aren't.
+    """
+    counted = t.staged(rows.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequencies")
+    n_docs = counted.where("word = ''").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    share = RARE
+    words = counted.where("word <> ''")
+    while (often := words.where(F.col("n") >= share * n_docs)).limit(MOST_WORDS + 1).count() > MOST_WORDS:
+        share *= 2
+    weight = lambda n: math.log((1 + n_docs) / (1 + max(n, share * n_docs))) + 1e-3
+    held = often.toArrow()
+    return dict(zip(held.column("word").to_pylist(), map(weight, held.column("n").to_pylist()))), weight(0)
 
 
 class Templates:
-    """Template vectors and the weights of words; a word that no template has weighs as one found in a single document."""
+    """Template vectors by the weights of words."""
 
-    def __init__(self, frequency: dict[str, int], n_docs: int):
-        self.other = math.log(1 + n_docs)
-        self.weight = {w: math.log((1 + n_docs) / (1 + frequency.get(w, 0))) + 1e-3 for w in VOCABULARY}
+    def __init__(self, weight: dict[str, float], other: float):
+        self.weight, self.other = weight, other
         self.notices = [self._unit(*x) for x in TEMPLATES]
         self.whole = [*self.notices, *(self._unit(*x) for x in TEXTS)]
 
     def _unit(self, name: str, text: str) -> tuple[str, dict[str, float]]:
-        v = {w: c * self.weight[w] for w, c in Counter(words_of(text)).items()}
+        v = {w: c * self.weight.get(w, self.other) for w, c in Counter(words_of(text)).items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return name, {w: x / norm for w, x in v.items()}
 
@@ -158,7 +183,9 @@ def licence_scan(docs: DataFrame, header: float = HEADER, file: float = FILE, id
     """The licence of each document and where it comes from.
 
     Every line and every run of neighbouring lines is held against notices, and every whole text against notices and
-    whole licences, by the cosine of TF-IDF vectors whose document frequencies are counted over all documents. Runs are
+    whole licences, by the cosine of TF-IDF vectors whose document frequencies are counted over all words of all documents (see
+    weights_of). What can't reach the least cosine is left before it is worked out: a cosine is never above the share of the templates'
+    words in the norm. Runs are
     of up to twice as many words as the longest notice has, and end at lines without words. The best line or run of at
     least header is the document's own licence (source header). A text that as a whole reaches file is a licence file, and applies to its directory; of several in
     one directory the one with the best score, then the least path and name, does. Documents without a header take the
@@ -169,9 +196,7 @@ def licence_scan(docs: DataFrame, header: float = HEADER, file: float = FILE, id
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("text"))
-    counted = rows.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # words of templates only
-    frequency = {r["word"]: r["n"] for r in counted}
-    shared = spark.sparkContext.broadcast(Templates(frequency, frequency.get("", 0)))
+    shared = spark.sparkContext.broadcast(Templates(*weights_of(rows)))  # MOST_WORDS words at most
     scanned = rows.mapInArrow(_scan(shared, header, file), "doc_id long, path string, header string, header_score double, headers array<string>, file string, file_score double")
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
     scanned = t.staged(scanned.withColumn("dir", directory), "scanned")
