@@ -11,7 +11,7 @@ def plain(rows):
     """own licence and headers, and the licence of the whole text, from every cosine."""
     n = len(rows)
     df = Counter(w for _, text in rows for w in set(lic.words_of(text or "")))
-    weight = lambda w: math.log((1 + n) / (1 + max(df[w], lic.RARE * n))) + 1e-3
+    weight = lambda w: math.log((1 + n) / (1 + max(df[w], lic.RARE * n))) + 1
 
     def vector(words):
         v = {w: c * weight(w) for w, c in Counter(words).items()}

@@ -79,7 +79,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def weights_of(rows: DataFrame) -> tuple[dict[str, float], float]:
-    """Inverse document frequencies of words, and that of all words rarer than these.
+    """Inverse document frequencies of words (smoothed: 1 for a word of every document), and that of all words rarer than these.
 
     Counted over all documents and all words. Words in fewer than RARE of the documents weigh as if in just so many, so
     the others are at most the mean number of distinct words in a document over RARE. Should they be more than MOST_WORDS all
@@ -91,7 +91,7 @@ def weights_of(rows: DataFrame) -> tuple[dict[str, float], float]:
     words = counted.where("word <> ''")
     while (often := words.where(F.col("n") >= share * n_docs)).limit(MOST_WORDS + 1).count() > MOST_WORDS:
         share *= 2
-    weight = lambda n: math.log((1 + n_docs) / (1 + max(n, share * n_docs))) + 1e-3
+    weight = lambda n: math.log((1 + n_docs) / (1 + max(n, share * n_docs))) + 1
     held = often.toArrow()
     return dict(zip(held.column("word").to_pylist(), map(weight, held.column("n").to_pylist()))), weight(0)
 
