@@ -134,9 +134,9 @@ def line_bitmaps(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int =
     streamed. Keys with more rows than a quarter of a partition's share - at most four for each partition -
     are counted with map-side sums beforehand; their rows are salted and carry the outcome along.
     """
-    spark = docs.sparkSession
-    n = t.buckets(spark)
-    lines = t.staged(t.keyed(docs, id_col, text_col).mapInArrow(_keys(min_points), LINES), "lines")
+    rows = t.keyed(docs, id_col, text_col)
+    n = t.buckets_for(rows)
+    lines = t.staged(rows.mapInArrow(_keys(min_points), LINES), "lines")
     share = max(1000, lines.count() // (4 * n))
     hot = lines.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > share).select("h")
     hot = t.staged(hot, "hot")  # fewer rows than 4 n

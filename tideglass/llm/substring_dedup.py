@@ -133,13 +133,15 @@ def substring_dedup(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id"
     Earlier means a smaller id, or the same document and an earlier start; a null id comes first. Words are
     runs of bytes other than space and \\t to \\r. Windows are judged on the input. Every window's 64-bit
     Rabin-Karp hash goes to the range of hashes it falls in, with all equal ones of a task's block first
-    reduced to one, so a passage held by a third of all rows costs a row a block. Null and empty texts have
+    reduced to one, so a passage held by a third of all rows costs a row a block - of some 150,000 windows that
+    every block sends - in the buckets of its windows, each of which has a hash of its own. Buckets are as many as the bytes of
+    text ask for (see tables.buckets_for). Windows are compared by hash alone. Null and empty texts have
     no words. Rows alike in id and text count as one document. Other columns are ignored.
 
     Returns doc_id, n_words, starts and ends (removed word ranges, maximal), kept (words joined by a space).
     """
-    n = t.buckets(docs.sparkSession)
     rows = t.keyed(docs, id_col, text_col)
+    n = t.buckets_for(rows)
     shipped = rows.where(F.octet_length("text") >= 2 * width - 1).mapInArrow(_ship(n, width), PACKED)
     doomed = shipped.groupBy("bucket").applyInArrow(_count(n), PACKED)
     spans = doomed.groupBy("bucket").applyInArrow(_merged(width), "doc long, tag int, spans binary")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 NO_ID = -(1 << 63)
-_own: dict[str, str] = {}
+_own: list[tempfile.TemporaryDirectory] = []
+_made: list[str] = []
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,21 +29,37 @@ def id_back(doc: str | Column = "doc") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (local tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset, on a local master only, one of our own that goes with the driver."""
+    conf = spark.sparkContext.getConf()
+    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not found:
-        app = spark.sparkContext.applicationId
-        found = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-tideglass-"))
+        if not conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.TemporaryDirectory(prefix="spark-tideglass-", ignore_cleanup_errors=True))
+            atexit.register(_own[0].cleanup)
+        found = "file://" + _own[0].name
     return found
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/tideglass/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep_away(spark: SparkSession) -> int:
+    """Delete all that this driver has staged, once no result that reads it is needed any more; returns how many tables."""
+    n = len(_made)
+    for path in _made:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made.clear()
+    return n
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
@@ -52,6 +70,15 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+BUCKET_BYTES = 64 << 20
+
+
+def buckets_for(rows: DataFrame) -> int:
+    """As many buckets as there are shuffle partitions, or more, so that each has BUCKET_BYTES of text at most whatever that setting is. rows is read once for it."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(buckets(rows.sparkSession), -(-size // BUCKET_BYTES))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """The least node that each node of edges(u, v) can reach: node, component.
 
