@@ -1,17 +1,50 @@
-"""Tables in the folder that all executors share, and running totals that need them."""
+"""Tables in the folder that all executors share, and exact running totals and quantiles that need them."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or where that is unset (local runs) under one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-tideglass-")
-    return f"{base}/tideglass/{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir; where that is unset, on a local master only, under one of our own.
+
+    What is staged there is needed until results have been read, so it is left for sweep_away() or the cluster's own cleaning.
+    """
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not base:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + _own_folder()
+    path = f"{base}/tideglass/{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+_owned: list[tempfile.TemporaryDirectory] = []
+
+
+def _own_folder() -> str:
+    if not _owned:
+        _owned.append(tempfile.TemporaryDirectory(prefix="spark-tideglass-", ignore_cleanup_errors=True))
+        atexit.register(_owned[0].cleanup)
+    return _owned[0].name
+
+
+def sweep_away(spark: SparkSession) -> int:
+    """Delete all that this driver has staged, once no result that reads it is needed any more; returns how many folders."""
+    n = len(_made)
+    for path in _made:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made.clear()
+    return n
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -21,6 +54,54 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL = 200_000  # distinct values of one key that a single buffer may hold
+
+
+def value_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """A staged table of keys, value and n: how often each key has each value (null among them)."""
+    return staged(rows.groupBy(*keys, value).agg(F.count("*").alias("n")))
+
+
+def few_values(counts: DataFrame, keys: list[str]) -> bool:
+    """Whether no key of value_counts has more than SMALL values."""
+    most = counts.groupBy(*keys).agg(F.count("*").alias("_c")).agg(F.max("_c")).first()[0]
+    return (most or 0) <= SMALL
+
+
+def quantiles(counts: DataFrame, keys: list[str], value: str, fractions: Iterable[float], few: bool | None = None) -> DataFrame:
+    """keys and q: the exact quantiles at the fractions, between two values as far as the place falls between their rows.
+
+    counts is one row for each key and value, with n; nulls don't count. Keys with few values (checked, or told by few) are settled
+    in one buffer each. Else values are range-partitioned, and running totals over the ranges give each value its place, so that no
+    task holds all values of a key.
+    """
+    fractions = [float(f) for f in fractions]
+    rows = counts.where(F.col(value).isNotNull())
+    if few_values(rows, keys) if few is None else few:
+        return rows.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, fractions)), F.col("n").cast("long")).alias("q"))
+    one = F.struct(*keys).alias("_keys")
+    above = running_totals(rows.select(one, F.col(value).cast("double").alias("_v"), F.col("n").cast("double").alias("n")), "_keys", "_v", ["n"])
+    total = above.groupBy("_keys").agg(F.max("n").alias("total")).withColumnRenamed("_keys", "_of")
+    placed = above.join(total, F.col("_keys").eqNullSafe(F.col("_of"))).withColumn("_first", F.col("total") - F.col("n"))  # place of its first row, from below
+    found = []
+    for f in fractions:
+        at = f * (F.col("total") - 1)
+        low, high = (F.max(F.when(F.col("_first") <= side(at), F.col("_v"))) for side in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        found.append(F.when(low == high, low).otherwise((1 - part) * low + part * high))
+    return placed.groupBy("_keys").agg(F.array(*found).alias("q")).select("_keys.*", "q")
+
+
+def deviations(counts: DataFrame, keys: list[str], value: str, middle: DataFrame) -> DataFrame:
+    """Counts of the distances of values to middle(keys, middle), a row for each key."""
+    renamed = middle.select(*(F.col(k).alias(f"_{k}") for k in keys), "middle")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    both = counts.join(F.broadcast(renamed) if set(keys) <= {"feature", "run_key"} else renamed, same)  # features and runs are few, whatever their rows
+    return both.select(*keys, F.abs(F.col(value) - F.col("middle")).alias(value), "n").groupBy(*keys, value).agg(F.sum("n").alias("n"))
+
+
 def running_totals(df: DataFrame, key: str, value: str, terms: list[str]) -> DataFrame:
     """key, value and, for each term, its total over the key's rows with at least this value.
 

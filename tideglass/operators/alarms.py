@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import INF, KEYS, along, safe_score, trailing
+from ..functions.staging import deviations, few_values, quantiles, value_counts
 
 
 def stretch_id(df: DataFrame, breaks: Column, name: str) -> DataFrame:
@@ -24,6 +25,16 @@ def segments(df: DataFrame, mask: str) -> DataFrame:
     return runs.select(*KEYS, number.alias("event_id"), "start_t", "end_t", (F.col("end_t") - F.col("start_t")).alias("length"))
 
 
+def sequences_of(flat: DataFrame, key: str = "run_key") -> DataFrame:
+    """Sequences from a flat run of scores(run_key, t): maximal stretches of rows with a score, numbered from 0, with t from 0 in each."""
+    score = safe_score()
+    rows = flat.withColumn("score", score).withColumn("_gap", F.abs("score") >= F.lit(INF))
+    w = Window.partitionBy(key).orderBy("t")
+    rows = rows.withColumn("_new", (~F.col("_gap") & F.coalesce(F.lag("_gap").over(w), F.lit(True))).cast("long"))
+    rows = rows.withColumn("sequence_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).where(~F.col("_gap"))
+    return rows.withColumn("t", F.row_number().over(Window.partitionBy(key, "sequence_id").orderBy("t")).cast("long") - 1).drop("_gap", "_new")
+
+
 def finite_stretches(df: DataFrame) -> DataFrame:
     """stretch: rows of it follow each other without a missing score; rows without a score (gap) stand apart."""
     df = df.withColumn("score", safe_score()).withColumn("gap", F.col("score") == F.lit(-INF))
@@ -70,11 +81,13 @@ def predict(df: DataFrame, threshold: float | Column, strict: bool = True, score
 
 
 def robust_scale(df: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """1.4826 times the median distance to the median of the scores there are; 1e-12 at least."""
+    """1.4826 times the median distance to the median of the scores there are; 1e-12 at least. Exact, and counted when this is called."""
     rows = df.select(*keys, safe_score(score).alias("_s")).where(F.abs("_s") < F.lit(INF))
-    med = rows.groupBy(*keys).agg(F.median("_s").alias("_m"))
-    away = rows.join(med, keys).groupBy(*keys).agg(F.median(F.abs(F.col("_s") - F.col("_m"))).alias("_d"))
-    return away.select(*keys, F.greatest(F.lit(1.4826) * F.col("_d"), F.lit(1e-12)).alias("scale"))
+    counts = value_counts(rows, keys, "_s")
+    few = few_values(counts, keys)
+    middle = quantiles(counts, keys, "_s", [0.5], few).select(*keys, F.col("q")[0].alias("middle"))
+    away = quantiles(deviations(counts, keys, "_s", middle), keys, "_s", [0.5], few)
+    return away.select(*keys, F.greatest(F.lit(1.4826) * F.col("q")[0], F.lit(1e-12)).alias("scale"))
 
 
 def hysteresis(df: DataFrame, on: Column | float, off: Column | float, enter: int = 1, leave: int = 1, score: str = "decision") -> DataFrame:

@@ -2,38 +2,114 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
+from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import KEYS, along, finite, finite_or_null
+from ..functions.columns import INF, KEYS, along, clip, numeric
+from ..functions.staging import deviations, few_values, quantiles, staged, value_counts
 
 
 def long_form(df: DataFrame, features: list[str]) -> DataFrame:
     """feature, value: one row for each cell; what isn't finite is null."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), finite_or_null(c).alias("value")) for c in features))).alias("x")
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), numeric(c).alias("value")) for c in features))).alias("x")
     return df.select(pairs).select("x.feature", "x.value")
 
 
-def feature_report(df: DataFrame, features: list[str], eps: float = 1e-12) -> DataFrame:
-    """Count, quantiles, spread, zeros and tails of each feature, and the kind of treatment that follows."""
-    cells = long_form(df, features)
-    q = F.percentile("value", F.array(*(F.lit(x) for x in (0.001, 0.005, 0.25, 0.5, 0.75, 0.995, 0.999))))
-    first = cells.groupBy("feature").agg(
-        F.count("*").alias("n_total"), F.count("value").alias("n_finite"), q.alias("q"), F.countDistinct(F.round("value", 12)).alias("n_unique"),
-        F.avg((F.abs("value") <= eps).cast("double")).alias("zero_frac"),
-    )
-    first = first.select("*", *(F.col("q")[i].alias(n) for i, n in enumerate(("q001", "q005", "q25", "median", "q75", "q995", "q999")))).drop("q")
-    second = cells.join(F.broadcast(first.select("feature", "median", "q995", "q005")), "feature").groupBy("feature").agg(
-        F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"), F.avg((F.col("value") > F.col("q995")).cast("double")).alias("mass_high"), F.avg((F.col("value") < F.col("q005")).cast("double")).alias("mass_low"),
+@dataclass(frozen=True)
+class Policy:
+    """How features are judged and scaled."""
+
+    q_ref: float = 0.995  # tails: jump from here
+    q_top: float = 0.999  # to here
+    max_tail_mass: float = 0.01
+    min_jump_ratio: float = 10.0  # in interquartile ranges
+    min_jump: float = 0.0
+    side: str = "both"  # upper, lower, both
+    extreme: str = "ffill"  # none, nan, ffill: what becomes of values beyond the cutoffs
+    const_abs: float = 1e-8
+    const_rel: float = 1e-6
+    const_unique: int = 2
+    decimals: int = 12
+    zero_inflated: bool = True
+    zero_frac: float = 0.5
+    zero_eps: float = 0.0
+    min_nonzero: int = 8
+    min_nonzero_frac: float = 0.01
+    indicator: bool = True
+    asinh: bool = True
+    asinh_tail: float = 6.0
+    asinh_q: float = 0.99
+    asinh_mode: str = "median_abs"  # median_abs, p50_abs, p90_abs, iqr
+    asinh_least: float = 1e-6
+    robust: bool = False
+    low_q: float = 25.0
+    high_q: float = 75.0
+    unit_variance: bool = False
+    min_scale: float = 1e-3
+
+    def __post_init__(self):
+        if self.side not in ("upper", "lower", "both") or self.extreme not in ("none", "nan", "ffill") or self.asinh_mode not in ("median_abs", "p50_abs", "p90_abs", "iqr"):
+            raise ValueError(f"no such side, action or mode: {self.side}, {self.extreme}, {self.asinh_mode}")
+        if not 0 < self.low_q < self.high_q < 100:
+            raise ValueError("0 < low_q < high_q < 100 must hold")
+
+
+def feature_counts(df: DataFrame, features: list[str]) -> DataFrame:
+    """How often each feature has each value: a staged table from which all its statistics follow."""
+    return value_counts(long_form(df, features), ["feature"], "value")
+
+
+def report_of(counts: DataFrame, policy: Policy = Policy(), few: bool | None = None) -> DataFrame:
+    """Count, quantiles, spread, zeros and tails of each feature, and the kind of treatment that follows.
+
+    Whether a feature is almost constant is judged on what isn't zero if it has many zeros, and left open if too little is left then
+    (const_support: all, nonzero, insufficient_nonzero). Features without a finite value have no row.
+    """
+    p = policy
+    few = few_values(counts, ["feature"]) if few is None else few
+    some = counts.where("value is not null")
+    zero = F.abs("value") <= p.zero_eps
+    sums = counts.groupBy("feature").agg(F.sum("n").alias("n_total"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("n_finite"), F.coalesce(F.sum(F.when(zero, F.col("n"))), F.lit(0)).alias("zeros")).where("n_finite > 0")
+    nonzero = F.col("n_finite") - F.col("zeros")
+    enough = (nonzero >= p.min_nonzero) & (nonzero / F.col("n_finite") >= p.min_nonzero_frac)
+    inflated = F.lit(p.zero_inflated) & (F.col("zero_frac") >= p.zero_frac)
+    sums = sums.withColumn("zero_frac", F.col("zeros") / F.col("n_finite"))
+    sums = sums.withColumn("const_support", F.when(~inflated, "all").when(enough, "nonzero").otherwise("insufficient_nonzero"))
+    names = ("q_low_top", "q_low", "q25", "median", "q75", "q_high", "q_high_top")
+    q = quantiles(some, ["feature"], "value", (1 - p.q_top, 1 - p.q_ref, 0.25, 0.5, 0.75, p.q_ref, p.q_top), few)
+    first = sums.join(F.broadcast(q), "feature").select("*", *(F.col("q")[i].alias(n) for i, n in enumerate(names))).drop("q")  # a row for each feature
+    tails = some.join(F.broadcast(first.select("feature", "q_low", "q_high")), "feature").groupBy("feature").agg(
+        F.sum(F.when(F.col("value") > F.col("q_high"), F.col("n")).otherwise(0)).alias("n_high"), F.sum(F.when(F.col("value") < F.col("q_low"), F.col("n")).otherwise(0)).alias("n_low")
     )
-    out = first.join(F.broadcast(second), "feature").withColumn("iqr", F.col("q75") - F.col("q25"))
-    limit = F.lit(1e-8) + 1e-6 * F.greatest(F.lit(1.0), F.abs("median"))
-    out = out.withColumn("almost_constant", (F.col("iqr") <= limit) | (F.col("mad") <= limit) | (F.col("n_unique") <= 2))
-    wide = F.greatest("iqr", F.lit(1e-12)) * 10
-    out = out.withColumn("extreme", ((F.col("q999") - F.col("q995") >= wide) & (F.col("mass_high") <= 0.01)) | ((F.col("q005") - F.col("q001") >= wide) & (F.col("mass_low") <= 0.01)))
-    kind = F.when(F.col("almost_constant"), "almost_constant").when(F.col("zero_frac") >= 0.5, "zero_inflated").when(F.col("extreme"), "extreme").otherwise("robust")
-    return out.withColumn("kind", kind)
+    judged = some.join(F.broadcast(first.select("feature", "const_support")), "feature").where((F.col("const_support") == "all") | ((F.col("const_support") == "nonzero") & ~zero)).select("feature", "value", "n")
+    cq = quantiles(judged, ["feature"], "value", (0.25, 0.5, 0.75), few).select("feature", (F.col("q")[2] - F.col("q")[0]).alias("iqr_const"), F.col("q")[1].alias("middle"))
+    mad = quantiles(deviations(judged, ["feature"], "value", cq.select("feature", "middle")), ["feature"], "value", (0.5,), few).select("feature", F.col("q")[0].alias("mad"))
+    unique = judged.groupBy("feature").agg(F.countDistinct(F.round("value", p.decimals)).alias("n_unique"))
+    out = first
+    for more in (tails, cq, mad, unique):
+        out = out.join(F.broadcast(more), "feature", "left")
+    limit = p.const_abs + p.const_rel * F.greatest(F.lit(1.0), F.abs("middle"))
+    constant = (F.col("iqr_const") <= limit) | (F.col("mad") <= limit) | (F.col("n_unique") <= p.const_unique)
+    out = out.withColumns({"iqr": F.col("q75") - F.col("q25"), "mass_high": F.col("n_high") / F.col("n_finite"), "mass_low": F.col("n_low") / F.col("n_finite"), "const_thr": F.coalesce(limit, F.lit(0.0)), "mad": F.coalesce("mad", F.lit(0.0)), "almost_constant": F.coalesce(constant, F.lit(False))})
+
+    def tail(jump: Column, mass: str) -> Column:
+        ratio = F.when(F.col("iqr") > 0, jump / F.col("iqr")).otherwise(F.lit(INF))
+        return (F.col(mass) <= p.max_tail_mass) & (ratio >= p.min_jump_ratio) & (jump >= p.min_jump)
+
+    high, low = tail(F.col("q_high_top") - F.col("q_high"), "mass_high"), tail(F.col("q_low") - F.col("q_low_top"), "mass_low")
+    high, low = (high if p.side != "lower" else F.lit(False)), (low if p.side != "upper" else F.lit(False))
+    out = out.withColumns({"upper_cutoff": F.when(high, F.col("q_high")), "lower_cutoff": F.when(low, F.col("q_low")), "extreme": high | low, "n_extreme": F.when(high, F.col("n_high")).otherwise(0) + F.when(low, F.col("n_low")).otherwise(0)})
+    kind = F.when(F.col("almost_constant"), "almost_constant").when(F.lit(p.zero_inflated) & (F.col("zero_frac") >= p.zero_frac), "zero_inflated").when(F.col("extreme"), "extreme").otherwise("robust")
+    return out.withColumns({"kind": kind, "frac_extreme": F.col("n_extreme") / F.col("n_finite")}).drop("zeros", "n_high", "n_low", "iqr_const", "middle")
+
+
+def feature_report(df: DataFrame, features: list[str], policy: Policy = Policy()) -> DataFrame:
+    """report_of the features' values, in the order almost constant, extreme, share of extreme values (falling), name."""
+    report = report_of(feature_counts(df, features), policy)
+    return report.orderBy(F.desc("almost_constant"), F.desc("extreme"), F.desc("frac_extreme"), "feature")  # a row for each feature
 
 
 @dataclass(frozen=True)
@@ -42,68 +118,129 @@ class Rule:
     kind: str
     center: float
     scale: float
-    asinh: bool
-    asinh_scale: float
-    low: float
-    high: float
+    asinh_scale: float | None  # None: no compression
+    low: float | None
+    high: float | None
+    indicator: bool = False
+    zero_eps: float = 0.0
 
 
-def fit(train: DataFrame, features: list[str], robust: bool = False, min_scale: float = 1e-3) -> list[Rule]:
-    """One rule for each feature, from three aggregates over the training rows; they are the only rows collected."""
-    report = {r["feature"]: r for r in feature_report(train, features).collect()}
-    asinh = {c: (r["q995"] is not None and r["median"] is not None and (r["q995"] - r["median"]) / max(r["iqr"], 1e-12) >= 6) for c, r in report.items()}
-    exprs = []
-    for c in features:
-        x = finite_or_null(c)
-        scale = max(abs(report[c]["median"] or 0.0), 1e-6)
-        x = F.asinh(x / scale) if asinh[c] else x
-        x = F.when(F.abs(finite_or_null(c)) > 1e-12, x) if report[c]["kind"] == "zero_inflated" else x
-        exprs += [F.avg(x).alias(f"{c}__m"), F.stddev_pop(x).alias(f"{c}__s"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q")]
-    got = train.agg(*exprs).first()
+def _without_extremes(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]], action: str) -> DataFrame:
+    """Values beyond a feature's cutoffs become null (nan) or, with ffill, the last good value of the sequence, or at its start the next one."""
+    if action == "none" or not bounds:
+        return df
+    inside = {}
+    for c, (low, high) in bounds.items():
+        x = F.col(c)
+        beyond = F.lit(False)
+        if low is not None:
+            beyond = beyond | (x < low)
+        if high is not None:
+            beyond = beyond | (x > high)
+        inside[c] = F.when(~F.coalesce(beyond, F.lit(False)), x)
+    df = df.withColumns(inside)
+    if action == "nan":
+        return df
+    back, ahead = along().rowsBetween(Window.unboundedPreceding, 0), along().rowsBetween(0, Window.unboundedFollowing)
+    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in bounds})
+
+
+def fit(train: DataFrame, features: list[str], policy: Policy = Policy()) -> list[Rule]:
+    """One rule for each feature, from training rows. The rows are staged once; what reaches the driver is a row for each feature.
+
+    A feature is compressed by asinh if its upper tail is long; scales and centres of features with many zeros are those of what
+    isn't zero. A feature without a finite value is left as it is.
+    """
+    p = policy
+    order = [c for c in (*KEYS, "t") if c in train.columns]
+    train = staged(train.select(*order, *(numeric(c).alias(c) for c in features)))
+    counts = feature_counts(train, features)
+    few = few_values(counts, ["feature"])
+    report = {r["feature"]: r for r in report_of(counts, p, few).collect()}
+    bounds = {c: (r["lower_cutoff"], r["upper_cutoff"]) for c, r in report.items() if r["kind"] == "extreme"}
+    if bounds and p.extreme != "none":
+        train = staged(_without_extremes(train, bounds, p.extreme))
+        counts = staged(counts.where(~F.col("feature").isin(*bounds)).union(feature_counts(train, list(bounds))))
+    kinds = F.create_map(*(F.lit(x) for c, r in report.items() for x in (c, r["kind"]))) if report else F.create_map(F.lit(""), F.lit(""))
+    counts = counts.where("value is not null").withColumn("kind", kinds[F.col("feature")])
+    support = counts.where((F.col("kind") != "zero_inflated") | (F.abs("value") > p.zero_eps))
+    one = ["feature"]
+    by_feature = lambda rows, value, fractions: {r["feature"]: r["q"] for r in quantiles(rows, one, value, fractions, few).collect()}
+    scales: dict[str, float] = {}
+    if p.asinh:
+        spread = by_feature(counts, "value", (0.25, 0.5, 0.75, p.asinh_q))
+        squeezed = [c for c, q in spread.items() if report[c]["kind"] != "almost_constant" and (q[3] - q[1]) / max(q[2] - q[0], 1e-12) >= p.asinh_tail]
+        if squeezed:
+            of = support.where(F.col("feature").isin(*squeezed))
+            if p.asinh_mode == "iqr":
+                scales = {c: q[1] - q[0] for c, q in by_feature(of, "value", (0.25, 0.75)).items()}
+            else:
+                at = 0.9 if p.asinh_mode == "p90_abs" else 0.5
+                sizes = of.select("feature", F.abs("value").alias("value"), "n").groupBy("feature", "value").agg(F.sum("n").alias("n"))
+                scales = {c: q[0] for c, q in by_feature(sizes, "value", (at,)).items()}
+            scales = {c: max(s, p.asinh_least) for c, s in scales.items()}
+    if p.robust:
+        by = F.create_map(*(F.lit(x) for c, s in scales.items() for x in (c, s))) if scales else F.create_map(F.lit(""), F.lit(1.0))
+        moved = support.withColumn("value", F.when(by[F.col("feature")].isNotNull(), F.asinh(F.col("value") / by[F.col("feature")])).otherwise(F.col("value")))
+        found = {c: (q[1], q[2] - q[0]) for c, q in by_feature(moved, "value", (p.low_q / 100, 0.5, p.high_q / 100)).items()}
+        if p.unit_variance:
+            wide = NormalDist().inv_cdf(p.high_q / 100) - NormalDist().inv_cdf(p.low_q / 100)
+            found = {c: (m, s / wide) for c, (m, s) in found.items()}
+    else:
+        exprs = []
+        for i, c in enumerate(features):
+            x = F.asinh(F.col(c) / scales[c]) if c in scales else F.col(c)
+            x = F.when(F.abs(c) > p.zero_eps, x) if c in report and report[c]["kind"] == "zero_inflated" else x
+            exprs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
+        got = train.agg(*exprs).first()
+        found = {c: (got[f"m{i}"], got[f"s{i}"]) for i, c in enumerate(features) if got[f"m{i}"] is not None}
     out = []
     for c in features:
-        r = report[c]
-        m, s, q = got[f"{c}__m"], got[f"{c}__s"], got[f"{c}__q"]
-        center, scale = (q[1], q[2] - q[0]) if robust and q else (m or 0.0, s or 0.0)
-        out.append(Rule(c, r["kind"], center or 0.0, max(scale or 0.0, min_scale), asinh[c], max(abs(r["median"] or 0.0), 1e-6), r["q001"] or 0.0, r["q999"] or 0.0))
+        center, scale = found.get(c, (0.0, 1.0))
+        kind = report[c]["kind"] if c in report else "robust"
+        low, high = bounds.get(c, (None, None))
+        out.append(Rule(c, kind, center, max(scale if scale and scale > 0 else 1.0, p.min_scale), scales.get(c), low, high, kind == "zero_inflated" and p.indicator, p.zero_eps))
     return out
 
 
-def apply(df: DataFrame, rules: list[Rule], mode: str = "train", extreme: str = "ffill") -> DataFrame:
-    """One projection: scaled features; zero-inflated ones become c__is_nonzero and c__mag.
+def apply(df: DataFrame, rules: list[Rule], mode: str = "train", extreme: str = "ffill", clip_at: float | None = None) -> DataFrame:
+    """One projection: x - center of almost constant features, (f(x) - center) / scale of the others, cut off at clip_at on either side.
 
-    extreme: what becomes of values outside the cutoffs of features with extreme tails - none, nan (null) or ffill (the
-    last good value of the sequence, or the next one at its start). Test data keep theirs.
+    Features with many zeros become c__is_nonzero (if their rule says so) and c__mag. extreme is what becomes of values beyond the
+    cutoffs (see Policy); test data keep theirs.
     """
-    act = "none" if mode == "test" else extreme
-    cleaned = {}
-    for r in rules:
-        x = finite_or_null(r.feature)
-        if r.kind == "extreme" and act != "none":
-            x = F.when((x >= r.low) & (x <= r.high), x)
-        cleaned[r.feature] = x
-    df = df.withColumns(cleaned)
-    if act == "ffill":
-        back, ahead = along().rowsBetween(Window.unboundedPreceding, 0), along().rowsBetween(0, Window.unboundedFollowing)
-        df = df.withColumns({r.feature: F.coalesce(F.last(r.feature, ignorenulls=True).over(back), F.first(r.feature, ignorenulls=True).over(ahead)) for r in rules if r.kind == "extreme"})
+    df = df.withColumns({r.feature: numeric(r.feature) for r in rules})
+    df = _without_extremes(df, {r.feature: (r.low, r.high) for r in rules if r.kind == "extreme"}, "none" if mode == "test" else extreme)
     out = []
     for r in rules:
         x = F.col(r.feature)
-        f = (F.asinh(x / r.asinh_scale) if r.asinh else x)
-        if r.kind == "almost_constant":
-            out.append((x - r.center).alias(r.feature))
-        elif r.kind == "zero_inflated":
-            some = F.abs(x) > 1e-12
-            out += [some.cast("double").alias(f"{r.feature}__is_nonzero"), F.when(some, (f - r.center) / r.scale).otherwise(0.0).alias(f"{r.feature}__mag")]
-        else:
-            out.append(((f - r.center) / r.scale).alias(r.feature))
+        y = F.asinh(x / r.asinh_scale) if r.asinh_scale else x
+        y = x - r.center if r.kind == "almost_constant" else (y - r.center) / r.scale
+        y = clip(y, clip_at) if clip_at is not None else y
+        if r.indicator:
+            out.append(F.coalesce(F.abs(x) > r.zero_eps, F.lit(False)).cast("double").alias(f"{r.feature}__is_nonzero"))
+        out.append(y.alias(f"{r.feature}__mag" if r.kind == "zero_inflated" else r.feature))
     rest = [c for c in df.columns if c not in {r.feature for r in rules}]
     return df.select(*rest, *out)
 
 
+def without_features(df: DataFrame, features: list[str], drop: list[str]) -> list[str]:
+    """features without those to drop. Unknown ones among these bring a warning, a missing feature or none left an error."""
+    missing = [c for c in features if c not in df.columns]
+    if missing:
+        raise KeyError(f"no such features: {missing}")
+    unknown = [c for c in drop if c not in features]
+    if unknown:
+        warnings.warn(f"not among the features, so not dropped: {unknown}", stacklevel=2)
+    kept = [c for c in features if c not in set(drop)]
+    if not kept:
+        raise ValueError("no feature is left")
+    return kept
+
+
 def fill_missing(df: DataFrame, feature: str) -> DataFrame:
     """The last value seen, at the start the first to come."""
-    x = finite_or_null(feature)
+    x = numeric(feature)
     back, ahead = along().rowsBetween(Window.unboundedPreceding, 0), along().rowsBetween(0, Window.unboundedFollowing)
     return df.withColumn(feature, x).withColumn(feature, F.coalesce(F.last(feature, ignorenulls=True).over(back), F.first(feature, ignorenulls=True).over(ahead)))
 
@@ -145,6 +282,36 @@ def budget_cut(df: DataFrame, rows: int) -> DataFrame:
     return sizes.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("before") < rows)
 
 
+def chosen_sources(real: DataFrame, synthetic: DataFrame | None, choice: str = "both", extra: DataFrame | None = None) -> DataFrame:
+    """Rows of one or both sources with source, and extra data (train_ext, label 0) behind real training data.
+
+    Columns are matched by name; those that one source lacks are null there.
+    """
+    if choice not in ("real", "synthetic", "both"):
+        raise ValueError(f"no such choice of sources: {choice}")
+    parts = [(real, "real")] if choice != "synthetic" else []
+    parts += [(synthetic, "synthetic")] if choice != "real" and synthetic is not None else []
+    if extra is not None and choice != "synthetic":
+        parts.append((extra.withColumns({"mode": F.lit("train_ext"), "label": F.lit(0).cast("long")}), "real"))
+    return all_of([rows.withColumn("source", F.lit(name)) for rows, name in parts])
+
+
+def all_of(sources: list[DataFrame]) -> DataFrame:
+    """Several sources as one, matched by name; columns that one lacks are null there. One at least."""
+    if not sources:
+        raise ValueError("no sources")
+    out = sources[0]
+    for more in sources[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def window_cap(windows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """The first windows of each sequence by t_end, at most so many."""
+    w = Window.partitionBy(*(keys or KEYS)).orderBy("t_end")
+    return windows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most).drop("_i")
+
+
 def stages(series: DataFrame, source: str = "real", test_on_real: bool = True) -> DataFrame:
     """The rows of one stage from series with mode and source (real or synthetic), with stage and fits_scaler.
 

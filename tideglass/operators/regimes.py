@@ -16,7 +16,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import KEYS, along, trailing
-from .scores import MAX_BANK, dot, unit
+from .scores import dot, top_cosines, unit
 
 KINDS = ("mean", "std", "slope")
 FLOOR = 1e-6
@@ -191,22 +191,18 @@ def step_inconsistency(df: DataFrame, vector: Column, order: list[str], keys: li
 
 
 def knn_novelty_by_regime(queries: DataFrame, bank: DataFrame, k: int = 3) -> DataFrame:
-    """1 - mean of the k largest cosines to the bank of the regime whose centre is nearest.
+    """1 - mean of the k largest cosines to the bank of the regime whose centre is nearest, the query's own vector left out.
 
-    bank has regime, vec_id and embedding; it is what coresets leave, and its size is checked. A centre is the mean of
-    a regime's normalised vectors, ties go to the smallest regime.
+    bank has regime (few), vec_id and embedding, and may be of any size (see top_cosines). A centre is the mean of a regime's
+    normalised vectors, ties go to the smallest regime.
     """
-    n = bank.limit(MAX_BANK + 1).count()
-    if n > MAX_BANK:
-        raise ValueError(f"compress the banks first: more than {MAX_BANK} rows")
     units = bank.select("regime", unit(F.col("embedding")).alias("b"))
     means = units.select("regime", F.posexplode("b").alias("i", "x")).groupBy("regime", "i").agg(F.avg("x").alias("m"))
     centres = means.groupBy("regime").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
-    banks = F.broadcast(units.groupBy("regime").agg(F.collect_list("b").alias("bank")))  # MAX_BANK vectors at most
     all_centres = F.broadcast(centres.agg(F.collect_list(F.struct("regime", "c")).alias("centres")))  # one row
-    q = queries.select("vec_id", unit(F.col("embedding")).alias("q")).crossJoin(all_centres)
+    q = queries.select("vec_id", "embedding", unit(F.col("embedding")).alias("q")).crossJoin(all_centres)
     away = lambda c: F.aggregate(F.zip_with("q", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     nearest = F.array_min(F.transform("centres", lambda c: F.struct(away(c["c"]).alias("away"), c["regime"].alias("regime"))))
-    placed = q.select("vec_id", "q", nearest["regime"].alias("regime")).join(banks, "regime")
-    top = F.slice(F.sort_array(F.transform("bank", lambda b: dot(F.col("q"), b)), asc=False), 1, k)
-    return placed.select("vec_id", "regime", (1 - F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.size(top)).alias("score"))
+    placed = q.select("vec_id", "embedding", nearest["regime"].alias("regime"))
+    found = top_cosines(placed, bank.select("vec_id", "embedding", "regime"), k, ["regime"])
+    return found.groupBy("vec_id", "regime").agg((1 - F.avg("cosine")).alias("score"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import INF, KEYS, along, safe_score, trailing
+from ..functions.staging import deviations, few_values, quantiles, staged, value_counts
 
 
 def channels(df: DataFrame, features: list[str]) -> DataFrame:
@@ -83,12 +88,21 @@ def duration_pool(df: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def robust_location(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Median and 1.4826 MAD; where that is 0 the deviation, else 1."""
+    """Median and 1.4826 MAD; where that is 0 the deviation, else 1. Exact, and counted when this is called."""
     rows = df.select(*keys, safe_score().alias("s")).where(F.abs("s") < F.lit(INF))
-    first = rows.groupBy(*keys).agg(F.median("s").alias("location"), F.stddev_pop("s").alias("std"))
-    mad = rows.join(first, keys).groupBy(*keys).agg(F.median(F.abs(F.col("s") - F.col("location"))).alias("mad"))
+    counts = value_counts(rows, keys, "s")
+    few = few_values(counts, keys)
+    middle = quantiles(counts, keys, "s", [0.5], few).select(*keys, F.col("q")[0].alias("middle"))
+    mad = quantiles(deviations(counts, keys, "s", middle), keys, "s", [0.5], few).select(*keys, F.col("q")[0].alias("mad"))
+    std = rows.groupBy(*keys).agg(F.stddev_pop("s").alias("std"))
     scale = F.when(F.col("mad") > 1e-12, 1.4826 * F.col("mad")).when(F.col("std") > 1e-12, F.col("std")).otherwise(1.0)
-    return first.join(mad, keys).select(*keys, "location", scale.alias("scale"))
+    return middle.join(mad, keys).join(std, keys).select(*keys, F.col("middle").alias("location"), scale.alias("scale"))
+
+
+def robust_normalised(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores less their key's robust location, in units of its robust scale."""
+    found = robust_location(df, keys)
+    return df.join(F.broadcast(found) if keys == ["run_key"] else found, keys).withColumn("score", (F.col("score") - F.col("location")) / F.col("scale")).drop("location", "scale")  # runs are few
 
 
 def histogram_score(df: DataFrame, features: list[str], bins: int = 10, alpha: float = 0.1) -> DataFrame:
@@ -114,29 +128,74 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
-MAX_BANK = 20_000
+BLOCK = 4096  # vectors in one block
 
 
-def knn_novelty(queries: DataFrame, bank: DataFrame, k: int = 3) -> DataFrame:
-    """1 - mean of the k largest cosines to a bank of patches.
+def _blocks(vectors: DataFrame, groups: list[str]) -> DataFrame:
+    """A staged table of about BLOCK unit vectors a row: groups, ids, and the vectors as bytes. Null vectors have no place."""
+    rows = vectors.where("embedding is not null")
+    sizes = rows.groupBy(*groups).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+    dealt = rows.join(F.broadcast(sizes), groups).withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.col("_n")).cast("int"))  # a row for each group
+
+    def pack(group: pa.Table) -> pa.Table:
+        v = np.array(group.column("embedding").to_pylist(), float)
+        v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+        keys = [group.column(g).slice(0, 1) for g in groups]
+        return pa.table([*keys, pa.array([group.column("vec_id").to_pylist()], pa.list_(pa.int64())), pa.array([v.tobytes()], pa.binary())], [*groups, "ids", "data"])
+
+    kinds = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in groups)
+    return staged(dealt.select(*groups, "_b", "vec_id", "embedding").groupBy(*groups, "_b").applyInArrow(pack, f"{kinds}, ids array<long>, data binary"))
 
-    The bank is what a coreset leaves; its size is checked before it goes to every task as one array, against
-    which each query is worked out in place, so no pair becomes a row.
+
+def top_cosines(queries: DataFrame, bank: DataFrame, k: int, groups: list[str]) -> DataFrame:
+    """groups, vec_id and cosine: the k largest cosines of each query to vectors of the bank in the same groups, its own vec_id left out.
+
+    Both sides have vec_id, embedding and the groups (few). Vectors are packed into blocks, each block of queries meets each of the
+    bank in a matrix product, and the k best of every block are merged by query, partly before they are shuffled. So no side
+    has to fit one task or be sent to all, and no pair becomes a row.
     """
-    n = bank.limit(MAX_BANK + 1).count()
-    if n > MAX_BANK:
-        raise ValueError(f"compress the bank first: more than {MAX_BANK} rows")
-    rows = bank.select(unit(F.col("embedding")).alias("b")).agg(F.collect_list("b").alias("bank"))
-    q = queries.select("vec_id", unit(F.col("embedding")).alias("q")).crossJoin(F.broadcast(rows))
-    top = F.slice(F.sort_array(F.transform("bank", lambda b: dot(F.col("q"), b)), asc=False), 1, k)
-    return q.select("vec_id", (1 - F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / F.size(top)).alias("score"))
+    q, b = _blocks(queries, groups), _blocks(bank, groups)
+    b = b.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("ids").alias("bank_ids"), F.col("data").alias("bank"))
+    same = F.lit(True)
+    for g in groups:
+        same = same & (F.col(g) == F.col(f"_{g}"))
+    met = q.hint("shuffle_replicate_nl").join(b, same).select(*groups, "ids", "data", "bank_ids", "bank")  # blocks, not rows
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                ids, others = (np.array(batch.column(c)[i].as_py(), np.int64) for c in ("ids", "bank_ids"))
+                x, y = (np.frombuffer(batch.column(c)[i].as_py()).reshape(len(n), -1) for c, n in (("data", ids), ("bank", others)))
+                keys = [batch.column(g).slice(i, 1) for g in groups]
+                for a in range(0, len(ids), 512):
+                    c = x[a : a + 512] @ y.T
+                    c[ids[a : a + 512, None] == others[None]] = -INF
+                    n = min(k, c.shape[1])
+                    top = np.partition(c, c.shape[1] - n, axis=1)[:, -n:]
+                    found = np.isfinite(top)
+                    who = np.repeat(ids[a : a + 512], n)[found.ravel()]
+                    yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([key] * len(who)) if len(who) else key.slice(0, 0) for key in keys), pa.array(who), pa.array(top[found])], [*groups, "vec_id", "cosine"])
+
+    kinds = ", ".join(f"`{g}` {queries.schema[g].dataType.simpleString()}" for g in groups)
+    rows = met.mapInArrow(best, f"{kinds}, vec_id long, cosine double")
+    w = Window.partitionBy(*groups, "vec_id").orderBy(F.desc("cosine"))
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+
+def knn_novelty(queries: DataFrame, bank: DataFrame, k: int = 3) -> DataFrame:
+    """1 - mean of the k largest cosines to a bank of patches of any size, the query's own left out (see top_cosines)."""
+    one = lambda df: df.select("vec_id", "embedding", F.lit(0).alias("g"))
+    return top_cosines(one(queries), one(bank), k, ["g"]).groupBy("vec_id").agg((1 - F.avg("cosine")).alias("score"))
 
 
-def points_from_patches(points: DataFrame, patches: DataFrame, length: int, how: str = "mean") -> DataFrame:
-    """Mean or maximum of the scores of the patches that cover a point."""
+def points_from_patches(points: DataFrame, patches: DataFrame, length: int, how: str = "mean", q: float = 0.9) -> DataFrame:
+    """Mean, maximum or q quantile of the scores of the patches that cover a point."""
+    if how not in ("mean", "max", "quantile"):
+        raise ValueError(f"no such pooling: {how}")
     w = along().rowsBetween(-(length - 1), 0)
     both = points.select(*KEYS, "t", "label").join(patches.select(*KEYS, F.col("patch_start").alias("t"), F.col("score").alias("_s")), [*KEYS, "t"], "left")
-    return both.select(*KEYS, "t", "label", (F.avg if how == "mean" else F.max)("_s").over(w).alias("score"))
+    pooled = {"mean": F.avg("_s"), "max": F.max("_s"), "quantile": F.percentile("_s", F.lit(q))}[how]  # of length scores at most
+    return both.select(*KEYS, "t", "label", pooled.over(w).alias("score"))
 
 
 def residual_score(df: DataFrame, features: list[str], season: int = 1, squared: bool = True) -> DataFrame:
@@ -147,11 +206,11 @@ def residual_score(df: DataFrame, features: list[str], season: int = 1, squared:
     return df.select(*KEYS, "t", "label", (sum(parts[1:], parts[0]) / len(parts)).alias("score"))
 
 
-def fuse(df: DataFrame, first: str, second: str, weight: float = 1.0) -> DataFrame:
-    """Sum of two scores, each in units of its own mean and deviation over the run."""
-    w = Window.partitionBy("run_key")
-    z = lambda c: (F.col(c) - F.avg(c).over(w)) / F.greatest(F.stddev_pop(c).over(w), F.lit(1e-12))
-    return df.withColumn("score", z(first) + weight * z(second))
+def fuse(df: DataFrame, first: str, second: str, weight: float = 1.0, train: DataFrame | None = None) -> DataFrame:
+    """Sum of two scores, each in units of its mean and deviation over the run's training rows (all rows, if none are given)."""
+    stats = (df if train is None else train).groupBy("run_key").agg(*(f(x).alias(f"_{n}_{x}") for x in (first, second) for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    z = lambda c: (F.col(c) - F.col(f"_m_{c}")) / F.greatest(F.col(f"_s_{c}"), F.lit(1e-12))
+    return df.join(F.broadcast(stats), "run_key").withColumn("score", z(first) + weight * z(second)).select(*(c for c in df.columns if c != "score"), "score")  # a row for each run
 
 
 def centroid_distance(df: DataFrame) -> DataFrame:

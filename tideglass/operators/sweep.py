@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import INF, KEYS, along, safe_score
-from ..functions.staging import running_totals
+from ..functions.staging import quantiles, running_totals, staged, value_counts
 
 
 def _labelled(scores: DataFrame) -> DataFrame:
@@ -53,9 +53,13 @@ def sweep_curve(scores: DataFrame) -> DataFrame:
 
     Each term of the alarm score is a step function of the threshold, so one table of changes and running sums
     in falling order gives it everywhere; sequences only meet in the sums by run, which ranges of values share
-    out. The table of changes is written to the shared folder when this is called.
+    out. Rows and the table of changes are written to the shared folder when this is called.
     """
-    whole, each = _deltas(_labelled(scores))
+    return _curve(staged(_labelled(scores)))
+
+
+def _curve(rows: DataFrame) -> DataFrame:
+    whole, each = _deltas(rows)
     by_value = each.groupBy(*KEYS, "k", "value").agg(F.sum("al").alias("al"), F.sum("wt").alias("wt"), F.sum("br").alias("br"))
     falling = Window.partitionBy(*KEYS, "k").orderBy(F.desc("value"))
     upto = falling.rowsBetween(Window.unboundedPreceding, 0)
@@ -78,11 +82,9 @@ def _score(nf, fa, early, late, d, nom):
     return F.round(d - fa / 2 - points - 0.75 * early - 0.25 * late + nominal, 9)
 
 
-def _everything(scores: DataFrame) -> DataFrame:
+def _everything(rows: DataFrame) -> DataFrame:
     """The alarm score when all rows are in alarm, sequences standing one after the other with a row before each."""
-    rows = scores.select(*KEYS, "t", (F.coalesce("label", F.lit(0)) != 0).cast("int").alias("y"))
-    w = along()
-    marked = rows.withColumn("starts", ((F.col("y") == 1) & (F.coalesce(F.lag("y").over(w), F.lit(0)) == 0)).cast("int"))
+    marked = rows.select(*KEYS, "t", "y", ((F.col("y") == 1) & (F.coalesce("was", F.lit(0)) == 0)).cast("int").alias("starts"))
     first = F.min(F.when(F.col("starts") == 1, F.struct("sequence_id", "t"))).alias("first")
     total = marked.groupBy("run_key").agg(F.sum((1 - F.col("y")).cast("double")).alias("normal"), F.countDistinct("sequence_id").cast("double").alias("seqs"), F.sum("starts").cast("double").alias("n"), F.max(F.struct("sequence_id", "t", "y"))["y"].alias("last_y"), first)
     at_first = marked.join(F.broadcast(total.select("run_key", "first")), "run_key").where((F.col("sequence_id") == F.col("first.sequence_id")) & (F.col("t") >= F.col("first.t")))
@@ -99,7 +101,8 @@ def best_threshold(scores: DataFrame) -> DataFrame:
 
     Over all distinct scores and -inf; 0 at +inf unless one is better; of equally good ones the largest.
     """
-    curve = sweep_curve(scores).union(_everything(scores))
+    rows = staged(_labelled(scores))
+    curve = _curve(rows).union(_everything(rows))
     best = curve.groupBy("run_key").agg(F.max(F.struct("alarm_score", "value")).alias("b"), F.count("*").alias("num_steps"))
     better = F.col("b.alarm_score") > 0
     return best.select("run_key", F.when(better, F.col("b.value")).otherwise(F.lit(INF)).alias("threshold"), F.when(better, F.col("b.alarm_score")).otherwise(0.0).alias("best_score"), "num_steps")
@@ -114,16 +117,9 @@ def with_sentinels(scores: DataFrame) -> DataFrame:
 def quantile_thresholds(scores: DataFrame, fractions: list[float]) -> DataFrame:
     """run_key, fraction, threshold: the score that the given fraction of rows (and sentinels) is above.
 
-    Between two scores as far as the place falls between their rows. Rows are counted by distinct score, and running totals over
-    ranges of scores give each its place, so that no task holds all scores of a run. Written and counted when this is called.
+    Between two scores as far as the place falls between their rows. Exact, and counted when this is called.
     """
-    counts = with_sentinels(scores).groupBy("run_key", "score").agg(F.count("*").cast("double").alias("n"))
-    above = running_totals(counts, "run_key", "score", ["n"])
-    total = above.groupBy("run_key").agg(F.max("n").alias("total")).withColumnRenamed("run_key", "_run")
-    placed = above.join(total, F.col("run_key").eqNullSafe(F.col("_run"))).withColumn("place", F.col("total") - F.col("n"))  # of its first row, from below
-    placed = placed.withColumn("fraction", F.explode(F.array(*(F.lit(float(f)) for f in fractions))))
-    at = (1 - F.col("fraction")) * (F.col("total") - 1)
-    low, high = (F.max(F.when(F.col("place") <= side(at), F.col("score"))).alias(name) for side, name in ((F.floor, "low"), (F.ceil, "high")))
-    found = placed.groupBy("run_key", "fraction").agg(low, high, F.max(at - F.floor(at)).alias("part"))
-    between = (1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high")
-    return found.select("run_key", "fraction", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("threshold"))
+    counts = value_counts(with_sentinels(scores), ["run_key"], "score")
+    found = quantiles(counts, ["run_key"], "score", [1 - f for f in fractions])
+    each = F.arrays_zip(F.array(*(F.lit(float(f)) for f in fractions)).alias("fraction"), F.col("q").alias("threshold"))
+    return found.select("run_key", F.explode(each).alias("x")).select("run_key", "x.fraction", "x.threshold")

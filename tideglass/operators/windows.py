@@ -13,6 +13,11 @@ def sliding_windows(df: DataFrame, features: list[str], width: int, stride: int
     return df.withColumn("w", w).where((F.size("w") == width) & ((F.col("t") - width + 1) % stride == 0)).select(*KEYS, F.col("t").alias("t_end"), "w")
 
 
+def last_elements(windows: DataFrame) -> DataFrame:
+    """The last row of each window of sliding_windows, as columns again."""
+    return windows.select(*KEYS, "t_end", F.element_at("w", -1).alias("_last")).select(*KEYS, "t_end", "_last.*")
+
+
 def causal_windows(df: DataFrame, feature: str, width: int) -> DataFrame:
     """A window for every row; before the start the first row is repeated."""
     seen = F.collect_list(feature).over(trailing(width))
@@ -57,6 +62,18 @@ def reversible_norm(df: DataFrame, feature: str, width: int, eps: float = 1e-5)
     return df.select(*KEYS, "t", ((F.col(feature) - F.avg(feature).over(w)) / F.sqrt(F.var_pop(feature).over(w) + eps)).alias("normed"))
 
 
+def normalised(df: DataFrame, features: list[str], least: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """Rows with features in units of their own mean and deviation (least at least), and these: one row of m_<feature>, s_<feature>."""
+    stats = df.agg(*(F.avg(c).alias(f"m_{c}") for c in features), *(F.greatest(F.stddev_pop(c), F.lit(least)).alias(f"s_{c}") for c in features))
+    rows = df.crossJoin(F.broadcast(stats)).withColumns({c: (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in features})
+    return rows.select(*df.columns), stats
+
+
+def denormalised(df: DataFrame, stats: DataFrame, features: list[str]) -> DataFrame:
+    """The inverse of normalised."""
+    return df.crossJoin(F.broadcast(stats)).withColumns({c: F.col(c) * F.col(f"s_{c}") + F.col(f"m_{c}") for c in features}).select(*df.columns)
+
+
 def prediction_target(df: DataFrame, feature: str, ahead: int) -> DataFrame:
     return df.select(*KEYS, "t", feature, F.lead(feature, ahead).over(along()).alias("target")).where("target is not null")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 META_COLUMNS = ("Time", "Anomaly")
 LINEITEM_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
@@ -42,27 +42,81 @@ def read_csv_sequences(spark: SparkSession, path: str, features: list[str], labe
 
 
 def header_variants(spark: SparkSession, path: str) -> DataFrame:
-    """header, files: the distinct first lines of the files; more than one row means that they disagree."""
+    """header, files, rows: the distinct first lines of the files; more than one row means that they disagree."""
     lines = spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    return lines.groupBy("file").agg(F.min_by("value", "at").alias("header")).groupBy("header").agg(F.count("*").alias("files"))
+    files = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"), (F.count("*") - 1).alias("rows"))
+    return files.groupBy("header").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
 
 
 def feature_names(df: DataFrame, meta: tuple[str, ...] = META_COLUMNS) -> list[str]:
     return [c for c in df.columns if c not in meta and not c.startswith("Label (")]
 
 
+def train_files(files: DataFrame) -> DataFrame:
+    """The files(path, ...) of training data: those named train_normal*, or where there are none those named train*."""
+    name = F.element_at(F.split("path", "/"), -1)
+    rank = F.when(name.startswith("train_normal"), 0).when(name.startswith("train"), 1)
+    ranked = files.withColumn("_rank", rank).where("_rank is not null")
+    best = ranked.agg(F.min("_rank").alias("_best"))  # one row
+    return ranked.crossJoin(F.broadcast(best)).where("_rank = _best").drop("_rank", "_best")
+
+
+EXTENSION = "*_styled_features.csv"  # fixed value: names of extension files
+JUNK = r"(^|/)(__MACOSX|\.[^/]*|Thumbs\.db)(/|$)"  # what operating systems leave in folders
+
+
+def extension_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length, modification time of the extension files anywhere below path."""
+    found = provenance(spark, path, EXTENSION)
+    return found.where(~F.regexp_replace("path", "^[a-z]+:/+", "").rlike(JUNK))
+
+
+def extension_rows(spark: SparkSession, path: str, features: list[str], own: list[str]) -> DataFrame:
+    """Sequences from the extension files below path: the features that both sides have, label 0, mode train_ext."""
+    both = shared_features(own, features)
+    raw = read_csv_sequences(spark, path, own, glob=EXTENSION)
+    rows = raw.where(~F.regexp_replace("sequence_id", "^[a-z]+:/+", "").rlike(JUNK))
+    return rows.select("sequence_id", "t", *both, F.lit(0).cast("long").alias("label"), F.lit("train_ext").alias("mode"))
+
+
 def shared_features(first: list[str], second: list[str]) -> list[str]:
     """Names found in both, in the order of the second."""
     return [c for c in second if c in set(first)]
 
 
-def provenance(spark: SparkSession, path: str) -> DataFrame:
+VARIANTS = ("ext", "red")  # fixed values: data with extension sequences; data reduced to the features these have
+
+
+def variant_of(dataset: Column) -> Column:
+    """ext, red or base, by the suffix of a data set's name."""
+    out = F.lit("base")
+    for v in VARIANTS:
+        out = F.when(dataset.endswith(f"_{v}"), v).otherwise(out)
+    return out
+
+
+def base_of(dataset: Column) -> Column:
+    return F.regexp_replace(dataset, f"_({'|'.join(VARIANTS)})$", "")
+
+
+def resolved_variant(name: str, features: list[str], extension: list[str]) -> tuple[str, list[str], bool]:
+    """Base name, features and whether extension data is added: of x_ext and x_red the features shared with the extension, in the data set's order, else all."""
+    base, _, suffix = name.rpartition("_")
+    if suffix not in VARIANTS or not base:
+        return name, list(features), False
+    both = shared_features(extension, features)
+    if not both:
+        raise ValueError(f"{name}: no feature is shared with the extension")
+    return base, both, suffix == "ext"
+
+
+def provenance(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, length and modification time of raw files; their content isn't read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length", "modificationTime")
 
 
 def write_bundle(series: DataFrame, path: str) -> None:
-    """Parquet by mode; each sequence's rows stand together and in order."""
+    """Parquet by mode; each sequence's rows stand together and in order. What is there already stays as it is."""
     series.repartitionByRange("mode", "sequence_id").sortWithinPartitions("mode", "sequence_id", "t").write.mode("ignore").partitionBy("mode").parquet(path)
 
 
@@ -81,13 +135,22 @@ def faulty_sequences(series: DataFrame, claimed: DataFrame) -> DataFrame:
     return both.where(bad).select("mode", "sequence_id", "rows", "last_t", "n")
 
 
-def digest(series: DataFrame, columns: list[str]) -> DataFrame:
-    """One md5 for each run: of its sequences' md5s, each of its rows' in order."""
+def digest(series: DataFrame, columns: list[str], chunk: int = 4096) -> DataFrame:
+    """One md5 for each run, over md5s of pieces of bounded size.
+
+    Rows are taken in order, chunk of them a piece, pieces by sequence, and sequences by the first five, then two digits of their
+    id's md5; the md5s of one level, in order, make that of the next.
+    """
+    def level(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        of = F.array_sort(F.collect_list(F.struct(order, "h")))
+        return rows.groupBy("run_key", *keys).agg(F.md5(F.array_join(F.transform(of, lambda r: r["h"]), "")).alias("h"))
+
     row = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)))
-    by_seq = series.select("run_key", "sequence_id", "t", row.alias("row")).groupBy("run_key", "sequence_id").agg(F.array_sort(F.collect_list(F.struct("t", "row"))).alias("rows"))
-    by_seq = by_seq.select("run_key", "sequence_id", F.md5(F.array_join(F.transform("rows", lambda r: r["row"]), "")).alias("seq"))
-    by_run = by_seq.groupBy("run_key").agg(F.array_sort(F.collect_list(F.struct("sequence_id", "seq"))).alias("seqs"))
-    return by_run.select("run_key", F.md5(F.array_join(F.transform("seqs", lambda r: r["seq"]), "")).alias("digest"))
+    rows = series.select("run_key", "sequence_id", "t", F.floor(F.col("t") / chunk).alias("piece"), row.alias("h"))
+    by_seq = level(level(rows, ["sequence_id", "piece"], "t"), ["sequence_id"], "piece")
+    by_five = level(by_seq.withColumn("five", F.substring(F.md5(F.col("sequence_id").cast("string")), 1, 5)), ["five"], "sequence_id")
+    by_two = level(by_five.withColumn("two", F.substring("five", 1, 2)), ["two"], "five")
+    return level(by_two, [], "two").withColumnRenamed("h", "digest")
 
 
 def profile(series: DataFrame) -> DataFrame:

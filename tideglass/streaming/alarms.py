@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "sequence_id long, t long, score double, rolling_mean double, pred int"
-STATE = "tail array<double>, above long, below long, active int"
+OUT = "sequence_id long, t long, score double, decision double, pred int"
+STATE = "last_t long, mean double, active int, raw array<double>, decided array<double>, wait_t array<long>, wait_raw array<double>, wait_decided array<double>, wait_active array<int>"
 
 
 def windowed_summary(stream: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -23,29 +23,96 @@ def session_summary(stream: DataFrame, gap: str, late: str = "1 hour") -> DataFr
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "sequence_id").agg(F.count("*").alias("n"), F.max("score").alias("max_score")).select("sequence_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "max_score")
 
 
-def online_alarms(stream: DataFrame, width: int, on: float, off: float, leave: int = 1) -> DataFrame:
-    """Append mode: each row with the mean of the last width scores and an alarm that starts at on and ends after leave rows below off.
-
-    State is the last width - 1 scores and two numbers for each sequence. Rows of a sequence are taken by t inside a
-    micro-batch; batches have to come in order.
+class _Alarms:
+    """What is known of one sequence between batches: the end of its last stretch of scores, and rows that wait for the next ones."""
+
+    def __init__(self, width: int, span: int, on: float, off: float, enter: int, leave: int, held: tuple | None):
+        self.width, self.alpha, self.on, self.off, self.enter, self.leave = width, 2 / (span + 1), on, off, enter, leave
+        self.keep = max(width, enter, leave) - 1
+        self.last_t, self.mean, self.active, raw, decided, self.wait_t, self.wait_raw, self.wait_decided, self.wait_active = held or (None, None, 0, [], [], [], [], [], [])
+        self.raw, self.decided = np.array(raw, float), np.array(decided, float)
+        self.out: list[tuple] = []
+
+    def held(self) -> tuple:
+        lists = (self.raw, self.decided, self.wait_t, self.wait_raw, self.wait_decided, self.wait_active)
+        return self.last_t, self.mean, int(self.active), *([x.item() if hasattr(x, "item") else x for x in v] for v in lists)
+
+    def add(self, t: np.ndarray, score: np.ndarray) -> None:
+        """Rows that follow, in order; ones without a finite score end the stretch."""
+        if self.last_t is not None and t[0] <= self.last_t or (np.diff(t) <= 0).any():
+            raise ValueError("rows of a sequence must come in order of t, each once")
+        self.last_t = int(t[-1])
+        gap = ~np.isfinite(score)
+        cut = np.flatnonzero(gap)
+        for a, b in zip(np.append(0, cut + 1), np.append(cut, len(t))):
+            if b > a:
+                self._stretch(t[a:b], score[a:b])
+            if b < len(t):
+                self.flush()
+                self.out.append((int(t[b]), float(score[b]), None, 0))
+
+    def _stretch(self, t: np.ndarray, x: np.ndarray) -> None:
+        raw = np.concatenate((self.raw, x))
+        n = len(self.raw)
+        high = pd.Series(raw).rolling(self.width, min_periods=1).max().to_numpy()[n:]
+        seeded = x if self.mean is None else np.append(self.mean, x)
+        mean = pd.Series(seeded).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[-len(x) :]
+        d = np.maximum(high, mean)
+        decided = np.concatenate((self.decided, d))
+        m = len(self.decided)
+        run = lambda hit, k: pd.Series(hit.astype(float)).rolling(k).sum().to_numpy()[m:] == k
+        entered, left = run(decided >= self.on, self.enter), run(decided < self.off, self.leave)
+        after = pd.Series(np.select([entered, left], [1.0, 0.0], np.nan)).ffill().fillna(float(self.active)).to_numpy() == 1
+        before = np.append(bool(self.active), after[:-1])
+        wait = len(self.wait_t)
+        at = np.flatnonzero(entered)
+        soon = np.zeros(wait + len(x), bool)  # rows at which an entry begins that completes later
+        for back in range(self.enter):
+            soon[np.maximum(0, at + wait - back)] = True
+        rows = list(zip([*self.wait_t, *t.tolist()], [*self.wait_raw, *x.tolist()], [*self.wait_decided, *d.tolist()], [*self.wait_active, *before.tolist()]))
+        alarm = [int(r[3] or s) for r, s in zip(rows, soon)]
+        ready = max(0, len(rows) - self.enter + 1)
+        self.out += [(*r[:3], p) for r, p in zip(rows[:ready], alarm)]
+        waiting = [(*r[:3], p) for r, p in zip(rows[ready:], alarm[ready:])]
+        self.wait_t, self.wait_raw, self.wait_decided, self.wait_active = (list(c) for c in zip(*waiting)) if waiting else ([], [], [], [])
+        self.mean, self.active = float(mean[-1]), bool(after[-1])
+        self.raw, self.decided = raw[max(0, len(raw) - self.keep) :], decided[max(0, len(decided) - self.keep) :]
+
+    def flush(self) -> None:
+        """The stretch is over: nothing that waits can become an entry any more."""
+        self.out += [(t, x, d, int(p)) for t, x, d, p in zip(self.wait_t, self.wait_raw, self.wait_decided, self.wait_active)]
+        self.wait_t, self.wait_raw, self.wait_decided, self.wait_active = [], [], [], []
+        self.raw, self.decided, self.mean, self.active = np.zeros(0), np.zeros(0), None, False
+
+
+def online_alarms(stream: DataFrame, width: int, span: int, on: float, off: float, enter: int = 1, leave: int = 1, idle: str = "1 day") -> DataFrame:
+    """Append mode: each row with its decision score and alarm, as decision_scores and hysteresis give them over all rows at once.
+
+    An alarm begins at the first of enter decisions at or above on, so a row comes out once the enter - 1 rows after it are known, a
+    row without a score has come, the sequence has ended (the column last), or nothing has come for so long (idle). State
+    is that of max(width, enter, leave) rows of each sequence, and goes with the sequence's end or when it is idle. Rows of a sequence are
+    taken by t inside a batch; rows that come late, in a later batch, are an error rather than a wrong alarm.
     """
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, above, below, active = state.get if state.exists else ([], 0, 0, 0)
-        tail = list(tail)
-        rows = pd.concat(list(frames)).sort_values("t")
-        means, preds = [], []
-        for x in rows["score"]:
-            tail = [*tail, float(x)][-width:]
-            means.append(sum(tail) / len(tail))
-            below = below + 1 if x < off else 0
-            was = active
-            active = 1 if x >= on else 0 if below >= leave else active
-            preds.append(int(was or active))
-        state.update((tail, above, below, active))
-        yield pd.DataFrame({"sequence_id": key[0], "t": rows["t"], "score": rows["score"], "rolling_mean": means, "pred": preds})
-
-    return stream.groupBy("sequence_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        alarms = _Alarms(width, span, on, off, enter, leave, state.get if state.exists else None)
+        if state.hasTimedOut:
+            alarms.flush()
+            state.remove()
+        else:
+            rows = pd.concat(list(frames)).sort_values("t")
+            alarms.add(rows["t"].to_numpy(), rows["score"].to_numpy(float))
+            if rows["last"].any():
+                alarms.flush()
+                state.remove() if state.exists else None
+            else:
+                state.update(alarms.held())
+                state.setTimeoutDuration(ms)
+        t, x, d, p = zip(*alarms.out) if alarms.out else ((),) * 4
+        yield pd.DataFrame({"sequence_id": pd.Series([key[0]] * len(t), dtype="int64"), "t": pd.Series(t, dtype="int64"), "score": pd.array([v if v is not None and np.isfinite(v) else None for v in x], "Float64"), "decision": pd.array(d, "Float64"), "pred": pd.Series(p, dtype="int32")})
+
+    return stream.groupBy("sequence_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def scored_windows(windows: DataFrame, score: Callable[[np.ndarray], np.ndarray], keys: list[str], chunk: int = 16_384) -> DataFrame:
@@ -71,38 +138,59 @@ def scored_windows(windows: DataFrame, score: Callable[[np.ndarray], np.ndarray]
     return windows.select(*keys, values.alias("w")).mapInPandas(run, f"{fields}, score double")
 
 
-def causal_scores(stream: DataFrame, features: list[str], width: int, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def _in_order(rows: pd.DataFrame, last_t: int | None) -> pd.DataFrame:
+    rows = rows.sort_values("t")
+    t = rows["t"].to_numpy()
+    if last_t is not None and t[0] <= last_t or (np.diff(t) <= 0).any():
+        raise ValueError("rows of a sequence must come in order of t, each once")
+    return rows
+
+
+def causal_scores(stream: DataFrame, features: list[str], width: int, score: Callable[[np.ndarray], np.ndarray], idle: str = "1 day") -> DataFrame:
     """Append mode: a score for each row, by a function of (windows, rows, features) over the last width rows.
 
-    Before the start the first row is repeated. State is the last width - 1 rows of each sequence. Batches have to come in order.
+    Before the start the first row is repeated. State is the last width - 1 rows of each sequence; it goes at the sequence's end (the
+    column last), or when nothing has come for so long (idle). Batches have to come in order; rows that come late are an error.
     """
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("t")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tail, last_t = state.get if state.exists else (None, None)
+        rows = _in_order(pd.concat(list(frames)), last_t)
         x = rows[features].to_numpy(float)
-        before = np.array(state.get[0], float).reshape(-1, len(features)) if state.exists else np.repeat(x[:1], width - 1, axis=0)
+        before = np.array(tail, float).reshape(-1, len(features)) if tail is not None else np.repeat(x[:1], width - 1, axis=0)
         x = np.concatenate((before, x))
         windows = np.lib.stride_tricks.sliding_window_view(x, width, axis=0).transpose(0, 2, 1)
-        state.update((x[len(x) - width + 1 :].ravel().tolist(),))
+        if not rows["last"].any():
+            state.update((x[len(x) - width + 1 :].ravel().tolist(), int(rows["t"].iloc[-1])))
+            state.setTimeoutDuration(ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"sequence_id": key[0], "t": rows["t"], "score": score(windows)})
 
-    return stream.groupBy("sequence_id").applyInPandasWithState(step, "sequence_id long, t long, score double", "tail array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("sequence_id").applyInPandasWithState(step, "sequence_id long, t long, score double", "tail array<double>, last_t long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def patch_scores(stream: DataFrame, features: list[str], length: int, stride: int, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def patch_scores(stream: DataFrame, features: list[str], length: int, stride: int, score: Callable[[np.ndarray], np.ndarray], idle: str = "1 day") -> DataFrame:
     """Append mode: for each row the mean score of the patches that cover it, once the length - 1 rows after it are known.
 
     Patches start at every stride-th row and are scored by a function of (patches, rows, features). The column last
     marks the end of a sequence, where what is held back comes out; a sequence shorter than a patch is filled up in front
     with its first row. Rows that no patch covers have no score (null). State is at most 2 * length + stride rows of each
-    sequence. t counts from 0 without gaps, and batches have to come in order.
+    sequence, and goes at its end or when nothing has come for so long (idle), which counts as its end. t counts from 0 without
+    gaps, and batches have to come in order; rows that come late are an error.
     """
+    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("t")
         held, start, out = state.get if state.exists else ([], 0, 0)
+        known = start + len(held) // len(features)
+        rows = pd.DataFrame({"t": [], **{c: [] for c in features}, "last": []}) if state.hasTimedOut else _in_order(pd.concat(list(frames)), known - 1 if known else None)
         x = np.concatenate((np.array(held, float).reshape(-1, len(features)), rows[features].to_numpy(float)))
-        end, last = start + len(x), bool(rows["last"].any())
+        end, last = start + len(x), state.hasTimedOut or bool(rows["last"].any())
         until = end if last else max(out, end - length + 1)
         if last and end < length:
             x = np.concatenate((np.repeat(x[:1], length - end, axis=0), x))
@@ -116,15 +204,29 @@ def patch_scores(stream: DataFrame, features: list[str], length: int, stride: in
                     n[i : i + length] += 1
             values = np.where(n > 0, total / np.maximum(n, 1), np.nan)[out - start : until - start]
         keep = max(0, until - length + 1) // stride * stride
-        state.update((x[max(0, keep - start) :].ravel().tolist() if not last else [], keep, until))
+        if not last:
+            state.update((x[max(0, keep - start) :].ravel().tolist(), keep, until))
+            state.setTimeoutDuration(ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"sequence_id": key[0], "t": np.arange(out, until), "score": pd.array(values, "Float64") if len(values) else pd.array([], "Float64")})
 
-    return stream.groupBy("sequence_id").applyInPandasWithState(step, "sequence_id long, t long, score double", "held array<double>, start long, out long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("sequence_id").applyInPandasWithState(step, "sequence_id long, t long, score double", "held array<double>, start long, out long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """All that is there now, in append mode, into Parquet; the file sink and the checkpoint make a rerun exact."""
-    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+    """All that is there now, in append mode, into Parquet; the file sink and the checkpoint make a rerun exact.
+
+    No batch is run without data, as states with an idle time would ask for one after the other; they go in a later run.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    finally:
+        conf.set(name, before)
+    query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
