@@ -197,7 +197,8 @@ def _band_links(reps: DataFrame, limit: int) -> DataFrame:
     part = F.pmod(F.xxhash64("node", "band"), F.col("parts")).cast("int")
     parts = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
     in_bands = banded.join(shared, "band").select("band", F.explode(parts).alias("part"), "node")
-    links = in_bands.join(reps.select("node", "sketch"), "node").groupBy("band", "part").applyInArrow(_sketch_links(limit), LINKS).distinct()
+    dealt = in_bands.join(reps.select("node", "sketch"), "node").repartition(t.buckets(reps.sparkSession), "band", "part")  # a number, as this stage is dear by rows, not by bytes
+    links = dealt.groupBy("band", "part").applyInArrow(_sketch_links(limit), LINKS).distinct()
     large = shared.where("parts > 1")
     if large.isEmpty():
         return links
@@ -244,7 +245,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILA
     sets = rows.join(wanted, ["doc", "tag"]).mapInArrow(_sets(width), SETS)
     sets = t.staged(sets, "shingles")
     members = sets.withColumn("role", F.lit(0))
-    found = t.staged(members.withColumn("label", F.col("node")).groupBy("component", "part").applyInArrow(_confirmed(limit, percent, False), LINKS), "found")
+    found = t.staged(members.withColumn("label", F.col("node")).repartition(t.buckets(docs.sparkSession), "component", "part").groupBy("component", "part").applyInArrow(_confirmed(limit, percent, False), LINKS), "found")
     large = members.where("parts > 1")
     if not large.isEmpty():
         found = _across_parts(large, found, limit, percent)
