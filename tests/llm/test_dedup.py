@@ -102,3 +102,38 @@ def test_pairs_in_different_parts_of_a_hot_band_meet(spark, monkeypatch):
     got = {r.node: r.component for r in minhash.t.components(links).collect()}
     want = {2 + 2 * k: 1 + 2 * k for k in range(60)} | {1000 + i: 1 for i in range(30)}  # without the least of each
     assert got == want
+
+
+def test_suffix_array_dedup_equals_a_count_of_all_windows(spark):
+    """At sf0.1, against the counts of another hash (a polynomial modulo a prime) of every 400-byte window."""
+    import numpy as np
+
+    docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    p, width = (1 << 31) - 1, 400
+
+    def windows(b, base):
+        x = np.frombuffer(b, np.uint8).astype(np.int64) + 1
+        power, size = base, 1
+        h = x
+        for bit in bin(width)[3:]:  # hash of 2n bytes from two of n, of 2n + 1 with one byte more
+            h = (h[: len(h) - size] * power + h[size:]) % p
+            size, power = 2 * size, power * power % p
+            if bit == "1":
+                h = (h[: len(h) - 1] * base + x[size : size + len(h) - 1]) % p
+                size, power = size + 1, power * base % p
+        return h
+
+    keys = [windows(b, 911382323) << 32 | windows(b, 972663749) if len(b) >= width else np.zeros(0, np.int64) for _, b in docs]
+    every = np.concatenate(keys)
+    values, counts = np.unique(every, return_counts=True)
+    twice = values[counts > 1]
+    want = {}
+    for (d, b), k in zip(docs, keys):
+        hit = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, k), len(twice) - 1)] == k)
+        gone = np.zeros(len(b) + 1, np.int64)
+        np.add.at(gone, hit, 1)
+        np.add.at(gone, hit + width, -1)
+        mask = np.cumsum(gone)[: len(b)] > 0
+        want[d] = (len(b), int(mask.sum()), int((np.diff(np.concatenate(([0], mask.astype(int)))) == 1).sum()), brute.sha(np.frombuffer(b, np.uint8)[~mask].tobytes()))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in q.op1_suffix_array_dedup(spark, "/root/testdata/sf0.1").collect()}
+    assert got == want and sum(w[1] > 0 for w in want.values()) > 1000

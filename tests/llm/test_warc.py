@@ -45,3 +45,16 @@ def test_broken_archives_are_told():
     assert [r[1] for r in warc.read_archive(archive)] == [3]
     with pytest.raises((ValueError, zstandard.ZstdError)):
         list(warc.read_archive(archive[:-3]))
+
+
+def test_an_empty_table_and_repeated_rows(spark):
+    from tideglass.llm import tables
+
+    kinds = "page_id long, url string, html string, doc string, digest string"
+    for i, rows in enumerate(([], [(1, "u", "x" * 1200, "c", "c")] * 3, [(None, None, None, None, None)])):
+        folder = f"{tables.shared_dir(spark)}/warc-empty-{i}"
+        tables.make_folder(spark, folder)
+        got = warc.read_warc(warc.write_warc(spark.createDataFrame(rows, kinds), folder), folder).collect()
+        assert len(got) == len(rows)
+        if rows and rows[0][0]:
+            assert {(r.page_id, r.payload_bytes) for r in got} == {(1, 1200)} and "response" in {r.record_type for r in got}
