@@ -3,7 +3,6 @@ import random
 
 import pandas as pd
 import pytest
-import pytest
 from pyspark.sql import functions as F
 
 from tideglass.functions.sql import alarm_score_of
@@ -40,20 +39,15 @@ def test_hysteresis_and_events(spark):
 
 
 def brute_hysteresis(s, on, off, enter, leave):
-    out, active, n, m = [0] * len(s), False, 0, 0
-    for i, x in enumerate(s):
-        if active:
-            out[i] = 1
-            m = m + 1 if x < off else 0
-            if m >= leave:
-                active, n = False, 0
-        else:
-            n = n + 1 if x >= on else 0
-            if n >= enter:
-                active, m = True, 0
-                for j in range(i - enter + 1, i + 1):
-                    out[j] = 1
-    return out
+    """Alarm after alarm: from the first place where enter scores in a row are high to the end of the next leave scores in a row that are low."""
+    out, at = [0] * len(s), 0
+    while True:
+        begin = next((i for i in range(at, len(s) - enter + 1) if min(s[i : i + enter]) >= on), None)
+        if begin is None:
+            return out
+        end = next((j for j in range(begin + enter + leave - 1, len(s)) if max(s[j - leave + 1 : j + 1]) < off), len(s) - 1)
+        out[begin : end + 1] = [1] * (end + 1 - begin)
+        at = end + 1
 
 
 @pytest.mark.parametrize("enter,leave", [(1, 1), (2, 3), (3, 2)])

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Normalizer
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -50,13 +51,36 @@ def kmeans_distance(windows: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return model.transform(rows).select(*KEYS, "t_end", "cluster", _distance(vector_to_array("v"), F.get(centres, F.col("cluster"))).alias("score"))
 
 
-def coreset(embeddings: DataFrame, ratio: float, seed: int = 1) -> DataFrame:
-    """The real vector nearest to each of ratio * n centres, after normalisation."""
-    rows = Normalizer(inputCol="raw", outputCol="v").transform(embeddings.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw")))
-    model = KMeans(k=max(2, int(embeddings.count() * ratio)), seed=seed, featuresCol="v", predictionCol="cluster").fit(rows)
-    centres = embeddings.sparkSession.createDataFrame([(i, x.tolist()) for i, x in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
-    placed = model.transform(rows).join(centres, "cluster").withColumn("away", _distance(vector_to_array("v"), F.col("centre")))
-    return placed.groupBy("cluster").agg(F.min_by("vec_id", F.struct("away", "vec_id")).alias("vec_id"))
+CORESET_BLOCK = 4096  # vectors whose centres are sought together
+
+
+def coreset(embeddings: DataFrame, ratio: float, seed: int = 1, rounds: int = 10) -> DataFrame:
+    """block, vec_id: of every block of vectors, the real ones nearest to ratio * size centres, after normalisation.
+
+    Vectors are dealt into blocks of about CORESET_BLOCK by a hash of their id, and each block is clustered by itself (Lloyd's rounds from
+    vectors drawn by seed), so that work grows with the table though the number of centres does too. Null vectors are left out.
+    """
+    rows = embeddings.where("embedding is not null").select("vec_id", "embedding")
+    n = max(1, -(-rows.count() // CORESET_BLOCK))
+
+    def pick(group: pa.Table) -> pa.Table:
+        ids = np.array(group.column("vec_id").to_pylist(), np.int64)
+        order = np.argsort(ids, kind="stable")
+        v = np.array(group.column("embedding").to_pylist(), float)[order]
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        k = max(1, int(round(ratio * len(v))))
+        centres = v[np.sort(np.random.default_rng(seed).choice(len(v), k, replace=False))]
+        away = lambda: (v * v).sum(axis=1)[:, None] - 2 * v @ centres.T + (centres * centres).sum(axis=1)
+        for _ in range(rounds):
+            near = away().argmin(axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, v)
+            counts = np.bincount(near, minlength=k)
+            centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+        chosen = np.unique(away().argmin(axis=0))
+        return pa.table({"block": pa.array([group.column("block")[0].as_py()] * len(chosen), pa.int32()), "vec_id": pa.array(ids[order][chosen])})
+
+    return rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).groupBy("block").applyInArrow(pick, "block int, vec_id long")
 
 
 def dominant_periods(series: DataFrame, top: int) -> DataFrame:

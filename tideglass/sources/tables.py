@@ -111,7 +111,7 @@ def resolved_variant(name: str, features: list[str], extension: list[str]) -> tu
 
 
 def provenance(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, length and modification time of raw files; their content isn't read."""
+    """path, length and modification time of raw files; their content isn't read. Empty files have no row."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length", "modificationTime")
 
 
