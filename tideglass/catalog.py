@@ -414,16 +414,16 @@ SQUEEZED = "z AS (SELECT feature, kind, CASE WHEN kind <> 'almost_constant' AND
 
 def ruled(spark, rules):
     rows = [(r.feature, r.kind, r.asinh_scale, r.center, r.scale) for r in rules]  # one for each feature
-    return spark.createDataFrame(rows, "feature string, kind string, asinh_scale double, center double, scale double").select("feature", "kind", *r6("asinh_scale", "center", "scale"))
+    return spark.createDataFrame(rows, "feature string, kind string, asinh_scale double, center double, scale double").select("feature", "kind", *(F.round(x, 5).alias(x) for x in ("asinh_scale", "center", "scale")))
 
 
-@query("d6_compression", f"WITH {REPORT}, {SQUEEZED}, y AS (SELECT feature, kind, asinh_scale, CASE WHEN asinh_scale IS NULL THEN value ELSE asinh(value / asinh_scale) END AS y FROM cells JOIN z USING (feature) WHERE kind <> 'zero_inflated' OR value <> 0) SELECT feature, kind, round(any_value(asinh_scale), 6) AS asinh_scale, round(avg(y), 6) AS center, round(CASE WHEN stddev_pop(y) > 1e-9 THEN greatest(stddev_pop(y), 1e-3) ELSE 1 END, 6) AS scale FROM y GROUP BY 1, 2")
+@query("d6_compression", f"WITH {REPORT}, {SQUEEZED}, y AS (SELECT feature, kind, asinh_scale, CASE WHEN asinh_scale IS NULL THEN value ELSE asinh(value / asinh_scale) END AS y FROM cells JOIN z USING (feature) WHERE kind <> 'zero_inflated' OR value <> 0) SELECT feature, kind, round(any_value(asinh_scale), 5) AS asinh_scale, round(avg(y), 5) AS center, round(CASE WHEN stddev_pop(y) > 1e-9 THEN greatest(stddev_pop(y), 1e-3) ELSE 1 END, 5) AS scale FROM y GROUP BY 1, 2")
 def _(spark, d):
     """Which features are compressed and by what, and the mean and deviation of what comes out."""
     return ruled(spark, pp.fit(many(spark, d), MANY, pp.Policy(extreme="none")))
 
 
-@query("d7_robust_scales", f"WITH {REPORT}, q AS (SELECT feature, any_value(kind) AS kind, median(value) AS center, (quantile_cont(value, 0.9) - quantile_cont(value, 0.1)) / 2.5631031310892007 AS s FROM cells JOIN k USING (feature) WHERE kind <> 'zero_inflated' OR value <> 0 GROUP BY 1) SELECT feature, kind, CAST(NULL AS DOUBLE) AS asinh_scale, round(center, 6) AS center, round(CASE WHEN s > 0 THEN greatest(s, 1e-3) ELSE 1 END, 6) AS scale FROM q")
+@query("d7_robust_scales", f"WITH {REPORT}, q AS (SELECT feature, any_value(kind) AS kind, median(value) AS center, (quantile_cont(value, 0.9) - quantile_cont(value, 0.1)) / 2.5631031310892007 AS s FROM cells JOIN k USING (feature) WHERE kind <> 'zero_inflated' OR value <> 0 GROUP BY 1) SELECT feature, kind, CAST(NULL AS DOUBLE) AS asinh_scale, round(center, 5) AS center, round(CASE WHEN s > 0 THEN greatest(s, 1e-3) ELSE 1 END, 5) AS scale FROM q")
 def _(spark, d):
     """Median and a free range of quantiles in units of the normal distribution's."""
     return ruled(spark, pp.fit(many(spark, d), MANY, pp.Policy(extreme="none", asinh=False, robust=True, low_q=10, high_q=90, unit_variance=True)))
@@ -951,7 +951,7 @@ def _(spark, d):
     return search.evaluated(ev(spark, d), search.RAW).select(*r6(*ALL_METRICS, "threshold_on", "threshold_off", "robust_scale"))
 
 
-SMOOTH = "ev AS (SELECT run_key, sequence_id, t, label, greatest(max(score) OVER (PARTITION BY sequence_id ORDER BY t ROWS 1 PRECEDING), list_reduce(list(score) OVER (PARTITION BY sequence_id ORDER BY t ROWS UNBOUNDED PRECEDING), lambda a, b: 0.5 * b + 0.5 * a)) AS score FROM raw)"
+SMOOTH = "ev AS (SELECT run_key, sequence_id, t, label, greatest(max(score) OVER (PARTITION BY sequence_id ORDER BY t ROWS 1 PRECEDING), list_reduce(list(score) OVER (PARTITION BY sequence_id ORDER BY t ROWS UNBOUNDED PRECEDING), lambda a, b: 0.4 * b + 0.6 * a)) AS score FROM raw)"
 SMOOTHED = EV.replace("ev AS", "raw AS", 1) + ", " + SMOOTH
 HELD = f"""sc AS (SELECT greatest(1.4826 * median(abs(score - m)), 1e-12) AS scale FROM ev, (SELECT median(score) AS m FROM ev)),
 hy AS (SELECT ev.*, threshold AS a, threshold - 0.5 * scale AS b FROM ev, th, sc),
@@ -960,7 +960,7 @@ p0 AS (SELECT *, CAST(coalesce(last_value(e IGNORE NULLS) OVER ({W} ROWS BETWEEN
 p1 AS (SELECT *, {NEWLY} AS nw FROM p0), p2 AS (SELECT *, sum(nw) OVER ({W} ROWS UNBOUNDED PRECEDING) AS run FROM p1), p3 AS (SELECT *, count(*) OVER (PARTITION BY sequence_id, run) AS len, max(run) OVER (PARTITION BY sequence_id) AS top FROM p2),
 p4 AS (SELECT * EXCLUDE (pred, nw, run, len, top), CASE WHEN pred = 0 AND run > 0 AND run < top AND len <= 1 THEN 1 ELSE pred END AS pred FROM p3), p5 AS (SELECT *, {NEWLY} AS nw FROM p4), p6 AS (SELECT *, sum(nw) OVER ({W} ROWS UNBOUNDED PRECEDING) AS run FROM p5)"""
 KEPT = "p AS (SELECT run_key, sequence_id, t, label, CASE WHEN pred = 1 AND count(*) OVER (PARTITION BY sequence_id, run) < 2 THEN 0 ELSE pred END AS pred FROM p6)"
-STEPS = search.Settings(2, 3, 0.5, 2, 2, 1, 2)
+STEPS = search.Settings(2, 4, 0.5, 2, 2, 1, 2)  # a weight of 0.4, so that no mean of scores with two places lies halfway between rounded ones
 
 
 @query("g15_evaluation", f"{metric_sql(f'{SMOOTHED}, th AS ({threshold_sql(SMOOTHED)}), {HELD}', KEPT)} SELECT {SCORED} AS alarm_score, {SHARES}, (SELECT round(threshold, 5) FROM th) AS threshold_on, (SELECT round(any_value(b), 5) FROM hy) AS threshold_off, (SELECT round(scale, 5) FROM sc) AS robust_scale FROM f")
