@@ -83,23 +83,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """The least node that each node of edges(u, v) can reach: node, component.
 
     Alternating star contractions: every round hangs each node's larger neighbours, then its smaller ones, on
-    the least node near it. Rounds grow with the logarithm of the longest path; each ends in a staged table.
+    the least node near it. Rounds grow with the logarithm of the longest path; each ends in a staged table. So are both sides of
+    its joins, so that Spark can split the rows of a node with very many neighbours (they lie in one partition, and it sees their size).
     """
     def larger(e: DataFrame) -> DataFrame:
         both = e.union(e.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
     def smaller(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        low = staged(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         hung = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return hung.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
     now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     digest = None
     for _ in range(max_rounds):
-        now = staged(smaller(larger(now)), "links")
+        now = staged(smaller(staged(larger(now), "links")), "links")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen == digest:
             break
