@@ -54,7 +54,7 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SMALL = 200_000  # distinct values of one key that a single buffer may hold
+SMALL = 1_000_000  # distinct values of one key that a single sorted window may have
 
 
 def value_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -71,20 +71,22 @@ def few_values(counts: DataFrame, keys: list[str]) -> bool:
 def quantiles(counts: DataFrame, keys: list[str], value: str, fractions: Iterable[float], few: bool | None = None) -> DataFrame:
     """keys and q: the exact quantiles at the fractions, between two values as far as the place falls between their rows.
 
-    counts is one row for each key and value, with n; nulls don't count. Keys with few values (checked, or told by few) are settled
-    in one buffer each. Else values are range-partitioned, and running totals over the ranges give each value its place, so that no
-    task holds all values of a key.
+    counts is one row for each key and value, with n; nulls don't count. Running totals give each value its place. Those of keys with few
+    values (checked, or told by few) are one sorted window each; else values are range-partitioned and the totals go over the ranges, so
+    that no task holds all values of a key.
     """
-    fractions = [float(f) for f in fractions]
-    rows = counts.where(F.col(value).isNotNull())
-    if few_values(rows, keys) if few is None else few:
-        return rows.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, fractions)), F.col("n").cast("long")).alias("q"))
-    one = F.struct(*keys).alias("_keys")
-    above = running_totals(rows.select(one, F.col(value).cast("double").alias("_v"), F.col("n").cast("double").alias("n")), "_keys", "_v", ["n"])
-    total = above.groupBy("_keys").agg(F.max("n").alias("total")).withColumnRenamed("_keys", "_of")
-    placed = above.join(total, F.col("_keys").eqNullSafe(F.col("_of"))).withColumn("_first", F.col("total") - F.col("n"))  # place of its first row, from below
+    rows = counts.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_keys"), F.col(value).cast("double").alias("_v"), F.col("n").cast("double").alias("n"))
+    if few_values(rows, ["_keys"]) if few is None else few:
+        upto = Window.partitionBy("_keys").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        placed = rows.withColumn("_first", F.sum("n").over(upto) - F.col("n"))  # place of a value's first row, from below
+        total = rows.groupBy("_keys").agg(F.sum("n").alias("total")).withColumnRenamed("_keys", "_of")
+        placed = placed.join(total, F.col("_keys").eqNullSafe(F.col("_of")))
+    else:
+        above = running_totals(rows, "_keys", "_v", ["n"])
+        total = above.groupBy("_keys").agg(F.max("n").alias("total")).withColumnRenamed("_keys", "_of")
+        placed = above.join(total, F.col("_keys").eqNullSafe(F.col("_of"))).withColumn("_first", F.col("total") - F.col("n"))
     found = []
-    for f in fractions:
+    for f in map(float, fractions):
         at = f * (F.col("total") - 1)
         low, high = (F.max(F.when(F.col("_first") <= side(at), F.col("_v"))) for side in (F.floor, F.ceil))
         part = F.max(at - F.floor(at))

@@ -65,7 +65,7 @@ def feature_counts(df: DataFrame, features: list[str]) -> DataFrame:
 def report_of(counts: DataFrame, policy: Policy = Policy(), few: bool | None = None) -> DataFrame:
     """Count, quantiles, spread, zeros and tails of each feature, and the kind of treatment that follows.
 
-    Whether a feature is almost constant is judged on what isn't zero if it has many zeros, and left open if too little is left then
+    What is read more than once is staged when this is called. Whether a feature is almost constant is judged on what isn't zero if it has many zeros, and left open if too little is left then
     (const_support: all, nonzero, insufficient_nonzero). Features without a finite value have no row.
     """
     p = policy
@@ -80,14 +80,15 @@ def report_of(counts: DataFrame, policy: Policy = Policy(), few: bool | None = N
     sums = sums.withColumn("const_support", F.when(~inflated, "all").when(enough, "nonzero").otherwise("insufficient_nonzero"))
     names = ("q_low_top", "q_low", "q25", "median", "q75", "q_high", "q_high_top")
     q = quantiles(some, ["feature"], "value", (1 - p.q_top, 1 - p.q_ref, 0.25, 0.5, 0.75, p.q_ref, p.q_top), few)
-    first = sums.join(F.broadcast(q), "feature").select("*", *(F.col("q")[i].alias(n) for i, n in enumerate(names))).drop("q")  # a row for each feature
+    first = sums.join(F.broadcast(q), "feature").select("*", *(F.col("q")[i].alias(n) for i, n in enumerate(names))).drop("q")
+    first = staged(first)  # a row for each feature, which four aggregates below start from
     tails = some.join(F.broadcast(first.select("feature", "q_low", "q_high")), "feature").groupBy("feature").agg(
         F.sum(F.when(F.col("value") > F.col("q_high"), F.col("n")).otherwise(0)).alias("n_high"), F.sum(F.when(F.col("value") < F.col("q_low"), F.col("n")).otherwise(0)).alias("n_low")
     )
     judged = some.join(F.broadcast(first.select("feature", "const_support")), "feature").where((F.col("const_support") == "all") | ((F.col("const_support") == "nonzero") & ~zero)).select("feature", "value", "n")
-    cq = quantiles(judged, ["feature"], "value", (0.25, 0.5, 0.75), few).select("feature", (F.col("q")[2] - F.col("q")[0]).alias("iqr_const"), F.col("q")[1].alias("middle"))
+    cq = staged(quantiles(judged, ["feature"], "value", (0.25, 0.5, 0.75), few).select("feature", (F.col("q")[2] - F.col("q")[0]).alias("iqr_const"), F.col("q")[1].alias("middle")))
     mad = quantiles(deviations(judged, ["feature"], "value", cq.select("feature", "middle")), ["feature"], "value", (0.5,), few).select("feature", F.col("q")[0].alias("mad"))
-    unique = judged.groupBy("feature").agg(F.countDistinct(F.round("value", p.decimals)).alias("n_unique"))
+    unique = judged.select("feature", F.round("value", p.decimals).alias("value")).distinct().groupBy("feature").agg(F.count("*").alias("n_unique"))
     out = first
     for more in (tails, cq, mad, unique):
         out = out.join(F.broadcast(more), "feature", "left")
