@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 NO_ID = -(1 << 63)
 _own: list[tempfile.TemporaryDirectory] = []
@@ -79,6 +79,37 @@ def buckets_for(rows: DataFrame) -> int:
     return max(buckets(rows.sparkSession), -(-size // BUCKET_BYTES))
 
 
+def _ranged(rows: DataFrame, *order: Column) -> DataFrame:
+    """A staged table of rows with _range and _at, whose order is the given one: sorted ranges that follow each other."""
+    ranged = rows.repartitionByRange(buckets(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return staged(ranged.withColumn("_range", F.shiftright("_at", 33)), "ranged")
+
+
+def numbered(rows: DataFrame, group: str, *order: Column, carry: DataFrame | None = None) -> DataFrame:
+    """rows with pos (from 0, in the given order within each group) and n, the group's rows; group has no nulls.
+
+    Rows are range-partitioned by group and order, so a group with very many rows takes many tasks. A row's place in its sorted range
+    is stored with it; one row for each group and range then says where the group starts in the range and how many of it came before.
+    carry, a row for each group, adds its columns by that row, so that no join is by the group alone. rows are read twice, so they should be staged or cheap.
+    """
+    ranged = _ranged(rows, F.col(group), *order)
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(group, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    starts = starts.select(group, "_range", (F.col("_first") - F.coalesce(F.sum("_rows").over(before), F.lit(0))).alias("_zero"), F.sum("_rows").over(Window.partitionBy(group)).alias("n"))
+    starts = staged(starts if carry is None else starts.join(carry, group), "starts")
+    return ranged.join(starts, [group, "_range"]).withColumn("pos", F.col("_at") - F.col("_zero")).drop("_at", "_zero", "_range")
+
+
+def summed(rows: DataFrame, terms: list[str], *order: Column) -> DataFrame:
+    """rows with <term>_before: the sum of each term over all rows that come before in the given order, worked out range by range."""
+    ranged = _ranged(rows, *order)
+    before, inside = (Window.partitionBy(by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1) for by, at in (("_all", "_range"), ("_range", "_at")))
+    carried = ranged.groupBy("_range").agg(*(F.sum(x).alias(f"_{x}") for x in terms)).withColumn("_all", F.lit(0))
+    carried = carried.select("_range", *(F.coalesce(F.sum(f"_{x}").over(before), F.lit(0)).alias(f"_{x}") for x in terms))
+    own = ranged.select("*", *(F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(f"{x}_before") for x in terms))
+    return own.join(carried, "_range").select(*rows.columns, *((F.col(f"{x}_before") + F.col(f"_{x}")).alias(f"{x}_before") for x in terms))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """The least node that each node of edges(u, v) can reach: node, component.
 
