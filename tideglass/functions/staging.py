@@ -104,8 +104,8 @@ def deviations(counts: DataFrame, keys: list[str], value: str, middle: DataFrame
     return both.select(*keys, F.abs(F.col(value) - F.col("middle")).alias(value), "n").groupBy(*keys, value).agg(F.sum("n").alias("n"))
 
 
-def running_totals(df: DataFrame, key: str, value: str, terms: list[str]) -> DataFrame:
-    """key, value and, for each term, its total over the key's rows with at least this value.
+def running_totals(df: DataFrame, key: str, value: str, terms: list[str], own: bool = False) -> DataFrame:
+    """key, value and, for each term, its total over the key's rows with at least this value; with own, the totals are term_ and the row's own terms stay.
 
     Takes one row for each key and value. Rows are range-partitioned by key and falling value, so that a key
     with very many values takes many tasks: each range sums its own rows, and the totals of the ranges before it
@@ -117,5 +117,6 @@ def running_totals(df: DataFrame, key: str, value: str, terms: list[str]) -> Dat
     ranges = ranged.groupBy(key, "_range").agg(*(F.sum(x).alias(x) for x in terms))
     carried = ranges.select(key, F.col("_range").alias("_of"), *(F.coalesce(F.sum(x).over(before), F.lit(0.0)).alias(f"_{x}") for x in terms))
     inside = Window.partitionBy(key, "_range").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
-    own = ranged.select(key, "_range", value, *(F.sum(x).over(inside).alias(x) for x in terms))
-    return own.join(carried.withColumnRenamed(key, "_key"), (F.col("_range") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key"))).select(key, value, *((F.col(x) + F.col(f"_{x}")).alias(x) for x in terms))
+    summed = ranged.select(key, "_range", value, *(terms if own else ()), *(F.sum(x).over(inside).alias(f"{x}_") for x in terms))
+    both = summed.join(carried.withColumnRenamed(key, "_key"), (F.col("_range") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")))
+    return both.select(key, value, *(terms if own else ()), *((F.col(f"{x}_") + F.col(f"_{x}")).alias(f"{x}_" if own else x) for x in terms))

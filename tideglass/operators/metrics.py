@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import KEYS, along
+from ..functions.columns import KEYS
+from ..functions.scans import PIECE, Sequences, Total
 
 
 @dataclass(frozen=True)
@@ -19,21 +20,18 @@ class Metric:
 METRICS = {m.name: m for m in (Metric("alarm_score"), Metric("aaf", True), Metric("event_recall"), Metric("event_detection_delay", True))}
 
 
-def evaluate(pred: DataFrame, keys: tuple[str, ...] = ("run_key",)) -> DataFrame:
+def evaluate(pred: DataFrame, size: int | None = PIECE) -> DataFrame:
     """All metrics of rows(run_key, sequence_id, t, pred, label), for each run.
 
     alarm_score: detected - false alarms / 2 - (1 - 1 / false points) + mean nominal - 3/4 early - 1/4 late; 0 without
     a prediction. A run of alarms credits only the anomaly that it hits first. aaf: mean number of alarms inside
     detected anomalies. event_detection_delay (our definition): first hit's offset over length, mean over
-    anomalies hit. One shuffle by sequence, then sums.
+    anomalies hit. One shuffle by pieces of sequences, then sums.
     """
-    w = along()
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = pred.select(*KEYS, "t", F.col("pred").cast("int").alias("p"), (F.coalesce("label", F.lit(0)) != 0).cast("int").alias("y"))
-    prev = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0))
-    rows = rows.withColumn("p0", prev("p")).withColumn("y0", prev("y"))
-    rows = rows.withColumn("k", F.sum(((F.col("y") == 1) & (F.col("y0") == 0)).cast("long")).over(upto)).withColumn("r", F.sum(((F.col("p") == 1) & (F.col("p0") == 0)).cast("long")).over(upto))
-    rows = rows.withColumn("start", F.max(F.when((F.col("y") == 1) & (F.col("y0") == 0), F.col("t"))).over(upto))
+    rows = Sequences(rows, size).near(1, 0, lambda w: {"p0": F.coalesce(F.lag("p").over(w), F.lit(0)), "y0": F.coalesce(F.lag("y").over(w), F.lit(0))})
+    fresh = (F.col("y") == 1) & (F.col("y0") == 0)
+    rows = rows.scan(k=Total("sum", fresh.cast("long")), r=Total("sum", ((F.col("p") == 1) & (F.col("p0") == 0)).cast("long")), start=Total("max", F.when(fresh, F.col("t")))).done()
     borders = rows.groupBy("run_key").agg(
         F.sum("p").alias("predicted"), F.sum((F.col("p") * (1 - F.col("y"))).cast("double")).alias("fp"),
         F.sum((F.col("p") * F.col("p0") * F.col("y") * (1 - F.col("y0"))).cast("double")).alias("early"), F.sum((F.col("p") * F.col("p0") * F.col("y0") * (1 - F.col("y"))).cast("double")).alias("late"),

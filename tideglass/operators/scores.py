@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import INF, KEYS, along, safe_score, trailing
+from ..functions.scans import PIECE, Sequences, Total
 from ..functions.staging import deviations, few_values, quantiles, staged, value_counts
 
 
@@ -44,16 +45,15 @@ def sparse_score(df: DataFrame, stats: DataFrame, features: list[str], top: int,
     return rows.select(*KEYS, "t", "label", (F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / top).alias("score"))
 
 
-def cusum(df: DataFrame, stats: DataFrame, features: list[str], slack: float, top: int = 1) -> DataFrame:
+def cusum(df: DataFrame, stats: DataFrame, features: list[str], slack: float, top: int = 1, size: int | None = PIECE) -> DataFrame:
     """Two-sided CUSUM of z with slack; a reflected running sum is the running sum less its least so far (0 at most)."""
-    upto = along().rowsBetween(Window.unboundedPreceding, 0)
     rows = df.crossJoin(F.broadcast(stats))  # stats: one row
-    sides = {}
-    for c in features:
-        z = (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")
-        sides |= {f"_u_{c}": F.sum(z - slack).over(upto), f"_l_{c}": F.sum(-z - slack).over(upto)}
-    rows = rows.withColumns(sides)
-    one = lambda n: F.col(n) - F.least(F.lit(0.0), F.min(n).over(upto))
+    z = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")
+    steps = {f"{side}_{c}": F.lit(sign) * z(c) - slack for c in features for side, sign in (("_u", 1.0), ("_l", -1.0))}
+    rows = Sequences(rows.select(*KEYS, "t", "label", *(x.alias(n) for n, x in steps.items())), size)
+    rows = rows.scan(**{f"s{n}": Total("sum", F.col(n)) for n in steps})
+    rows = rows.scan(**{f"m{n}": Total("min", F.col(f"s{n}")) for n in steps}).done()
+    one = lambda n: F.col(f"s{n}") - F.least(F.lit(0.0), F.col(f"m{n}"))
     best = F.slice(F.sort_array(F.array(*(F.greatest(one(f"_u_{c}"), one(f"_l_{c}")) for c in features)), asc=False), 1, top)
     return rows.select(*KEYS, "t", "label", (F.aggregate(best, F.lit(0.0), lambda s, x: s + x) / top).alias("score"))
 

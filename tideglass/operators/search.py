@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import KEYS
+from ..functions.scans import PIECE, fits
 from ..functions.staging import staged
 from .alarms import decision_scores, drop_short, fill_gaps, hysteresis, predict, robust_scale
 from .metrics import METRICS, evaluate
@@ -48,18 +49,19 @@ def evaluation(scores: DataFrame, settings: list[Settings], fraction: float | No
     rows: setting, run_key, sequence_id, t, raw_score, score (the decision), label, pred.
     """
     base = scores.select(*KEYS, "t", "score", "label")
+    size = None if fits(base) else PIECE
     name = lambda i: F.concat(F.lit(f"{i}|"), F.col("run_key"))
     smoothed: dict[tuple[int, int], int] = {}
     for i, s in enumerate(settings):
         smoothed.setdefault((s.width, s.span) if s.enabled else (1, 1), i)
     parts = []
     for i, s in enumerate(settings):
-        w = decision_scores(base.withColumn("raw_score", F.col("score")), s.width if s.enabled else 1, s.span if s.enabled else 1)
+        w = decision_scores(base.withColumn("raw_score", F.col("score")), s.width if s.enabled else 1, s.span if s.enabled else 1, size)
         parts.append(w.select(name(i).alias("run_key"), "sequence_id", "t", "raw_score", F.col("decision").alias("score"), "label", "gap", "stretch", F.lit(i).alias("setting")))
     decided = staged(all_of(parts))
     leaders = [smoothed[(s.width, s.span) if s.enabled else (1, 1)] for s in settings]  # settings that smooth alike share a threshold
     swept = decided.where(F.col("setting").isin(*set(leaders))).select(*KEYS, "t", "score", "label")
-    on = best_threshold(swept) if fraction is None else quantile_thresholds(swept, [fraction])
+    on = best_threshold(swept, size) if fraction is None else quantile_thresholds(swept, [fraction])
     found = staged(on.select("run_key", "threshold").join(robust_scale(swept, ["run_key"]), "run_key", "left"))
     whose = F.array(*map(F.lit, leaders))
     run = F.expr("substring(run_key, instr(run_key, '|') + 1)")
@@ -77,13 +79,13 @@ def evaluation(scores: DataFrame, settings: list[Settings], fraction: float | No
         mine = rows.where(F.col("setting").isin(*which))
         if enabled:
             enter, leave, gap, least = how
-            pred = hysteresis(mine, F.col("threshold_on"), F.col("threshold_off"), enter, leave, "score")
-            pred = drop_short(fill_gaps(pred, gap), least)
+            pred = hysteresis(mine, F.col("threshold_on"), F.col("threshold_off"), enter, leave, "score", size)
+            pred = drop_short(fill_gaps(pred, gap, size), least, size)
         else:
             pred = predict(mine, F.col("threshold_on"))
         done.append(pred.select("setting", *KEYS, "t", "raw_score", "score", "label", "pred"))
     out = staged(all_of(done))
-    runs = evaluate(out).join(F.broadcast(limits), "run_key").select("setting", run.alias("run_key"), *METRICS, "threshold_on", "threshold_off", "robust_scale")
+    runs = evaluate(out, size).join(F.broadcast(limits), "run_key").select("setting", run.alias("run_key"), *METRICS, "threshold_on", "threshold_off", "robust_scale")
     return Evaluation(runs, out.withColumn("run_key", run))
 
 

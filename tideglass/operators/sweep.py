@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import INF, KEYS, along, safe_score
+from ..functions.columns import INF, KEYS, safe_score
+from ..functions.scans import PIECE, Sequences, Total
 from ..functions.staging import quantiles, running_totals, staged, value_counts
 
 
-def _labelled(scores: DataFrame) -> DataFrame:
-    """s, y, k (anomalies so far), g (runs of equal y so far), and the next row's s and y."""
-    w = along()
+def _labelled(scores: DataFrame, size: int | None) -> tuple[DataFrame, bool]:
+    """s, y, k (anomalies so far), start of the last of them, was (the row before's y), and the next row's s and y; staged, and whether sequences are short."""
     rows = scores.select(*KEYS, "t", safe_score().alias("s"), (F.coalesce("label", F.lit(0)) != 0).cast("int").alias("y"))
-    rows = rows.withColumn("was", F.lag("y").over(w)).withColumn("s1", F.lead("s").over(w)).withColumn("y1", F.lead("y").over(w)).withColumn("s0", F.lag("s").over(w))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = Sequences(rows, size).near(1, 1, lambda w: {"was": F.lag("y").over(w), "s1": F.lead("s").over(w), "y1": F.lead("y").over(w)})
     starts = (F.col("y") == 1) & (F.coalesce("was", F.lit(0)) == 0)
-    rows = rows.withColumn("k", F.sum(starts.cast("long")).over(upto))
-    rows = rows.withColumn("start", F.max(F.when(starts, F.col("t"))).over(upto))
-    return rows.withColumn("pair", F.least("s", "s1"))
+    rows = rows.scan(k=Total("sum", starts.cast("long")), start=Total("max", F.when(starts, F.col("t"))))
+    return staged(rows.columns(pair=F.least("s", "s1")).done()), rows.size is None
 
 
 def _deltas(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,31 +46,37 @@ def _deltas(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole.where(F.col("value") > F.lit(-INF)), each.where(F.col("value") > F.lit(-INF))
 
 
-def sweep_curve(scores: DataFrame) -> DataFrame:
+def sweep_curve(scores: DataFrame, size: int | None = PIECE) -> DataFrame:
     """The alarm score of score >= value for every finite value of each run.
 
     Each term of the alarm score is a step function of the threshold, so one table of changes and running sums
     in falling order gives it everywhere; sequences only meet in the sums by run, which ranges of values share
-    out. Rows and the table of changes are written to the shared folder when this is called.
+    out. Rows and the table of changes are written to the shared folder when this is called. Sequences of more than size rows are
+    taken in pieces, and the values of one anomaly in ranges.
     """
-    return _curve(staged(_labelled(scores)))
+    return _curve(*_labelled(scores, size))
 
 
-def _curve(rows: DataFrame) -> DataFrame:
+def _curve(rows: DataFrame, short: bool) -> DataFrame:
     whole, each = _deltas(rows)
-    by_value = each.groupBy(*KEYS, "k", "value").agg(F.sum("al").alias("al"), F.sum("wt").alias("wt"), F.sum("br").alias("br"))
-    falling = Window.partitionBy(*KEYS, "k").orderBy(F.desc("value"))
-    upto = falling.rowsBetween(Window.unboundedPreceding, 0)
-    run = by_value.select(*KEYS, "k", "value", *(F.sum(c).over(upto).alias(c) for c in ("al", "wt", "br")))
-    hit = (F.col("al") >= 1 + F.col("br")).cast("double")
-    run = run.withColumn("d", hit).withColumn("nom", hit * (1 + F.col("wt")) * F.pow(F.lit(2.0), -F.col("al")))
-    change = lambda c: (F.col(c) - F.coalesce(F.lag(c).over(falling), F.lit(0.0))).alias(c)
+    sums = ("al", "wt", "br")
+    by_value = each.groupBy(F.struct(*KEYS, "k").alias("a"), "value").agg(*(F.sum(c).alias(c) for c in sums))
+    if short:  # an anomaly is no longer than its sequence
+        upto = Window.partitionBy("a").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
+        run = by_value.select("a", "value", *sums, *(F.sum(c).over(upto).alias(f"{c}_") for c in sums))
+    else:
+        run = running_totals(by_value, "a", "value", list(sums), own=True)
+    def value(al, wt, br):
+        hit = (al >= 1 + br).cast("double")
+        return hit, hit * (1 + wt) * F.pow(F.lit(2.0), -al)
+
+    now, was = value(*(F.col(f"{c}_") for c in sums)), value(*(F.col(f"{c}_") - F.col(c) for c in sums))
     zero = F.lit(0.0)
-    found = run.select("run_key", "value", zero.alias("nf"), zero.alias("fa"), zero.alias("early"), zero.alias("late"), change("d"), change("nom"))
+    found = run.select("a.run_key", "value", zero.alias("nf"), zero.alias("fa"), zero.alias("early"), zero.alias("late"), (now[0] - was[0]).alias("d"), (now[1] - was[1]).alias("nom"))
     both = whole.select("*", zero.alias("d"), zero.alias("nom")).union(found)
     terms = ["nf", "fa", "early", "late", "d", "nom"]
-    sums = both.groupBy("run_key", "value").agg(*(F.sum(c).alias(c) for c in terms))
-    at = running_totals(sums, "run_key", "value", terms)
+    changes = both.groupBy("run_key", "value").agg(*(F.sum(c).alias(c) for c in terms))
+    at = running_totals(changes, "run_key", "value", terms)
     return at.select("run_key", "value", _score(*(F.col(c) for c in terms)).alias("alarm_score"))
 
 
@@ -96,13 +100,13 @@ def _everything(rows: DataFrame) -> DataFrame:
     return all_.select("run_key", F.lit(-INF).alias("value"), _score(F.col("normal") + F.col("seqs"), none.cast("double"), F.col("n"), F.col("n") - F.coalesce("last_y", F.lit(0)), (~none).cast("double"), F.when(none, 0.0).otherwise(nominal)).alias("alarm_score"))
 
 
-def best_threshold(scores: DataFrame) -> DataFrame:
+def best_threshold(scores: DataFrame, size: int | None = PIECE) -> DataFrame:
     """run_key, threshold, best_score, num_steps of scores(run_key, sequence_id, t, score, label).
 
     Over all distinct scores and -inf; 0 at +inf unless one is better; of equally good ones the largest.
     """
-    rows = staged(_labelled(scores))
-    curve = _curve(rows).union(_everything(rows))
+    rows, short = _labelled(scores, size)
+    curve = _curve(rows, short).union(_everything(rows))
     best = curve.groupBy("run_key").agg(F.max(F.struct("alarm_score", "value")).alias("b"), F.count("*").alias("num_steps"))
     better = F.col("b.alarm_score") > 0
     return best.select("run_key", F.when(better, F.col("b.value")).otherwise(F.lit(INF)).alias("threshold"), F.when(better, F.col("b.alarm_score")).otherwise(0.0).alias("best_score"), "num_steps")
