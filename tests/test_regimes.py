@@ -36,7 +36,7 @@ def test_slow_drift_against_numpy(plant):
     blocks, widths = [["a", "b"], ["d"]], [5]
     rows = plant.withColumn("regime", F.col("truth"))
     refs = rg.drift_references(rows.where("truth = 0"), blocks, widths)  # regime 1 falls back to all rows
-    got = rg.slow_drift(rows, refs, blocks, widths).orderBy("sequence_id", "t").toPandas()["score"].to_numpy()
+    got = rg.slow_drift(rows, refs).orderBy("sequence_id", "t").toPandas()["score"].to_numpy()
     pdf = plant.where("truth = 0").toPandas().sort_values(["sequence_id", "t"])
     frames = lambda p: pd.concat([_frames(g) for _, g in p.groupby("sequence_id")])
     ref, now = frames(pdf), frames(plant.toPandas().sort_values(["sequence_id", "t"]))

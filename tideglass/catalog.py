@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .functions import columns as c
 from .functions.sql import register
 from .functions.staging import shared_folder
-from .operators import alarms, metrics, preprocess as pp, regimes as rg, report, scores as sc, search, sweep, windows as wd
+from .operators import alarms, metrics, preprocess as pp, regimes as rg, report, scores as sc, search, sweep, wide, windows as wd
 from .plans import learned
 from .sources import tables as t
 from .streaming import alarms as stream
@@ -654,7 +654,13 @@ def _(spark, d):
 
 @query("f28_channel_graph", f"WITH {LI}, {CHANNELS}, p AS (SELECT a.feature AS a, b.feature AS b, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS c FROM ch a JOIN ch b ON a.sequence_id = b.sequence_id AND a.t = b.t AND a.feature <> b.feature GROUP BY 1, 2), n AS (SELECT a, b, 1 / (1 + exp(-c)) AS w, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM p), k AS (SELECT a, b, w FROM n WHERE n <= 2 UNION ALL SELECT b, a, w FROM n WHERE n <= 2) SELECT a, b, round(max(w), 6) AS weight FROM k GROUP BY 1, 2")
 def _(spark, d):
-    return sc.channel_graph(li(spark, d), FEATURES, 2).select("a", "b", *r6("weight"))
+    return wide.channel_graph(li(spark, d), FEATURES, 2).select("a", "b", *r6("weight"))
+
+
+@query("f28_self_loops", f"""WITH {LI}, {CHANNELS}, p AS (SELECT a.feature AS a, b.feature AS b, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS c FROM ch a JOIN ch b ON a.sequence_id = b.sequence_id AND a.t = b.t GROUP BY 1, 2),
+n AS (SELECT a, b, 1 / (1 + exp(-c)) AS w, row_number() OVER (PARTITION BY a, a = b ORDER BY c DESC, b) AS n FROM p) SELECT a, b, round(max(w), 6) AS weight FROM (SELECT a, b, w FROM n WHERE n <= 1 UNION ALL SELECT b, a, w FROM n WHERE n <= 1) GROUP BY 1, 2""")
+def _(spark, d):
+    return wide.channel_graph(li(spark, d), FEATURES, 1, self_loops=True).select("a", "b", *r6("weight"))
 
 
 @query("f3_pca_residual")
@@ -711,7 +717,16 @@ def drift_refs(rows):
 
 @query("f12_drift_references", f"WITH {drift_sql()} SELECT coalesce(regime, -9) AS regime, {', '.join(f'round({n}, 4) AS {n}' for n in DRIFT_COLUMNS)} FROM r")
 def _(spark, d):
-    return drift_refs(drift_rows(spark, d)).select(F.coalesce("regime", F.lit(-9)).alias("regime"), *(F.round(n, 4).alias(n) for n in DRIFT_COLUMNS))
+    found, rows = drift_refs(drift_rows(spark, d)), []
+    for regime, by in found.found.items():  # a row for each regime
+        value = {}
+        for (w, k), (mean, std, corr) in by.items():
+            names = DRIFT_BLOCKS[k]
+            value |= {f"m_{w}_{f}": mean[i] for i, f in enumerate(names)} | {f"s_{w}_{f}": std[i] for i, f in enumerate(names)}
+            value |= {f"q_{w}_{a}_{b}": corr[names.index(a), names.index(b)] for a, b in DRIFT_PAIRS if a in names}
+        rows.append((-9 if regime is None else regime, *(float(value[n]) for n in DRIFT_COLUMNS)))
+    out = spark.createDataFrame(rows, "regime int, " + ", ".join(f"{n} double" for n in DRIFT_COLUMNS))
+    return out.select("regime", *(F.round(n, 4).alias(n) for n in DRIFT_COLUMNS))
 
 
 def drift_score_sql() -> str:
@@ -727,7 +742,7 @@ def drift_score_sql() -> str:
 @query("f13_slow_drift", f"WITH {drift_sql()} SELECT sequence_id, t, round({drift_score_sql()}, 4) AS score FROM x JOIN r USING (regime)")
 def _(spark, d):
     rows = drift_rows(spark, d)
-    return rg.slow_drift(rows, drift_refs(rows), DRIFT_BLOCKS, DRIFT_WIDTHS).select("sequence_id", "t", F.round("score", 4).alias("score"))
+    return rg.slow_drift(rows, drift_refs(rows)).select("sequence_id", "t", F.round("score", 4).alias("score"))
 
 
 def blocks_sql() -> str:
@@ -763,8 +778,9 @@ def structure_sql() -> str:
 
 @query("f18_structural_score", structure_sql())
 def _(spark, d):
-    patches = rg.patch_structure(li(spark, d), FEATURES, 16, 4)
-    return rg.structural_score(patches, patches.where("sequence_id % 2 = 0"), FEATURES).select("sequence_id", "patch_start", F.round("score", 4).alias("score"))
+    rows = li(spark, d)
+    normal = rg.structure_reference(rows.where("sequence_id % 2 = 0"), FEATURES, 16, 4)
+    return rg.structural_score(rows, normal, FEATURES, 16, 4).select("sequence_id", "patch_start", F.round("score", 4).alias("score"))
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Drift that depends on the operating regime: channel blocks, regimes, references of each and scores against them.
+"""Drift that depends on the operating regime: channel blocks and regimes; references of each and scores against them are in wide.py.
 
 Blocks, regimes and references are as many as channels and settings, whatever the number of rows; they are all
 that reaches the driver or is broadcast.
@@ -7,16 +7,16 @@ that reaches the driver or is broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import KEYS, along, trailing
-from .scores import dot, top_cosines, unit
+from ..functions.columns import trailing
+from . import wide
+from .scores import top_cosines, unit
+from .wide import drift_references, slow_drift, structural_score, structure_reference  # noqa: F401
 
 KINDS = ("mean", "std", "slope")
 FLOOR = 1e-6
@@ -35,10 +35,12 @@ def summaries(df: DataFrame, features: list[str], width: int) -> DataFrame:
 
 def channel_similarity(df: DataFrame, features: list[str], width: int) -> np.ndarray:
     """|correlation| of the channels' signatures: their normalised window means, deviations and slopes, end to end."""
-    names = [f"{k}_{c}" for k in KINDS for c in features]
-    rows = summaries(df, features, width).select(array_to_vector(F.array(*names)).alias("v"))
-    all_pairs = Correlation.corr(rows, "v").first()[0].toArray().reshape(len(KINDS), len(features), len(KINDS), len(features))
-    same = np.stack([all_pairs[i, :, i, :] for i in range(len(KINDS))])
+    found = wide.whole(wide.summary_moments(df, features, width), len(features))
+    same = np.full((len(KINDS), len(features), len(features)), np.nan)
+    for kind, m in found.items():
+        sd = np.sqrt(np.diag(m.m2))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            same[kind] = m.m2 / np.outer(sd, sd)
     off = np.where(np.eye(len(features), dtype=bool), np.nan, same)  # a constant channel correlates with nothing
     n = (~np.isnan(off)).any(axis=2).sum(axis=0)
     out = np.abs(np.nan_to_num(same).sum(axis=0)) / np.sqrt(np.maximum(1, np.outer(n, n)))
@@ -118,69 +120,6 @@ def fit_regimes(train: DataFrame, features: list[str], width: int, count: int, t
     return Regimes(chosen, width, mean, scale, [c.tolist() for c in model.clusterCenters()])
 
 
-def _pairs(blocks: list[list[str]]) -> list[tuple[str, str]]:
-    return [p for b in blocks if len(b) > 1 for p in [*((c, c) for c in b), *combinations(b, 2)]]
-
-
-def _frames(df: DataFrame, blocks: list[list[str]], widths: list[int]) -> DataFrame:
-    """df with trailing means x_ of all channels and correlations k_ of the pairs in a block, for each width."""
-    more = {}
-    for width in widths:
-        w = trailing(width)
-        var = lambda c: F.greatest(F.var_pop(c).over(w), F.lit(FLOOR))  # noqa: B023, E731
-        more |= {f"x_{width}_{c}": F.avg(c).over(w) for b in blocks for c in b}
-        more |= {f"k_{width}_{a}_{b}": F.covar_pop(a, b).over(w) / F.sqrt(var(a) * var(b)) for a, b in _pairs(blocks)}
-    return df.withColumns(more)
-
-
-def drift_references(df: DataFrame, blocks: list[list[str]], widths: list[int], only: Column | None = None) -> DataFrame:
-    """One row for each regime, and one with a null regime for all: m_ and s_ (mean and deviation of a channel's trailing mean), q_ (mean correlation of a pair). Rows other than only are seen by frames but not counted."""
-    rows = _frames(df.withColumn("regime", F.coalesce("regime", F.lit(-1))), blocks, widths)
-    rows = rows if only is None else rows.where(only)
-    out = []
-    for width in widths:
-        for c in (c for b in blocks for c in b):
-            s = F.stddev_pop(f"x_{width}_{c}")
-            out += [F.avg(f"x_{width}_{c}").alias(f"m_{width}_{c}"), F.when(s < FLOOR, 1.0).otherwise(s).alias(f"s_{width}_{c}")]
-        out += [F.avg(f"k_{width}_{a}_{b}").alias(f"q_{width}_{a}_{b}") for a, b in _pairs(blocks)]
-    return rows.rollup("regime").agg(*out)
-
-
-def slow_drift(df: DataFrame, references: DataFrame, blocks: list[list[str]], widths: list[int], mean_weight: float = 1.0, corr_weight: float = 1.0) -> DataFrame:
-    """The largest, over widths and blocks, of mean drift and correlation shift against the references of a row's regime.
-
-    Rows of a regime that the references don't have are held against those of all rows.
-    """
-    known = references.where("regime is not null").select("regime", F.lit(True).alias("_known"))  # one row for each regime
-    rows = df.withColumn("regime", F.coalesce("regime", F.lit(-1))).join(F.broadcast(known), "regime", "left")
-    rows = _frames(rows.withColumn("_ref", F.when(F.col("_known"), F.col("regime"))), blocks, widths)
-    rows = rows.join(F.broadcast(references.withColumnRenamed("regime", "_of")), F.col("_ref").eqNullSafe(F.col("_of")))
-    parts = []
-    for width in widths:
-        for b in blocks:
-            shift = sum(F.abs((F.col(f"x_{width}_{c}") - F.col(f"m_{width}_{c}")) / F.col(f"s_{width}_{c}")) for c in b) / len(b)
-            turn = sum((F.abs(F.col(f"k_{width}_{x}_{y}") - F.col(f"q_{width}_{x}_{y}")) * (1 if x == y else 2) for x, y in _pairs([b])), F.lit(0.0)) / len(b) ** 2
-            parts.append(mean_weight * shift + corr_weight * turn)
-    return rows.select(*KEYS, "t", "label", "regime", (F.greatest(*parts) if len(parts) > 1 else parts[0]).alias("score"))
-
-
-def patch_structure(df: DataFrame, features: list[str], length: int, stride: int, eps: float = FLOOR) -> DataFrame:
-    """Correlations k_ of all channel pairs in each complete patch: patch_start."""
-    w = along().rowsBetween(0, length - 1)
-    cells = {f"k_{a}_{b}": F.covar_pop(a, b).over(w) / F.sqrt((F.var_pop(a).over(w) + eps) * (F.var_pop(b).over(w) + eps)) for a, b in _pairs([features])}
-    rows = df.withColumns({**cells, "_n": F.count("*").over(w)})
-    return rows.where((F.col("_n") == length) & (F.col("t") % stride == 0)).select(*KEYS, F.col("t").alias("patch_start"), *cells)
-
-
-def structural_score(patches: DataFrame, reference: DataFrame, features: list[str]) -> DataFrame:
-    """Frobenius distance of each patch's correlations to the mean of those of the reference patches."""
-    pairs = _pairs([features])
-    means = reference.agg(*(F.avg(f"k_{a}_{b}").alias(f"m_{a}_{b}") for a, b in pairs))  # one row
-    off = lambda a, b: F.col(f"k_{a}_{b}") - F.col(f"m_{a}_{b}")
-    total = sum(off(a, b) * off(a, b) * (1 if a == b else 2) for a, b in pairs)
-    return patches.crossJoin(F.broadcast(means)).select(*KEYS, "patch_start", F.sqrt(total).alias("score"))
-
-
 def step_inconsistency(df: DataFrame, vector: Column, order: list[str], keys: list[str]) -> DataFrame:
     """Mean squared difference of a vector to the one before it in its sequence; 0 for the first."""
     rows = df.withColumn("_v", vector)

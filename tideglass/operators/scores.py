@@ -219,15 +219,3 @@ def centroid_distance(df: DataFrame) -> DataFrame:
     centre = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))  # one value for each dimension
     away = F.zip_with("embedding", "c", lambda x, m: x.cast("double") - m)
     return df.crossJoin(F.broadcast(centre)).select("vec_id", F.sqrt(F.aggregate(away, F.lit(0.0), lambda s, d: s + d * d)).alias("distance"))
-
-
-def channel_graph(df: DataFrame, features: list[str], k: int) -> DataFrame:
-    """Edges of the symmetrised graph of each channel's k most similar others: a, b, weight = sigmoid(cosine)."""
-    pairs = [(a, b) for a in features for b in features if a != b]
-    one = df.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a in features for b in features if a <= b))
-    name = lambda a, b: F.col(f"`{min(a, b)}|{max(a, b)}`")
-    cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (1 / (1 + F.exp(-name(a, b) / F.sqrt(name(a, a) * name(b, b))))).alias("weight")) for a, b in pairs))
-    edges = one.select(F.explode(cells).alias("e")).select("e.*")
-    w = Window.partitionBy("a").orderBy(F.desc("weight"), "b")
-    kept = edges.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("a", "b", "weight")
-    return kept.union(kept.select("b", "a", "weight")).groupBy("a", "b").agg(F.max("weight").alias("weight"))
