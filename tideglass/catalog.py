@@ -1096,16 +1096,56 @@ def _(spark, d):
     return stream.windowed_summary(ev(spark, d), "1 day").withColumn("mean_score", F.round("mean_score", 5))
 
 
+def by_time(spark, d):
+    """The events as a stream that comes in three parts, one after the other in event time."""
+    folder, rows = shared_folder(spark), ev(spark, d).select("sequence_id", "kind", F.col("ts").cast("timestamp").alias("ts"), "score")
+    bounds = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(*(F.timestamp_seconds(F.unix_seconds("a") + (F.unix_seconds("b") - F.unix_seconds("a")) * k / 3).alias(f"b{k}") for k in (1, 2))).first()
+    part = F.when(F.col("ts") < F.lit(bounds["b1"]), 0).when(F.col("ts") < F.lit(bounds["b2"]), 1).otherwise(2)
+    for k in range(3):
+        rows.where(part == k).repartition(4).write.mode("append").parquet(f"{folder}/in")
+    return stream.event_stream(spark, f"{folder}/in", rows.schema), folder
+
+
+def summarised(spark, d, summary):
+    """What has come out once all events are in: whatever ends before the newest event, less the hour that rows may be late."""
+    rows, folder = by_time(spark, d)
+    out = stream.run_to_table(summary(rows), f"{folder}/out", f"{folder}/checkpoint")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end") if c in out.columns})
+
+
+SEEN = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("j7_tumbling", f"SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS start, event_type AS kind, count(*) AS n, round(sum(value), 2) AS sum_score, max(value) AS max_score FROM events GROUP BY 1, 2 HAVING start + INTERVAL 1 DAY <= {SEEN}")
+def _(spark, d):
+    return summarised(spark, d, lambda rows: stream.windowed_summary(rows, "1 day")).withColumn("sum_score", F.round(F.col("mean_score") * F.col("n"), 2)).drop("mean_score")
+
+
+@query("j7_sliding", f"SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 6 HOUR * k AS start, event_type AS kind, count(*) AS n, round(sum(value), 2) AS sum_score, max(value) AS max_score FROM events, range(4) r(k) GROUP BY 1, 2 HAVING start + INTERVAL 1 DAY <= {SEEN}")
+def _(spark, d):
+    return summarised(spark, d, lambda rows: stream.windowed_summary(rows, "1 day", "6 hours")).withColumn("sum_score", F.round(F.col("mean_score") * F.col("n"), 2)).drop("mean_score")
+
+
+@query(
+    "j7_sessions",
+    f"""WITH a AS (SELECT user_id, ts, value, coalesce(ts - lag(ts) OVER w > INTERVAL 1 DAY, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM a)
+SELECT user_id AS sequence_id, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS end, count(*) AS n, max(value) AS max_score FROM b GROUP BY user_id, session HAVING max(ts) + INTERVAL 1 DAY <= {SEEN}""",
+)
+def _(spark, d):
+    return summarised(spark, d, lambda rows: stream.session_summary(rows, "1 day"))
+
+
 @query(
     "j6_online_alarms",
     f"""WITH {EV}, {DECIDED}, h AS (SELECT *, CASE WHEN decision IS NOT NULL AND lag(decision) OVER w IS NOT NULL THEN CASE WHEN least(decision, lag(decision) OVER w) >= 300 THEN 1 WHEN greatest(decision, lag(decision) OVER w) < 150 THEN 0 END END AS e FROM de WINDOW w AS (PARTITION BY sequence_id, stretch, s IS NULL ORDER BY t))
 SELECT sequence_id, t, round(decision, 5) AS decision, CAST(s IS NOT NULL AND (coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY sequence_id, stretch, s IS NULL ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 OR coalesce(max(CASE WHEN e = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY sequence_id, stretch, s IS NULL ORDER BY t ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), 0) = 1) AS INT) AS pred FROM h""",
 )
 def _(spark, d):
-    """As a stream in three parts, with holes in the scores."""
+    """As a stream in three parts that are out of order, with holes in the scores."""
     rows, folder = arriving(spark, d, gapped(spark, d))
     out = stream.online_alarms(rows, 4, 3, 300.0, 150.0, 2, 2)
-    return stream.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint").select("sequence_id", "t", F.round("decision", 5).alias("decision"), "pred")
+    return stream.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint").where("not late").select("sequence_id", "t", F.round("decision", 5).alias("decision"), "pred")
 
 
 @query("j1_scored_windows", f"WITH {LI} SELECT sequence_id, t AS t_end, round(avg(quantity) OVER {F8} - avg(tax) OVER {F8}, 5) AS score FROM li QUALIFY count(*) OVER {F8} = 8")
@@ -1115,12 +1155,12 @@ def _(spark, d):
 
 
 def arriving(spark, d, series=None):
-    """The events as a stream that comes in three parts by t; last marks the end of a sequence."""
+    """The events as a stream that comes in three parts, each with rows from all over the sequences; last marks the end of a sequence."""
     folder = shared_folder(spark)
     n = F.count("*").over(Window.partitionBy(*KEYS))
     rows = (ev(spark, d) if series is None else series).select("sequence_id", "t", "score", (F.col("t") == n - 1).alias("last"))
-    for part in (F.col("t") < 11, F.col("t").between(11, 40), F.col("t") > 40):
-        rows.where(part).repartition(4, "sequence_id").write.mode("append").parquet(f"{folder}/in")
+    for part in range(3):
+        rows.where(F.pmod(F.xxhash64("sequence_id", "t"), F.lit(3)) == part).repartition(4, "sequence_id").write.mode("append").parquet(f"{folder}/in")
     return stream.event_stream(spark, f"{folder}/in", rows.schema), folder
 
 
@@ -1128,7 +1168,7 @@ def arriving(spark, d, series=None):
 def _(spark, d):
     rows, folder = arriving(spark, d)
     out = stream.causal_scores(rows, ["score"], 5, lambda w: w[:, -1, 0] - w[:, :, 0].mean(axis=1))
-    return stream.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint").select("sequence_id", "t", (F.round("score", 5) + F.lit(0.0)).alias("score"))  # no -0
+    return stream.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint").where("not late").select("sequence_id", "t", (F.round("score", 5) + F.lit(0.0)).alias("score"))  # no -0
 
 
 @query(
@@ -1139,7 +1179,7 @@ SELECT sequence_id, t, round(CASE WHEN n < 6 THEN (sum(score) OVER a + (6 - n) *
 def _(spark, d):
     rows, folder = arriving(spark, d)
     out = stream.patch_scores(rows, ["score"], 6, 2, lambda p: p[:, :, 0].mean(axis=1))
-    return stream.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint").select("sequence_id", "t", F.round("score", 4).alias("score"))
+    return stream.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint").where("not late").select("sequence_id", "t", F.round("score", 4).alias("score"))
 
 
 BY_SEQUENCE = """q AS (SELECT sequence_id, sum(pred * (1 - label)) AS fp, sum(pred * p0 * label * (1 - y0)) AS early, sum(pred * p0 * y0 * (1 - label)) AS late FROM k GROUP BY 1),

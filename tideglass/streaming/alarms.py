@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQueryListener
+
+from .ordered import Lateness, in_order
 
-OUT = "sequence_id long, t long, score double, decision double, pred int"
 STATE = "last_t long, mean double, active int, raw array<double>, decided array<double>, wait_t array<long>, wait_raw array<double>, wait_decided array<double>, wait_active array<int>"
 
 
@@ -85,34 +87,24 @@ class _Alarms:
         self.raw, self.decided, self.mean, self.active = np.zeros(0), np.zeros(0), None, False
 
 
-def online_alarms(stream: DataFrame, width: int, span: int, on: float, off: float, enter: int = 1, leave: int = 1, idle: str = "1 day") -> DataFrame:
+def online_alarms(stream: DataFrame, width: int, span: int, on: float, off: float, enter: int = 1, leave: int = 1, lateness: Lateness = Lateness()) -> DataFrame:
     """Append mode: each row with its decision score and alarm, as decision_scores and hysteresis give them over all rows at once.
 
     An alarm begins at the first of enter decisions at or above on, so a row comes out once the enter - 1 rows after it are known, a
-    row without a score has come, the sequence has ended (the column last), or nothing has come for so long (idle). State
-    is that of max(width, enter, leave) rows of each sequence, and goes with the sequence's end or when it is idle. Rows of a sequence are
-    taken by t inside a batch; rows that come late, in a later batch, are an error rather than a wrong alarm.
+    row without a score has come, or the sequence is over (the column last, or idle). State is that of max(width, enter, leave) rows of
+    each sequence, and rows that wait for earlier ones. Late rows come out with late and change no alarm (see Lateness and in_order).
     """
-    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alarms = _Alarms(width, span, on, off, enter, leave, state.get if state.exists else None)
-        if state.hasTimedOut:
+    def advance(held: tuple | None, t: np.ndarray, x: np.ndarray, over: bool) -> tuple[pd.DataFrame, tuple | None]:
+        alarms = _Alarms(width, span, on, off, enter, leave, held)
+        if len(t):
+            alarms.add(t, x[:, 0])
+        if over:
             alarms.flush()
-            state.remove()
-        else:
-            rows = pd.concat(list(frames)).sort_values("t")
-            alarms.add(rows["t"].to_numpy(), rows["score"].to_numpy(float))
-            if rows["last"].any():
-                alarms.flush()
-                state.remove() if state.exists else None
-            else:
-                state.update(alarms.held())
-                state.setTimeoutDuration(ms)
-        t, x, d, p = zip(*alarms.out) if alarms.out else ((),) * 4
-        yield pd.DataFrame({"sequence_id": pd.Series([key[0]] * len(t), dtype="int64"), "t": pd.Series(t, dtype="int64"), "score": pd.array([v if v is not None and np.isfinite(v) else None for v in x], "Float64"), "decision": pd.array(d, "Float64"), "pred": pd.Series(p, dtype="int32")})
+        out = pd.DataFrame(alarms.out, columns=["t", "score", "decision", "pred"])
+        return out.assign(score=out["score"].where(np.isfinite(out["score"].astype(float)))), None if over else alarms.held()
 
-    return stream.groupBy("sequence_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return in_order(stream, ["score"], advance, STATE, {"score": "double", "decision": "double", "pred": "int"}, lateness)
 
 
 def scored_windows(windows: DataFrame, score: Callable[[np.ndarray], np.ndarray], keys: list[str], chunk: int = 16_384) -> DataFrame:
@@ -138,63 +130,41 @@ def scored_windows(windows: DataFrame, score: Callable[[np.ndarray], np.ndarray]
     return windows.select(*keys, values.alias("w")).mapInPandas(run, f"{fields}, score double")
 
 
-def _in_order(rows: pd.DataFrame, last_t: int | None) -> pd.DataFrame:
-    rows = rows.sort_values("t")
-    t = rows["t"].to_numpy()
-    if last_t is not None and t[0] <= last_t or (np.diff(t) <= 0).any():
-        raise ValueError("rows of a sequence must come in order of t, each once")
-    return rows
-
-
-def causal_scores(stream: DataFrame, features: list[str], width: int, score: Callable[[np.ndarray], np.ndarray], idle: str = "1 day") -> DataFrame:
+def causal_scores(stream: DataFrame, features: list[str], width: int, score: Callable[[np.ndarray], np.ndarray], lateness: Lateness = Lateness()) -> DataFrame:
     """Append mode: a score for each row, by a function of (windows, rows, features) over the last width rows.
 
-    Before the start the first row is repeated. State is the last width - 1 rows of each sequence; it goes at the sequence's end (the
-    column last), or when nothing has come for so long (idle). Batches have to come in order; rows that come late are an error.
+    Before the start the first row is repeated. State is the last width - 1 rows of each sequence and rows that wait for earlier ones; it
+    goes when the sequence is over. Late rows come out with late and no score (see Lateness and in_order).
     """
-    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tail, last_t = state.get if state.exists else (None, None)
-        rows = _in_order(pd.concat(list(frames)), last_t)
-        x = rows[features].to_numpy(float)
-        before = np.array(tail, float).reshape(-1, len(features)) if tail is not None else np.repeat(x[:1], width - 1, axis=0)
+
+    def advance(held: tuple | None, t: np.ndarray, x: np.ndarray, over: bool) -> tuple[pd.DataFrame, tuple | None]:
+        if not len(t):
+            return pd.DataFrame({"t": [], "score": []}), None
+        before = np.array(held[0], float).reshape(-1, len(features)) if held else np.repeat(x[:1], width - 1, axis=0)
         x = np.concatenate((before, x))
         windows = np.lib.stride_tricks.sliding_window_view(x, width, axis=0).transpose(0, 2, 1)
-        if not rows["last"].any():
-            state.update((x[len(x) - width + 1 :].ravel().tolist(), int(rows["t"].iloc[-1])))
-            state.setTimeoutDuration(ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"sequence_id": key[0], "t": rows["t"], "score": score(windows)})
+        return pd.DataFrame({"t": t, "score": score(windows)}), None if over else (x[len(x) - width + 1 :].ravel().tolist(),)
 
-    return stream.groupBy("sequence_id").applyInPandasWithState(step, "sequence_id long, t long, score double", "tail array<double>, last_t long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return in_order(stream, features, advance, "tail array<double>", {"score": "double"}, lateness)
 
 
-def patch_scores(stream: DataFrame, features: list[str], length: int, stride: int, score: Callable[[np.ndarray], np.ndarray], idle: str = "1 day") -> DataFrame:
+def patch_scores(stream: DataFrame, features: list[str], length: int, stride: int, score: Callable[[np.ndarray], np.ndarray], lateness: Lateness = Lateness()) -> DataFrame:
     """Append mode: for each row the mean score of the patches that cover it, once the length - 1 rows after it are known.
 
-    Patches start at every stride-th row and are scored by a function of (patches, rows, features). The column last
-    marks the end of a sequence, where what is held back comes out; a sequence shorter than a patch is filled up in front
-    with its first row. Rows that no patch covers have no score (null). State is at most 2 * length + stride rows of each
-    sequence, and goes at its end or when nothing has come for so long (idle), which counts as its end. t counts from 0 without
-    gaps, and batches have to come in order; rows that come late are an error.
+    Patches start at every stride-th row and are scored by a function of (patches, rows, features). When a sequence is over (the column
+    last, or idle) what is held back comes out; one shorter than a patch is filled up in front with its first row. Rows that no patch covers
+    have no score (null). Rows count as neighbours as they are taken: where rows of a gap never came, patches go over it. State is at most
+    2 * length + stride rows of each sequence and rows that wait for earlier ones. Late rows come out with late and no score (see Lateness and in_order).
     """
-    ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, start, out = state.get if state.exists else ([], 0, 0)
-        known = start + len(held) // len(features)
-        rows = pd.DataFrame({"t": [], **{c: [] for c in features}, "last": []}) if state.hasTimedOut else _in_order(pd.concat(list(frames)), known - 1 if known else None)
-        x = np.concatenate((np.array(held, float).reshape(-1, len(features)), rows[features].to_numpy(float)))
-        end, last = start + len(x), state.hasTimedOut or bool(rows["last"].any())
-        until = end if last else max(out, end - length + 1)
-        if last and end < length:
-            x = np.concatenate((np.repeat(x[:1], length - end, axis=0), x))
-            values = np.repeat(score(x[None]), end)[out:]
+
+    def advance(held: tuple | None, t: np.ndarray, x: np.ndarray, over: bool) -> tuple[pd.DataFrame, tuple | None]:
+        values, times, start, out = held or ([], [], 0, 0)
+        x = np.concatenate((np.array(values, float).reshape(-1, len(features)), x.reshape(-1, len(features))))
+        times = np.concatenate((np.array(times, np.int64), t))
+        end = start + len(x)
+        until = end if over else max(out, end - length + 1)
+        if over and end < length:
+            scores = np.repeat(score(np.concatenate((np.repeat(x[:1], length - end, axis=0), x))[None]), end)[out:] if end else np.zeros(0)
         else:
             total, n = np.zeros(len(x)), np.zeros(len(x))
             at = np.arange(0, len(x) - length + 1, stride)  # start is a multiple of the stride
@@ -202,32 +172,52 @@ def patch_scores(stream: DataFrame, features: list[str], length: int, stride: in
                 for i, s in zip(at, score(np.stack([x[i : i + length] for i in at]))):
                     total[i : i + length] += s
                     n[i : i + length] += 1
-            values = np.where(n > 0, total / np.maximum(n, 1), np.nan)[out - start : until - start]
+            scores = np.where(n > 0, total / np.maximum(n, 1), np.nan)[out - start : until - start]
         keep = max(0, until - length + 1) // stride * stride
-        if not last:
-            state.update((x[max(0, keep - start) :].ravel().tolist(), keep, until))
-            state.setTimeoutDuration(ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"sequence_id": key[0], "t": np.arange(out, until), "score": pd.array(values, "Float64") if len(values) else pd.array([], "Float64")})
+        rest = max(0, keep - start)
+        return pd.DataFrame({"t": times[out - start : until - start], "score": scores}), None if over else (x[rest:].ravel().tolist(), times[rest:].tolist(), keep, until)
+
+    return in_order(stream, features, advance, "held array<double>, times array<long>, start long, out long", {"score": "double"}, lateness)
+
+
+class DroppedRows(StreamingQueryListener):
+    """Counts what stateful operators have dropped because it was behind the watermark, by query id. An aggregation sees rows after partial sums: late rows of one window and task count once."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.over: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows[str(p.id)] = self.rows.get(str(p.id), 0) + sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
 
-    return stream.groupBy("sequence_id").applyInPandasWithState(step, "sequence_id long, t long, score double", "held array<double>, start long, out long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def onQueryTerminated(self, event) -> None:
+        self.over.add(str(event.runId))
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, dropped: DroppedRows | None = None) -> DataFrame:
     """All that is there now, in append mode, into Parquet; the file sink and the checkpoint make a rerun exact.
 
-    No batch is run without data, as states with an idle time would ask for one after the other; they go in a later run.
+    With dropped, a listener that is added for the run, one knows afterwards how many rows came too late for the state.
     """
-    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
-        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-    finally:
-        conf.set(name, before)
+    spark = stream.sparkSession
+    if dropped is not None:
+        spark.streams.addListener(dropped)
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    if dropped is not None:
+        for _ in range(600):  # events come in their own thread
+            if str(query.runId) in dropped.over:
+                break
+            time.sleep(0.1)
+        spark.streams.removeListener(dropped)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
