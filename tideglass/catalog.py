@@ -90,6 +90,36 @@ def _(spark, d):
     return t.read_csv_sequences(spark, folder, ["score", "user"]).groupBy((F.col("user").cast("long") % 8).alias("part")).agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"), F.sum("label").alias("labels"))
 
 
+PARTS = "CASE sequence_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END"
+
+
+@query("a1_layouts", f"WITH {EV} SELECT {PARTS} AS part, t, CAST(CASE WHEN sequence_id % 3 < 2 THEN score END AS DOUBLE) AS score, CAST(sequence_id AS DOUBLE) AS user, CAST(CASE WHEN sequence_id % 3 = 0 THEN label ELSE 0 END AS BIGINT) AS \"Label (common/all)\", CAST(CASE WHEN sequence_id % 3 = 1 THEN label ELSE 0 END AS BIGINT) AS \"Label (advanced/soft fault)\" FROM ev")
+def _(spark, d):
+    """Files of three layouts: columns in another order, and one that is missing; two label columns, each in some of the files."""
+    folder, one, two = shared_folder(spark), "Label (common/all)", "Label (advanced/soft fault)"
+    rows = ev(spark, d).select("sequence_id", F.col("t").alias("Time"), "score", F.col("sequence_id").alias("user"), "label")
+    kinds = (("Time", "score", "user", one), (two, "user", "Time", "score"), ("user", "Time"))
+    for i, (name, columns) in enumerate(zip("abc", kinds)):
+        some = rows.where(F.col("sequence_id") % 3 == i).withColumns({one: F.col("label"), two: F.col("label")}).repartition(3, "sequence_id")
+        some.select(*(F.col(f"`{c}`") for c in columns)).write.csv(f"{folder}/{name}", header=True)
+    found = t.read_csv_sequences(spark, folder, ["score", "user"], [one, two])
+    part = F.element_at(F.split("sequence_id", "/"), -2)
+    return found.select(part.alias("part"), F.row_number().over(Window.partitionBy("user").orderBy("t")).cast("long").alias("t"), "score", "user", f"`{one}`", f"`{two}`").withColumn("t", F.col("t") - 1)
+
+
+@query("a2_convert_new", f"WITH {EV} SELECT CAST(sequence_id % 4 AS BIGINT) AS part, count(*) AS n, round(sum(score), 3) AS total, CAST(sum(label) AS BIGINT) AS labels, 5 AS files FROM ev GROUP BY 1")
+def _(spark, d):
+    """Files come in two turns; the second conversion takes only the new ones, a third none."""
+    folder = shared_folder(spark)
+    rows = ev(spark, d).select(F.col("t").alias("Time"), "score", F.col("sequence_id").alias("user"), F.col("label").alias("Anomaly"))
+    rows.where("user % 4 = 0").coalesce(2).repartition(2).write.csv(f"{folder}/raw/0", header=True)
+    counts = [t.convert_new(spark, f"{folder}/raw", f"{folder}/bundle", ["score", "user"])]
+    rows.where("user % 4 > 0").repartition(3).write.csv(f"{folder}/raw/1", header=True)
+    counts += [t.convert_new(spark, f"{folder}/raw", f"{folder}/bundle", ["score", "user"]) for _ in range(2)]
+    out = t.converted(spark, f"{folder}/bundle").groupBy((F.col("user").cast("long") % 4).alias("part"))
+    return out.agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"), F.sum("label").alias("labels")).withColumn("files", F.lit(counts[0] + counts[1] + 100 * counts[2]))
+
+
 @query("a2_convert_once", f"WITH {LI} SELECT count(*) AS n, round(sum(quantity), 2) AS total FROM li")
 def _(spark, d):
     """A second conversion, of other data, leaves what is there."""
@@ -196,6 +226,15 @@ def _(spark, d):
     return t.latest(t.read(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "value")
 
 
+@query("a17_upserts", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def _(spark, d):
+    """Three upserts, the newest events first."""
+    folder, rows = shared_folder(spark), t.read(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    for k in (2, 0, 1):
+        out = t.upsert(rows.where(F.col("event_id") % 3 == k), folder, ["user_id", "event_type"], "ts", "event_id")
+    return out.select("user_id", "event_type", "event_id", "value")
+
+
 # B: projections and predicates
 
 

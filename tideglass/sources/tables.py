@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+import csv
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window, functions as F, types as T
+
+from ..functions.staging import staged
 
 META_COLUMNS = ("Time", "Anomaly")
 LINEITEM_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
@@ -30,15 +36,62 @@ def lineitem_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.lit("lineitem").alias("run_key"), F.col("l_suppkey").alias("sequence_id"), "t", *(F.col(f"l_{f}").alias(f) for f in FEATURES), (F.col("l_returnflag") == "R").cast("long").alias("label"))
 
 
-def read_csv_sequences(spark: SparkSession, path: str, features: list[str], label: str = "Anomaly", glob: str = "*.csv") -> DataFrame:
-    """Sequences from CSV files: one a file, named by its path; rows that aren't numbers are null.
+@dataclass(frozen=True)
+class Layouts:
+    """The distinct headers of some CSV files: header lines, the names in each, and a table (file, layout) of which file has which."""
+
+    lines: list[str]
+    names: list[list[str]]
+    files: DataFrame
+
+
+def _csv(spark: SparkSession, glob: str) -> DataFrameReader:
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+
+
+def csv_layouts(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> Layouts:
+    """Every file's first line, which its first block has; only distinct ones reach the driver."""
+    lines = _csv(spark, glob).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).where(F.col("_metadata.file_block_start") == 0)
+    first = staged(lines.groupBy("file").agg(F.min_by("value", "at").alias("line")))
+    found = sorted(r.line for r in first.select("line").distinct().collect())  # as many as layouts
+    names = [next(csv.reader([line.removeprefix("\ufeff").rstrip("\r")]), []) for line in found]
+    layout = F.create_map(*(x for i, line in enumerate(found) for x in (F.lit(line), F.lit(i))))[F.col("line")] if found else F.lit(0)
+    return Layouts(found, names, first.select("file", layout.alias("layout")))
 
-    The schema is given, so nothing is inferred; t is the place of the row in the file's order of Time.
+
+def read_csv_sequences(spark: SparkSession, path: str | list[str], features: list[str], label: str | list[str] = "Anomaly", glob: str = "*.csv", order: str = "Time", agree: bool = False) -> DataFrame:
+    """Sequences from CSV files: sequence_id (the file's path), t, the features and label(s).
+
+    Each file is read by its own header: columns are found by name, in any order, and one that a file doesn't have is null there. With agree, files of several layouts are
+    an error; a feature that no file has always is. Values that aren't numbers are null. t is the row's place by `order`, then by its place in the file;
+    files without that column keep their order. One label column comes back as label, several under their own names; a missing or faulty label is 0. Nothing is inferred,
+    and one scan reads the files of all layouts, after one that looks for their headers.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("Time", *features, label)])
-    raw = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("sequence_id"), F.col("Time").try_cast("double").alias("time"), *(F.col(c).try_cast("double").alias(c) for c in features), F.coalesce(F.col(label).try_cast("long"), F.lit(0)).alias("label"))
-    return in_order(rows, ["sequence_id"], "time", *features).drop("time")
+    found = csv_layouts(spark, path, glob)
+    if agree and len(found.lines) > 1:
+        raise ValueError(f"the files have {len(found.lines)} layouts: {'; '.join(found.lines[:5])}")
+    known = {c for names in found.names for c in names}
+    if found.lines and (missing := [c for c in features if c not in known]):
+        raise ValueError(f"no file has the columns {missing}")
+    width = max((len(n) for n in found.names), default=1)
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    meta = (F.col("_metadata.file_path").alias("sequence_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    labels = [label] if isinstance(label, str) else list(label)
+    raw = _csv(spark, glob).schema(schema).option("header", len(found.lines) == 1).csv(path).select("*", *meta)
+    if len(found.lines) > 1:
+        raw = raw.join(found.files, F.col("sequence_id") == F.col("file"))
+        heads = [F.array(*(F.col(f"_c{i}") for i in range(len(n)))) == F.array(*map(F.lit, n)) for n in found.names]  # header lines are rows of this scan
+        raw = raw.where(~F.coalesce(F.get(F.array(*heads), F.col("layout")), F.lit(False)))
+    else:
+        raw = raw.withColumn("layout", F.lit(0))
+
+    def column(name: str) -> Column:
+        at = [F.col(f"_c{n.index(name)}") if name in n else F.lit(None).cast("string") for n in found.names]
+        return F.get(F.array(*at), F.col("layout")) if at else F.lit(None).cast("string")
+
+    number = {c: column(c).try_cast("double") for c in dict.fromkeys((order, *features, *labels))}
+    rows = raw.select("sequence_id", "_block", "_line", number[order].alias("_order"), *(number[c].alias(c) for c in features), *(F.coalesce(number[c].cast("long"), F.lit(0)).alias("label" if isinstance(label, str) else c) for c in labels))
+    return in_order(rows, ["sequence_id"], "_order", "_block", "_line").drop("_order", "_block", "_line")
 
 
 def header_variants(spark: SparkSession, path: str) -> DataFrame:
@@ -48,6 +101,14 @@ def header_variants(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy("header").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
 
 
+def one_header(spark: SparkSession, path: str, glob: str = "*.csv") -> list[str]:
+    """The column names that all files share; an error if they disagree or there are none."""
+    found = csv_layouts(spark, path, glob)
+    if len(found.lines) != 1 or not found.names[0]:
+        raise ValueError(f"the files have {len(found.lines)} layouts: {'; '.join(found.lines[:5])}")
+    return found.names[0]
+
+
 def feature_names(df: DataFrame, meta: tuple[str, ...] = META_COLUMNS) -> list[str]:
     return [c for c in df.columns if c not in meta and not c.startswith("Label (")]
 
@@ -71,11 +132,15 @@ def extension_files(spark: SparkSession, path: str) -> DataFrame:
     return found.where(~F.regexp_replace("path", "^[a-z]+:/+", "").rlike(JUNK))
 
 
-def extension_rows(spark: SparkSession, path: str, features: list[str], own: list[str]) -> DataFrame:
-    """Sequences from the extension files below path: the features that both sides have, label 0, mode train_ext."""
-    both = shared_features(own, features)
-    raw = read_csv_sequences(spark, path, own, glob=EXTENSION)
-    rows = raw.where(~F.regexp_replace("sequence_id", "^[a-z]+:/+", "").rlike(JUNK))
+def extension_rows(spark: SparkSession, path: str, features: list[str], own: list[str] | None = None) -> DataFrame:
+    """Sequences from the extension files below path: of the features those that the files have (or of `own`), label 0, mode train_ext. Files of several layouts are an error unless own is given."""
+    files = [r.path for r in extension_files(spark, path).select("path").collect()]  # paths of files
+    if not files:
+        raise ValueError(f"no extension files below {path}")
+    both = shared_features(one_header(spark, files, EXTENSION) if own is None else own, features)
+    if not both:
+        raise ValueError("no feature is shared with the extension")
+    rows = read_csv_sequences(spark, files, both, [], EXTENSION)
     return rows.select("sequence_id", "t", *both, F.lit(0).cast("long").alias("label"), F.lit("train_ext").alias("mode"))
 
 
@@ -120,6 +185,62 @@ def write_bundle(series: DataFrame, path: str) -> None:
     series.repartitionByRange("mode", "sequence_id").sortWithinPartitions("mode", "sequence_id", "t").write.mode("ignore").partitionBy("mode").parquet(path)
 
 
+def convert_new(spark: SparkSession, source: str, bundle: str, features: list[str], label: str | list[str] = "Anomaly", glob: str = "*.csv") -> int:
+    """Convert the CSV files below source that aren't in the bundle yet; returns how many.
+
+    A ledger of files (path, length, modification time, batch) stands beside the data. What it has is left out by an anti-join, new files become a batch of
+    their own, and the ledger is written last: a conversion that broke off leaves rows that no ledger row names, which converted() doesn't show and the next call does again.
+    """
+    there = ledger(spark, bundle)
+    new = provenance(spark, source, glob).join(there.select("path"), "path", "left_anti")
+    files = staged(new.withColumn("batch", F.lit(uuid.uuid4().hex)))
+    paths = [r.path for r in files.select("path").collect()]  # names of new files
+    if paths:
+        batch = files.first()["batch"]
+        rows = read_csv_sequences(spark, paths, features, label, glob)
+        rows.withColumn("batch", F.lit(batch)).repartitionByRange("sequence_id", "t").sortWithinPartitions("sequence_id", "t").write.mode("append").partitionBy("batch").parquet(f"{bundle}/rows")
+        files.coalesce(1).write.mode("append").parquet(f"{bundle}/ledger")
+    return len(paths)
+
+
+LEDGER = "path string, length long, modificationTime timestamp, batch string"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def ledger(spark: SparkSession, bundle: str) -> DataFrame:
+    """The files that a bundle has, one row each."""
+    at = f"{bundle}/ledger"
+    return spark.read.schema(LEDGER).parquet(at) if _exists(spark, at) else spark.createDataFrame([], LEDGER)
+
+
+def converted(spark: SparkSession, bundle: str) -> DataFrame:
+    """The rows of all batches that the ledger names."""
+    whole = ledger(spark, bundle).select("batch").distinct()  # a row for each conversion
+    return spark.read.parquet(f"{bundle}/rows").join(F.broadcast(whole), "batch", "left_semi").drop("batch")
+
+
+def upsert(results: DataFrame, path: str, keys: list[str], *newest: str, parts: int = 64) -> DataFrame:
+    """Merge results into the table at path, the newest row of each key; returns the table.
+
+    Keys are dealt into parts; only those that new rows fall into are read, merged and overwritten (dynamic partition overwrite), the others stay as they are.
+    Of equally new rows the given ones win. Writers have to take turns.
+    """
+    spark = results.sparkSession
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+    new = results.withColumns({"_part": part, "_given": F.lit(1)})
+    if _exists(spark, path):
+        touched = [r["_part"] for r in new.select("_part").distinct().collect()]  # at most `parts`
+        old = spark.read.parquet(path).where(F.col("_part").isin(touched)).withColumn("_given", F.lit(0))
+        new = new.unionByName(old.select(new.columns))
+    merged = staged(latest(new, keys, *newest, "_given").drop("_given"))
+    merged.repartition("_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(path)
+    return spark.read.parquet(path).drop("_part")
+
+
 def manifest(series: DataFrame) -> DataFrame:
     """mode, item_count, rows, lengths (of each sequence, by its id)."""
     by_seq = series.groupBy("mode", "sequence_id").agg(F.count("*").alias("n"))
