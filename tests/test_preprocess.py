@@ -56,19 +56,30 @@ def test_missing_values_and_features(spark):
         assert pp.without_features(rows, FEATURES, []) == FEATURES
 
 
-@pytest.mark.parametrize("small", [200_000, 10])
-def test_quantiles_equal_numpy(spark, monkeypatch, small):
-    """In one buffer, and by running totals over ranges."""
+@pytest.mark.parametrize("small,accuracy", [(1_000_000, 1000), (1_000_000, 20), (10, 20)])
+def test_quantiles_equal_numpy(spark, monkeypatch, small, accuracy):
+    """In one window, with brackets that leave most rows out, and by running totals over ranges."""
     monkeypatch.setattr(staging, "SMALL", small)
+    monkeypatch.setattr(staging, "ACCURACY", accuracy)
+    monkeypatch.setattr(staging, "MARGIN", 3 / accuracy)
     rng = random.Random(4)
-    values = {k: [rng.choice([round(rng.gauss(0, 3), 1), rng.random()]) for _ in range(n)] for k, n in (("a", 500), ("b", 1), ("c", 64))}
+    values = {k: [rng.choice([round(rng.gauss(0, 3), 1), rng.random()]) for _ in range(n)] for k, n in (("a", 3000), ("b", 1), ("c", 64), (None, 5))}
     rows = [(k, v) for k, vs in values.items() for v in vs] + [("a", None), ("d", None)]
-    counts = staging.value_counts(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v")
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
     at = (0.0, 0.005, 0.25, 0.5, 0.9, 1.0)
-    got = {r.k: r.q for r in staging.quantiles(counts, ["k"], "v", at).collect()}
-    assert set(got) == {"a", "b", "c"}
+    found, counts = staging.bracketed(df, ["k"], "v", at, {"most": pp.F.max("v")})
+    got = {r.k: r for r in found.collect()}
+    assert set(got) == set(values)
     for k, vs in values.items():
-        assert got[k] == pytest.approx(np.quantile(vs, at).tolist())
+        assert got[k].q == pytest.approx(np.quantile(vs, at).tolist()) and got[k].most == max(vs)
+    assert counts.agg(pp.F.sum("n")).first()[0] == sum(map(len, values.values()))
+    assert accuracy < 1000 or counts.where("k = 'a'").count() < 400
+    assert staging.exact_quantiles(df.where("false"), ["k"], "v", at).count() == 0
+
+
+def test_infinite_values_have_quantiles(spark):
+    df = spark.createDataFrame([("a", v) for v in [float("-inf")] * 5 + [1.0, 2.0] + [float("inf")] * 3], "k string, v double")
+    assert staging.exact_quantiles(df, ["k"], "v", (0.0, 0.5, 0.6, 1.0)).first().q == [float("-inf"), float("-inf"), pytest.approx(1.4), float("inf")]
 
 
 def test_top_cosines_over_blocks(spark, monkeypatch):

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from .columns import INF
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,54 +56,92 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SMALL = 1_000_000  # distinct values of one key that a single sorted window may have
+SMALL = 1_000_000  # rows of one key that a single sorted window may have
+ACCURACY = 1000  # of the sketch that brackets quantiles: ranks are within 1/ACCURACY of the rows
+MARGIN = 3 / ACCURACY  # a bracket is this much wider on either side
+
+
+def _same(keys: list[str], prefix: str) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return out
+
+
+def local(df: DataFrame) -> DataFrame:
+    """df's rows by way of the driver, for tables with a row for each feature or run: no job and no file for what starts from them."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
-def value_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """A staged table of keys, value and n: how often each key has each value (null among them)."""
-    return staged(rows.groupBy(*keys, value).agg(F.count("*").alias("n")))
+FEW = {"feature", "run_key"}  # keys of which there are few, whatever the rows
 
 
-def few_values(counts: DataFrame, keys: list[str]) -> bool:
-    """Whether no key of value_counts has more than SMALL values."""
-    most = counts.groupBy(*keys).agg(F.count("*").alias("_c")).agg(F.max("_c")).first()[0]
-    return (most or 0) <= SMALL
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, fractions: Iterable[float], more: dict[str, Column] | None = None) -> DataFrame:
+    """keys and q: the exact quantiles at the fractions (see bracketed); more are further aggregates of the keys' rows."""
+    return bracketed(rows, keys, value, fractions, more)[0]
 
 
-def quantiles(counts: DataFrame, keys: list[str], value: str, fractions: Iterable[float], few: bool | None = None) -> DataFrame:
-    """keys and q: the exact quantiles at the fractions, between two values as far as the place falls between their rows.
+def bracketed(rows: DataFrame, keys: list[str], value: str, fractions: Iterable[float], more: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Exact quantiles, and the counts that they were found in, which are staged.
 
-    counts is one row for each key and value, with n; nulls don't count. Running totals give each value its place. Those of keys with few
-    values (checked, or told by few) are one sorted window each; else values are range-partitioned and the totals go over the ranges, so
-    that no task holds all values of a key.
+    A mergeable sketch brackets each quantile, in one pass that shuffles sketches only. A second pass counts: values inside a bracket one by one, all others by the
+    bracket they follow, so that of each key only some thousandths of its rows are shuffled and sorted (all, of keys with a few hundred). If a place should fall outside its bracket, which the
+    sketch's bound rules out, all values are counted instead. A quantile lies between two values as far as its place falls between their rows. Nulls don't
+    count; keys without a value have no row. rows are read twice: stage them if they are dear.
+
+    Counts are keys, v, out and n: rows with the value v, or with out = 1 outside all brackets, above v and below the next bracket.
+    """
+    fractions = [float(f) for f in fractions]
+    some = rows.select(*keys, F.col(value).cast("double").alias("_v"), *(F.col(c) for c in rows.columns if more and c not in keys))
+    ends = [x for f in fractions for x in (max(0.0, f - MARGIN), min(1.0, f + MARGIN))]
+    keep = local if set(keys) <= FEW else staged
+    sketch = keep(some.groupBy(*keys).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", F.array(*map(F.lit, ends)), F.lit(ACCURACY)).alias("_b"), *(c.alias(n) for n, c in (more or {}).items())).where("_n > 0"))
+    bounds = sketch.select(*(F.col(k).alias(f"_of_{k}") for k in keys), *(F.when(F.lit(0.0 < e < 1.0) & (F.col("_n") * MARGIN >= 2), F.col("_b")[i]).otherwise(F.lit(INF if i % 2 else -INF)).alias(f"_b{i}") for i, e in enumerate(ends)))
+    v, b = F.col("_v"), [F.col(f"_b{i}") for i in range(len(ends))]
+    inside = F.lit(False)
+    for low, high in zip(b[::2], b[1::2]):
+        inside = inside | ((v >= low) & (v <= high))
+    after = F.greatest(F.lit(-INF), F.lit(-INF), *(F.when(high < v, high) for high in b[1::2]))
+    met = some.select(*keys, "_v").where("_v is not null").join(F.broadcast(bounds) if keep is local else bounds, _same(keys, "_of_"))
+    counts = met.select(*keys, F.when(inside, v).otherwise(after).alias("v"), (~inside).cast("int").alias("out"))
+    counts = staged(counts.groupBy(*keys, "v", "out").agg(F.count("*").alias("n")))
+    found = keep(_picked(counts, keys, fractions))
+    if not found.where("_missed").isEmpty():
+        counts = staged(some.where("_v is not null").groupBy(*keys, F.col("_v").alias("v"), F.lit(0).alias("out")).agg(F.count("*").alias("n")))
+        found = keep(_picked(counts, keys, fractions))
+    if more:
+        names = sketch.select(*(F.col(k).alias(f"_of_{k}") for k in keys), *more)
+        found = found.join(names, _same(keys, "_of_")).select(*keys, "q", *more, "_missed")
+    return found.drop("_missed"), counts
+
+
+def _picked(counts: DataFrame, keys: list[str], fractions: list[float]) -> DataFrame:
+    """keys, q and _missed (whether a quantile wasn't among the values counted one by one).
+
+    Running totals give each value its place. Those of keys with few rows of counts (checked) are one sorted window each; else they are
+    range-partitioned and the totals go over the ranges, so that no task holds all rows of a key.
     """
-    rows = counts.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_keys"), F.col(value).cast("double").alias("_v"), F.col("n").cast("double").alias("n"))
-    if few_values(rows, ["_keys"]) if few is None else few:
+    rows = counts.select(F.struct(*keys).alias("_keys"), F.struct("v", "out").alias("_v"), F.col("n").cast("double").alias("n"))
+    if counts.count() <= SMALL or (rows.groupBy("_keys").agg(F.count("*").alias("_c")).agg(F.max("_c")).first()[0] or 0) <= SMALL:
         upto = Window.partitionBy("_keys").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        placed = rows.withColumn("_first", F.sum("n").over(upto) - F.col("n"))  # place of a value's first row, from below
-        total = rows.groupBy("_keys").agg(F.sum("n").alias("total")).withColumnRenamed("_keys", "_of")
-        placed = placed.join(total, F.col("_keys").eqNullSafe(F.col("_of")))
+        all_ = Window.partitionBy("_keys")
+        placed = rows.select("_keys", "_v", (F.sum("n").over(upto) - F.col("n")).alias("_first"), F.sum("n").over(all_).alias("total"))
     else:
         above = running_totals(rows, "_keys", "_v", ["n"])
         total = above.groupBy("_keys").agg(F.max("n").alias("total")).withColumnRenamed("_keys", "_of")
-        placed = above.join(total, F.col("_keys").eqNullSafe(F.col("_of"))).withColumn("_first", F.col("total") - F.col("n"))
-    found = []
-    for f in map(float, fractions):
+        placed = above.join(total, F.col("_keys").eqNullSafe(F.col("_of"))).withColumn("_first", F.col("total") - F.col("n"))  # place of a value's first row, from below
+    picks = []
+    for i, f in enumerate(fractions):
         at = f * (F.col("total") - 1)
-        low, high = (F.max(F.when(F.col("_first") <= side(at), F.col("_v"))) for side in (F.floor, F.ceil))
-        part = F.max(at - F.floor(at))
-        found.append(F.when(low == high, low).otherwise((1 - part) * low + part * high))
-    return placed.groupBy("_keys").agg(F.array(*found).alias("q")).select("_keys.*", "q")
-
-
-def deviations(counts: DataFrame, keys: list[str], value: str, middle: DataFrame) -> DataFrame:
-    """Counts of the distances of values to middle(keys, middle), a row for each key."""
-    renamed = middle.select(*(F.col(k).alias(f"_{k}") for k in keys), "middle")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    both = counts.join(F.broadcast(renamed) if set(keys) <= {"feature", "run_key"} else renamed, same)  # features and runs are few, whatever their rows
-    return both.select(*keys, F.abs(F.col(value) - F.col("middle")).alias(value), "n").groupBy(*keys, value).agg(F.sum("n").alias("n"))
+        picks += [F.max(F.when(F.col("_first") <= side(at), F.col("_v"))).alias(f"_{name}{i}") for name, side in (("low", F.floor), ("high", F.ceil))]
+    out = placed.groupBy("_keys").agg(F.max("total").alias("total"), *picks)
+    q, missed = [], F.lit(False)
+    for i, f in enumerate(fractions):
+        at, low, high = f * (F.col("total") - 1), F.col(f"_low{i}"), F.col(f"_high{i}")
+        part = at - F.floor(at)
+        q.append(F.when(low["v"] == high["v"], low["v"]).otherwise((1 - part) * low["v"] + part * high["v"]))
+        missed = missed | (low["out"] == 1) | (high["out"] == 1)
+    return out.select("_keys.*", F.array(*q).alias("q"), missed.alias("_missed"))
 
 
 def running_totals(df: DataFrame, key: str, value: str, terms: list[str], own: bool = False) -> DataFrame:

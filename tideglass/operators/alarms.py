@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import INF, KEYS, safe_score
 from ..functions.scans import PIECE, Sequences, Total
-from ..functions.staging import deviations, few_values, quantiles, value_counts
+from ..functions.staging import exact_quantiles
 
 
 def segments(df: DataFrame, mask: str, size: int | None = PIECE) -> DataFrame:
@@ -98,12 +98,13 @@ def predict(df: DataFrame, threshold: float | Column, strict: bool = True, score
 
 
 def robust_scale(df: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """1.4826 times the median distance to the median of the scores there are; 1e-12 at least. Exact, and counted when this is called."""
+    """1.4826 times the median distance to the median of the scores there are; 1e-12 at least. Exact; counted when this is called."""
     rows = df.select(*keys, safe_score(score).alias("_s")).where(F.abs("_s") < F.lit(INF))
-    counts = value_counts(rows, keys, "_s")
-    few = few_values(counts, keys)
-    middle = quantiles(counts, keys, "_s", [0.5], few).select(*keys, F.col("q")[0].alias("middle"))
-    away = quantiles(deviations(counts, keys, "_s", middle), keys, "_s", [0.5], few)
+    middle = exact_quantiles(rows, keys, "_s", [0.5]).select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("q")[0].alias("middle"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    away = exact_quantiles(rows.join(middle, same).select(*keys, F.abs(F.col("_s") - F.col("middle")).alias("_s")), keys, "_s", [0.5])
     return away.select(*keys, F.greatest(F.lit(1.4826) * F.col("q")[0], F.lit(1e-12)).alias("scale"))
 
 

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterable
 from dataclasses import dataclass
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import INF, KEYS, along, clip, numeric
-from ..functions.staging import deviations, few_values, quantiles, staged, value_counts
+from ..functions.staging import bracketed, exact_quantiles, local, staged
 
 
-def long_form(df: DataFrame, features: list[str]) -> DataFrame:
-    """feature, value: one row for each cell; what isn't finite is null."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), numeric(c).alias("value")) for c in features))).alias("x")
-    return df.select(pairs).select("x.feature", "x.value")
+def long_form(table: DataFrame, features: list[str]) -> DataFrame:
+    """feature, value: one row for each cell of numbers()."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features))).alias("x")
+    return table.select(pairs).select("x.feature", "x.value")
 
 
 @dataclass(frozen=True)
@@ -57,37 +58,46 @@ class Policy:
             raise ValueError("0 < low_q < high_q < 100 must hold")
 
 
-def feature_counts(df: DataFrame, features: list[str]) -> DataFrame:
-    """How often each feature has each value: a staged table from which all its statistics follow."""
-    return value_counts(long_form(df, features), ["feature"], "value")
+def numbers(df: DataFrame, features: list[str], ordered: bool = False) -> DataFrame:
+    """A staged table of the features as finite numbers (else null); ordered: with the order columns there are. Rows are dealt out evenly, as the table is read several times and files may be few or of any size."""
+    order = [c for c in (*KEYS, "t") if ordered and c in df.columns]
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return staged(df.select(*order, *(numeric(c).alias(c) for c in features)).repartition(n, F.monotonically_increasing_id()))
 
 
-def report_of(counts: DataFrame, policy: Policy = Policy(), few: bool | None = None) -> DataFrame:
-    """Count, quantiles, spread, zeros and tails of each feature, and the kind of treatment that follows.
+def report_of(table: DataFrame, features: list[str], policy: Policy = Policy(), extra: tuple[float, ...] = ()) -> DataFrame:
+    """Count, quantiles, spread, zeros and tails of each feature of numbers(), and the kind of treatment that follows; a row for each feature, by way of the driver.
 
-    What is read more than once is staged when this is called. Whether a feature is almost constant is judged on what isn't zero if it has many zeros, and left open if too little is left then
-    (const_support: all, nonzero, insufficient_nonzero). Features without a finite value have no row.
+    Whether a feature is almost constant is judged on what isn't zero if it has many zeros, and left open if too little is left then
+    (const_support: all, nonzero, insufficient_nonzero). Features without a finite value have no row. extra are further quantiles, in the column extra. The
+    table is read five times; what is shuffled are sketches, the values near a quantile, and distinct values where they are counted (n_unique).
     """
     p = policy
-    few = few_values(counts, ["feature"]) if few is None else few
-    some = counts.where("value is not null")
+    cells, one = long_form(table, features), ["feature"]
     zero = F.abs("value") <= p.zero_eps
-    sums = counts.groupBy("feature").agg(F.sum("n").alias("n_total"), F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("n_finite"), F.coalesce(F.sum(F.when(zero, F.col("n"))), F.lit(0)).alias("zeros")).where("n_finite > 0")
+    names = ("q_low_top", "q_low", "q25", "median", "q75", "q_high", "q_high_top")
+    fractions = (1 - p.q_top, 1 - p.q_ref, 0.25, 0.5, 0.75, p.q_ref, p.q_top, *extra)
+    found, counts = bracketed(cells, one, "value", fractions, {"n_total": F.count("*"), "n_finite": F.count("value"), "zeros": F.coalesce(F.sum(F.when(zero, 1)), F.lit(0))})
     nonzero = F.col("n_finite") - F.col("zeros")
     enough = (nonzero >= p.min_nonzero) & (nonzero / F.col("n_finite") >= p.min_nonzero_frac)
     inflated = F.lit(p.zero_inflated) & (F.col("zero_frac") >= p.zero_frac)
-    sums = sums.withColumn("zero_frac", F.col("zeros") / F.col("n_finite"))
-    sums = sums.withColumn("const_support", F.when(~inflated, "all").when(enough, "nonzero").otherwise("insufficient_nonzero"))
-    names = ("q_low_top", "q_low", "q25", "median", "q75", "q_high", "q_high_top")
-    q = quantiles(some, ["feature"], "value", (1 - p.q_top, 1 - p.q_ref, 0.25, 0.5, 0.75, p.q_ref, p.q_top), few)
-    first = sums.join(F.broadcast(q), "feature").select("*", *(F.col("q")[i].alias(n) for i, n in enumerate(names))).drop("q")
-    first = staged(first)  # a row for each feature, which four aggregates below start from
-    tails = some.join(F.broadcast(first.select("feature", "q_low", "q_high")), "feature").groupBy("feature").agg(
-        F.sum(F.when(F.col("value") > F.col("q_high"), F.col("n")).otherwise(0)).alias("n_high"), F.sum(F.when(F.col("value") < F.col("q_low"), F.col("n")).otherwise(0)).alias("n_low")
+    first = found.withColumn("zero_frac", F.col("zeros") / F.col("n_finite"))
+    first = first.withColumn("const_support", F.when(~inflated, "all").when(enough, "nonzero").otherwise("insufficient_nonzero"))
+    first = first.select("*", *(F.col("q")[i].alias(n) for i, n in enumerate(names)), F.slice("q", len(names) + 1, max(1, len(extra))).alias("extra")).drop("q")
+    first = local(first)
+    # what is beyond a quantile can be told from the counts, as the quantile is in a bracket
+    v, out, side = F.col("v"), F.col("out") == 1, lambda c: F.when(c, F.col("n")).otherwise(0)
+    tails = counts.join(F.broadcast(first.select("feature", "q_low", "q_high")), "feature").groupBy("feature").agg(
+        F.sum(side((v > F.col("q_high")) | out & (v >= F.col("q_high")))).alias("n_high"), F.sum(side(v < F.col("q_low"))).alias("n_low")
     )
-    judged = some.join(F.broadcast(first.select("feature", "const_support")), "feature").where((F.col("const_support") == "all") | ((F.col("const_support") == "nonzero") & ~zero)).select("feature", "value", "n")
-    cq = staged(quantiles(judged, ["feature"], "value", (0.25, 0.5, 0.75), few).select("feature", (F.col("q")[2] - F.col("q")[0]).alias("iqr_const"), F.col("q")[1].alias("middle")))
-    mad = quantiles(deviations(judged, ["feature"], "value", cq.select("feature", "middle")), ["feature"], "value", (0.5,), few).select("feature", F.col("q")[0].alias("mad"))
+    judged = cells.where("value is not null").join(F.broadcast(first.select("feature", "const_support")), "feature").where((F.col("const_support") == "all") | ((F.col("const_support") == "nonzero") & ~zero)).select("feature", "value")
+    cq = first.where("const_support = 'all'").select("feature", (F.col("q75") - F.col("q25")).alias("iqr_const"), F.col("median").alias("middle"))
+    some = [r["feature"] for r in first.where("const_support = 'nonzero'").select("feature").collect()]  # features
+    if some:
+        own = exact_quantiles(judged.where(F.col("feature").isin(*some)), one, "value", (0.25, 0.5, 0.75))
+        cq = cq.union(own.select("feature", F.col("q")[2] - F.col("q")[0], F.col("q")[1]))
+    away = judged.join(F.broadcast(cq), "feature").select("feature", F.abs(F.col("value") - F.col("middle")).alias("value"))
+    mad = exact_quantiles(away, one, "value", (0.5,)).select("feature", F.col("q")[0].alias("mad"))
     unique = judged.select("feature", F.round("value", p.decimals).alias("value")).distinct().groupBy("feature").agg(F.count("*").alias("n_unique"))
     out = first
     for more in (tails, cq, mad, unique):
@@ -104,12 +114,12 @@ def report_of(counts: DataFrame, policy: Policy = Policy(), few: bool | None = N
     high, low = (high if p.side != "lower" else F.lit(False)), (low if p.side != "upper" else F.lit(False))
     out = out.withColumns({"upper_cutoff": F.when(high, F.col("q_high")), "lower_cutoff": F.when(low, F.col("q_low")), "extreme": high | low, "n_extreme": F.when(high, F.col("n_high")).otherwise(0) + F.when(low, F.col("n_low")).otherwise(0)})
     kind = F.when(F.col("almost_constant"), "almost_constant").when(F.lit(p.zero_inflated) & (F.col("zero_frac") >= p.zero_frac), "zero_inflated").when(F.col("extreme"), "extreme").otherwise("robust")
-    return out.withColumns({"kind": kind, "frac_extreme": F.col("n_extreme") / F.col("n_finite")}).drop("zeros", "n_high", "n_low", "iqr_const", "middle")
+    return local(out.withColumns({"kind": kind, "frac_extreme": F.col("n_extreme") / F.col("n_finite")}).drop("zeros", "n_high", "n_low", "iqr_const", "middle"))
 
 
 def feature_report(df: DataFrame, features: list[str], policy: Policy = Policy()) -> DataFrame:
     """report_of the features' values, in the order almost constant, extreme, share of extreme values (falling), name."""
-    report = report_of(feature_counts(df, features), policy)
+    report = report_of(numbers(df, features), features, policy).drop("extra")
     return report.orderBy(F.desc("almost_constant"), F.desc("extreme"), F.desc("frac_extreme"), "feature")  # a row for each feature
 
 
@@ -153,37 +163,36 @@ def fit(train: DataFrame, features: list[str], policy: Policy = Policy()) -> lis
     isn't zero. A feature without a finite value is left as it is.
     """
     p = policy
-    order = [c for c in (*KEYS, "t") if c in train.columns]
-    train = staged(train.select(*order, *(numeric(c).alias(c) for c in features)))
-    counts = feature_counts(train, features)
-    few = few_values(counts, ["feature"])
-    report = {r["feature"]: r for r in report_of(counts, p, few).collect()}
+    rows, train = train, numbers(train, features)
+    report = {r["feature"]: r for r in report_of(train, features, p, (p.asinh_q,)).collect()}
     bounds = {c: (r["lower_cutoff"], r["upper_cutoff"]) for c, r in report.items() if r["kind"] == "extreme"}
     if bounds and p.extreme != "none":
-        train = staged(_without_extremes(train, bounds, p.extreme))
-        counts = staged(counts.where(~F.col("feature").isin(*bounds)).union(feature_counts(train, list(bounds))))
-    kinds = F.create_map(*(F.lit(x) for c, r in report.items() for x in (c, r["kind"]))) if report else F.create_map(F.lit(""), F.lit(""))
-    counts = counts.where("value is not null").withColumn("kind", kinds[F.col("feature")])
-    support = counts.where((F.col("kind") != "zero_inflated") | (F.abs("value") > p.zero_eps))
-    one = ["feature"]
-    by_feature = lambda rows, value, fractions: {r["feature"]: r["q"] for r in quantiles(rows, one, value, fractions, few).collect()}
+        train = staged(_without_extremes(numbers(rows, features, True), bounds, p.extreme))
+
+    def cells(of: Iterable[str], nonzero: bool = True) -> DataFrame:
+        """The features' values; of those with many zeros what isn't zero, if asked for."""
+        inflated = [c for c in of if nonzero and report[c]["kind"] == "zero_inflated"]
+        return long_form(train, list(of)).where("value is not null").where(~F.col("feature").isin(*inflated) | (F.abs("value") > p.zero_eps) if inflated else F.lit(True))
+
+    by_feature = lambda rows, fractions: {r["feature"]: r["q"] for r in exact_quantiles(rows, ["feature"], "value", fractions).collect()}
     scales: dict[str, float] = {}
     if p.asinh:
-        spread = by_feature(counts, "value", (0.25, 0.5, 0.75, p.asinh_q))
+        spread = {c: (r["q25"], r["median"], r["q75"], r["extra"][0]) for c, r in report.items()}
+        if bounds and p.extreme != "none":
+            spread |= by_feature(cells(bounds, False), (0.25, 0.5, 0.75, p.asinh_q))
         squeezed = [c for c, q in spread.items() if report[c]["kind"] != "almost_constant" and (q[3] - q[1]) / max(q[2] - q[0], 1e-12) >= p.asinh_tail]
         if squeezed:
-            of = support.where(F.col("feature").isin(*squeezed))
+            of = cells(squeezed)
             if p.asinh_mode == "iqr":
-                scales = {c: q[1] - q[0] for c, q in by_feature(of, "value", (0.25, 0.75)).items()}
+                scales = {c: q[1] - q[0] for c, q in by_feature(of, (0.25, 0.75)).items()}
             else:
                 at = 0.9 if p.asinh_mode == "p90_abs" else 0.5
-                sizes = of.select("feature", F.abs("value").alias("value"), "n").groupBy("feature", "value").agg(F.sum("n").alias("n"))
-                scales = {c: q[0] for c, q in by_feature(sizes, "value", (at,)).items()}
+                scales = {c: q[0] for c, q in by_feature(of.withColumn("value", F.abs("value")), (at,)).items()}
             scales = {c: max(s, p.asinh_least) for c, s in scales.items()}
     if p.robust:
         by = F.create_map(*(F.lit(x) for c, s in scales.items() for x in (c, s))) if scales else F.create_map(F.lit(""), F.lit(1.0))
-        moved = support.withColumn("value", F.when(by[F.col("feature")].isNotNull(), F.asinh(F.col("value") / by[F.col("feature")])).otherwise(F.col("value")))
-        found = {c: (q[1], q[2] - q[0]) for c, q in by_feature(moved, "value", (p.low_q / 100, 0.5, p.high_q / 100)).items()}
+        moved = cells(report).withColumn("value", F.when(by[F.col("feature")].isNotNull(), F.asinh(F.col("value") / by[F.col("feature")])).otherwise(F.col("value")))
+        found = {c: (q[1], q[2] - q[0]) for c, q in by_feature(moved, (p.low_q / 100, 0.5, p.high_q / 100)).items()}
         if p.unit_variance:
             wide = NormalDist().inv_cdf(p.high_q / 100) - NormalDist().inv_cdf(p.low_q / 100)
             found = {c: (m, s / wide) for c, (m, s) in found.items()}

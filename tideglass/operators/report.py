@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import numeric
-from ..functions.staging import quantiles, value_counts
+from ..functions.staging import exact_quantiles
 from .metrics import METRICS
 
 LOWER = [m.name for m in METRICS.values() if m.lower_is_better]
@@ -79,7 +79,7 @@ def channel_effects(series: DataFrame, features: list[str], top: int) -> DataFra
     """Channels by how far their median in anomalies lies from the one outside, in interquartile ranges. Exact, and counted when this is called."""
     x = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features)))
     cells = series.select((F.col("label") != 0).alias("y"), x.alias("c")).select("y", "c.*")
-    q = quantiles(value_counts(cells, ["feature", "y"], "v"), ["feature", "y"], "v", [0.25, 0.5, 0.75])
+    q = exact_quantiles(cells, ["feature", "y"], "v", [0.25, 0.5, 0.75])
     q = q.groupBy("feature").agg(F.max(F.when(F.col("y"), F.col("q")[1])).alias("a"), F.max(F.when(~F.col("y"), F.col("q"))).alias("q"))
     effect = F.abs(F.col("a") - F.col("q")[1]) / F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(1e-12))
     w = Window.orderBy(F.desc("effect"), "feature")  # one row for each feature

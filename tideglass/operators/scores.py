@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import INF, KEYS, along, safe_score, trailing
 from ..functions.scans import PIECE, Sequences, Total
-from ..functions.staging import deviations, few_values, quantiles, staged, value_counts
+from ..functions.staging import exact_quantiles, staged
 
 
 def channels(df: DataFrame, features: list[str]) -> DataFrame:
@@ -90,13 +90,11 @@ def duration_pool(df: DataFrame, lengths: list[int]) -> DataFrame:
 def robust_location(df: DataFrame, keys: list[str]) -> DataFrame:
     """Median and 1.4826 MAD; where that is 0 the deviation, else 1. Exact, and counted when this is called."""
     rows = df.select(*keys, safe_score().alias("s")).where(F.abs("s") < F.lit(INF))
-    counts = value_counts(rows, keys, "s")
-    few = few_values(counts, keys)
-    middle = quantiles(counts, keys, "s", [0.5], few).select(*keys, F.col("q")[0].alias("middle"))
-    mad = quantiles(deviations(counts, keys, "s", middle), keys, "s", [0.5], few).select(*keys, F.col("q")[0].alias("mad"))
-    std = rows.groupBy(*keys).agg(F.stddev_pop("s").alias("std"))
+    middle = exact_quantiles(rows, keys, "s", [0.5], {"std": F.stddev_pop("s")}).select(*keys, F.col("q")[0].alias("middle"), "std")
+    away = rows.join(middle, keys).select(*keys, F.abs(F.col("s") - F.col("middle")).alias("s"))
+    mad = exact_quantiles(away, keys, "s", [0.5]).select(*keys, F.col("q")[0].alias("mad"))
     scale = F.when(F.col("mad") > 1e-12, 1.4826 * F.col("mad")).when(F.col("std") > 1e-12, F.col("std")).otherwise(1.0)
-    return middle.join(mad, keys).join(std, keys).select(*keys, F.col("middle").alias("location"), scale.alias("scale"))
+    return middle.join(mad, keys).select(*keys, F.col("middle").alias("location"), scale.alias("scale"))
 
 
 def robust_normalised(df: DataFrame, keys: list[str]) -> DataFrame:

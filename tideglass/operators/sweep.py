@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import INF, KEYS, safe_score
 from ..functions.scans import PIECE, Sequences, Total
-from ..functions.staging import quantiles, running_totals, staged, value_counts
+from ..functions.staging import exact_quantiles, running_totals, staged
 
 
 def _labelled(scores: DataFrame, size: int | None) -> tuple[DataFrame, bool]:
@@ -123,7 +123,6 @@ def quantile_thresholds(scores: DataFrame, fractions: list[float]) -> DataFrame:
 
     Between two scores as far as the place falls between their rows. Exact, and counted when this is called.
     """
-    counts = value_counts(with_sentinels(scores), ["run_key"], "score")
-    found = quantiles(counts, ["run_key"], "score", [1 - f for f in fractions])
+    found = exact_quantiles(with_sentinels(scores), ["run_key"], "score", [1 - f for f in fractions])
     each = F.arrays_zip(F.array(*(F.lit(float(f)) for f in fractions)).alias("fraction"), F.col("q").alias("threshold"))
     return found.select("run_key", F.explode(each).alias("x")).select("run_key", "x.fraction", "x.threshold")
