@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 
@@ -58,3 +59,29 @@ def test_an_empty_table_and_repeated_rows(spark):
         assert len(got) == len(rows)
         if rows and rows[0][0]:
             assert {(r.page_id, r.payload_bytes) for r in got} == {(1, 1200)} and "response" in {r.record_type for r in got}
+
+
+def test_reading_grows_with_the_archive_and_not_with_its_square():
+    from time import perf_counter
+
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3)
+    rng = random.Random(2)
+
+    def archive(n: int) -> bytes:
+        out = []
+        for i in range(n):
+            body = rng.randbytes(rng.choice((0, 300, 6000)))
+            out.append(squeeze.compress(warc.write_record("response", warc.record_uri(i), "u", hashlib.sha1(body).hexdigest(), len(body), body, None)))
+        return b"".join(out)
+
+    def seconds(raw: bytes, n: int) -> float:
+        start = perf_counter()
+        assert sum(1 for _ in warc.read_archive(raw)) == n
+        return perf_counter() - start
+
+    few, many = archive(1000), archive(16000)
+    assert seconds(many, 16000) < 16 * 4 * max(seconds(few, 1000), 0.02)
+    with pytest.raises(ValueError):
+        list(warc.read_archive(few[:-1]))

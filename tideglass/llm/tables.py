@@ -61,6 +61,8 @@ def sweep_away(spark: SparkSession) -> int:
 
 
 def make_folder(spark: SparkSession, path: str) -> None:
+    """A folder for files of tasks, which sweep_away deletes too."""
+    _made.append(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
 

@@ -117,12 +117,14 @@ def read_archive(raw: bytes) -> Iterator[tuple]:
         dictionary, at = zstandard.ZstdCompressionDict(body), 8 + size
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     while at < len(raw):
-        frame = decoder.decompressobj()
-        record = frame.decompress(view[at:])
-        if not frame.eof:
-            raise ValueError("the archive ends inside a frame")
-        at = len(raw) - len(frame.unused_data)
-        yield read_record(record)
+        frame, parts, step = decoder.decompressobj(), [], 1 << 12
+        while not frame.eof:  # in slices, as what a frame leaves of its last one is copied
+            if at >= len(raw):
+                raise ValueError("the archive ends inside a frame")
+            parts.append(frame.decompress(view[at : at + step]))
+            at, step = min(at + step, len(raw)), min(2 * step, 1 << 20)
+        at -= len(frame.unused_data)
+        yield read_record(b"".join(parts))
 
 
 def _writer(folder: str):
