@@ -59,6 +59,28 @@ def test_coreset_covers_better_than_chance(spark, monkeypatch):
     assert learned.coreset(df.where("false"), 0.1).count() == 0
 
 
+def test_coreset_is_of_the_whole_table(spark, monkeypatch):
+    """Cut into cells, the mean distance to the coreset is near that of one clustering of all rows of sf0.1."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    x = {r.vec_id: np.array(r.embedding, float) for r in df.where("embedding is not null").collect()}
+    ids = sorted(x)
+    u = np.array([x[i] / np.linalg.norm(x[i]) for i in ids])
+
+    def away(chosen) -> float:
+        c = u[np.searchsorted(ids, sorted(chosen))]
+        return float(np.sqrt(np.maximum(0, 2 - 2 * u @ c.T)).min(axis=1).mean())
+
+    at_once = [r.vec_id for r in learned.coreset(df, 0.1).collect()]
+    monkeypatch.setattr(learned, "CORESET_BLOCK", 100)
+    monkeypatch.setattr(learned, "CELLS", 5)
+    monkeypatch.setattr(learned, "FAN", 4)
+    found = learned.coreset(df, 0.1).collect()
+    in_cells = [r.vec_id for r in found]
+    assert len({r.cell for r in found}) > 5 and len(in_cells) == len(set(in_cells))
+    assert len(in_cells) < 1.1 * len(at_once)
+    assert away(in_cells) < 1.1 * away(at_once)
+
+
 def test_provenance_is_what_the_file_system_says(spark, tmp_path):
     for name, size in (("a/x.csv", 10), ("b.csv", 0), ("a/c/d.txt", 7)):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

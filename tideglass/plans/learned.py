@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import KEYS
+from ..functions.staging import staged
 
 
 def flat(windows: DataFrame) -> DataFrame:
@@ -52,35 +53,105 @@ def kmeans_distance(windows: DataFrame, k: int, seed: int = 1) -> DataFrame:
 
 
 CORESET_BLOCK = 4096  # vectors whose centres are sought together
+CELLS = 32  # cells that a cell is cut into
+SUMMARY = 256  # weighted points that stand for a block, or for blocks merged
+FAN = 64  # summaries merged at once
+
+
+def _lloyd(x: np.ndarray, weight: np.ndarray, k: int, seed: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted k-means from points drawn by seed, in an order that is the points' own: centres, and the weight of each."""
+    order = np.lexsort(x.T[::-1])
+    x, weight = x[order], weight[order]
+    centres = x[np.sort(np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False))]
+    for i in range(rounds + 1):
+        near = (-2 * x @ centres.T + (centres * centres).sum(axis=1)).argmin(axis=1)
+        held = np.bincount(near, weight, len(centres))
+        if i < rounds:
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, x * weight[:, None])
+            centres = np.where(held[:, None] > 0, sums / np.maximum(held, 1e-300)[:, None], centres)
+    return centres[held > 0], held[held > 0]
+
+
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    v = np.array(column.to_pylist(), float)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows(cell, ...) with block: a cell's rows dealt by a hash of their id into blocks of about CORESET_BLOCK."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / CORESET_BLOCK).alias("_n"))
+    return rows.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("_n")).cast("int")).drop("_n")
+
+
+def _cut(rows: DataFrame, blocks: int, seed: int, rounds: int) -> DataFrame:
+    """Each row of rows(cell, vec_id, embedding) in one of CELLS cells of its cell, by the nearest centre of the cell's own.
+
+    Every block is reduced to weighted points, these are merged and reduced in a tree, and the cell's centres are those of
+    what is left: no task holds more than a block or FAN summaries, and a cell with most of the rows is many tasks.
+    """
+
+    def pack(group: pa.Table) -> pa.Table:
+        v = _units(group.column("embedding"))
+        points, held = _lloyd(v, np.ones(len(v)), SUMMARY, seed, 3)
+        values = (group.column("vec_id").to_pylist(), v.tobytes(), points.tobytes(), held.tobytes())
+        kinds = (pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([group.column("cell").slice(0, 1), group.column("block").slice(0, 1), *(pa.array([x], k) for x, k in zip(values, kinds))], ["cell", "block", "ids", "data", "points", "held"])
+
+    packed = staged(_in_blocks(rows).groupBy("cell", "block").applyInArrow(pack, "cell long, block int, ids array<long>, data binary, points binary, held binary"))
+
+    def merge(k: int, rounds: int):
+        def run(group: pa.Table) -> pa.Table:
+            held = [np.frombuffer(x) for x in group.column("held").to_pylist()]
+            points = np.concatenate([np.frombuffer(x).reshape(len(h), -1) for x, h in zip(group.column("points").to_pylist(), held)])
+            points, held = _lloyd(points, np.concatenate(held), k, seed, rounds)
+            return pa.table([group.column("cell").slice(0, 1), group.column("block").slice(0, 1), pa.array([points.tobytes()], pa.binary()), pa.array([held.tobytes()], pa.binary())], ["cell", "block", "points", "held"])
+
+        return run
+
+    parts, kinds = packed.select("cell", "block", "points", "held"), "cell long, block int, points binary, held binary"
+    while blocks > FAN:
+        parts = parts.withColumn("block", F.floor(F.col("block") / FAN).cast("int")).groupBy("cell", "block").applyInArrow(merge(SUMMARY, 3), kinds)
+        blocks = -(-blocks // FAN)
+    centres = staged(parts.withColumn("block", F.lit(0)).groupBy("cell").applyInArrow(merge(CELLS, rounds), kinds).select("cell", F.col("points").alias("centres")))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, ids, data, centre in zip(*(batch.column(c) for c in ("cell", "ids", "data", "centres"))):
+                v = np.frombuffer(data.as_py()).reshape(len(ids), -1)
+                c = np.frombuffer(centre.as_py()).reshape(-1, v.shape[1])
+                near = (-2 * v @ c.T + (c * c).sum(axis=1)).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.as_py() * CELLS + near, pa.int64()), ids.values, pa.array(list(v), pa.list_(pa.float64()))], ["cell", "vec_id", "embedding"])
+
+    # a row of packed is a block, so centres are joined once for each block
+    return staged(packed.join(centres, "cell").select("cell", "ids", "data", "centres").mapInArrow(assign, "cell long, vec_id long, embedding array<double>"))
 
 
 def coreset(embeddings: DataFrame, ratio: float, seed: int = 1, rounds: int = 10) -> DataFrame:
-    """block, vec_id: of every block of vectors, the real ones nearest to ratio * size centres, after normalisation.
+    """cell, block, vec_id: of every block of vectors, the real ones nearest to ratio * size centres, after normalisation.
 
-    Vectors are dealt into blocks of about CORESET_BLOCK by a hash of their id, and each block is clustered by itself (Lloyd's rounds from
-    vectors drawn by seed), so that work grows with the table though the number of centres does too. Null vectors are left out.
+    The table is cut into cells of vectors that lie together (see _cut), as often as it takes for the mean cell to be a block, so work is
+    rows times CELLS for each cut, of which there are as many as the logarithm of the rows. Then each cell is clustered by itself (Lloyd's
+    rounds from vectors drawn by seed). A cell of more than CORESET_BLOCK vectors, as of many that are alike, is
+    dealt into blocks by a hash of their id. Null vectors are left out.
     """
-    rows = embeddings.where("embedding is not null").select("vec_id", "embedding")
-    n = max(1, -(-rows.count() // CORESET_BLOCK))
+    rows = embeddings.where("embedding is not null").select(F.lit(0).cast("long").alias("cell"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n = rows.count()
+    cells = 1
+    while cells * CORESET_BLOCK < n:
+        rows = _cut(rows, -(-n // CORESET_BLOCK), seed, rounds)
+        cells *= CELLS
 
     def pick(group: pa.Table) -> pa.Table:
         ids = np.array(group.column("vec_id").to_pylist(), np.int64)
         order = np.argsort(ids, kind="stable")
-        v = np.array(group.column("embedding").to_pylist(), float)[order]
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        k = max(1, int(round(ratio * len(v))))
-        centres = v[np.sort(np.random.default_rng(seed).choice(len(v), k, replace=False))]
-        away = lambda: (v * v).sum(axis=1)[:, None] - 2 * v @ centres.T + (centres * centres).sum(axis=1)
-        for _ in range(rounds):
-            near = away().argmin(axis=1)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, near, v)
-            counts = np.bincount(near, minlength=k)
-            centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
-        chosen = np.unique(away().argmin(axis=0))
-        return pa.table({"block": pa.array([group.column("block")[0].as_py()] * len(chosen), pa.int32()), "vec_id": pa.array(ids[order][chosen])})
+        v = _units(group.column("embedding"))[order]
+        centres, _ = _lloyd(v, np.ones(len(v)), max(1, int(round(ratio * len(v)))), seed, rounds)
+        chosen = np.unique((-2 * v @ centres.T + (centres * centres).sum(axis=1)).argmin(axis=0))
+        first = [pa.array([group.column(c)[0].as_py()] * len(chosen), k) for c, k in (("cell", pa.int64()), ("block", pa.int32()))]
+        return pa.table([*first, pa.array(ids[order][chosen])], ["cell", "block", "vec_id"])
 
-    return rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).groupBy("block").applyInArrow(pick, "block int, vec_id long")
+    return _in_blocks(rows).groupBy("cell", "block").applyInArrow(pick, "cell long, block int, vec_id long")
 
 
 def dominant_periods(series: DataFrame, top: int) -> DataFrame:
