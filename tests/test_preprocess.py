@@ -5,6 +5,7 @@ import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tideglass.functions import staging
 from tideglass.operators import preprocess as pp, scores as sc
@@ -109,3 +110,12 @@ def test_variants_and_sources(spark):
 def test_staged_tables_can_be_swept_away(spark):
     df = staging.staged(spark.range(5).toDF("x"))
     assert df.count() == 5 and staging.sweep_away(spark) >= 1 and staging.sweep_away(spark) == 0
+
+
+def test_splits_take_fractions_as_written(spark):
+    """90 * 0.7 is less than 63 in doubles; the border is floor(0.7 * n) in decimals, as SQL has it."""
+    rows = spark.range(90).select(F.lit("r").alias("run_key"), F.lit(1).cast("long").alias("sequence_id"), F.col("id").alias("t"))
+    seqs = spark.range(90).select(F.lit("r").alias("run_key"), F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("t"))
+    counts = lambda df: {r.part: r["count"] for r in df.groupBy("part").count().collect()}
+    assert counts(pp.time_split(rows, 0.7)) == counts(pp.sequence_split(seqs, 0.7)) == {"train": 63, "val": 27}
+    assert counts(pp.overlapping_split(rows, 0.7, 10)) == {"train": 63, "val": 37}

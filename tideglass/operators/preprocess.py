@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass
+from decimal import Decimal
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -262,16 +263,21 @@ def numeric_channels(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("channel", F.round("present", 6).alias("present"), "distinct_values", ((F.col("present") > 0.8) & (F.col("distinct_values") > 5)).alias("is_numeric"), ((F.col("distinct_values") <= 8) & (F.col("zero_one") == 1)).alias("is_binary"))
 
 
+def _share(n: Column, fraction: float) -> Column:
+    """floor(n * fraction), the fraction taken as it is written: in doubles 610 * 0.7 is less than 427."""
+    return F.floor(n * F.lit(Decimal(str(fraction)))).cast("long")
+
+
 def time_split(df: DataFrame, fraction: float = 0.7) -> DataFrame:
     """part: train for the first rows of each sequence, val for the rest."""
     n = F.count("*").over(Window.partitionBy(*KEYS))
-    return df.withColumn("part", F.when(F.col("t") < F.floor(n * fraction), "train").otherwise("val"))
+    return df.withColumn("part", F.when(F.col("t") < _share(n, fraction), "train").otherwise("val"))
 
 
 def overlapping_split(df: DataFrame, fraction: float, overlap: int) -> DataFrame:
     """As time_split, with the last rows of train in val too."""
     n = F.count("*").over(Window.partitionBy(*KEYS))
-    border = F.floor(n * fraction)
+    border = _share(n, fraction)
     parts = F.array_compact(F.array(F.when(F.col("t") < border, F.lit("train")), F.when(F.col("t") >= border - overlap, F.lit("val"))))
     return df.withColumn("_parts", parts).withColumn("part", F.explode("_parts")).drop("_parts")
 
@@ -281,7 +287,7 @@ def sequence_split(df: DataFrame, fraction: float = 0.7) -> DataFrame:
     seqs = df.select(*KEYS).distinct()
     w = Window.partitionBy("run_key")
     placed = seqs.withColumn("_i", F.row_number().over(w.orderBy("sequence_id"))).withColumn("_n", F.count("*").over(w))
-    placed = placed.select(*KEYS, F.when(F.col("_i") <= F.floor(F.col("_n") * fraction), "train").otherwise("val").alias("part"))
+    placed = placed.select(*KEYS, F.when(F.col("_i") <= _share(F.col("_n"), fraction), "train").otherwise("val").alias("part"))
     return df.join(placed, KEYS)
 
 
