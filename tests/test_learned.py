@@ -87,3 +87,10 @@ def test_provenance_is_what_the_file_system_says(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * size)
     got = {r.path.removeprefix(f"file:{tmp_path}/"): (r.length, int(r.modificationTime.timestamp())) for r in tables.provenance(spark, str(tmp_path)).collect()}
     assert got == {n: (os.stat(tmp_path / n).st_size, int(os.stat(tmp_path / n).st_mtime)) for n in ("a/x.csv", "a/c/d.txt")}
+
+
+def test_windows_are_built_once(series):
+    """Models read staged vectors: no window is left to work out in what comes back."""
+    windows = wd.sliding_windows(series, ["a", "b"], 4, 2)
+    for out in (learned.pca_residual(windows, 0.9), learned.kmeans_distance(windows, 2)):
+        assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()

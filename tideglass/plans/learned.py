@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import KEYS
@@ -28,14 +29,14 @@ def _distance(a, b):
 
 
 def pca_residual(windows: DataFrame, variance: float) -> DataFrame:
-    """Distance of each window to its projection on as few components as have the given share of variance."""
-    rows = flat(windows)
+    """Distance of each window to its projection on as few components as have the given share of variance. Vectors are staged, as they are read several times."""
+    rows = staged(flat(windows))
     width = rows.first()["v"].size
     fitted = PCA(k=width, inputCol="v", outputCol="p").fit(rows)
     share = np.cumsum(fitted.explainedVariance.toArray())
     k = int(np.searchsorted(share, min(variance, share[-1]))) + 1
     parts = fitted.pc.toArray()[:, :k]
-    mean = np.array(rows.select(F.posexplode(vector_to_array("v")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").toPandas()["m"])  # one value for each dimension
+    mean = rows.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
     shift = parts.T @ mean
     p = F.slice(vector_to_array("p"), 1, k)
     centred = F.zip_with(p, F.array(*map(F.lit, shift.tolist())), lambda a, b: a - b)
@@ -45,8 +46,8 @@ def pca_residual(windows: DataFrame, variance: float) -> DataFrame:
 
 
 def kmeans_distance(windows: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """Distance of each window to the nearest of k centres."""
-    rows = flat(windows)
+    """Distance of each window to the nearest of k centres. Vectors are staged, as they are read several times."""
+    rows = staged(flat(windows))
     model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(rows)
     centres = F.array(*(F.array(*map(F.lit, x.tolist())) for x in model.clusterCenters()))
     return model.transform(rows).select(*KEYS, "t_end", "cluster", _distance(vector_to_array("v"), F.get(centres, F.col("cluster"))).alias("score"))
