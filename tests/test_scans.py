@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tideglass.functions.scans import Sequences, Total, fits
 from tideglass.operators import alarms, metrics, scores, sweep
@@ -104,3 +104,21 @@ def test_empty_tables(spark):
     assert fits(none, 1)
     assert alarms.merge_events(alarms.hysteresis(alarms.decision_scores(none, 2, 2), 1.0, 0.5), 1, 2).count() == 0
     assert metrics.evaluate(none).count() == sweep.best_threshold(none).count() == alarms.segments(none, "pred").count() == 0
+
+
+def test_scores_are_worked_out_once_and_rows_stay_whole(spark):
+    df = spark.createDataFrame([("r", s, t, float(t % 5 + s), float(t * t % 7), 0) for s in range(3) for t in range(40)], "run_key string, sequence_id long, t long, a double, b double, label int")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    normed = scores.robust_normalised(scores.cusum(df, scores.train_stats(df, ["a"]), ["a"], 0.5), ["run_key"])
+    assert "Window" not in plan(normed)
+    slow = scores.slow_channels(df, ["a", "b"])
+    assert plan(slow).index("explode") < plan(slow).index("Aggregate")  # channels come apart after the sums, not before
+    assert slow.count() == 2 and scores.slow_channels(df.where("t < 0"), ["a", "b"]).count() == 0
+
+
+def test_fits_sorts_nothing(spark, monkeypatch):
+    """Sequences are counted by key, without the window that t comes from."""
+    df = spark.range(50).select(F.lit("r").alias("run_key"), (F.col("id") % 2).alias("sequence_id"), F.rand(1).alias("x"))
+    rows = df.withColumn("t", F.row_number().over(Window.partitionBy("sequence_id").orderBy("x")).cast("long") - 1)
+    rows = rows.withColumn("t", F.when(F.col("t") < 0, F.raise_error(F.lit("t was worked out"))).otherwise(2 * F.col("t")))
+    assert fits(rows, 25) and not fits(rows, 24)

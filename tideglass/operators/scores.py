@@ -98,7 +98,8 @@ def robust_location(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def robust_normalised(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Scores less their key's robust location, in units of its robust scale."""
+    """Scores less their key's robust location, in units of its robust scale. Scores are staged, as they are read five times."""
+    df = staged(df)
     found = robust_location(df, keys)
     return df.join(F.broadcast(found) if keys == ["run_key"] else found, keys).withColumn("score", (F.col("score") - F.col("location")) / F.col("scale")).drop("location", "scale")  # runs are few
 
