@@ -73,10 +73,12 @@ def rolling_correlation(df: DataFrame, a: str, b: str, width: int, floor: float
 
 def slow_channels(df: DataFrame, features: list[str]) -> DataFrame:
     """Channels ranked by how slowly they move: correlation with the row before, less relative size of steps."""
-    c = channels(df, features)
-    w = Window.partitionBy(*KEYS, "feature").orderBy("t")
-    c = c.withColumn("x0", F.lag("x").over(w))
-    found = c.groupBy("feature").agg((F.corr("x", "x0") - F.stddev_pop(F.col("x") - F.col("x0")) / F.greatest(F.stddev_pop("x"), F.lit(1e-6))).alias("slowness"))
+    x = {i: F.col(c).cast("double") for i, c in enumerate(features)}
+    rows = df.select(*KEYS, "t", *(v.alias(f"x{i}") for i, v in x.items()))
+    rows = rows.select("*", *(F.lag(f"x{i}").over(along()).alias(f"b{i}") for i in x))
+    slow = lambda i: F.corr(f"x{i}", f"b{i}") - F.stddev_pop(F.col(f"x{i}") - F.col(f"b{i}")) / F.greatest(F.stddev_pop(f"x{i}"), F.lit(1e-6))
+    one = rows.agg(F.array(*(F.struct(F.lit(c).alias("feature"), slow(i).alias("slowness")) for i, c in enumerate(features))).alias("s"), F.count("*").alias("n")).where("n > 0")
+    found = one.select(F.explode("s").alias("s")).select("s.*")  # rows stay whole, each once
     return found.select("feature", "slowness", F.row_number().over(Window.orderBy(F.desc("slowness"), "feature")).alias("place"))  # one row for each feature
 
 
