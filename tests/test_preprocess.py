@@ -119,3 +119,22 @@ def test_splits_take_fractions_as_written(spark):
     counts = lambda df: {r.part: r["count"] for r in df.groupBy("part").count().collect()}
     assert counts(pp.time_split(rows, 0.7)) == counts(pp.sequence_split(seqs, 0.7)) == {"train": 63, "val": 27}
     assert counts(pp.overlapping_split(rows, 0.7, 10)) == {"train": 63, "val": 37}
+
+
+def test_quantiles_of_columns_side_by_side(spark, monkeypatch):
+    """Equal to NumPy with brackets and where tasks hand on what they hold; no row is made of a cell."""
+    monkeypatch.setattr(staging, "HELD", 500)
+    rng = np.random.default_rng(5)
+    x = {"a": rng.normal(size=6000), "b": np.round(rng.normal(size=6000), 1), "c": np.where(rng.random(6000) < 0.7, 0.0, rng.normal(size=6000))}
+    rows = [tuple(None if i % 7 == 3 else float(v[i]) for v in x.values()) + (None,) for i in range(6000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, none double").repartition(3)
+    found, counts = staging.column_quantiles(df, ["a", "b", "c", "none"], (0.0, 0.25, 0.995), lambda c: {"n_total": pp.F.count("*")})
+    got, keep = {r.feature: r for r in found.collect()}, np.arange(6000) % 7 != 3
+    assert set(got) == {"a", "b", "c"} and got["a"].n_total == 6000
+    for c, v in x.items():
+        assert got[c].q == pytest.approx(np.quantile(v[keep], (0.0, 0.25, 0.995)).tolist())
+        assert counts.where(pp.F.col("feature") == c).agg(pp.F.sum("n")).first()[0] == keep.sum()
+    report = pp.report_of(df, ["a", "b", "c", "none"])
+    assert {r.feature: r.n_unique for r in report.collect()}["b"] == len(np.unique(x["b"][keep]))
+    assert pp.report_of(df.where("a > 1e9"), ["a"]).count() == 0
+    assert "explode" not in staging.column_counts(df, ["a"], {"a": [(0.0, 1.0)]})._jdf.queryExecution().optimizedPlan().toString()

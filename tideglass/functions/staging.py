@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .columns import INF
@@ -115,6 +117,89 @@ def bracketed(rows: DataFrame, keys: list[str], value: str, fractions: Iterable[
     return found.drop("_missed"), counts
 
 
+COLUMNS = 64  # sketched in one pass
+HELD = 1 << 18  # distinct values of a column that a task holds before it hands them on
+
+
+def column_counts(table: DataFrame, columns: list[str], brackets: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """feature, v, out and n, of each column of doubles: values inside a bracket one by one, all others by the bracket they follow (see bracketed). Tasks add up before anything is shuffled."""
+    apart = {}
+    for c in columns:
+        merged: list[list[float]] = []
+        for low, high in sorted(brackets[c]):
+            if merged and low <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], high)
+            else:
+                merged.append([low, high])
+        apart[c] = (np.array([x[0] for x in merged]), np.array([-INF, *(x[1] for x in merged)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {c: [] for c in columns}
+        size = dict.fromkeys(columns, 0)
+        beyond = {c: np.zeros(len(apart[c][1]), np.int64) for c in columns}
+
+        def together(c: str) -> None:
+            v, at = np.unique(np.concatenate([x for x, _ in held[c]]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([x for _, x in held[c]])).astype(np.int64)
+            held[c], size[c] = [(v, n)], len(v)
+
+        def out(c: str) -> pa.RecordBatch:
+            v, n = (np.concatenate(x) for x in zip(*held[c], (np.zeros(0), np.zeros(0, np.int64))))
+            some = beyond[c] > 0
+            values, kinds = np.concatenate((v, apart[c][1][some])), np.repeat([0, 1], [len(v), some.sum()]).astype(np.int32)
+            n = np.concatenate((n, beyond[c][some]))
+            held[c], size[c], beyond[c][:] = [], 0, 0
+            return pa.RecordBatch.from_arrays([pa.array([c] * len(values), pa.string()), pa.array(values, pa.float64()), pa.array(kinds), pa.array(n, pa.int64())], ["feature", "v", "out", "n"])
+
+        for batch in batches:
+            for i, c in enumerate(columns):
+                v = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                lows, highs = apart[c]
+                at = np.searchsorted(lows, v, side="right")
+                inside = (at > 0) & (v <= highs[at])
+                beyond[c] += np.bincount(at[~inside], minlength=len(highs))
+                if inside.any():
+                    held[c].append(np.unique(v[inside], return_counts=True))
+                    size[c] += len(held[c][-1][0])
+                    if size[c] > HELD:
+                        together(c)
+                        if size[c] > HELD // 2:
+                            yield out(c)
+        for c in columns:
+            if held[c]:
+                together(c)
+            yield out(c)
+
+    found = table.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, "feature string, v double, out int, n long")
+    return found.groupBy("feature", "v", "out").agg(F.sum("n").alias("n"))
+
+
+def column_quantiles(table: DataFrame, columns: list[str], fractions: Iterable[float], more: Callable[[str], dict[str, Column]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """bracketed for the columns (finite doubles or null) of a table side by side: feature, q and more(column), and counts by feature. No row is made of a cell."""
+    fractions = [float(f) for f in fractions]
+    spark = table.sparkSession
+    ends = [x for f in fractions for x in (max(0.0, f - MARGIN), min(1.0, f + MARGIN))]
+    aggregates = lambda c: {"_n": F.count(f"`{c}`"), "_b": F.percentile_approx(f"`{c}`", F.array(*map(F.lit, ends)), F.lit(ACCURACY)), **(more(c) if more else {})}
+    sketch = {}  # a row for each column
+    for i in range(0, len(columns), COLUMNS):
+        some = columns[i : i + COLUMNS]
+        row = table.agg(*(F.struct(*(x.alias(n) for n, x in aggregates(c).items())).alias(f"_{j}") for j, c in enumerate(some))).first()
+        sketch |= {c: row[j] for j, c in enumerate(some) if row[j]["_n"] > 0}
+    names = list(aggregates(columns[0]))[2:] if columns else []
+    edge = lambda r, i: r["_b"][i] if 0.0 < ends[i] < 1.0 and r["_n"] * MARGIN >= 2 else (INF if i % 2 else -INF)
+    brackets = {c: [(edge(r, i), edge(r, i + 1)) for i in range(0, len(ends), 2)] for c, r in sketch.items()}
+    counts = staged(column_counts(table, list(sketch), brackets))
+    found = local(_picked(counts, ["feature"], fractions))
+    if not found.where("_missed").isEmpty():
+        counts = staged(column_counts(table, list(sketch), {c: [(-INF, INF)] for c in sketch}))
+        found = local(_picked(counts, ["feature"], fractions))
+    found = found.drop("_missed")
+    if names:
+        kinds = "feature string, " + ", ".join(f"{n} long" for n in names)
+        found = found.join(F.broadcast(spark.createDataFrame([(c, *(r[n] for n in names)) for c, r in sketch.items()], kinds)), "feature")
+    return found, counts
+
+
 def _picked(counts: DataFrame, keys: list[str], fractions: list[float]) -> DataFrame:
     """keys, q and _missed (whether a quantile wasn't among the values counted one by one).
 

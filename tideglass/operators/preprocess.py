@@ -11,7 +11,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import INF, KEYS, along, clip, numeric
-from ..functions.staging import bracketed, exact_quantiles, local, staged
+from ..functions.staging import column_counts, column_quantiles, local, staged
 
 
 def long_form(table: DataFrame, features: list[str]) -> DataFrame:
@@ -71,14 +71,13 @@ def report_of(table: DataFrame, features: list[str], policy: Policy = Policy(),
 
     Whether a feature is almost constant is judged on what isn't zero if it has many zeros, and left open if too little is left then
     (const_support: all, nonzero, insufficient_nonzero). Features without a finite value have no row. extra are further quantiles, in the column extra. The
-    table is read five times; what is shuffled are sketches, the values near a quantile, and distinct values where they are counted (n_unique).
+    table is read five times, its columns side by side; what is shuffled are sketches, the values near a quantile, and distinct values where they are counted (n_unique).
     """
     p = policy
-    cells, one = long_form(table, features), ["feature"]
-    zero = F.abs("value") <= p.zero_eps
+    zero = lambda c: F.abs(f"`{c}`") <= p.zero_eps
     names = ("q_low_top", "q_low", "q25", "median", "q75", "q_high", "q_high_top")
     fractions = (1 - p.q_top, 1 - p.q_ref, 0.25, 0.5, 0.75, p.q_ref, p.q_top, *extra)
-    found, counts = bracketed(cells, one, "value", fractions, {"n_total": F.count("*"), "n_finite": F.count("value"), "zeros": F.coalesce(F.sum(F.when(zero, 1)), F.lit(0))})
+    found, counts = column_quantiles(table, features, fractions, lambda c: {"n_total": F.count("*"), "n_finite": F.count(f"`{c}`"), "zeros": F.coalesce(F.sum(F.when(zero(c), 1)), F.lit(0))})
     nonzero = F.col("n_finite") - F.col("zeros")
     enough = (nonzero >= p.min_nonzero) & (nonzero / F.col("n_finite") >= p.min_nonzero_frac)
     inflated = F.lit(p.zero_inflated) & (F.col("zero_frac") >= p.zero_frac)
@@ -91,15 +90,18 @@ def report_of(table: DataFrame, features: list[str], policy: Policy = Policy(),
     tails = counts.join(F.broadcast(first.select("feature", "q_low", "q_high")), "feature").groupBy("feature").agg(
         F.sum(side((v > F.col("q_high")) | out & (v >= F.col("q_high")))).alias("n_high"), F.sum(side(v < F.col("q_low"))).alias("n_low")
     )
-    judged = cells.where("value is not null").join(F.broadcast(first.select("feature", "const_support")), "feature").where((F.col("const_support") == "all") | ((F.col("const_support") == "nonzero") & ~zero)).select("feature", "value")
+    support = {r["feature"]: r["const_support"] for r in first.select("feature", "const_support").collect()}  # features
+    judged = {c: F.col(f"`{c}`") if kind == "all" else F.when(~zero(c), F.col(f"`{c}`")) for c, kind in support.items() if kind != "insufficient_nonzero"}
     cq = first.where("const_support = 'all'").select("feature", (F.col("q75") - F.col("q25")).alias("iqr_const"), F.col("median").alias("middle"))
-    some = [r["feature"] for r in first.where("const_support = 'nonzero'").select("feature").collect()]  # features
+    some = [c for c in judged if support[c] == "nonzero"]
     if some:
-        own = exact_quantiles(judged.where(F.col("feature").isin(*some)), one, "value", (0.25, 0.5, 0.75))
-        cq = cq.union(own.select("feature", F.col("q")[2] - F.col("q")[0], F.col("q")[1]))
-    away = judged.join(F.broadcast(cq), "feature").select("feature", F.abs(F.col("value") - F.col("middle")).alias("value"))
-    mad = exact_quantiles(away, one, "value", (0.5,)).select("feature", F.col("q")[0].alias("mad"))
-    unique = judged.select("feature", F.round("value", p.decimals).alias("value")).distinct().groupBy("feature").agg(F.count("*").alias("n_unique"))
+        own, _ = column_quantiles(table.select(*(judged[c].alias(c) for c in some)), some, (0.25, 0.5, 0.75))
+        cq = local(cq.union(own.select("feature", F.col("q")[2] - F.col("q")[0], F.col("q")[1])))
+    middle = {r["feature"]: r["middle"] for r in cq.collect()}
+    away, _ = column_quantiles(table.select(*(F.abs(x - F.lit(middle[c])).alias(c) for c, x in judged.items())), list(judged), (0.5,))
+    mad = away.select("feature", F.col("q")[0].alias("mad"))
+    each = column_counts(table.select(*(x.alias(c) for c, x in judged.items())), list(judged), {c: [(-INF, INF)] for c in judged})
+    unique = each.select("feature", F.round("v", p.decimals).alias("value")).distinct().groupBy("feature").agg(F.count("*").alias("n_unique"))
     out = first
     for more in (tails, cq, mad, unique):
         out = out.join(F.broadcast(more), "feature", "left")
@@ -170,12 +172,15 @@ def fit(train: DataFrame, features: list[str], policy: Policy = Policy()) -> lis
     if bounds and p.extreme != "none":
         train = staged(_without_extremes(numbers(rows, features, True), bounds, p.extreme))
 
-    def cells(of: Iterable[str], nonzero: bool = True) -> DataFrame:
+    def cells(of: Iterable[str], nonzero: bool = True) -> dict[str, Column]:
         """The features' values; of those with many zeros what isn't zero, if asked for."""
-        inflated = [c for c in of if nonzero and report[c]["kind"] == "zero_inflated"]
-        return long_form(train, list(of)).where("value is not null").where(~F.col("feature").isin(*inflated) | (F.abs("value") > p.zero_eps) if inflated else F.lit(True))
+        x = {c: F.col(f"`{c}`") for c in of}
+        return {c: F.when(F.abs(v) > p.zero_eps, v) if nonzero and report[c]["kind"] == "zero_inflated" else v for c, v in x.items()}
+
+    def by_feature(of: dict[str, Column], fractions: tuple[float, ...]) -> dict[str, list[float]]:
+        found, _ = column_quantiles(train.select(*(x.alias(c) for c, x in of.items())), list(of), fractions)
+        return {r["feature"]: r["q"] for r in found.collect()}
 
-    by_feature = lambda rows, fractions: {r["feature"]: r["q"] for r in exact_quantiles(rows, ["feature"], "value", fractions).collect()}
     scales: dict[str, float] = {}
     if p.asinh:
         spread = {c: (r["q25"], r["median"], r["q75"], r["extra"][0]) for c, r in report.items()}
@@ -188,11 +193,10 @@ def fit(train: DataFrame, features: list[str], policy: Policy = Policy()) -> lis
                 scales = {c: q[1] - q[0] for c, q in by_feature(of, (0.25, 0.75)).items()}
             else:
                 at = 0.9 if p.asinh_mode == "p90_abs" else 0.5
-                scales = {c: q[0] for c, q in by_feature(of.withColumn("value", F.abs("value")), (at,)).items()}
+                scales = {c: q[0] for c, q in by_feature({c: F.abs(x) for c, x in of.items()}, (at,)).items()}
             scales = {c: max(s, p.asinh_least) for c, s in scales.items()}
     if p.robust:
-        by = F.create_map(*(F.lit(x) for c, s in scales.items() for x in (c, s))) if scales else F.create_map(F.lit(""), F.lit(1.0))
-        moved = cells(report).withColumn("value", F.when(by[F.col("feature")].isNotNull(), F.asinh(F.col("value") / by[F.col("feature")])).otherwise(F.col("value")))
+        moved = {c: F.asinh(x / scales[c]) if c in scales else x for c, x in cells(report).items()}
         found = {c: (q[1], q[2] - q[0]) for c, q in by_feature(moved, (p.low_q / 100, 0.5, p.high_q / 100)).items()}
         if p.unit_variance:
             wide = NormalDist().inv_cdf(p.high_q / 100) - NormalDist().inv_cdf(p.low_q / 100)
