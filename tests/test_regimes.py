@@ -96,3 +96,29 @@ def test_patch_stream_is_the_one_shot_score(spark, tmp_path, n):
         cover = [padded[s : s + length].mean() for s in starts if n < length or s <= r.t < s + length]
         assert r.score == (pytest.approx(np.mean(cover)) if cover else None)
     assert [r.t for r in got] == list(range(n))
+
+
+def test_training_rows_are_summed_up_once(spark, plant):
+    """k-means and its statistics read a staged table of summaries."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rg.fit_regimes(plant.mapInPandas(count, plant.schema), ["a", "b", "c", "d"], 2, 2, 1)
+    assert seen.value == plant.count()
+
+
+def test_sequences_are_laid_out_without_a_second_shuffle(spark):
+    from pyspark.sql import Window
+
+    rows = spark.range(60).select(F.lit("r").alias("run_key"), (F.col("id") % 3).alias("sequence_id"), (-F.col("id")).alias("x"))
+    rows = rows.withColumn("t", F.row_number().over(Window.partitionBy("sequence_id").orderBy("x")).cast("long") - 1)
+    out = rg.wide.laid_out(rows, ["x"], 2, 0, ("sequence_id", "t"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    for task in out.rdd.glom().collect():
+        cuts = [i for i in range(1, len(task)) if task[i].sequence_id != task[i - 1].sequence_id]
+        assert len(cuts) == max(0, len({r.sequence_id for r in task}) - 1)
+        assert all(b.t == a.t + 1 for a, b in zip(task, task[1:]) if a.sequence_id == b.sequence_id)

@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import trailing
+from ..functions.staging import staged
 from . import wide
 from .scores import top_cosines, unit
 from .wide import drift_references, slow_drift, structural_score, structure_reference  # noqa: F401
@@ -111,7 +112,8 @@ def fit_regimes(train: DataFrame, features: list[str], width: int, count: int, t
         model = KMeans(k=max(2, count), seed=seed, featuresCol="v", predictionCol="cluster").fit(vectors)
         return model, vectors, mean, scale
 
-    rows = summaries(train, features, width)
+    names = [f"{k}_{c}" for k in KINDS for c in features]
+    rows = staged(summaries(train, features, width).select(*names))  # read a dozen times
     model, vectors, _, _ = cluster(features)
     apart = separation(model.transform(vectors), features)
     best = set(sorted(features, key=lambda c: (-apart[c], c))[: max(1, top)])
