@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import KEYS
+from ..functions.columns import KEYS, along
 from ..functions.scans import Sequences
 
 BLOCK = 256  # channels by channels in one row of second moments
@@ -167,14 +167,13 @@ class Group:
 def laid_out(df: DataFrame, features: list[str], before: int, after: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows of each group together and in order: _g, _own, x and the columns of carry. Pieces have about CELLS values."""
     seqs = Sequences(df.select(*dict.fromkeys((*KEYS, "t", *carry)), row_array(features).alias("x")), max(4 * (before + after), CELLS // max(1, len(features)), 1))
-    rows, order = seqs.rows, "t"
-    if seqs.size is None:
-        rows = rows.withColumns({"_g": F.xxhash64(*KEYS), "_own": F.lit(True)})
-    else:
-        order, piece = "_at", F.floor(F.col("_at") / seqs.size)
-        rows = rows.withColumn("_piece", F.explode(F.sequence(F.floor((F.col("_at") - after) / seqs.size), F.floor((F.col("_at") + before) / seqs.size))))
-        rows = rows.withColumns({"_g": F.xxhash64(*KEYS, "_piece"), "_own": F.col("_piece") == piece})
-    return rows.repartition("_g").sortWithinPartitions("_g", order).select("_g", "_own", "x", *carry)
+    rows = seqs.rows
+    if seqs.size is None:  # a window keeps sequences together and in order, and needs no shuffle where t came from one
+        return rows.select(F.xxhash64(*KEYS).alias("_g"), (F.row_number().over(along()) > 0).alias("_own"), "x", *carry)
+    piece = F.floor(F.col("_at") / seqs.size)
+    rows = rows.withColumn("_piece", F.explode(F.sequence(F.floor((F.col("_at") - after) / seqs.size), F.floor((F.col("_at") + before) / seqs.size))))
+    rows = rows.withColumns({"_g": F.xxhash64(*KEYS, "_piece"), "_own": F.col("_piece") == piece})
+    return rows.repartition("_g").sortWithinPartitions("_g", "_at").select("_g", "_own", "x", *carry)
 
 
 def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[Group]:
@@ -216,7 +215,7 @@ def trailing(x: np.ndarray, width: int) -> Iterator[tuple[slice, np.ndarray, np.
 
     Sums of a stretch start near it and count from one of its values, so that a level far from 0 or far away costs no digits.
     """
-    step = max(width, 256)
+    step = max(width, 1024)
     for i in range(0, len(x), step):
         lo, hi = max(0, i - width + 1), min(len(x), i + step)
         part = x[lo:hi]
