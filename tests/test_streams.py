@@ -3,11 +3,12 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
+from tideglass import catalog
 from tideglass.operators import alarms
 from tideglass.streaming import alarms as stream
-from tideglass.streaming.ordered import Lateness
+from tideglass.streaming.ordered import InOrder, Lateness
 
 KIND = "sequence_id long, t long, score double, last boolean, ts timestamp"
 SOON = Lateness("10 seconds", "100 seconds", "1000 seconds")
@@ -93,3 +94,68 @@ def test_rows_that_the_watermark_drops_are_counted(spark, tmp_path):
 def test_waiting_longer_than_rows_are_set_aside_is_an_error():
     with pytest.raises(ValueError):
         Lateness("2 hours", "1 hour").ms()
+
+
+class Counted:
+    """A handle that counts what a processor asks of its state."""
+
+    def __init__(self):
+        self.calls, self.value = [], None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getListState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_batch_takes_one_read_and_one_write_of_a_sequence():
+    """Each is a round trip; with most sequences bringing a few rows a batch, they and tables for each sequence were what online alarms took their time for."""
+    handle, seen = Counted(), []
+
+    def advance(held, t, x, over):
+        seen.append((held, t, x))
+        return {"t": t, "score": [v[0] for v in x]}, (held[0] + len(t) if held else len(t),)
+
+    p = InOrder(advance, "n long", {"score": "double"}, Lateness())
+    p.init(handle)
+    rows = lambda *ts: iter([Row(sequence_id=1, ts=None, v=[float(t), 1e12 + t, 0.0, t / 2]) for t in ts])
+    out = [r for ts in ((2, 0), (1, 5), (3, 3)) for r in p.handleInputRows((1,), rows(*ts), handle)]
+    assert [(r.t, r.score, r.late) for r in out] == [([0], [0.0], [False]), ([1, 2], [0.5, 1.0], [False, False]), ([3, 3], [None, 1.5], [True, False])]
+    assert seen == [(None, [0], [[0.0]]), ((1,), [1, 2], [[0.5], [1.0]]), ((3,), [3], [[1.5]])]
+    assert handle.calls == ["get", "register", "update", "get", "update", "get", "update"]
+
+
+def test_a_stream_in_three_parts_is_three_batches(spark, small_dir):
+    rows, folder = catalog.arriving(spark, small_dir)
+    query = rows.writeStream.format("noop").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [p.batchId for p in query.recentProgress if p.numInputRows] == [0, 1, 2]
+    assert sum(p.numInputRows for p in query.recentProgress) == spark.read.parquet(f"{small_dir}/events.parquet").count()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import columns as c
 from .functions.sql import register
-from .functions.staging import shared_folder
+from .functions.staging import shared_folder, staged
 from .operators import alarms, metrics, preprocess as pp, regimes as rg, report, scores as sc, search, sweep, wide, windows as wd
 from .plans import learned
 from .sources import tables as t
@@ -1231,10 +1231,11 @@ def arriving(spark, d, series=None):
     """The events as a stream that comes in three parts, each with rows from all over the sequences; last marks the end of a sequence."""
     folder = shared_folder(spark)
     n = F.count("*").over(Window.partitionBy(*KEYS))
-    rows = (ev(spark, d) if series is None else series).select("sequence_id", "t", "score", (F.col("t") == n - 1).alias("last"))
+    rows = staged((ev(spark, d) if series is None else series).select("sequence_id", "t", "score", (F.col("t") == n - 1).alias("last")))  # put in order once, not for each part
     for part in range(3):
-        rows.where(F.pmod(F.xxhash64("sequence_id", "t"), F.lit(3)) == part).repartition(4, "sequence_id").write.mode("append").parquet(f"{folder}/in")
-    return stream.event_stream(spark, f"{folder}/in", rows.schema), folder
+        rows.where(F.pmod(F.xxhash64("sequence_id", "t"), F.lit(3)) == part).write.mode("append").parquet(f"{folder}/in")
+    files = len(spark.read.schema(rows.schema).parquet(f"{folder}/in").inputFiles())
+    return stream.event_stream(spark, f"{folder}/in", rows.schema, -(-files // 3)), folder  # a batch is a part, whatever its files
 
 
 @query("j2_causal_scores", f"WITH {EV} SELECT sequence_id, t, round(score - (sum(score) OVER f + (5 - count(*) OVER f) * first_value(score) OVER ({W})) / 5, 5) + 0.0 AS score FROM ev WINDOW f AS ({W} ROWS 4 PRECEDING)")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
+from math import isfinite
 
 import numpy as np
 import pandas as pd
@@ -26,65 +28,81 @@ def session_summary(stream: DataFrame, gap: str, late: str = "1 hour") -> DataFr
 
 
 class _Alarms:
-    """What is known of one sequence between batches: the end of its last stretch of scores, and rows that wait for the next ones."""
+    """What is known of one sequence between batches: the end of its last stretch of scores, and rows that wait for the next ones.
+
+    Row by row: what a batch brings of one sequence is mostly too little for anything else to pay.
+    """
 
     def __init__(self, width: int, span: int, on: float, off: float, enter: int, leave: int, held: tuple | None):
         self.width, self.alpha, self.on, self.off, self.enter, self.leave = width, 2 / (span + 1), on, off, enter, leave
-        self.keep = max(width, enter, leave) - 1
-        self.last_t, self.mean, self.active, raw, decided, self.wait_t, self.wait_raw, self.wait_decided, self.wait_active = held or (None, None, 0, [], [], [], [], [], [])
-        self.raw, self.decided = np.array(raw, float), np.array(decided, float)
+        keep = max(width, enter, leave) - 1
+        self.last_t, self.mean, active, raw, decided, *waiting = held or (None, None, 0, [], [], [], [], [], [])
+        self.active, self.waiting = bool(active), deque([t, x, d, bool(p)] for t, x, d, p in zip(*waiting))
+        self.raw, self.decided = deque(maxlen=keep), deque(maxlen=keep)
+        self.high: deque[tuple[int, float]] = deque()  # of the last width scores those that none after them reaches, with their places
+        self.n = self.above = self.below = 0  # scores of the stretch, and decisions up to the last that are all at or above on, or below off
+        for x in raw:
+            self._highest(x)
+        for d in decided:
+            self._decide(d)
         self.out: list[tuple] = []
 
     def held(self) -> tuple:
-        lists = (self.raw, self.decided, self.wait_t, self.wait_raw, self.wait_decided, self.wait_active)
-        return self.last_t, self.mean, int(self.active), *([x.item() if hasattr(x, "item") else x for x in v] for v in lists)
+        return self.last_t, self.mean, int(self.active), list(self.raw), list(self.decided), *([r[i] for r in self.waiting] for i in range(3)), [int(r[3]) for r in self.waiting]
 
-    def add(self, t: np.ndarray, score: np.ndarray) -> None:
+    def add(self, t: Sequence[int], score: Sequence[float]) -> None:
         """Rows that follow, in order; ones without a finite score end the stretch."""
-        if self.last_t is not None and t[0] <= self.last_t or (np.diff(t) <= 0).any():
-            raise ValueError("rows of a sequence must come in order of t, each once")
-        self.last_t = int(t[-1])
-        gap = ~np.isfinite(score)
-        cut = np.flatnonzero(gap)
-        for a, b in zip(np.append(0, cut + 1), np.append(cut, len(t))):
-            if b > a:
-                self._stretch(t[a:b], score[a:b])
-            if b < len(t):
+        for at, x in zip(map(int, t), map(float, score)):
+            if self.last_t is not None and at <= self.last_t:
+                raise ValueError("rows of a sequence must come in order of t, each once")
+            self.last_t = at
+            if isfinite(x):
+                self._next(at, x)
+            else:
                 self.flush()
-                self.out.append((int(t[b]), float(score[b]), None, 0))
-
-    def _stretch(self, t: np.ndarray, x: np.ndarray) -> None:
-        raw = np.concatenate((self.raw, x))
-        n = len(self.raw)
-        high = pd.Series(raw).rolling(self.width, min_periods=1).max().to_numpy()[n:]
-        seeded = x if self.mean is None else np.append(self.mean, x)
-        mean = pd.Series(seeded).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[-len(x) :]
-        d = np.maximum(high, mean)
-        decided = np.concatenate((self.decided, d))
-        m = len(self.decided)
-        run = lambda hit, k: pd.Series(hit.astype(float)).rolling(k).sum().to_numpy()[m:] == k
-        entered, left = run(decided >= self.on, self.enter), run(decided < self.off, self.leave)
-        after = pd.Series(np.select([entered, left], [1.0, 0.0], np.nan)).ffill().fillna(float(self.active)).to_numpy() == 1
-        before = np.append(bool(self.active), after[:-1])
-        wait = len(self.wait_t)
-        at = np.flatnonzero(entered)
-        soon = np.zeros(wait + len(x), bool)  # rows at which an entry begins that completes later
-        for back in range(self.enter):
-            soon[np.maximum(0, at + wait - back)] = True
-        rows = list(zip([*self.wait_t, *t.tolist()], [*self.wait_raw, *x.tolist()], [*self.wait_decided, *d.tolist()], [*self.wait_active, *before.tolist()]))
-        alarm = [int(r[3] or s) for r, s in zip(rows, soon)]
-        ready = max(0, len(rows) - self.enter + 1)
-        self.out += [(*r[:3], p) for r, p in zip(rows[:ready], alarm)]
-        waiting = [(*r[:3], p) for r, p in zip(rows[ready:], alarm[ready:])]
-        self.wait_t, self.wait_raw, self.wait_decided, self.wait_active = (list(c) for c in zip(*waiting)) if waiting else ([], [], [], [])
-        self.mean, self.active = float(mean[-1]), bool(after[-1])
-        self.raw, self.decided = raw[max(0, len(raw) - self.keep) :], decided[max(0, len(decided) - self.keep) :]
+                self.out.append((at, x, None, 0))
+
+    def _highest(self, x: float) -> float:
+        self.raw.append(x)
+        while self.high and self.high[-1][1] <= x:
+            self.high.pop()
+        self.high.append((self.n, x))
+        self.n += 1
+        if self.high[0][0] < self.n - self.width:
+            self.high.popleft()
+        return self.high[0][1]
+
+    def _decide(self, d: float) -> None:
+        self.decided.append(d)
+        self.above = self.above + 1 if d >= self.on else 0
+        self.below = self.below + 1 if d < self.off else 0
+
+    def _next(self, at: int, x: float) -> None:
+        high = self._highest(x)
+        self.mean = x if self.mean is None else (1 - self.alpha) * self.mean + self.alpha * x
+        d = max(high, self.mean)
+        self._decide(d)
+        self.waiting.append([at, x, d, self.active])
+        if self.above >= self.enter:  # the rows that wait are those of the entry
+            for r in self.waiting:
+                r[3] = True
+            self.active = True
+        elif self.below >= self.leave:
+            self.active = False
+        while len(self.waiting) >= self.enter:
+            self._give()
+
+    def _give(self) -> None:
+        t, x, d, alarm = self.waiting.popleft()
+        self.out.append((t, x, d, int(alarm)))
 
     def flush(self) -> None:
         """The stretch is over: nothing that waits can become an entry any more."""
-        self.out += [(t, x, d, int(p)) for t, x, d, p in zip(self.wait_t, self.wait_raw, self.wait_decided, self.wait_active)]
-        self.wait_t, self.wait_raw, self.wait_decided, self.wait_active = [], [], [], []
-        self.raw, self.decided, self.mean, self.active = np.zeros(0), np.zeros(0), None, False
+        while self.waiting:
+            self._give()
+        for x in (self.raw, self.decided, self.high):
+            x.clear()
+        self.mean, self.active, self.n, self.above, self.below = None, False, 0, 0, 0
 
 
 def online_alarms(stream: DataFrame, width: int, span: int, on: float, off: float, enter: int = 1, leave: int = 1, lateness: Lateness = Lateness()) -> DataFrame:
@@ -95,14 +113,14 @@ def online_alarms(stream: DataFrame, width: int, span: int, on: float, off: floa
     each sequence, and rows that wait for earlier ones. Late rows come out with late and change no alarm (see Lateness and in_order).
     """
 
-    def advance(held: tuple | None, t: np.ndarray, x: np.ndarray, over: bool) -> tuple[pd.DataFrame, tuple | None]:
+    def advance(held: tuple | None, t: list[int], x: list[list[float]], over: bool) -> tuple[dict[str, list], tuple | None]:
         alarms = _Alarms(width, span, on, off, enter, leave, held)
-        if len(t):
-            alarms.add(t, x[:, 0])
+        alarms.add(t, [v[0] for v in x])
         if over:
             alarms.flush()
-        out = pd.DataFrame(alarms.out, columns=["t", "score", "decision", "pred"])
-        return out.assign(score=out["score"].where(np.isfinite(out["score"].astype(float)))), None if over else alarms.held()
+        names = ("t", "score", "decision", "pred")
+        out = dict(zip(names, map(list, zip(*alarms.out)))) if alarms.out else {n: [] for n in names}
+        return out | {"score": [v if isfinite(v) else None for v in out["score"]]}, None if over else alarms.held()
 
     return in_order(stream, ["score"], advance, STATE, {"score": "double", "decision": "double", "pred": "int"}, lateness)
 
@@ -137,13 +155,14 @@ def causal_scores(stream: DataFrame, features: list[str], width: int, score: Cal
     goes when the sequence is over. Late rows come out with late and no score (see Lateness and in_order).
     """
 
-    def advance(held: tuple | None, t: np.ndarray, x: np.ndarray, over: bool) -> tuple[pd.DataFrame, tuple | None]:
-        if not len(t):
-            return pd.DataFrame({"t": [], "score": []}), None
+    def advance(held: tuple | None, t: list[int], x: list[list[float]], over: bool) -> tuple[dict[str, list], tuple | None]:
+        if not t:
+            return {"t": [], "score": []}, None
+        x = np.array(x, float)
         before = np.array(held[0], float).reshape(-1, len(features)) if held else np.repeat(x[:1], width - 1, axis=0)
         x = np.concatenate((before, x))
         windows = np.lib.stride_tricks.sliding_window_view(x, width, axis=0).transpose(0, 2, 1)
-        return pd.DataFrame({"t": t, "score": score(windows)}), None if over else (x[len(x) - width + 1 :].ravel().tolist(),)
+        return {"t": t, "score": np.asarray(score(windows), float).tolist()}, None if over else (x[len(x) - width + 1 :].ravel().tolist(),)
 
     return in_order(stream, features, advance, "tail array<double>", {"score": "double"}, lateness)
 
@@ -157,10 +176,10 @@ def patch_scores(stream: DataFrame, features: list[str], length: int, stride: in
     2 * length + stride rows of each sequence and rows that wait for earlier ones. Late rows come out with late and no score (see Lateness and in_order).
     """
 
-    def advance(held: tuple | None, t: np.ndarray, x: np.ndarray, over: bool) -> tuple[pd.DataFrame, tuple | None]:
+    def advance(held: tuple | None, t: list[int], x: list[list[float]], over: bool) -> tuple[dict[str, list], tuple | None]:
         values, times, start, out = held or ([], [], 0, 0)
-        x = np.concatenate((np.array(values, float).reshape(-1, len(features)), x.reshape(-1, len(features))))
-        times = np.concatenate((np.array(times, np.int64), t))
+        x = np.concatenate([np.array(v, float).reshape(-1, len(features)) for v in (values, x)])
+        times = [*times, *t]
         end = start + len(x)
         until = end if over else max(out, end - length + 1)
         if over and end < length:
@@ -175,7 +194,7 @@ def patch_scores(stream: DataFrame, features: list[str], length: int, stride: in
             scores = np.where(n > 0, total / np.maximum(n, 1), np.nan)[out - start : until - start]
         keep = max(0, until - length + 1) // stride * stride
         rest = max(0, keep - start)
-        return pd.DataFrame({"t": times[out - start : until - start], "score": scores}), None if over else (x[rest:].ravel().tolist(), times[rest:].tolist(), keep, until)
+        return {"t": times[out - start : until - start], "score": scores.tolist()}, None if over else (x[rest:].ravel().tolist(), times[rest:], keep, until)
 
     return in_order(stream, features, advance, "held array<double>, times array<long>, start long, out long", {"score": "double"}, lateness)
 
@@ -220,5 +239,5 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, dropped: Dropped
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema, files: int = 4) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-WAITING = "t long, ms long, last boolean, x array<double>"
 PLACE = "next_t long, newest long, wake long, ended boolean"
+WAITING = "t_of array<long>, ms_of array<long>, last_of array<boolean>, x_of array<double>"  # x: the features of all rows, one after the other
 NO_TS = 1_000_000_000  # seconds; event time of t = 0 where a stream has no ts
 
 
@@ -36,37 +35,49 @@ class Lateness:
         return wait, aside, idle
 
 
-Advance = Callable[[tuple | None, np.ndarray, np.ndarray, bool], tuple[pd.DataFrame, tuple | None]]
+Advance = Callable[[tuple | None, list[int], list[list[float]], bool], tuple[dict[str, list], tuple | None]]
 
 
 class InOrder(StatefulProcessor):
-    """Hands a sequence's rows on by t, each once, to advance(held, t, x, over): what it gives out, and what it holds until the next rows."""
+    """Hands a sequence's rows on by t, each once, to advance(held, t, x, over): what it gives out (columns by name, t among them), and what it holds until the next rows.
+
+    Most sequences bring a few rows a batch, so what counts is the work for each: a row comes in as one array (t, ms, last, features), what a call gives out goes back as one
+    row of arrays, and all that is kept of a sequence is one value, read and written once. A timer that is too early is left to fire, which changes nothing, rather than moved with every batch.
+    """
 
     def __init__(self, advance: Advance, state: str, columns: dict[str, str], lateness: Lateness):
-        self.advance, self.state, self.columns = advance, state, columns
+        self.advance, self.state, self.columns = advance, state, list(columns)
         self.wait, self.aside, self.idle = lateness.ms()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting, self.place, self.held = handle.getListState("waiting", WAITING), handle.getValueState("place", PLACE), handle.getValueState("held", self.state)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["t", "ms"], kind="stable")
-        yield from self._go(key, list(zip(new["t"].tolist(), new["ms"].tolist(), new["last"].tolist(), [np.asarray(x).tolist() for x in new["x"]])), timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._go(key, [], timerValues, expiredTimerInfo.getExpiryTimeInMs())
+        self.handle, self.row, self.at = handle, Row("sequence_id", "t", *self.columns, "late"), None
+        self.kept = handle.getValueState("kept", f"{PLACE}, {WAITING}, has_held boolean, {self.state}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = []
+        for r in rows:
+            if self.at is None:
+                self.at = r.__fields__.index("v")
+            t, ms, last, *x = r[self.at]
+            new.append((int(t), int(ms), last > 0, x))
+        new.sort(key=lambda r: r[:2])
+        return self._go(key, new, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._go(key, [], timerValues, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
-    def _go(self, key, new: list[tuple], timers, fired: int | None = None) -> Iterator[pd.DataFrame]:
+    def _go(self, key, new: list[tuple], timers, fired: int | None = None) -> Iterator[Row]:
         now = timers.getCurrentWatermarkInMs()
-        next_t, newest, wake, ended = self.place.get() if self.place.exists() else (0, -1, -1, False)
+        next_t, newest, wake, ended, *waiting, has_held = (kept := self.kept.get() or (0, -1, -1, False, [], [], [], [], False))[:9]
+        held = tuple(kept[9:]) if has_held else None
         if fired is not None and fired == wake:
             wake = -1
-        old = [(*tuple(r)[:3], list(r[3])) for r in self.waiting.get()] if self.waiting.exists() else []
-        here, late = {r[0]: r for r in old}, []
+        ts, mss, lasts, xs = waiting
+        width = len(xs) // len(ts) if ts else 0
+        here, late = {t: (t, ms, last, xs[i * width : (i + 1) * width]) for i, (t, ms, last) in enumerate(zip(ts, mss, lasts))}, []
         for r in new:
             if ended or r[0] < next_t or r[0] in here:
                 late.append(r)
@@ -82,37 +93,28 @@ class InOrder(StatefulProcessor):
             n, reached = n + 1, reached + 1
         taken = next((i + 1 for i, r in enumerate(rows[:n]) if r[2]), n)  # none after the last one
         over = idle or any(r[2] for r in rows[:taken])
-        if late or over and taken < len(rows):
-            yield self._out(key, pd.DataFrame({"t": [r[0] for r in [*late, *(rows[taken:] if over else [])]]}), True)
+        late += rows[taken:] if over else []
+        out = [[r[0] for r in late], *([None] * len(late) for _ in self.columns), [True] * len(late)]
         if (taken or over) and not ended:
-            t = np.array([r[0] for r in rows[:taken]], np.int64)
-            x = np.array([r[3] for r in rows[:taken]], float)
-            out, held = self.advance(tuple(self.held.get()) if self.held.exists() else None, t, x, over)
-            if held is None:
-                self.held.clear()
-            else:
-                self.held.update(held)
-            if len(out):
-                yield self._out(key, out, False)
-        rest = [] if over else rows[taken:]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        if wake > now:
-            self.handle.deleteTimer(wake)
+            found, held = self.advance(held, [r[0] for r in rows[:taken]], [r[3] for r in rows[:taken]], over)
+            for a, b in zip(out, (found["t"], *([None if v is None or v != v else v for v in found[c]] for c in self.columns), [False] * len(found["t"]))):
+                a += b
+        out = [self.row(key[0], *out)] if out[0] else []
         if idle:  # nothing is left of the sequence
-            self.place.clear()
-            return
-        wake = min([newest + self.idle, *(r[1] - self.aside + self.wait for r in rest)])
-        wake = max(wake, now + 1)
-        self.handle.registerTimer(wake)
-        self.place.update((reached if taken else next_t, newest, wake, ended or over))
-
-    def _out(self, key, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
-        out = pd.DataFrame({"sequence_id": pd.Series([key[0]] * len(rows), dtype="int64"), "t": rows["t"].astype("int64").to_numpy()})
-        for name, kind in self.columns.items():
-            given = rows[name].to_numpy(dtype=object, na_value=None) if name in rows else [None] * len(rows)
-            out[name] = pd.array([None if v is None or v != v else v for v in given], {"double": "Float64", "int": "Int32"}[kind])
-        out["late"] = late
-        return out
+            if wake > now:
+                self.handle.deleteTimer(wake)
+            self.kept.clear()
+            return iter(out)
+        rest = [] if over else rows[taken:]
+        due = max(min([newest + self.idle, *(r[1] - self.aside + self.wait for r in rest)]), now + 1)
+        if wake <= now or due < wake:
+            if wake > now:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(due)
+            wake = due
+        waiting = [r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], [v for r in rest for v in r[3]]
+        self.kept.update((reached if taken else next_t, newest, wake, ended or over, *waiting, held is not None, *(held or [None] * (len(kept) - 9 or self.state.count(",") + 1))))
+        return iter(out)
 
 
 def in_order(stream: DataFrame, features: list[str], advance: Advance, state: str, columns: dict[str, str], lateness: Lateness) -> DataFrame:
@@ -125,7 +127,9 @@ def in_order(stream: DataFrame, features: list[str], advance: Advance, state: st
     if conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
         conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     ts = F.col("ts").cast("timestamp") if "ts" in stream.columns else F.timestamp_seconds(F.col("t") + NO_TS)
-    x = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features))
-    rows = stream.select("sequence_id", ts.alias("ts"), F.col("t").cast("long").alias("t"), F.unix_millis(ts).alias("ms"), F.coalesce("last", F.lit(False)).alias("last"), x.alias("x"))
-    kinds = "sequence_id long, t long, " + ", ".join(f"{n} {k}" for n, k in columns.items()) + ", late boolean"
-    return rows.withWatermark("ts", lateness.aside).groupBy("sequence_id").transformWithStateInPandas(InOrder(advance, state, columns, lateness), kinds, "Append", "EventTime")
+    x = (F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features)
+    v = F.array(*(c.cast("double") for c in (F.col("t"), F.unix_millis(ts), F.coalesce("last", F.lit(False)).cast("int"))), *x)
+    kinds = {"t": "long", **columns, "late": "boolean"}
+    shape = "sequence_id long, " + ", ".join(f"{n} array<{k}>" for n, k in kinds.items())
+    found = stream.select("sequence_id", ts.alias("ts"), v.alias("v")).withWatermark("ts", lateness.aside).groupBy("sequence_id").transformWithState(InOrder(advance, state, columns, lateness), shape, "Append", "EventTime")
+    return found.select("sequence_id", F.explode(F.arrays_zip(*kinds)).alias("r")).select("sequence_id", *(F.col("r")[n].alias(n) for n in kinds))
