@@ -73,6 +73,24 @@ def test_metrics_sweep_and_cusum(rows, size):
     same(scores.cusum(finite, stats, ["score"], 0.3, size=size), scores.cusum(finite, stats, ["score"], 0.3, size=None))
 
 
+def test_channels_side_by_side_are_each_alone(spark):
+    """Rows stay whole: each sequence is put in order once for all channels, and a task adds up what it changes; any cut of the task's rows, and pieces of sequences, give the same."""
+    rng, rows = random.Random(5), []
+    for s, n in enumerate((1, 2, 9, 40, 41, 120)):
+        y = 0
+        for t in range(n):
+            y = 1 - y if rng.random() < 0.2 else y
+            rows.append(("r", f"s{s}", 3 * t, rng.choice([None, float("nan"), -INF, INF, 0.0, -0.0, 0.5, 1.5 * y]), rng.random() + y, y if rng.random() < 0.9 else None))
+    df = spark.createDataFrame(rows, "run_key string, sequence_id string, t long, a double, b double, label int").repartition(3)
+    each = [df.select(F.lit(c).alias("run_key"), "sequence_id", "t", F.col(c).alias("score"), "label") for c in ("a", "b")]
+    want = sweep.best_threshold(each[0].union(each[1]), 4)
+    same(sweep.best_thresholds(df, ["a", "b"]), want)
+    same(sweep.best_thresholds(df, ["a", "b"], 4), want)
+    same(sweep.best_threshold(each[0].union(each[1])), want)
+    summed = lambda size: sweep._by_task(df.coalesce(1), ["a", "b"], True, size)[0].groupBy("run_key", "value").agg(*(F.sum(c).alias(c) for c in sweep.TERMS))
+    same(summed(1), summed(1000))
+
+
 @pytest.mark.parametrize("span", [1, 2, 9])
 def test_the_weighted_mean_by_its_recurrence(spark, span):
     rng = random.Random(span)

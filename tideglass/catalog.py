@@ -899,9 +899,7 @@ CHANNEL_RUNS = f"{LI}, {CHANNELS}, ev AS (SELECT feature AS run_key, sequence_id
 @query("f2_best_channel", f"{SWEEP.replace(EV, CHANNEL_RUNS)}, be AS (SELECT run_key, CASE WHEN max(s) > 0 THEN max_by(v, struct_pack(s := s, v := v)) ELSE CAST('inf' AS DOUBLE) END AS threshold, greatest(max(s), 0) AS best FROM cu GROUP BY 1) SELECT run_key, threshold, round(best, 6) AS best_score, row_number() OVER (ORDER BY best DESC, run_key) AS place FROM be")
 def _(spark, d):
     """Every channel as a run of its own: one sweep for all of them, then the best."""
-    rows = sc.channels(li(spark, d), FEATURES)
-    runs = rows.select(F.col("feature").alias("run_key"), "sequence_id", "t", F.col("x").alias("score"), "label")
-    best = sweep.best_threshold(runs)
+    best = sweep.best_thresholds(li(spark, d), FEATURES)
     return best.select("run_key", "threshold", *r6("best_score"), F.row_number().over(Window.orderBy(F.desc("best_score"), "run_key")).alias("place"))  # one row for each channel
 
 
