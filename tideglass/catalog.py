@@ -1233,7 +1233,7 @@ def arriving(spark, d, series=None):
     for part in range(3):
         rows.where(F.pmod(F.xxhash64("sequence_id", "t"), F.lit(3)) == part).write.mode("append").parquet(f"{folder}/in")
     files = len(spark.read.schema(rows.schema).parquet(f"{folder}/in").inputFiles())
-    return stream.event_stream(spark, f"{folder}/in", rows.schema, -(-files // 3)), folder  # a batch is a part, whatever its files
+    return stream.event_stream(spark, f"{folder}/in", rows.schema, max(1, -(-files // 3))), folder  # a batch is a part, whatever its files
 
 
 @query("j2_causal_scores", f"WITH {EV} SELECT sequence_id, t, round(score - (sum(score) OVER f + (5 - count(*) OVER f) * first_value(score) OVER ({W})) / 5, 5) + 0.0 AS score FROM ev WINDOW f AS ({W} ROWS 4 PRECEDING)")
