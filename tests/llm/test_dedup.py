@@ -137,3 +137,32 @@ def test_suffix_array_dedup_equals_a_count_of_all_windows(spark):
         want[d] = (len(b), int(mask.sum()), int((np.diff(np.concatenate(([0], mask.astype(int)))) == 1).sum()), brute.sha(np.frombuffer(b, np.uint8)[~mask].tobytes()))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in q.op1_suffix_array_dedup(spark, "/root/testdata/sf0.1").collect()}
     assert got == want and sum(w[1] > 0 for w in want.values()) > 1000
+
+
+def test_planted_passages_go_by_their_bytes(spark):
+    """Passages of 51 words in two documents each: from 400 bytes on they go from both, shorter ones and clean documents stay."""
+    import random
+
+    from tideglass.llm.suffix_dedup import suffix_array_dedup
+
+    rng = random.Random(11)
+    text = lambda: " ".join("".join(rng.choices("npqrstvwxz", k=rng.randint(3, 8))) for _ in range(120))
+
+    def passage(size):
+        each, more = divmod(size - 50, 51)
+        return " ".join("".join(rng.choices("bcdfghklm", k=each + (i < more))) for i in range(51))
+
+    rows, want = [], {}
+    for size in (322, 340, 380, 398, 399, 400, 401, 420, 500):
+        p = passage(size)
+        for gap in (" ", "\n"):  # so that the two documents differ on both sides of the passage
+            before, after = text() + gap, gap + text()
+            want[len(rows)] = (size, before + after) if size >= 400 else (0, before + p + after)
+            rows.append((len(rows), before + p + after))
+    for _ in range(20):
+        clean = text()
+        want[len(rows)] = (0, clean)
+        rows.append((len(rows), clean))
+    out = suffix_array_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (sum(r.ends) - sum(r.starts), bytes(r.kept).decode()) for r in out} == want
+    assert {d: w[0] for d, w in want.items()} == {d: x[1] for d, x in brute.suffix_dedup(rows).items()}
